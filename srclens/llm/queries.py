@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm import quality_llr
+from srclens.llm import html_cut, line_templates, mixing, ngram_join, packing, quality_llr
 from srclens.llm.common import table
 
 
@@ -20,8 +20,38 @@ def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_dropped", "n_templates")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs)
+    return mixed.select(
+        "doc.doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards")
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_llr": op2_quality_llr,
+    "op3_line_templates": op3_line_templates,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_mixing": op6_mixing,
+    "op8_packing": op8_packing,
+    "op9_html_cut": op9_html_cut,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
