@@ -27,6 +27,15 @@ def words(text: str | Column = "text") -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def where_last(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows of ``df`` that meet a condition on its columns, each column being computed once.
+
+    A filter on computed columns would be pushed below their projection and take copies of their
+    expressions along, nested ones many times over. A row number keeps it above.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def n_words(text: str | Column = "text") -> Column:
     return F.size(words(text)).cast("long")
 

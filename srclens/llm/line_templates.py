@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclens.llm.common import WHITE, clean_text, written
+from srclens.llm.common import WHITE, clean_text, where_last, written
 
 DEPTH = 3
 MIN_TOKENS = 5
@@ -54,17 +54,13 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKE
     lines = docs.select("doc_id", row_key().alias("row"), F.posexplode(F.split(clean_text("text"), "\n")).alias("line_no", "raw"))
     lines = lines.select("doc_id", "row", "line_no", masked(F.col("raw")).alias("masked"))
     n = F.length("masked") - F.length(F.translate("masked", " ", "")) + 1
-    return (
-        lines.withColumn("n_tokens", n)
-        .where(F.col("n_tokens") >= min_tokens)
-        .select(
-            "doc_id",
-            "row",
-            "line_no",
-            "masked",
-            F.xxhash64("n_tokens", F.substring_index("masked", " ", depth)).alias("leaf"),
-            F.xxhash64("masked").alias("line"),
-        )
+    return where_last(lines.withColumn("n_tokens", n), F.col("n_tokens") >= min_tokens).select(
+        "doc_id",
+        "row",
+        "line_no",
+        "masked",
+        F.xxhash64("n_tokens", F.substring_index("masked", " ", depth)).alias("leaf"),
+        F.xxhash64("masked").alias("line"),
     )
 
 
@@ -79,7 +75,7 @@ def line_templates(
         .where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi")))
         .select("leaf")
     )
-    busy = written(lines.join(leaves, "leaf", "left_semi"), "busy-lines")
+    busy = written(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "busy-lines")
     # One row per different masked line of a busy leaf; its tokens vote with the number of its lines.
     kinds = busy.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
     kinds = written(kinds, "line-kinds")
@@ -127,7 +123,7 @@ def rewritten(docs: DataFrame, **options) -> DataFrame:
         F.collect_set("line_no").alias("gone"), F.count_distinct("template").alias("n_gone")
     )
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("old"), row_key().alias("row"))
-    out = held.join(gone, F.col("row") == F.col("gone_row"), "left").withColumn("lines", F.split("old", "\n"))
+    out = held.join(gone.hint("merge"), F.col("row") == F.col("gone_row"), "left").withColumn("lines", F.split("old", "\n"))
     # Set difference hashes: linear in the lines, unlike a search for each of them.
     keep = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
     out = out.withColumn("keep", F.when(F.col("gone").isNotNull(), keep))
@@ -159,7 +155,7 @@ def without_repeated_lines(docs: DataFrame, most_dropped: float = 0.8, **options
     said stands in the first occurrences of its lines.
     """
     out = rewritten(docs, **options)
-    out = out.where((F.col("n_dropped") == 0) | (F.col("n_dropped_chars") < most_dropped * F.length("doc.text")))
+    out = where_last(out, (F.col("n_dropped") == 0) | (F.col("n_dropped_chars") < most_dropped * F.length("doc.text")))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long"))}
 
     def column(c: str) -> Column:
