@@ -76,17 +76,17 @@ def test_quality_without_labels_or_rows(spark):
 
 
 def test_surrogates(spark):
-    text = "Mail Bob.X@mail.org or bob.x@mail.org, call +1 (564) 555-4526 or 15645554526. Mr. John Smith and Mrs. Anna Smith-Jones met Herr MÜLLER."
+    text = "Mail Bob.X@mail.org or bob.x@mail.org, call +1 (564) 555-4526 or +1 564 555 4526. Mr. John Smith and Mrs. Anna Smith-Jones met Herr MÜLLER."
     more = 'token = "6df57b16f87eabefefcab67b433efd90636bb6bd" card 4111 1111 1111 1111 and 4111111111111111 at 217.94.102.185, DE89 3704 0044 0532 0130 00'
     docs = docs_of(spark, [text, more, None, "", "господин Иван Петров", "plain text 12 of 2020-01-02", text]).withColumn("n_entities", F.lit("clash"))
     got = {r["doc_id"]: r for r in pii_surrogates.replace_pii(docs).collect()}
     a, b = got[0]["text"], got[1]["text"]
-    for private in ("Bob.X", "mail.org, ", "555-4526", "5645554526", "John", "Smith", "Anna", "Jones", "LLER", "6df57b16", "4111 1111", "41111111", "217.94", "3704"):
+    for private in ("Bob.X", "mail.org, ", "555-4526", "564 555", "John", "Smith", "Anna", "Jones", "LLER", "6df57b16", "4111 1111", "41111111", "217.94", "3704"):
         assert private not in a + b
     mails = re.findall(r"\S+@\S+\.org", a)
     assert mails[0].rstrip(",").lower() == mails[1].rstrip(",")  # coreference
-    phone = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{11})", a)
-    assert "1" + phone[1] + phone[2] + phone[3] == phone[4]
+    phone = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1 (\d{3}) (\d{3}) (\d{4})", a)
+    assert phone.groups()[:3] == phone.groups()[3:]
     names = re.search(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+)-(\w+) met Herr (\w+)\.", a)
     assert names and names[2] == names[4] and names[6].isupper() and names[1].endswith("rus") and names[3].endswith("ria")
     card = re.search(r"card ([\d ]{19}) and (\d{16})", b)
@@ -160,7 +160,7 @@ def test_line_templates_equal_brute_force(spark):
 
 def test_line_dedup_stage(spark):
     shared = " ".join(f"word{c}" for c in "abcdefghij")
-    texts = [f"{shared}\nown text number {i} stands here alone {'x' * (400 if i else 0)}" for i in range(4)] + [shared] * 9
+    texts = [f"{shared}\n{'abcd'[i]}own {'abcd'[i]}text stands here alone {'x' * (400 if i else 0)}" for i in range(4)] + [shared] * 9
     out = line_templates.without_repeated_lines(docs_of(spark, texts), min_docs=3)
     kept = {r["doc_id"]: r for r in out.collect()}
     assert shared in kept[0]["text"] and all(shared not in kept[i]["text"] for i in (1, 2, 3))
