@@ -234,8 +234,8 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     each = found.groupBy("row").agg(F.first("entities").alias("entities")).select("row", F.posexplode("entities").alias("pos", "entity"))
     each = each.withColumn("kind", kind_of(F.col("entity")))
     parts = each.select("row", "pos", "entity", "kind", F.posexplode(parts_of(F.col("kind"), F.col("entity"))).alias("k", "part"))
-    n_parts = F.size(parts_of(F.col("kind"), F.col("entity")))
-    given = (F.col("kind") == "name") & (F.col("k") < n_parts - 1)
+    # The first of several words is a given name; the words of a hyphenated surname are surnames.
+    given = (F.col("kind") == "name") & (F.col("k") == 0) & F.col("entity").rlike("^[^ ]+ [^ ]+ ")
     parts = parts.withColumn("canon", canonical(F.col("kind"), F.col("part"))).withColumn("given", given)
     parts = parts.withColumn("gender", F.when(F.col("given"), gender_of(F.col("entity"))).otherwise("none"))
     parts = written(parts, "entity-parts")
