@@ -45,7 +45,7 @@ TAG_HINT = {
 }
 #: Words of class, id and role names.
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments cookie cookies "
+    "ad ads adbox adsbygoogle adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments cookie cookies "
     "consent discussion disqus disclaimer dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification pagination pager popup promo promoted promotion recommended related replies reply respond share sharing "
     "sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget contentinfo complementary search".split()
@@ -89,7 +89,8 @@ def hint_of(tag: str, attributes: str, inside_article: bool) -> float:
     if attributes:
         found = {w for m in _HINT.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
         if found & BAD_WORDS and not (tag in ("article", "main")):
-            if inside_article and found & BAD_WORDS <= {"header", "byline"}:
+            # The header of an article or post holds its title.
+            if found & BAD_WORDS <= {"header", "byline"} and (inside_article or found & GOOD_WORDS):
                 return 0.0
             return BAD_HINT
         if found & GOOD_WORDS and tag not in TAG_HINT:
