@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +25,32 @@ from pyspark.sql import functions as F
 
 LEAF = 64
 FAN = 16
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 600_000
 LONGEST_CHUNK = 64
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 class Counter:
-    """Token counts of chunks by a public tokenizer, with a bounded cache."""
+    """Token counts of chunks by a tokenizer file or a file of ranks, with a bounded cache. Special tokens in texts are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        if path.endswith(".tiktoken"):
+            from srclens.llm.packing import rank_encoding
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+            self.tokenizer = None
+            self.ids = rank_encoding(path).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
+            self.ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.cache: dict[str, int] = {}
 
     def one(self, chunk: str) -> int:
         n = self.cache.get(chunk)
         if n is None:
-            n = len(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            n = len(self.ids(chunk))
             if len(chunk) <= LONGEST_CHUNK:
                 if len(self.cache) >= CACHED_CHUNKS:
                     self.cache.clear()
@@ -50,14 +58,22 @@ class Counter:
         return n
 
 
+#: White space of the tokenizer's pattern followed by a space: only there may a space not begin a chunk.
+_SPACES = [c + " " for c in " \t\n\x0b\f\r"]
+_WIDE_SPACES = [chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
 def chunks_of(text: str) -> list[str]:
     """The text's chunks; together they are the text."""
     if not text:
         return []
+    if any(s in text for s in _SPACES) or (not text.isascii() and any(s in text for s in _WIDE_SPACES)):
+        return _CUT.split(text)
     first, *rest = text.split(" ")
-    if rest and first and not first[-1].isspace() and all(x and not x[-1].isspace() for x in rest):
-        return [first, *[" " + x for x in rest]]
-    return _CUT.split(text)
+    out = [" " + x for x in rest]
+    if first:
+        out.insert(0, first)
+    return out
 
 
 class TokenTree:
@@ -65,6 +81,8 @@ class TokenTree:
 
     def __init__(self, text: str, counter: Counter) -> None:
         self.counter = counter
+        #: The leaf found last, its first character and its chunks' ends; None after a change.
+        self.near: tuple[int, int, list[int]] | None = None
         chunks = chunks_of(text)
         counts = list(map(counter.cache.get, chunks))
         if None in counts:
@@ -74,8 +92,9 @@ class TokenTree:
         self.tokens = [counts[i : i + LEAF] for i in starts] or [[]]
         self.encoded = len(chunks)
         if chunks:
-            each = np.array([list(map(len, chunks)), counts], np.int64).T
-            sums = np.add.reduceat(each, np.array(starts), axis=0)
+            at = np.array(starts)
+            lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+            sums = np.stack([np.add.reduceat(lengths, at), np.add.reduceat(np.array(counts, np.int64), at)], axis=1)
         else:
             sums = np.zeros((1, 2), np.int64)
         self.levels = [sums]
@@ -96,19 +115,19 @@ class TokenTree:
 
     def find(self, offset: int) -> tuple[int, int, int]:
         """Leaf, chunk and the chunk's first character of the chunk that holds the character at ``offset``, or the last one."""
-        node, start = 0, 0
-        for level in reversed(self.levels[:-1]):
-            below = level[node * FAN : (node + 1) * FAN, 0]
-            ends = start + np.cumsum(below)
-            k = min(int(np.searchsorted(ends, offset, "right")), len(below) - 1)
-            start = int(ends[k] - below[k])
-            node = node * FAN + k
-        for k, chunk in enumerate(self.leaves[node]):
-            if start + len(chunk) > offset:
-                return node, k, start
-            start += len(chunk)
-        last = len(self.leaves[node]) - 1
-        return node, max(last, 0), start - (len(self.leaves[node][last]) if last >= 0 else 0)
+        if self.near is None or not self.near[1] <= offset < self.near[2][-1]:
+            node, start = 0, 0
+            for level in reversed(self.levels[:-1]):
+                below = level[node * FAN : (node + 1) * FAN, 0]
+                ends = start + np.cumsum(below)
+                k = min(int(np.searchsorted(ends, offset, "right")), len(below) - 1)
+                start = int(ends[k] - below[k])
+                node = node * FAN + k
+            # Edits come in order, so the next one is often in the same leaf.
+            self.near = node, start, list(accumulate(map(len, self.leaves[node]), initial=start))
+        node, start, ends = self.near
+        k = min(bisect_right(ends, offset) - 1, len(ends) - 2)
+        return (node, k, ends[k]) if k >= 0 else (node, 0, start)
 
     def _before(self, leaf: int, k: int, start: int) -> tuple[int, int, int]:
         """The chunk before, or the same if it is the first."""
@@ -150,6 +169,7 @@ class TokenTree:
             else:
                 regions.append([first, last, [(start, end, new)]])
         again = 0
+        self.near = None
         touched: set[int] = set()
         for (leaf, k, offset), (last_leaf, last_k), inside in reversed(regions):
             if leaf == last_leaf:
@@ -222,9 +242,9 @@ def edit_counts(docs: DataFrame, edits_of=cleaning_edits, tokenizer: str | None
 
     ``edits_of(text)`` gives the edits ``(start, end, new text)``.
     """
-    from srclens.llm.packing import default_tokenizer
+    from srclens.llm.packing import default_ranks
 
-    path = tokenizer or default_tokenizer()
+    path = tokenizer or default_ranks()
     names = ["doc_id", "n_tokens", "n_tokens_edited", "n_chunks", "n_edits", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
