@@ -97,25 +97,24 @@ def _expand(codes: np.ndarray, first: int) -> np.ndarray:
     if (parent > np.arange(n)).any() or (parent[~literal] >= np.arange(n)[~literal]).any() or (codes[literal] >= first - 2).any():
         raise ValueError("LZW code out of range")
     # A code that isn't a literal stands for its parent's output and one byte more.
-    length = np.where(literal, 0, 1)
     up = parent
-    while True:
-        further = up[up]
-        if (further == up).all() and literal[up].all():
-            length = length + length[up] * (up != np.arange(n))
-            break
-        length = length + length[up] * (up != np.arange(n))
-        up = further
-    length = length + 1
-    start = np.cumsum(length) - length
-    source = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(start - start[parent], length)
+    length = (~literal).astype(np.int64)
+    while not literal[up].all():
+        length += length[up]
+        up = up[up]
+    length += 1
+    end = np.cumsum(length)
+    start = end - length
+    source = np.arange(int(end[-1]), dtype=np.int32) - np.repeat((start - start[parent]).astype(np.int32), length)
     values = np.zeros(len(source), np.uint8)
-    values[start[literal]] = codes[literal]
-    while True:
-        further = source[source]
-        if (further == source).all():
-            return values[source]
-        source = further
+    # The byte more is the first one of the code after the parent, which its root says.
+    root = codes[up]
+    values[end - 1] = np.where(literal, codes, root[np.minimum(parent + 1, n - 1)])
+    source[end - 1] = end - 1
+    # All other bytes refer to the parent's; their chains are no longer than the parents' and halve with every step.
+    for _ in range(int(length.max() - 1).bit_length()):
+        source = source[source]
+    return values[source]
 
 
 def lzw_decode(data: bytes, min_code_size: int) -> np.ndarray:
