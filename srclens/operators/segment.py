@@ -55,7 +55,8 @@ def boundary_chunks(marks: DataFrame, n_lines: DataFrame, strong: Sequence[str],
     tail = F.when(F.col("_s.start") <= F.col("n"), F.array(F.struct(F.col("_s.start").alias("start"), F.col("n").cast("long").alias("end")))).otherwise(
         F.array().cast("array<struct<start:bigint,end:bigint>>")
     )
-    return folded.select(key, F.posexplode(F.concat("_s.chunks", tail)).alias("_i", "c")).select(
+    each = folded.select(key, F.posexplode_outer(F.concat("_s.chunks", tail)).alias("_i", "c")).where(F.col("_i").isNotNull())
+    return each.select(
         key, (F.col("_i") + 1).cast("long").alias("job"), F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line")
     )
 
@@ -103,7 +104,9 @@ def fixed_segments(
         )
 
     folded = scored.select(key, F.aggregate(steps, state, step)["out"].alias("_out"))
-    return folded.select(key, F.posexplode("_out").alias("_i", "c")).select(
+    # An outer explode: for an inner one a filter on the fold's size would be pushed down and fold everything again.
+    each = folded.select(key, F.posexplode_outer("_out").alias("_i", "c")).where(F.col("_i").isNotNull())
+    return each.select(
         key, (F.col("_i") + 1).cast("long").alias("job"), F.col("c.start").cast("long").alias("start_line"), F.col("c.end").cast("long").alias("end_line")
     )
 
