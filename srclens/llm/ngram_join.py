@@ -203,8 +203,8 @@ def similarity_classes(
     members = groups.join(sizes, "component").select(
         F.col("id").alias("rep"), "component", "n_blocks", F.pmod(F.xxhash64("id"), "n_blocks").cast("int").alias("block")
     )
-    # Rows that share a doc_id count once.
-    with_text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
+    # Rows that share a doc_id count once. Members may be as many as documents, so both sides are always shuffled.
+    with_text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.hint("merge"), "rep")
     with_text = with_text.groupBy("rep", "component", "n_blocks", "block").agg(F.min("text").alias("text"))
     dealt = with_text.select(
         "component", "rep", "block", "text", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
@@ -229,6 +229,6 @@ def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
-    out = held.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    out = held.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
     out = out.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return out.select("doc.*").unionByName(docs.where(F.col("doc_id").isNull()))
