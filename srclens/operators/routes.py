@@ -88,7 +88,6 @@ def conditions_of_rules(lines: DataFrame, key: str, order: str, is_condition: Co
     )
 
 
-#: Keywords of a path's domain, in the order in which they are tried.
 def route_summary(routes: DataFrame, method: str, domain: str) -> DataFrame:
     """Totals by method, by domain and over all in one pass."""
     return routes.groupingSets([[method], [domain], []], method, domain).agg(F.count("*").alias("n"))
