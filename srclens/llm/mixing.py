@@ -139,7 +139,7 @@ def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFram
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     sized = docs.select(
         "doc", F.col("doc.source").alias("source"), n_words(F.col("doc.text")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc.doc_id").alias("h"),
+        F.xxhash64(F.lit(seed), "doc.doc_id").alias("h"), F.xxhash64("doc.text").alias("t"),
     )
     sources = written(source_targets(sized.select("source", "size")), "sources")
     n_blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("int")
@@ -181,8 +181,8 @@ def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFram
         lambda p: (F.size(F.filter("ends", lambda e: e <= p * F.col("n") + F.col("pos"))) - 1).cast("int"),
     )
     blocks = blocks.join(ends, "rank").select("rank", "block", "passes", "extra", shards.alias("shards"))
-    placed = in_block.select("doc", "size", "h", "source_size", "target", "rank", "block").join(blocks, ["rank", "block"])
-    inside = Window.partitionBy("rank", "block").orderBy("h", "doc.doc_id", "size", F.xxhash64("doc.text"))
+    placed = in_block.select("doc", "size", "h", "t", "source_size", "target", "rank", "block").join(blocks, ["rank", "block"])
+    inside = Window.partitionBy("rank", "block").orderBy("h", "doc.doc_id", "size", "t")
     before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     cut = F.least(F.greatest(F.col("extra") - before, F.lit(0)), F.col("size"))
     draws = F.transform(
