@@ -75,6 +75,8 @@ def line_templates(
         .where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi")))
         .select("leaf")
     )
+    # Written, so that the join below stands on plain shuffles and a hot leaf's lines can be split.
+    leaves = written(leaves, "busy-leaves")
     busy = written(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "busy-lines")
     # One row per different masked line of a busy leaf; its tokens vote with the number of its lines.
     kinds = busy.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
