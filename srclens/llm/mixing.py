@@ -22,6 +22,8 @@ its own; a source of size 0 has target 0; repeated rows are separate documents.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,16 +132,17 @@ def splitting_tree(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return nodes.withColumnRenamed("node", "shard")
 
 
-def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` held in the struct ``doc``, with ``size, source_size, target, taken`` and ``draws``.
 
+    ``doc`` has the columns ``keep``, all of them by default; without the text only numbers are shuffled.
+
     ``draws array<struct<shard:int, words:long>>`` has an entry for every time that words of the
     document are taken; ``taken`` is their sum.
     """
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     sized = docs.select(
-        "doc", F.col("doc.source").alias("source"), n_words(F.col("doc.text")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc.doc_id").alias("h"), F.xxhash64("doc.text").alias("t"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), "source", n_words("text").alias("size"),
+        F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("text").alias("t"), F.col("doc_id").alias("id"),
     )
     sources = written(source_targets(sized.select("source", "size")), "sources")
     n_blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("int")
@@ -181,8 +184,8 @@ def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFram
         lambda p: (F.size(F.filter("ends", lambda e: e <= p * F.col("n") + F.col("pos"))) - 1).cast("int"),
     )
     blocks = blocks.join(ends, "rank").select("rank", "block", "passes", "extra", shards.alias("shards"))
-    placed = in_block.select("doc", "size", "h", "t", "source_size", "target", "rank", "block").join(blocks, ["rank", "block"])
-    inside = Window.partitionBy("rank", "block").orderBy("h", "doc.doc_id", "size", "t")
+    placed = in_block.select("doc", "size", "h", "t", "id", "source_size", "target", "rank", "block").join(blocks, ["rank", "block"])
+    inside = Window.partitionBy("rank", "block").orderBy("h", "id", "size", "t")
     before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     cut = F.least(F.greatest(F.col("extra") - before, F.lit(0)), F.col("size"))
     draws = F.transform(

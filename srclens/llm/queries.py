@@ -72,7 +72,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs, keep=("doc_id",))
     return mixed.select(
         "doc.doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards")
     )
