@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from srclens.llm import line_templates, mixing, pii_surrogates, quality_llr
+from srclens.llm.common import written
 
 WS = " \t\n\x0b\f\r"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +76,21 @@ def test_quality_without_labels_or_rows(spark):
     assert quality_llr.keep_good(docs_of(spark, []), labels).count() == 0
 
 
+def test_quality_parts_both_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = written(quality_llr.score_documents(docs.select("doc_id", "text"), labels).select("doc_id", "_failed", "_kept"), "judged")
+    judged = judged.where("not _failed").join(labels, "doc_id").groupBy("quality")
+    kept = {r["quality"]: (r["n"], r["kept"]) for r in judged.agg(F.count("*").alias("n"), F.sum(F.col("_kept").cast("int")).alias("kept")).collect()}
+    assert kept[0][0] >= 200 and kept[0][1] <= 0.05 * kept[0][0], kept
+    assert kept[1][1] >= 0.98 * kept[1][0], kept
+
+
+def test_quality_threshold_lies_between():
+    assert quality_llr.best_cut([(-300, 0, 5), (-101, 0, 1), (-50, 2, 0), (3, 9, 0)]) == -0.075
+    assert quality_llr.best_cut([(-300, 0, 50), (-200, 1, 0), (-100, 0, 1), (0, 90, 0)]) == -0.0495
+    assert quality_llr.best_cut([(5, 3, 0)]) is quality_llr.best_cut([(5, 0, 3)]) is quality_llr.best_cut([]) is None
+
+
 def test_surrogates(spark):
     text = "Mail Bob.X@mail.org or bob.x@mail.org, call +1 (564) 555-4526 or +1 564 555 4526. Mr. John Smith and Mrs. Anna Smith-Jones met Herr MÜLLER."
     more = 'token = "6df57b16f87eabefefcab67b433efd90636bb6bd" card 4111 1111 1111 1111 and 4111111111111111 at 217.94.102.185, DE89 3704 0044 0532 0130 00'
