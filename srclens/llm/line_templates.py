@@ -150,14 +150,14 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     return rewritten(docs, **options).select(*old, *new)
 
 
-def without_repeated_lines(docs: DataFrame, most_dropped: float = 0.8, **options) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents with the columns of ``docs`` and their new texts; ``n_chars`` follows the text.
 
-    A document that loses ``most_dropped`` of its characters or more goes: what it
+    A document goes only if its repeated lines went and no word is left: all that it
     said stands in the first occurrences of its lines.
     """
     out = rewritten(docs, **options)
-    out = where_last(out, (F.col("n_dropped") == 0) | (F.col("n_dropped_chars") < most_dropped * F.length("doc.text")))
+    out = where_last(out, (F.col("n_dropped") == 0) | (F.translate("text", WHITE, "") != ""))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long"))}
 
     def column(c: str) -> Column:

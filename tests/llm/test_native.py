@@ -184,6 +184,13 @@ def test_line_dedup_stage(spark):
     assert line_templates.without_repeated_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_what_is_left(spark):
+    shared = " ".join(f"word{c}" for c in "abcdefghij") * 20
+    texts = [shared] + [f"{shared}\nown words {'xyz'[i]}" for i in range(3)] + [f"{shared}\n \n\t", shared]
+    kept = {r["doc_id"]: r["text"] for r in line_templates.without_repeated_lines(docs_of(spark, texts), min_docs=3).collect()}
+    assert kept == {0: shared, 1: "own words x", 2: "own words y", 3: "own words z"}
+
+
 def fill(sizes):
     """Targets by resharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
