@@ -39,7 +39,7 @@ def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_templates.drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_dropped", "n_templates")
+    return line_templates.drop_repeated_lines(docs, **line_templates.WHOLE_LINES).select("doc_id", "text", "n_lines", "n_dropped", "n_templates")
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

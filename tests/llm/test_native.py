@@ -191,6 +191,18 @@ def test_line_dedup_keeps_what_is_left(spark):
     assert kept == {0: shared, 1: "own words x", 2: "own words y", 3: "own words z"}
 
 
+def test_short_and_long_lines(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = [f"All rights reserved.\nPage {i}\n\n{'abcdefghi'[i]}own line" for i in range(9)] + [f"{long} 7\nx", f"y\n{long} 8", f"{long[:-1]} 9"]
+    out = line_templates.drop_repeated_lines(docs_of(spark, texts), **line_templates.WHOLE_LINES)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[0]["text"] == texts[0] and all(got[i]["text"] == f"Page {i}\n\n{'abcdefghi'[i]}own line" for i in range(1, 9))
+    assert got[9]["text"] == texts[9] and got[10]["text"] == "y" and got[11]["text"] == texts[11] and got[10]["n_templates"] == 1
+    # A long line that goes as a template as well counts once.
+    many = line_templates.drop_repeated_lines(docs_of(spark, [f"{long} {i}\nown" for i in range(9)]), short_docs=None, long_docs=2).collect()
+    assert sorted((r["n_dropped"], r["n_templates"]) for r in many) == [(0, 0)] + [(1, 1)] * 8
+
+
 def fill(sizes):
     """Targets by resharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
