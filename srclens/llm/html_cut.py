@@ -33,15 +33,25 @@ _HINT = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-RAW = frozenset("script style noscript template textarea iframe title svg math object select option xmp noembed noframes".split())
+#: Elements whose content HTML reads as raw text up to their end tag.
+RAW = frozenset("script style noscript textarea iframe title xmp noembed noframes".split())
+#: Elements whose own text is no block's; they are parsed, and end with their parent at the latest.
+SILENT = frozenset("template select optgroup option svg annotation annotation-xml".split())
+#: Elements of other languages, all of whose tags stand inside a line.
+FOREIGN = frozenset(("svg", "math"))
+#: Those of both that an element of HTML's text ends, as they have none.
+ENDED = FOREIGN | {"select", "optgroup", "option"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: Start tags that do so.
+TEXT_TAGS = HEADINGS | frozenset("address article aside blockquote body center dd details div dl dt figure footer form header hr li main nav ol p pre section table ul".split())
+
 #: What the innermost telling ancestor says of a block; 0 leaves it to those above.
 TAG_HINT = {
     "article": 4.0, "main": 2.5, "nav": -6.0, "header": -5.0, "footer": -6.0, "aside": -5.0, "form": -5.0,
-    "button": -5.0, "menu": -5.0, "dialog": -5.0, "fieldset": -4.0,
+    "button": -5.0, "menu": -5.0, "dialog": -5.0, "fieldset": -4.0, "object": -6.0,
 }
 #: Words of class, id and role names.
 BAD_WORDS = frozenset(
@@ -115,19 +125,23 @@ def parse(page: str) -> Page:
             text = " ".join(html_entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                k = next((e for e in reversed(stack) if out.elements[e].tag not in INLINE), 0)
+                top = next((i for i, e in enumerate(stack) if out.elements[e].tag in FOREIGN), len(stack))
+                k = next((e for e in reversed(stack[:top]) if out.elements[e].tag not in INLINE), 0)
                 element = out.elements[k]
                 out.blocks.append(Block(k, text, element.tag, out.elements[stack[-1]].hint, min(linked, len(text))))
         linked = 0
 
     def text_until(end: int) -> None:
         nonlocal linked
-        if end > at:
+        if end > at and not any(out.elements[e].tag in SILENT for e in stack):
             piece = page[at:end]
             parts.append(piece)
             if in_link:
                 linked += len(piece)
 
+    def in_foreign() -> bool:
+        return any(out.elements[e].tag in FOREIGN for e in stack)
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue  # inside a raw element
@@ -138,6 +152,13 @@ def parse(page: str) -> Page:
             continue
         attributes = m[3] or m[6] or ""
         if m[1] or m[4]:
+            if (tag in FOREIGN or in_foreign()) and any(out.elements[e].tag == tag for e in stack):
+                k = max(k for k, e in enumerate(stack) if out.elements[e].tag == tag)
+                if tag in FOREIGN or any(out.elements[e].tag in FOREIGN for e in stack[:k]):
+                    del stack[k:]
+                    continue
+            if tag in FOREIGN:
+                continue
             if tag not in INLINE:
                 close_block()
             elif tag == "a":
@@ -156,14 +177,21 @@ def parse(page: str) -> Page:
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not attributes.endswith("/") else None
                 at = end.end() if end else (at if attributes.endswith("/") else size)
-                if tag not in ("svg", "math", "object"):
+                if not in_foreign():
                     close_block()
                 continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 close_block()
             continue
-        if tag not in INLINE:
+        if tag in TEXT_TAGS or tag in ("option", "optgroup"):
+            ended = ENDED if tag in TEXT_TAGS else {"option"} if tag == "option" else {"option", "optgroup"}
+            k = next((k for k, e in enumerate(stack) if out.elements[e].tag in ended), 0)
+            if k and not any(out.elements[e].tag in ("template", "foreignobject") for e in stack):
+                del stack[k:]
+        if tag in FOREIGN or in_foreign():
+            pass
+        elif tag not in INLINE:
             close_block()
             in_link = 0
             closes = ("p",) if tag not in ("li", "dt", "dd", "tr", "td", "th") else (tag, "p")
@@ -176,7 +204,7 @@ def parse(page: str) -> Page:
                     break
         elif tag == "a":
             in_link += 1
-        if attributes.endswith("/") and tag not in INLINE:
+        if attributes.endswith("/") and (tag not in INLINE or in_foreign()):
             continue
         up = out.elements[stack[-1]]
         inside = any(out.elements[e].tag == "article" for e in stack)

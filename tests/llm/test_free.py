@@ -279,6 +279,20 @@ def test_main_text(spark):
     assert html_cut.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_elements_without_end_tags_keep_the_rest():
+    words = "The first of many plain words stands here and goes on for a while."
+    article = f"<article><p>{words}</p><p>{words}</p></article>"
+    for before in (
+        "<datalist><option value=a><option value=b></datalist>", "<select><option>One<option>Two</select>", "<select><option>One", "<option>One",
+        "<div><object data=x></div>", "<object data=x>", "<svg><path d=x>", "<div><math><mi>x</div>", "<div><template>none</div>", "<svg/>", "<svg><g/><text>no</text></svg>",
+    ):
+        found = [b.text for b in html_cut.parse(f"<body>{before}{article}</body>").blocks]
+        assert [t for t in found if t == words] == [words] * 2 and not {"One", "Two", "no", "none"} & set(found), (before, found)
+        assert html_cut.extract(f"<body>{before}{article}</body>")[0] == f"{words} {words}", before
+    page = "<p>As <math><mi>a</mi><mo>=</mo><mi>b</mi></math> and <svg><text>no</text></svg> so on.</p>"
+    assert [b.text for b in html_cut.parse(page).blocks] == ["As a=b and so on."]
+
+
 def test_min_cut_is_minimal():
     r = random.Random(4)
     for _ in range(150):
