@@ -4,18 +4,25 @@ Texts are compared on their sets of ``n``-word shingles (a text with fewer words
 is one shingle). ``bands`` x ``rows`` MinHash values follow from the target recall: the band
 count is the least that finds a pair of similarity ``threshold`` with probability
 ``recall``. Each band is one hash, and a shuffle on band hashes ties the texts of
-a bucket to the bucket's smallest id (a star, not all pairs). The components of these
-stars are the candidate groups. Inside a group every pair of different texts is
-verified on its full shingle sets, in blocks of ``BLOCK`` texts: a group of m texts is dealt to
-(m / BLOCK)^2 / 2 tasks' worth of keys, none of which holds more than two blocks, and a block
-returns link counts and a spanning forest, never pairs.
-
-Exact copies are one text: the representative is the smallest doc_id, and only
-representatives are hashed into buckets, verified and linked.
-
-Defined results for odd input: null and wordless texts have no shingles and form
-classes of their own copies' smallest id only if the texts are equal (null equals null), with 0 links; rows
-with a null doc_id get a null class; rows that share a doc_id belong to one class; extra columns are not read.
+a bucket to the bucket's smallest key (a star, not all pairs).
+
+A star's edge stands only if the sketches of its texts, one byte of each MinHash value, agree in
+``SKETCH_SHARE`` of all places or more; a pair over the threshold misses that less often than
+once in 10^6. A bucket in which all edges stand is one group. In any other bucket all texts are compared by sketch, so
+chance collisions never tie groups together and no pair of a bucket is lost.
+
+Inside a group every pair of different texts is verified on its full shingle sets, as sorted
+hashes, in blocks of at most ``BLOCK`` texts and about ``BLOCK_SHINGLES`` hashes: a task holds two
+blocks, and returns link counts and a spanning forest, never pairs. Classes are the components of
+verified links.
+
+Everything is keyed by the text's digest, so exact copies are one text and repeated doc_ids
+don't matter.
+
+Defined results for odd input: null and wordless texts have no shingles and are classes of equal texts
+(null equals null) with 0 links; a class id is the smallest doc_id of the class, null if all its rows have none; rows that share a doc_id
+are separate rows, each with the class of its own text, and classes that share their smallest doc_id share the id;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,18 +34,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srclens.llm.common import written
+from srclens.llm.common import Scratch, written
 from srclens.llm.components import connected_components
 
 N = 5
 THRESHOLD = 0.8
 ROWS = 6
 RECALL = 0.9999
-#: Texts in one side of a verification block.
-BLOCK = 256
+#: Texts and shingle hashes in one side of a verification block; a longer text is a block of its own.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
+#: Texts in one side of a block of sketches.
+SKETCH_BLOCK = 4096
+#: Share of equal sketch bytes of a candidate pair; the estimate's deviation at 0.8 is 0.03.
+SKETCH_SHARE = 0.65
 #: Columns of the shingle-by-text matrix that are multiplied at once.
 CHUNK = 4096
 #: Words whose hashes a Python worker keeps.
@@ -82,8 +94,13 @@ class Shingler:
         return out
 
 
+def digest(text: str = "text") -> Column:
+    """The key of a text, as :func:`signatures` has it; null has the empty one."""
+    return F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b""))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, key`` (digest of the text), ``bands array<bigint>`` of every row."""
+    """``doc_id, key`` (digest of the text), ``bands array<bigint>``, ``sketch`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240229)
@@ -91,12 +108,13 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         b = rng.integers(0, 1 << 32, (bands * rows, 1), np.uint32)
         shingle = Shingler(n)
         for batch in batches:
-            keys, found = [], []
+            keys, found, sketches = [], [], []
             for text in batch.column("text").to_pylist():
                 keys.append(b"" if text is None else hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
                 h = shingle(text)
                 if not len(h):
                     found.append([])
+                    sketches.append(b"")
                     continue
                 h = (h >> np.uint64(32)).astype(np.uint32)
                 least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
@@ -107,15 +125,70 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     mixed = (mixed ^ row) * _MIX
                     mixed ^= mixed >> np.uint64(29)
                 found.append(mixed.view(np.int64))
+                # The upper bits of a minimum are mostly zero; a product spreads all of them.
+                sketches.append(((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "key", "bands"],
+                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "key", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>, sketch binary")
+
+
+def _rows_of(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """A matrix of binary values of one length."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
+
+
+class Forest:
+    """Union-find over positions; the root is the smallest key."""
+
+    def __init__(self, keys: list[bytes]) -> None:
+        self.keys = keys
+        self.root = list(range(len(keys)))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            if self.keys[x] > self.keys[y]:
+                x, y = y, x
+            self.root[y] = x
 
 
-def _link_blocks(threshold: float, n: int):
+def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``a, b`` with ``stands``, whether their sketches agree."""
+    for batch in batches:
+        if batch.num_rows:
+            share = (_rows_of(batch.column("sketch_a"), np.uint8) == _rows_of(batch.column("sketch_b"), np.uint8)).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share >= SKETCH_SHARE)], ["a", "b", "stands"])
+
+
+def _sketch_blocks(key, table):
+    """A spanning forest of the pairs of a bucket, or of two blocks of one, whose sketches agree."""
+    bi, bj = key[1].as_py(), key[2].as_py()
+    keys, sketches = table.column("key").to_pylist(), _rows_of(table.column("sketch"), np.uint8)
+    block = np.array(table.column("block").to_pylist())
+    forest = Forest(keys)
+    left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+    for i in left:
+        later = right[right > i] if bi == bj else right
+        for start in range(0, len(later), 1024):
+            part = later[start : start + 1024]
+            for j in part[(sketches[part] == sketches[i]).mean(axis=1) >= SKETCH_SHARE]:
+                forest.join(int(i), int(j))
+    tied = [(keys[x], keys[forest.find(x)]) for x in range(len(keys)) if forest.find(x) != x]
+    return pa.table({"a": pa.array([x[0] for x in tied], pa.binary()), "b": pa.array([x[1] for x in tied], pa.binary())})
+
+
+def _link_blocks(threshold: float):
     def similar(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         """Boolean matrix of the pairs at or over the threshold."""
         both = left + right
@@ -139,96 +212,133 @@ def _link_blocks(threshold: float, n: int):
 
     def run(key, table):
         bi, bj = key[1].as_py(), key[2].as_py()
-        shingle = Shingler(n)
-        sets = [np.unique(shingle(x)) for x in table.column("text").to_pylist()]
-        ids, block = np.array(table.column("rep").to_pylist(), np.int64), np.array(table.column("block").to_pylist())
+        keys, block = table.column("key").to_pylist(), np.array(table.column("block").to_pylist())
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         left = np.flatnonzero(block == bi)
         right = left if bi == bj else np.flatnonzero(block == bj)
-        links = similar([sets[i] for i in left], [sets[i] for i in right]) if len(left) and len(right) else np.zeros((0, 0), bool)
-        if bi == bj and len(left):
-            np.fill_diagonal(links, False)
-        count = np.zeros(len(ids), np.int64)
-        root = np.arange(len(ids))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        if links.size:
+        count, forest = np.zeros(len(keys), np.int64), Forest(keys)
+        if len(left) and len(right):
+            links = similar([sets[i] for i in left], [sets[i] for i in right])
+            if bi == bj:
+                np.fill_diagonal(links, False)
             count[left] += links.sum(axis=1)
             if bi != bj:
                 count[right] += links.sum(axis=0)
-            order = np.argsort(ids, kind="stable")
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
             for i, j in zip(*np.nonzero(links), strict=True):
-                x, y = find(left[i]), find(right[j])
-                if x != y:
-                    if rank[x] > rank[y]:
-                        x, y = y, x
-                    root[y] = x
+                forest.join(int(left[i]), int(right[j]))
         linked = np.flatnonzero(count)
         return pa.table(
-            {"rep": pa.array(ids[linked]), "n_links": pa.array(count[linked]), "root": pa.array(np.array([ids[find(x)] for x in linked], np.int64))}
-        )
+            {
+                "key": pa.array([keys[x] for x in linked], pa.binary()), "n_links": pa.array(count[linked]),
+                "root": pa.array([keys[forest.find(int(x))] for x in linked], pa.binary()),
+            }
+        )
 
     return run
 
 
-def similarity_classes(
+def _shingle_sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for batch in batches:
+            sets = [np.unique(shingle(x)) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("component"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["key", "component", "n_shingles", "shingles"],
+            )
+
+    return run
+
+
+def dealt_pairs(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns and ``bi, bj``: every row of ``block`` in ``n_blocks`` once for each block that it meets."""
+    met = df.select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    return met.select(*columns, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+
+
+def candidate_groups(texts: DataFrame) -> DataFrame:
+    """``id, component`` of the texts (``key, bands, sketch``) that share a group with another one."""
+    with Scratch(texts.sparkSession) as scratch:
+        entries = scratch.written(texts.select("key", F.explode("bands").alias("bucket")), "band-hashes")
+        buckets = entries.groupBy("bucket").agg(F.min("key").alias("b"), F.max("key").alias("hi"), F.count("*").alias("n_texts"))
+        buckets = scratch.written(buckets.where(F.col("hi") > F.col("b")).drop("hi"), "buckets")
+        tied = scratch.written(entries.join(buckets.select("bucket", "b").hint("merge"), "bucket"), "shared-buckets")
+        stars = scratch.written(tied.where(F.col("key") != F.col("b")).select(F.col("key").alias("a"), "b").distinct(), "stars")
+        sketch = texts.select("key", "sketch")
+        both = stars.join(sketch.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a")).hint("merge"), "a")
+        both = both.join(sketch.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b")).hint("merge"), "b")
+        stars = scratch.written(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_standing, "a binary, b binary, stands boolean"), "sketched-stars")
+        # Buckets with an edge that doesn't stand are looked at pair by pair.
+        weak = stars.where(~F.col("stands")).select(F.col("a").alias("key"), "b")
+        mixed = tied.join(weak, ["key", "b"], "left_semi").select("bucket").distinct()
+        mixed = scratch.written(buckets.join(mixed, "bucket", "left_semi").select("bucket", F.ceil(F.col("n_texts") / SKETCH_BLOCK).cast("int").alias("n_blocks")), "mixed-buckets")
+        members = tied.join(mixed, "bucket").join(sketch, "key")
+        members = members.withColumn("block", F.pmod(F.xxhash64("key"), "n_blocks").cast("int"))
+        pairs = dealt_pairs(members, "bucket", "key", "sketch").groupBy("bucket", "bi", "bj").applyInArrow(_sketch_blocks, "a binary, b binary")
+        return connected_components(stars.where("stands").select("a", "b").unionByName(pairs))
+
+
+_ROW_KEY = ["_none", "_id", "_key"]
+
+
+def _row_key(doc_id: Column, key: Column) -> list[Column]:
+    """Columns that two rows share if doc_id, null or not, and text are equal; copies under other ids fall elsewhere."""
+    return [doc_id.isNull().alias("_none"), F.coalesce(doc_id, F.lit(0)).alias("_id"), key.alias("_key")]
+
+
+def text_classes(
     docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """The rows ``doc_id, key`` and the texts ``key, component, n_copies, n_links, rep`` (smallest doc_id of the text)."""
+    bands = band_count(threshold, rows, recall)
+    signed = written(signatures(docs, n, bands, rows), "signatures")
+    texts = signed.groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    with Scratch(docs.sparkSession) as scratch:
+        texts = scratch.written(texts, "texts")
+        groups = candidate_groups(texts.where(F.size("bands") > 0))
+        # Members may be as many as documents, so both sides are always shuffled; of copies only the smallest doc_id's text goes on.
+        members = groups.withColumnRenamed("id", "key").join(texts.select("key", "rep"), "key").select("component", *_row_key(F.col("rep"), F.col("key")))
+        with_text = docs.select(*_row_key(F.col("doc_id").cast("long"), digest()), "text").join(members.hint("merge"), _ROW_KEY)
+        with_text = with_text.groupBy(*_ROW_KEY, "component").agg(F.first("text").alias("text"))
+        sets = scratch.written(
+            with_text.select(F.col("_key").alias("key"), "component", "text").mapInArrow(_shingle_sets(n), "key binary, component binary, n_shingles long, shingles binary"), "shingle-sets"
+        )
+        sizes = sets.groupBy("component").agg(
+            F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+        )
+        members = sets.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key"), "n_blocks").cast("int"))
+        dealt = dealt_pairs(members, "component", "key", "shingles")
+        linked = dealt.groupBy("component", "bi", "bj").applyInArrow(_link_blocks(threshold), "key binary, n_links long, root binary")
+        linked = scratch.written(linked, "links")
+        classes = connected_components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
+        counts = linked.groupBy("key").agg(F.sum("n_links").alias("n_links")).join(classes.withColumnRenamed("id", "key"), "key")
+        out = texts.select("key", "rep", "n_copies").join(counts, "key", "left").select(
+            "key", "rep", "n_copies", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        )
+        return signed.select("doc_id", "key"), written(out, "text-classes")
+
+
+def similarity_classes(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, class_id, n_copies, n_links`` for every row of ``docs``.
 
     ``class_id``: the smallest doc_id that copies and links lead to; ``n_copies``: rows
     with the same text, itself included; ``n_links``: different texts of
     similarity ``threshold`` or more.
     """
-    bands = band_count(threshold, rows, recall)
-    signed = written(signatures(docs, n, bands, rows), "signatures")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    texts = written(texts, "texts")
-    reps = texts.where(F.col("rep").isNotNull()).select("rep", "key")
-    entries = (
-        signed.where(F.size("bands") > 0).join(reps, "key").where(F.col("doc_id") == F.col("rep"))
-        .select("rep", F.explode("bands").alias("bucket"))
-    )
-    entries = written(entries, "band-hashes")
-    buckets = entries.groupBy("bucket").agg(F.min("rep").alias("b"), F.max("rep").alias("hi"))
-    stars = entries.join(buckets.where(F.col("hi") > F.col("b")), "bucket").select(F.col("rep").alias("a"), "b")
-    groups = written(connected_components(stars), "candidate-groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    members = groups.join(sizes, "component").select(
-        F.col("id").alias("rep"), "component", "n_blocks", F.pmod(F.xxhash64("id"), "n_blocks").cast("int").alias("block")
-    )
-    # Rows that share a doc_id count once. Members may be as many as documents, so both sides are always shuffled.
-    with_text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.hint("merge"), "rep")
-    with_text = with_text.groupBy("rep", "component", "n_blocks", "block").agg(F.min("text").alias("text"))
-    dealt = with_text.select(
-        "component", "rep", "block", "text", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    ).select("component", "rep", "block", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    linked = dealt.groupBy("component", "bi", "bj").applyInArrow(_link_blocks(threshold, n), "rep long, n_links long, root long")
-    linked = written(linked, "links")
-    classes = written(connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "classes")
-    counts = linked.groupBy(F.col("rep").alias("id")).agg(F.sum("n_links").alias("n_links"))
-    of_rep = counts.join(classes, "id", "full")
-    # Copies follow their representative; rows that share a doc_id follow the smallest class.
-    of_text = texts.join(of_rep, F.col("rep") == F.col("id"), "left").select(
-        "key", "n_copies", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
-    return signed.select("doc_id", "key").join(of_text, "key").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_copies", "n_links"
-    )
+    signed, texts = text_classes(docs, **options)
+    classes = texts.groupBy("component").agg(F.min("rep").alias("class_id"))
+    of_text = texts.join(classes, "component").select("key", "class_id", "n_copies", "n_links")
+    return signed.join(of_text, "key").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one whose doc_id is the class id; rows without doc_id stay."""
-    classes = similarity_classes(docs, **options)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
-    out = held.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    out = out.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return out.select("doc.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class, with the columns of ``docs``: the smallest doc_id, nulls last, then digest and row hash."""
+    signed, texts = text_classes(docs, **options)
+    best = texts.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("best"))
+    kept = best.select(*_row_key(F.col("best.rep"), F.col("best.key")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_row_key(F.col("doc_id").cast("long"), digest()))
+    out = held.join(kept.hint("merge"), _ROW_KEY, "left_semi")
+    first = Window.partitionBy(*_ROW_KEY).orderBy(F.xxhash64("doc"))
+    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc.*")

@@ -159,10 +159,47 @@ def test_similarity_classes_equal_brute_force(spark, block):
 def test_similarity_of_odd_tables(spark):
     assert ngram_join.similarity_classes(spark.createDataFrame([], DOC)).count() == 0
     text = "one two three four five six"
-    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], DOC)
-    got = ngram_join.similarity_classes(docs).orderBy("doc_id").collect()
-    assert [tuple(x) for x in got] == [(None, None, 4, 0), (1, 1, 4, 0), (1, 1, 4, 0), (2, 1, 4, 0)]
-    assert [x["doc_id"] for x in ngram_join.keep_one_of_each_class(docs).orderBy("doc_id").collect()] == [None, 1]
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text), (None, None), (None, None)], DOC)
+    got = ngram_join.similarity_classes(docs).orderBy("doc_id", "class_id").collect()
+    assert [tuple(x) for x in got] == [(None, None, 2, 0), (None, None, 2, 0), (None, 1, 4, 0), (1, 1, 4, 0), (1, 1, 4, 0), (2, 1, 4, 0)]
+    assert [(x["doc_id"], x["text"]) for x in ngram_join.keep_one_of_each_class(docs).orderBy("doc_id").collect()] == [(None, None), (1, text)]
+    assert ngram_join.keep_one_of_each_class(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_lose_no_link_and_no_text(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    docs = spark.createDataFrame([(5, x), (5, y), (6, y + " more")], DOC)
+    got = {(r["doc_id"], r["n_links"]) for r in ngram_join.similarity_classes(docs).collect()}
+    assert got == {(5, 0), (5, 1), (6, 1)}
+    assert {(r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each_class(docs).collect()} == {(5, x), (5, y)}
+
+
+def test_all_links_of_the_small_table_are_found(spark):
+    """Every pair of the table by brute force; and a chance collision doesn't tie groups together."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = brute_classes([r["doc_id"] for r in rows], [r["text"] for r in rows])
+    docs = spark.createDataFrame(rows, DOC)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.similarity_classes(docs).collect()}
+    found, all_ = sum(x[1] for x in got.values()), sum(x[1] for x in want.values())
+    print(f"links found: {found} of {all_}")
+    assert got == want
+
+
+def test_impure_buckets_are_compared_by_sketch(spark):
+    """One row a band and many bands: texts of little similarity share buckets, which then hold several groups."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    shared = [r.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(10):
+        own = [r.choice(words) for _ in range(120)]
+        for _ in range(3):
+            copy = [*shared, *own]
+            copy[r.randrange(60, 180)] = r.choice(words)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.similarity_classes(docs, rows=1, block=4).collect()}
+    assert got == brute_classes(list(range(len(texts))), texts)
 
 
 def test_band_recall():
@@ -173,7 +210,7 @@ def test_band_recall():
 
 def test_connected_components(spark):
     r = random.Random(9)
-    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 400)]
     parent = {}
 
     def find(x):
