@@ -1,15 +1,20 @@
 """HTML extraction by minimum-cut labelling of text blocks.
 
-A page becomes blocks of text in page order. A linear classifier gives every block a cost
-of being called boilerplate or content, which become capacities to the two
-terminals. Neighbouring blocks are joined by smoothness edges, stronger the
+A page becomes blocks of text in page order. A linear classifier over the text alone (length, links, end mark,
+depth, neighbours) gives every block a cost of being called boilerplate or content, which become
+capacities to the two terminals. Elements whose tag or name tells what they hold are nodes as well, bound to the terminal
+of their kind and tied to every block whose innermost telling ancestor they are. Neighbouring blocks are joined by smoothness edges, stronger the
 closer they are in the document tree, and so are consecutive blocks of one parent. The minimum cut
-labels all blocks at once.
+labels all blocks at once: the text alone says little of a short block, its element and its neighbours settle it.
+
+The classifier is fitted on the pages at hand: blocks inside telling elements are its examples, with the element left out of
+the features. At most about ``FIT_PAGES`` pages and ``FIT_BLOCKS`` blocks take part, by hash of the page_id. A corpus without
+examples of both kinds uses ``DEFAULT_WEIGHTS``.
 
 Scripts, styles, comments and other elements without text of their own never become
-blocks. Defined results for odd input: a null or empty page, or one of boilerplate alone,
+blocks. Parsing takes one step a character, whatever is left open. Defined results for odd input: a null or empty page, or one of boilerplate alone,
 gives an empty text; broken markup is read as browsers do, roughly (a stray ``<`` is text, missing end
-tags are implied); other columns aren't read; repeated rows give repeated results.
+tags are implied, after ``BROKEN_TAGS`` tags whose quotes never end quotes don't count); other columns aren't read; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -17,24 +22,26 @@ from __future__ import annotations
 import html as html_entities
 import math
 import re
-from collections import deque
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict, deque
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_END = re.compile(r"[^>\"']*+([>\"'])")
 _HINT = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Tags with quotes that never end, after which quotes are read as any character.
+BROKEN_TAGS = 16
 
 #: Elements whose content HTML reads as raw text up to their end tag.
-RAW = frozenset("script style noscript textarea iframe title xmp noembed noframes".split())
+RAW = frozenset("script style textarea iframe title xmp noembed noframes".split())
 #: Elements whose own text is no block's; they are parsed, and end with their parent at the latest.
 SILENT = frozenset("template select optgroup option svg annotation annotation-xml".split())
 #: Elements of other languages, all of whose tags stand inside a line.
@@ -63,19 +70,35 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
 BAD_HINT, GOOD_HINT = -6.0, 3.0
 
-#: Smoothness of neighbours with the same parent; it halves with every step of tree distance.
-NEAR = 1.5
+#: The classifier's cost difference is cut to this, below the tie to a telling element.
+CLIP = 2.5
+#: Smoothness between a block and its telling element: more than the text and its neighbours can say together.
+TIE = 6.0
+#: Smoothness of neighbours with the same parent; FADE of it is left after every step of tree distance.
+NEAR = 1.0
 #: Smoothness of consecutive blocks of one parent that have others between them.
+FADE = 0.25
 SIBLING = 0.5
 SCALE = 1000
 
+#: Bounds of the sample that the classifier is fitted on.
+FIT_PAGES = 1000
+FIT_BLOCKS = 20_000
+#: What tags a text stands in isn't among them: sites differ in that, and telling tags have nodes of their own.
+FEATURES = ("one", "log_words", "link_density", "end_mark", "depth", "log_words_near", "link_density_near", "log_siblings")
+#: Used where the pages show no examples of both kinds; fitted weights are held to it with the strength HOLD.
+HOLD = 0.02
+DEFAULT_WEIGHTS = (-1.4, 0.55, -3.0, 0.6, 0.0, 0.1, -0.5, 0.0)
+
 
 @dataclass
 class Element:
     tag: str
     parent: int
     depth: int
+    #: What the innermost telling element around it (itself included) says, and that element.
     hint: float
+    teller: int
 
 
 @dataclass
@@ -84,6 +107,7 @@ class Block:
     text: str
     tag: str
     hint: float
+    teller: int
     linked: int = 0
 
 
@@ -107,13 +131,109 @@ def hint_of(tag: str, attributes: str, inside_article: bool) -> float:
             return GOOD_HINT
     if tag == "header" and inside_article:  # an article's own header holds its title
         return 0.0
+    if tag == "noscript" and not inside_article:
+        return BAD_HINT
     return TAG_HINT.get(tag, 0.0)
 
 
+def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """``start, end, closing, tag, attributes`` of every tag, comment and declaration; the tag of the last two is empty.
+
+    The reader may send a position to go on from. No character is looked at more than
+    ``BROKEN_TAGS`` times or so.
+    """
+    at, size, broken = 0, len(page), 0
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start + 1 >= size:
+            return
+        mark = page[start + 1]
+        closing, tag, attributes = mark == "/", "", ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = size if end < 0 else end + 3
+        elif mark in "!?":
+            end = page.find(">", start) + 1
+            if not end:
+                return
+        else:
+            name = _NAME.match(page, start + 1 + closing)
+            if not name:
+                at = start + 1
+                continue
+            tag, end = name[0].lower(), 0
+            if broken < BROKEN_TAGS:
+                m = _TAG_END.match(page, name.end())
+                while m and m[1] != ">":
+                    close = page.find(m[1], m.end())
+                    m = _TAG_END.match(page, close + 1) if close >= 0 else None
+                end = m.end() if m else 0
+                broken += not m
+            if not end:
+                end = page.find(">", name.end()) + 1
+                if not end:
+                    return
+            attributes = page[name.end() : end - 1]
+        sent = yield start, end, closing, tag, attributes
+        at = end if sent is None else sent
+        if sent is not None:
+            yield (0, 0, False, "", "")  # the answer to send()
+
+
+class Open:
+    """The stack of open elements, with where each tag stands in it, so that no question walks down the stack."""
+
+    def __init__(self) -> None:
+        self.stack = [0]
+        self.tags = [""]
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]  # places of elements that aren't inline
+        self.foreign: list[int] = []
+        self.silent = 0
+
+    def push(self, element: int, tag: str) -> None:
+        k = len(self.stack)
+        self.stack.append(element)
+        self.tags.append(tag)
+        self.where[tag].append(k)
+        if tag not in INLINE:
+            self.blocks.append(k)
+        if tag in FOREIGN:
+            self.foreign.append(k)
+        self.silent += tag in SILENT
+
+    def cut(self, k: int) -> None:
+        """Closes the elements from place ``k`` on."""
+        while len(self.stack) > k:
+            self.stack.pop()
+            tag = self.tags.pop()
+            self.where[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            if tag in FOREIGN:
+                self.foreign.pop()
+            self.silent -= tag in SILENT
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``; 0 if none is open."""
+        found = self.where.get(tag)
+        return found[-1] if found else 0
+
+    def first(self, tags: frozenset | set) -> int:
+        found = [self.where[t][0] for t in tags if self.where.get(t)]
+        return min(found, default=0)
+
+    def block(self) -> int:
+        """The place of the innermost element that isn't inline and lies outside foreign ones."""
+        if not self.foreign:
+            return self.blocks[-1]
+        return self.blocks[max(0, bisect_left(self.blocks, self.foreign[0]) - 1)]
+
+
 def parse(page: str) -> Page:
     """Blocks of text with their elements, in page order."""
-    out = Page([Element("", -1, 0, 0.0)])
-    stack = [0]
+    out = Page([Element("", -1, 0, 0.0, 0)])
+    open_ = Open()
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -125,119 +245,129 @@ def parse(page: str) -> Page:
             text = " ".join(html_entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                top = next((i for i, e in enumerate(stack) if out.elements[e].tag in FOREIGN), len(stack))
-                k = next((e for e in reversed(stack[:top]) if out.elements[e].tag not in INLINE), 0)
-                element = out.elements[k]
-                out.blocks.append(Block(k, text, element.tag, out.elements[stack[-1]].hint, min(linked, len(text))))
+                k = open_.stack[open_.block()]
+                inner = out.elements[open_.stack[-1]]
+                out.blocks.append(Block(k, text, out.elements[k].tag, inner.hint, inner.teller, min(linked, len(text))))
         linked = 0
 
     def text_until(end: int) -> None:
         nonlocal linked
-        if end > at and not any(out.elements[e].tag in SILENT for e in stack):
-            piece = page[at:end]
-            parts.append(piece)
+        if end > at and not open_.silent:
+            parts.append(page[at:end])
             if in_link:
-                linked += len(piece)
+                linked += end - at
 
-    def in_foreign() -> bool:
-        return any(out.elements[e].tag in FOREIGN for e in stack)
-
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside a raw element
-        text_until(m.start())
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    tokens = markup(page)
+    for start, end, closing, tag, attributes in tokens:
+        text_until(start)
+        at = end
         if not tag:
             continue
-        attributes = m[3] or m[6] or ""
-        if m[1] or m[4]:
-            if (tag in FOREIGN or in_foreign()) and any(out.elements[e].tag == tag for e in stack):
-                k = max(k for k, e in enumerate(stack) if out.elements[e].tag == tag)
-                if tag in FOREIGN or any(out.elements[e].tag in FOREIGN for e in stack[:k]):
-                    del stack[k:]
-                    continue
+        if closing:
+            k = open_.last(tag)
+            if k and open_.foreign and (tag in FOREIGN or open_.foreign[0] < k):
+                open_.cut(k)
+                continue
             if tag in FOREIGN:
                 continue
             if tag not in INLINE:
                 close_block()
             elif tag == "a":
                 in_link = max(0, in_link - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = out.elements[stack[k]].tag
-                if open_tag == tag:
-                    if tag not in INLINE:
-                        in_link = 0
-                    del stack[k:]
-                    break
-                if tag in INLINE and open_tag not in INLINE:
-                    break  # an inline end tag doesn't close a block
+            # An inline end tag doesn't close a block.
+            if k and (tag not in INLINE or k > open_.blocks[-1]):
+                if tag not in INLINE:
+                    in_link = 0
+                open_.cut(k)
+            continue
+        if tag in RAW:
+            if not attributes.endswith("/"):
+                found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = found.end() if found else size
+                tokens.send(at)
+            if not open_.foreign:
+                close_block()
             continue
-        if tag in RAW or (attributes and tag not in VOID and tag in ("div", "span", "p", "section") and _HIDDEN.search(attributes)):
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not attributes.endswith("/") else None
-                at = end.end() if end else (at if attributes.endswith("/") else size)
-                if not in_foreign():
-                    close_block()
-                continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 close_block()
             continue
         if tag in TEXT_TAGS or tag in ("option", "optgroup"):
-            ended = ENDED if tag in TEXT_TAGS else {"option"} if tag == "option" else {"option", "optgroup"}
-            k = next((k for k, e in enumerate(stack) if out.elements[e].tag in ended), 0)
-            if k and not any(out.elements[e].tag in ("template", "foreignobject") for e in stack):
-                del stack[k:]
-        if tag in FOREIGN or in_foreign():
+            k = open_.first(ENDED if tag in TEXT_TAGS else {"option"} if tag == "option" else {"option", "optgroup"})
+            if k and not open_.last("template") and not open_.last("foreignobject"):
+                open_.cut(k)
+        if tag in FOREIGN or open_.foreign:
             pass
         elif tag not in INLINE:
             close_block()
             in_link = 0
             closes = ("p",) if tag not in ("li", "dt", "dd", "tr", "td", "th") else (tag, "p")
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = out.elements[stack[k]].tag
-                if open_tag in closes:
-                    del stack[k:]
-                    break
-                if open_tag not in INLINE:
-                    break
+            k = open_.blocks[-1]
+            if k and open_.tags[k] in closes:
+                open_.cut(k)
         elif tag == "a":
             in_link += 1
-        if attributes.endswith("/") and (tag not in INLINE or in_foreign()):
+        if attributes.endswith("/") and (tag not in INLINE or open_.foreign):
             continue
-        up = out.elements[stack[-1]]
-        inside = any(out.elements[e].tag == "article" for e in stack)
-        own = hint_of(tag, attributes, inside)
+        up = out.elements[open_.stack[-1]]
+        own = hint_of(tag, attributes, bool(open_.last("article")))
         if attributes and _HIDDEN.search(attributes):
             own = BAD_HINT
-        out.elements.append(Element(tag, stack[-1], up.depth + 1, own or up.hint))
-        stack.append(len(out.elements) - 1)
+        n = len(out.elements)
+        out.elements.append(Element(tag, open_.stack[-1], up.depth + 1, own or up.hint, n if own else up.teller))
+        open_.push(n, tag)
     if at < size:
         text_until(size)
     close_block()
     return out
 
 
-def score(block: Block) -> float:
-    """Positive for content: the classifier's cost difference."""
-    n_words = block.text.count(" ") + 1
-    density = block.linked / len(block.text)
-    out = -1.2 + 0.55 * math.log1p(n_words) + block.hint - 3.0 * density
-    if block.text[-1] in ".!?…\"”":
-        out += 0.6
-    if block.tag in HEADINGS:
-        out += 0.8
-    elif block.tag in ("p", "blockquote", "pre"):
-        out += 0.6
-    elif block.tag in ("li", "td", "th", "dt", "dd"):
-        out -= 0.3
+def features(page: Page) -> np.ndarray:
+    """One row of FEATURES a block, of its text and place alone."""
+    n = len(page.blocks)
+    out = np.zeros((n, len(FEATURES)))
+    siblings: dict[int, int] = defaultdict(int)
+    for b in page.blocks:
+        siblings[page.elements[b.element].parent] += 1
+    for i, b in enumerate(page.blocks):
+        out[i, :5] = 1, math.log1p(b.text.count(" ") + 1), b.linked / len(b.text), b.text[-1] in ".!?…\"”", min(page.elements[b.element].depth, 20) / 10
+        out[i, 7] = math.log1p(siblings[page.elements[b.element].parent])
+    if n > 1:
+        near = np.zeros((n, 2))
+        near[1:] += out[:-1, 1:3]
+        near[:-1] += out[1:, 1:3]
+        near[1:-1] /= 2
+        out[:, 5:7] = near
     return out
 
 
-def tree_distance(elements: list[Element], a: int, b: int) -> int:
+def fitted_weights(x: np.ndarray, content: np.ndarray, hold: float = HOLD, rounds: int = 25) -> tuple[float, ...] | None:
+    """Logistic weights of examples, both kinds weighing the same; None without both.
+
+    The penalty ``hold`` (an example's share) pulls to DEFAULT_WEIGHTS, so that pages of one
+    layout don't drive the weights to what holds in that layout alone.
+    """
+    n_content = int(content.sum())
+    if not n_content or n_content == len(content):
+        return None
+    y = content.astype(float)
+    share = np.where(content, 0.5 / n_content, 0.5 / (len(y) - n_content)) * len(y)
+    prior, ridge = np.array(DEFAULT_WEIGHTS), hold * len(y)
+    w = prior.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (y - p)) - ridge * (w - prior)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(curve, slope)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(np.round(w, 9).tolist())
+
+
+def tree_distance(elements: list[Element], a: int, b: int, most: int = 16) -> int:
     n = 0
-    while a != b:
+    while a != b and n < most:
         if elements[a].depth >= elements[b].depth:
             a = elements[a].parent
         else:
@@ -250,7 +380,7 @@ def min_cut(unary: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
     """True for nodes on the source's side; ``unary`` > 0 is capacity from the source, < 0 to the sink.
 
     A node whose terminal capacity exceeds all its edges is labelled at once, and its edges become
-    capacities of its neighbours, which changes no minimum cut. Shortest augmenting paths
+    capacities of its neighbours, which changes no minimum cut. Blocking flows along shortest paths
     settle the others; nodes that a cut may leave on either side go to the sink.
     """
     near: list[dict[int, int]] = [{} for _ in unary]
@@ -259,80 +389,130 @@ def min_cut(unary: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
         near[b][a] = near[b].get(a, 0) + w
     excess = list(unary)
     label: list[bool | None] = [None] * len(unary)
+    around = [sum(x.values()) for x in near]
     todo = deque(range(len(unary)))
     while todo:
         x = todo.popleft()
-        if label[x] is None and abs(excess[x]) > sum(near[x].values()):
+        if label[x] is None and abs(excess[x]) > around[x]:
             label[x] = excess[x] > 0
             for y, w in near[x].items():
                 del near[y][x]
+                around[y] -= w
                 excess[y] += w if label[x] else -w
                 todo.append(y)
             near[x].clear()
-    residual = [dict(x) for x in near]
+    left = [x for x in range(len(unary)) if label[x] is None]
     while True:
-        before: dict[int, int] = {x: -1 for x in range(len(unary)) if label[x] is None and excess[x] > 0}
-        queue, end = deque(before), -1
+        level = {x: 0 for x in left if excess[x] > 0}
+        queue = deque(level)
+        found = False
         while queue:
             x = queue.popleft()
-            if excess[x] < 0:
-                end = x
-                break
-            for y, w in residual[x].items():
-                if w > 0 and y not in before:
-                    before[y] = x
+            found = found or excess[x] < 0
+            for y, w in near[x].items():
+                if w > 0 and y not in level:
+                    level[y] = level[x] + 1
                     queue.append(y)
-        if end < 0:
+        if not found:
             break
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min(-excess[end], excess[path[-1]], *(residual[b][a] for a, b in zip(path, path[1:], strict=False)), 1 << 60)
-        excess[end] += flow
-        excess[path[-1]] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            residual[b][a] -= flow
-            residual[a][b] += flow
-    return [before_x in before if label[before_x] is None else bool(label[before_x]) for before_x in range(len(unary))]
-
-
-def label_blocks(page: Page) -> list[bool]:
-    unary = [round(SCALE * score(b)) for b in page.blocks]
+        arcs = {x: iter(list(near[x])) for x in level}
+        for start in [x for x in level if level[x] == 0]:
+            path = [start]
+            while path and excess[start] > 0:
+                x = path[-1]
+                if excess[x] < 0:
+                    flow = min([excess[start], -excess[x], *(near[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    excess[start] -= flow
+                    excess[x] += flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                    k = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if not near[a][b]), len(path) - 1)
+                    del path[k + 1 :]
+                    continue
+                y = next((y for y in arcs[x] if near[x][y] > 0 and level.get(y, -1) == level[x] + 1), None)
+                if y is None:
+                    path.pop()
+                else:
+                    path.append(y)
+    return [x in level if label[x] is None else bool(label[x]) for x in range(len(unary))]
+
+
+def label_blocks(page: Page, weights: Sequence[float] = DEFAULT_WEIGHTS) -> tuple[list[bool], list[bool]]:
+    """Whether each block is content, by the cut and by its own text alone."""
+    n = len(page.blocks)
+    if not n:
+        return [], []
+    scores = np.clip(features(page) @ np.array(weights), -CLIP, CLIP)
+    unary = [int(x) for x in np.round(SCALE * scores)]
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
+    tellers: dict[int, int] = {}
     for i, b in enumerate(page.blocks):
         parent = page.elements[b.element].parent
         if i:
             distance = tree_distance(page.elements, page.blocks[i - 1].element, b.element)
-            edges[i - 1, i] = round(SCALE * NEAR * 0.5 ** max(0, distance - 2))
+            edges[i - 1, i] = round(SCALE * NEAR * FADE ** max(0, distance - 2))
         if parent in last and last[parent] != i - 1:
             edges[last[parent], i] = round(SCALE * SIBLING)
         last[parent] = i
-    return min_cut(unary, edges)
+        if b.teller:
+            k = tellers.setdefault(b.teller, n + len(tellers))
+            if k == len(unary):
+                unary.append(0)
+            # The element is bound to its terminal by more than all of its ties, so that many blocks don't outvote it.
+            edges[i, k] = round(SCALE * TIE)
+            unary[k] += round(SCALE * math.copysign(TIE + 1, b.hint))
+    return min_cut(unary, edges)[:n], [x > 0 for x in unary[:n]]
+
+
+def extract(page: str | None, weights: Sequence[float] = DEFAULT_WEIGHTS) -> tuple[str, int, int, int]:
+    """The main text, the number of blocks, of content blocks and of blocks whose label isn't their text's own."""
+    parsed = parse(page or "")
+    content, alone = label_blocks(parsed, weights)
+    kept = [b.text for b, on in zip(parsed.blocks, content, strict=True) if on]
+    return " ".join(kept), len(parsed.blocks), len(kept), sum(x != y for x, y in zip(content, alone, strict=True))
 
 
-def extract(page: str | None) -> tuple[str, int, int]:
-    """The main text, the number of blocks and of content blocks."""
-    parsed = parse(page or "")
-    kept = [b.text for b, content in zip(parsed.blocks, label_blocks(parsed), strict=True) if content]
-    return " ".join(kept), len(parsed.blocks), len(kept)
+def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, fit_blocks: int = FIT_BLOCKS) -> tuple[float, ...]:
+    """The classifier's weights from a bounded sample of ``page_id, html``: about ``fit_pages`` pages, at most ``fit_blocks`` blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[float]] = []
+            for html in batch.column("html").to_pylist():
+                page = parse(html or "")
+                rows += [[float(b.hint > 0), *x] for b, x in zip(page.blocks, features(page).tolist(), strict=True) if b.teller]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_blocks, n_content`` for every row of ``page_id, url, html``."""
+    share = max(1, math.ceil(pages.count() / fit_pages))
+    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).select("html")
+    found = some.mapInArrow(run, "x array<double>").orderBy(F.xxhash64("x"), "x").limit(fit_blocks).collect()
+    if not found:
+        return DEFAULT_WEIGHTS
+    table = np.array([r["x"] for r in found])
+    return fitted_weights(table[:, 1:], table[:, 0] > 0) or DEFAULT_WEIGHTS
+
+
+def main_text(pages: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
+    """``page_id, url, text, n_chars, n_blocks, n_content, n_changed`` for every row of ``page_id, url, html``.
+
+    ``n_changed``: blocks that the cut labels otherwise than their own text does. Without ``weights`` they are fitted.
+    """
+    used = tuple(weights or fit(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(x) for x in batch.column("html").to_pylist()]
+            found = [extract(x, used) for x in batch.column("html").to_pylist()]
             texts = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()),
-                    pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()),
+                    *[pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3)],
                 ],
-                ["page_id", "url", "text", "n_chars", "n_blocks", "n_content"],
+                ["page_id", "url", "text", "n_chars", "n_blocks", "n_content", "n_changed"],
             )
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long, n_blocks long, n_content long"
+        run, "page_id long, url string, text string, n_chars long, n_blocks long, n_content long, n_changed long"
     )

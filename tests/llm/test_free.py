@@ -314,6 +314,8 @@ def test_main_text(spark):
     assert got[2]["text"] == got[3]["text"] == got[6]["text"] == "" and got[2]["url"] is None
     assert got[7]["text"] == " ".join(["word."] * 2000)
     assert html_cut.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    noscript = html_cut.extract("<noscript>Turn scripts on, please do.</noscript><article><p>One word after another.<noscript><p>Kept words, all.</p></noscript></article>")
+    assert noscript[0] == "One word after another. Kept words, all."
 
 
 def test_elements_without_end_tags_keep_the_rest():
@@ -330,6 +332,66 @@ def test_elements_without_end_tags_keep_the_rest():
     assert [b.text for b in html_cut.parse(page).blocks] == ["As a=b and so on."]
 
 
+def built_page(r):
+    """A page of random parts and its main text."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 9)))
+    line = lambda n: " ".join(word() for _ in range(r.randrange(1, n))).capitalize() + "."
+    links = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a>' for _ in range(r.randrange(2, 9))) + "</ul>"
+    noise = [
+        lambda: f"<nav>{links()}</nav>", lambda: f'<div class="ad">{line(40)}</div>', lambda: f"<aside><p>{line(60)}<p>{line(60)}</aside>",
+        lambda: f'<div id="cookie-notice"><p>{line(30)}</p></div>', lambda: f"<form><p>{line(20)}</p><input></form>", lambda: f"<script>x('{line(9)}')</script>",
+        lambda: f'<section class="comments"><h3>{word()}</h3>' + "".join(f"<p>{line(80)}</p>" for _ in range(r.randrange(1, 12))) + "</section>",
+    ]
+    some = lambda k: "".join(r.choice(noise)() for _ in range(r.randrange(k)))
+    texts, body = [], ""
+    for _ in range(r.randrange(1, 30)):
+        texts.append(line(r.choice([2, 4, 90])))
+        tag = r.choice(["p", "p", "p", "h2", "blockquote", "div", "li"])
+        body += f"<{tag}>{texts[-1]}</{tag}>" if r.random() < 0.8 or tag != "p" else f"<p>{texts[-1]}"
+        if r.random() < 0.15:
+            body += r.choice(noise)()
+    main = r.choice(["<article>{}</article>", '<main><div class="content">{}</div></main>', '<div id="post-body">{}</div>', '<div role="main" class="entry">{}</div>'])
+    return f"<html><head><title>{word()}</title></head><body><header><h1>{word()}</h1>{links()}</header>{some(4)}{main.format(body)}{some(4)}<footer>{line(20)}</footer></body></html>", " ".join(texts)
+
+
+def test_many_built_pages(spark):
+    r = random.Random(6)
+    built = [built_page(r) for _ in range(60)]
+    rows = spark.createDataFrame([(i, "u", x[0]) for i, x in enumerate(built)], "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in html_cut.main_text(rows).collect()}
+    for i, (_, want) in enumerate(built):
+        assert got[i]["text"] == want, i
+    assert sum(x["n_changed"] for x in got.values()) > 0  # the cut decides, not each block alone
+
+
+def test_cut_decides_labels_of_the_tables_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = html_cut.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect()
+    for x in rows:
+        inner = re.search(r"<article>(.*)</article>", x["html"], re.S)[1]
+        plain = html_cut.html_entities.unescape(re.sub(r"<[^>]*>", " ", inner))
+        assert x["text"].split() == plain.split(), x["page_id"]
+    changed, blocks = sum(x["n_changed"] for x in rows), sum(x["n_blocks"] for x in rows)
+    print(f"labels changed by the cut: {changed} of {blocks}")
+    assert changed > 0.01 * blocks
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 340_000, "<div>" * 200_000, '<a ">' * 250_000, "<i>" * 150_000 + "</b>" * 150_000, "<svg>" * 100_000 + "</svg>" * 100_000, "<!-" * 340_000, "<p" * 500_000):
+        began = time.process_time()
+        html_cut.extract(page)
+        assert time.process_time() - began < 6, page[:9]
+
+
+def test_fitting_needs_both_kinds(spark):
+    x = np.random.default_rng(1).normal(size=(50, len(html_cut.FEATURES)))
+    assert html_cut.fitted_weights(x, np.ones(50, bool)) is None
+    pages = spark.createDataFrame([(1, "<p>plain words here.</p>"), (2, None)], "page_id long, html string")
+    assert html_cut.fit(pages) == html_cut.fit(pages.limit(0)) == html_cut.DEFAULT_WEIGHTS
+
+
 def test_min_cut_is_minimal():
     r = random.Random(4)
     for _ in range(150):
