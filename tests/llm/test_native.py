@@ -3,12 +3,13 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import xxhash
 from pyspark.sql import functions as F
 
 from srclens.llm import line_templates, mixing, pii_surrogates, quality_llr
-from srclens.llm.common import written
+from srclens.llm.common import shared_dir, written
 
 WS = " \t\n\x0b\f\r"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,12 +119,121 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
-    # A hash of few values collides again and again, until attempts run out.
+    # Redraws collide again and again: what met an original keeps its first draw, which nobody else has.
     monkeypatch.setattr(pii_surrogates, "MAX_ATTEMPTS", 3)
-    monkeypatch.setattr(pii_surrogates, "draw", lambda kind, canon, gender, given, attempt, key: F.concat(F.lit("s"), (F.pmod(F.xxhash64(canon, attempt), F.lit(5))).cast("string")))
-    parts = spark.createDataFrame([("secret", f"e{i}", "none", False) for i in range(30)] + [("secret", "s1", "none", False)], "kind string, canon string, gender string, given boolean")
-    table = pii_surrogates.surrogate_table(parts, "k").collect()
-    assert len(table) == 31 and len({r["surrogate"] for r in table}) == 31 and not {r["surrogate"] for r in table} & {r["canon"] for r in table}
+    monkeypatch.setattr(pii_surrogates, "draw", lambda kind, canon, role, attempt, key: F.reverse(canon) if attempt == 0 else F.lit("x9"))
+    parts = spark.createDataFrame([("secret", f"e{i}e" if i < 9 else f"e{i}", "") for i in range(30)], "kind string, canon string, role string")
+    table = {r["canon"]: r["surrogate"] for r in pii_surrogates.surrogate_table(parts, "k").collect()}
+    assert len(table) == 30 == len(set(table.values())) and sum(v == "x9" for v in table.values()) == 1 and table["e12"] == "21e"
+
+
+def test_names_grow_until_they_are_distinct(spark, monkeypatch):
+    monkeypatch.setitem(pii_surrogates.SCRIPTS, "latin", ("", ["ba", "be"]))
+    parts = spark.createDataFrame([("name", f"n{chr(97 + i)}", "family") for i in range(26)] + [("name", "bababa", "family")], "kind string, canon string, role string")
+    found = [r["surrogate"] for r in pii_surrogates.surrogate_table(parts).collect()]
+    assert len(set(found)) == 27 and "bababa" not in found and all(re.fullmatch("(ba|be)+", x) for x in found)
+
+
+def mod97(iban):
+    digits = "".join(str(int(c, 36)) for c in iban[4:] + iban[:4])
+    return int(digits) % 97
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
+
+
+def test_formats_are_permuted_one_to_one(spark):
+    """Every kind over many entities: injective, valid stays valid, class by class, never the original."""
+    r = random.Random(21)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = lambda: next(x for x in (f"4{number(15)}" for _ in range(200)) if luhn(x) == 0)
+    iban = lambda: (lambda b: f"DE{98 - mod97('DE00' + b):02d}{b}")(number(18))
+    rows = {("card", card()) for _ in range(80)} | {("card", number(16)) for _ in range(80)} | {("iban", iban()) for _ in range(80)} | {("iban", "GB" + number(2) + "ABCD" + number(14)) for _ in range(40)}
+    rows |= {("ssn", f"{a:03d}{g:02d}{n:04d}") for a in (0, 1, 665, 666, 667, 899, 900) for g in (0, 1, 99) for n in (0, 1, 9999)}
+    rows |= {("ip", f"{a}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}") for a in (0, 1, 10, 223, 224, 255) for _ in range(20)}
+    rows |= {("phone", number(10)) for _ in range(150)} | {("phone", "+49" + number(9)) for _ in range(60)} | {("phone", number(7)) for _ in range(40)}
+    rows |= {("secret", "".join(r.choice("0123456789abcdef") for _ in range(32))) for _ in range(60)} | {("secret", "AKIA" + number(3) + "XYZ" + number(9)) for _ in range(30)} | {("secret", "")}
+    rows |= {("email", f"{x}{i}@{d}.{t}") for i in range(9) for x in ("a", "bo.b", "c_d") for d in ("mail", "a.b-c") for t in ("org", "com")}
+    table = spark.createDataFrame([(k, c, "") for k, c in rows], "kind string, canon string, role string").repartition(4)
+    first = table.select("kind", "canon", pii_surrogates.draw(F.col("kind"), F.col("canon"), F.col("role"), 0, "key").alias("s")).collect()
+    assert len({(x["kind"], x["s"]) for x in first}) == len(rows)  # a permutation without any table
+    got = {(x["kind"], x["canon"]): x["surrogate"] for x in pii_surrogates.surrogate_table(table).collect()}
+    assert set(got) == rows and len({(k[0], s) for k, s in got.items()}) == len(rows)
+    crowded = 0
+    for (kind, canon), s in got.items():
+        crowded += (kind, s) in rows
+        shape = lambda x: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+        if kind == "ip":
+            assert 1 <= int(s.split(".")[0]) <= 223 if 1 <= int(canon.split(".")[0]) <= 223 else s.split(".")[0] == canon.split(".")[0]
+            assert all(0 <= int(o) <= 255 for o in s.split("."))
+        elif not re.fullmatch("[0-9a-f]{32}", canon):
+            assert shape(s) == shape(canon), (canon, s)
+        else:
+            assert re.fullmatch("[0-9a-f]{32}", s)
+        if kind == "card":
+            assert luhn(s) == luhn(canon) if luhn(canon) == 0 else luhn(s) != 0
+            assert s[0] == canon[0]
+        if kind == "iban":
+            assert s[:2] == canon[:2] and (mod97(s) == 1) == (mod97(canon) == 1)
+        if kind == "ssn":
+            valid = lambda x: x[:3] not in ("000", "666") and x[:3] < "900" and x[3:5] != "00" and x[5:] != "0000"
+            assert valid(s) == valid(canon)
+        if kind == "phone" and len(canon) == 10:
+            assert (s[0] > "1", s[3] > "1") == (canon[0] > "1", canon[3] > "1")
+        if canon.startswith(("+49", "AKIA")):
+            assert s[:3] == canon[:3]
+        if kind == "email":
+            assert s.rsplit(".", 1)[1] == canon.rsplit(".", 1)[1]
+    assert crowded <= 1  # only the empty secret has no other value
+    domains = {}
+    for (kind, canon), s in got.items():
+        if kind == "email":
+            assert domains.setdefault(canon.split("@")[1], s.split("@")[1]) == s.split("@")[1]
+
+
+def test_coreference(spark):
+    texts = [
+        "Mr. John Smith came. Dr. John Smith left, and John Smith slept. Later Smith and JOHN woke; Smithers and Johnny did not.",
+        "Dr. John Smith wrote.", "Mrs. Alex Stone and Dr. Alex Stone.", "Mr. Alex Stone.", "Dr. Pat Reed met Pat.", "Smith without a title stays.",
+        "Call +1 (564) 555-4526, (564) 555-4526, 1 564 555 4526 no, or +49 30 1234567.", "السيد محمد علي", "王小明先生说王小明好。", "SSN 123-45-6789 and 10.1.2.3.",
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(docs_of(spark, texts)).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Dr\. (\w+) (\w+) left, and (\w+) (\w+) slept\. Later (\w+) and JOHN woke; Smithers and Johnny did not\.", got[0])
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] == m[6] == m[7] and m[1].endswith("rus") and "John Smith" not in got[0]
+    assert got[1] == f"Dr. {m[1]} {m[2]} wrote."  # the corpus knows the gender
+    a = re.fullmatch(r"Mrs\. (\w+ria) (\w+) and Dr\. (\w+) (\w+)\.", got[2])
+    assert a and a[1] == a[3] and a[2] == a[4]
+    assert re.fullmatch(rf"Mr\. \w+rus {a[2]}\.", got[3])
+    p = re.fullmatch(r"Dr\. (\w+ren) (\w+) met (\w+)\.", got[4])
+    assert p and p[1] == p[3] and got[5] == texts[5]
+    n = re.fullmatch(r"Call \+1 \((\d{3})\) (\d{3}-\d{4}), \((\d{3})\) (\d{3}-\d{4}), 1 (\d{3}) (\d{3}) (\d{4}) no, or \+49 \d\d \d{7}\.", got[6])
+    assert n and (n[1], n[2]) == (n[3], n[4]) and n[1] != "564"
+    assert re.fullmatch(r"السيد [\u0621-\u064A]+ [\u0621-\u064A]+", got[7]) and "محمد" not in got[7]
+    h = re.fullmatch(r"(.+)先生说(.+)好。", got[8])
+    assert h and h[1] == h[2] and len(h[1]) == 3 and h[1].endswith("伟") and h[1] != "王小明"
+
+
+def test_surrogates_of_odd_tables(spark):
+    assert pii_surrogates.replace_pii(docs_of(spark, [])).count() == 0
+    long = "word " * 200_000 + "bob@mail.org " + "x" * 300_000
+    same = spark.createDataFrame([(1, "a@b.com"), (1, "a@b.com"), (1, "c@b.com"), (None, "a@b.com"), (None, None), (2, long)], "doc_id long, text string")
+    got = pii_surrogates.replace_pii(same).collect()
+    assert len(got) == 6 and len({r["text"] for r in got}) == 4
+    big = next(r["text"] for r in got if r["doc_id"] == 2)
+    assert len(big) == len(long) and "bob@mail.org" not in big
+    one = [r["text"] for r in got if r["n_entities"] and len(r["text"]) < 9]
+    assert len(one) == 4 and len(set(one)) == 2 and not {"a@b.com", "c@b.com"} & set(one)
+
+
+def test_no_original_stays_on_disk(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = pii_surrogates.replace_pii(docs_of(spark, ["Mr. John Smith, bob@mail.org", "x"])).collect()
+    new = set(folder.iterdir()) - before
+    kept = [str(r) for d in new if d.name.startswith("replacements") for r in spark.read.parquet(str(d)).collect()]
+    assert len(out) == 2 and kept and not any(x in y for x in ("John", "Smith", "bob@mail") for y in kept)
+    assert {d.name.rsplit("-", 1)[0] for d in new} == {"replacements"}
 
 
 def templates(texts, min_docs, depth=3, min_tokens=5, min_constant=0.7):
