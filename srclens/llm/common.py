@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: \x20 and \x09-\x0D.
@@ -36,6 +36,37 @@ def where_last(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
 
 
+def leading_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word, with its white space as it is."""
+    pieces = F.split(F.translate(text, WHITE, " " * len(WHITE)), " ")
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(-1).cast("long").alias("end"))
+    found = F.aggregate(
+        pieces,
+        start,
+        lambda a, x: F.struct(
+            F.when(a["words"] >= n, a["words"]).otherwise(a["words"] + (x != "").cast("long")).alias("words"),
+            F.when(a["words"] >= n, a["end"]).otherwise(a["end"] + 1 + F.length(x)).alias("end"),
+        ),
+    )
+    return F.substring(text, F.lit(1), found["end"].cast("int"))
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` written with the place of each row in the order, from 0, and read back.
+
+    The rows are sorted over range partitions and numbered inside them; only the sizes of partitions are summed up in one place.
+    """
+    mask = (1 << 33) - 1
+    placed = written(
+        df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(mask))),
+        "numbered",
+    )
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    offsets = sizes.select("_part", before.alias("_before"))  # one row a partition
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def n_words(text: str | Column = "text") -> Column:
     return F.size(words(text)).cast("long")
 

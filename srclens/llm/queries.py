@@ -19,7 +19,7 @@ from srclens.llm import (
     quality_llr,
     token_trees,
 )
-from srclens.llm.common import table
+from srclens.llm.common import n_words, table
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +71,18 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix is drawn and shuffled in its shards, texts and all; what it holds of each document is counted there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs, keep=("doc_id",))
-    return mixed.select(
-        "doc.doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards")
+    mixed = mixing.mix(docs, keep=("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id())
+    drawn = mixing.shuffled_draws(mixed, mixing.shard_count(mixed), all_rows=True)
+    place = F.when(F.col("shard").isNotNull(), F.struct("p", "shard", "position"))
+    found = drawn.groupBy("_row").agg(
+        *[F.first(c).alias(n) for c, n in (("doc.doc_id", "doc_id"), ("size", "size"), ("source_size", "source_size"), ("target", "target"))],
+        F.sum(n_words("text")).alias("taken"), F.sort_array(F.collect_list(place)).alias("places"),
     )
+    return found.select(
+        "doc_id", "size", "source_size", "target", "taken", F.col("places.shard").alias("shards"), F.col("places.position").alias("positions")
+    )
 
 
 def op7_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

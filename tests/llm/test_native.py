@@ -348,16 +348,48 @@ def test_mixing(spark):
     again = mixing.mix(docs.repartition(7), n_shards=8).select("doc.doc_id", "taken", "draws").collect()
     assert {(x["doc_id"], x["taken"], str(x["draws"])) for x in again} == {(x["doc_id"], x["taken"], str(x["draws"])) for x in got}
     mixed = mixing.mixed_documents(docs, n_shards=8)
-    assert mixed.columns == docs.columns
-    assert mixed.select(F.sum(F.size(F.array_remove(F.split("text", " "), "")))).first()[0] == sum(taken.values())
-    assert mixing.mixed_documents(docs_of(spark, []), n_shards=8).count() == 0
+    assert mixed.columns == docs.columns and mixed.rdd.getNumPartitions() == 8
+    rows = mixed.collect()
+    assert sum(len(words(x["text"])) for x in rows) == sum(taken.values())
+    assert all(texts[x["doc_id"]].startswith(x["text"]) and x["n_chars"] == len(x["text"]) for x in rows)
+    assert mixing.mixed_documents(docs_of(spark, [])).count() == 0
+
+
+def test_mixing_of_repeated_rows(spark, monkeypatch):
+    """Equal rows, null ids and very long texts: blocks and cuts still add up."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    same = [(None, "a b c", "x")] * 30 + [(7, "a\n b  c d", "x")] * 30 + [(8, "w " * 50_000, "y"), (9, None, None)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, source string")
+    got = mixing.mix(docs, n_shards=4).select("doc.doc_id", "doc.source", "size", "target", "taken", "draws").collect()
+    assert len(got) == len(same) and all(sum(d["words"] for d in x["draws"]) == x["taken"] <= 2 * x["size"] for x in got)
+    for s in ("x", "y"):
+        rows = [x for x in got if x["source"] == s]
+        assert rows[0]["target"] - 31 <= sum(x["taken"] for x in rows) <= rows[0]["target"]
+    assert {d["shard"] for x in got for d in x["draws"]} == {0, 1, 2, 3}
+
+
+def test_water_level_of_many_sources(spark):
+    r = random.Random(13)
+    sizes = {f"s{i:04d}": r.choice([0, 1, 5, 70, 3000]) for i in range(300)}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(5)
+    got = {x["source"]: x for x in mixing.source_targets(rows).collect()}
+    want = fill(sizes)
+    assert all(abs(got[s]["target"] - want[s]) < 1e-6 for s in sizes) and [got[s]["rank"] for s in sorted(sizes)] == list(range(300))
 
 
 def test_splitting_tree_is_exact(spark):
-    quotas = spark.createDataFrame([([100, 0, 37, 4000, 1],)], "quotas array<long>")
+    quotas = spark.createDataFrame([(0, [100, 0, 37, 4000, 1])], "group long, quotas array<long>")
     leaves = mixing.splitting_tree(quotas, 16, 3).orderBy("shard").collect()
     assert [sum(x) for x in zip(*[r["quotas"] for r in leaves])] == [100, 0, 37, 4000, 1]
     assert {sum(r["quotas"]) for r in leaves} <= {258, 259}
+    groups = spark.createDataFrame([(0, [100, 0, 37]), (1, [4000, 1]), (2, [5])], "group long, quotas array<long>")
+    leaves = mixing.splitting_tree(groups, 64, 3).collect()
+    by_group = {g: [sum(x) for x in zip(*[r["quotas"] for r in leaves if r["group"] == g])] for g in range(3)}
+    assert by_group == {0: [100, 0, 37], 1: [4000, 1], 2: [5]}
+    per_shard = Counter()
+    for r in leaves:
+        per_shard[r["shard"]] += sum(r["quotas"])
+    assert len(per_shard) == 64 and set(per_shard.values()) <= {64, 65}
 
 
 def test_hypergeometric_follows_its_distribution(spark):
