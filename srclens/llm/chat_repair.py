@@ -6,23 +6,29 @@ programming over the automaton's states finds the cheapest repair: a turn is kep
 or merged into the turn before, and empty turns are inserted where roles are missing. The repaired
 sequence is rendered with role markers. Ties go to the first of keep, merge, relabel, insert.
 
-A conversation is read in order from sorted partitions, one at a time; what is held is its turns,
-as its rendered text is one value anyway.
+Turns are sorted over range partitions, so that a conversation may span many, and dealt in order to
+blocks of ``BLOCK`` turns. Each block's part of a conversation, a piece, is reduced to its table of least costs from state to
+state. Costs are carried along the pieces forward, one piece after another, and the chosen states back; then all pieces are
+rendered in parallel between their states. A conversation of one block, nearly every one, is one row; a longer one
+is a row a piece, whose texts in order of ``piece`` are the whole and whose counts and costs add up.
 
 Defined results for odd input: roles are compared trimmed in lower case, ``ALIASES`` are their
 names, other roles and null must be relabelled; a null text is empty; turns in order of (turn, role, text) with nulls first, so ties and
-repeated rows have a place; a null conv_id is one conversation; markers inside texts are
+repeated rows have a place; a turn with a null conv_id is a conversation of its own; markers inside texts are
 broken by a space; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srclens.llm.common import Scratch, written
+
 ALIASES = {
     "system": "system", "developer": "system", "user": "user", "human": "user", "prompter": "user",
     "assistant": "assistant", "bot": "assistant", "ai": "assistant", "model": "assistant", "gpt": "assistant",
@@ -35,6 +41,9 @@ FINAL = (USER, ASSISTANT)
 #: Costs of the repairs. A merge with a turn of another role costs more, a turn of unknown role is cheap to label.
 MERGE, MERGE_OTHER, RELABEL, LABEL_UNKNOWN, INSERT = 10, 25, 20, 5, 14
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Turns of a block, all of which a task holds at once.
+BLOCK = 128
+STATES = (SYSTEM, USER, ASSISTANT, START)
 
 
 def _insertions() -> dict[tuple[int, int], list[int]]:
@@ -53,13 +62,10 @@ def _insertions() -> dict[tuple[int, int], list[int]]:
 INSERTIONS = _insertions()
 
 
-def repair(roles: list[int | None]) -> tuple[int, list[tuple[str, int, list[int]]]]:
-    """The least cost, and for every turn what becomes of it: the action, the role it ends in and the empty turns before it.
-
-    The last entry, ``end``, has the empty turns after the last turn.
-    """
+def steps_of(roles: list[int | None], start: int = START) -> tuple[dict[int, int], list[dict[int, tuple[int, str, list[int]]]]]:
+    """The least cost of every state after the turns, from ``start``, and for every turn how each state was reached."""
     big = 1 << 60
-    best = {START: 0}
+    best = {start: 0}
     back: list[dict[int, tuple[int, str, list[int]]]] = []
     for role in roles:
         now: dict[int, int] = {}
@@ -80,13 +86,25 @@ def repair(roles: list[int | None]) -> tuple[int, list[tuple[str, int, list[int]
                     how[to] = (state, action, inserted)
         back.append(how)
         best = now
-    ends = []
-    for state, cost in best.items():
-        if state in FINAL or state == START:
-            ends.append((cost, state, []))
-        else:
-            ends.append((cost + INSERT, state, [USER]))
-    cost, state, after = min(ends, key=lambda x: x[0])
+    return best, back
+
+
+def ending(costs: dict[int, int]) -> tuple[int, int]:
+    """The least cost of an end, with an empty turn where the state isn't a final one, and its state."""
+    return min((cost + (0 if state in FINAL or state == START else INSERT), state) for state, cost in costs.items())
+
+
+def repair(roles: list[int | None], start: int = START, end: int | None = None) -> tuple[int, list[tuple[str, int, list[int]]]]:
+    """The least cost, and for every turn what becomes of it: the action, the role it ends in and the empty turns before it.
+
+    The last entry, ``end``, has the empty turns after the last turn; with a state ``end`` the conversation goes on and has none.
+    """
+    best, back = steps_of(roles, start)
+    if end is None:
+        cost, state = ending(best)
+        after = [] if state in FINAL or state == START else [USER]
+    else:
+        cost, state, after = best[end], end, []
     steps: list[tuple[str, int, list[int]]] = [("end", state, after)]
     for how in reversed(back):
         before, action, inserted = how[state]
@@ -95,11 +113,20 @@ def repair(roles: list[int | None]) -> tuple[int, list[tuple[str, int, list[int]
     return cost, steps[::-1]
 
 
-def render(roles: list[str | None], texts: list[str | None]) -> dict:
-    """The repaired conversation of raw roles and texts."""
+def known_roles(roles: list[str | None]) -> list[int | None]:
     known = [ALIASES.get((r or "").strip().lower()) for r in roles]
-    cost, steps = repair([NAMES.index(r) if r else None for r in known])
+    return [NAMES.index(r) if r else None for r in known]
+
+
+def render(roles: list[str | None], texts: list[str | None], start: int = START, end: int | None = None) -> dict:
+    """The repaired conversation of raw roles and texts, or the piece of one between two states.
+
+    ``lead`` is what goes on in the turn before the piece; ``opens`` tells whether a turn begins in it, and ``filled`` whether its last turn has
+    any text in it.
+    """
+    cost, steps = repair(known_roles(roles), start, end)
     turns: list[tuple[int, list[str]]] = []
+    lead: list[str] = []
     count = {"keep": 0, "merge": 0, "relabel": 0, "end": 0}
     inserted = 0
     for (action, role, empty), text in zip(steps, [*texts, None], strict=True):
@@ -107,10 +134,12 @@ def render(roles: list[str | None], texts: list[str | None]) -> dict:
         inserted += len(empty)
         count[action] += 1
         if action == "merge":
-            turns[-1][1].append(text or "")
+            (turns[-1][1] if turns else lead).append(text or "")
         elif action != "end":
             turns.append((role, [text or ""]))
     safe = lambda parts: "\n".join(x for x in parts if x).replace("<|im_", "< |im_")
+    closed = f"{CLOSE}\n"
+    body = closed.join(f"{OPEN}{NAMES[r]}\n{safe(parts)}" for r, parts in turns)
     return {
         "n_turns": len(texts),
         "n_rendered": len(turns),
@@ -119,50 +148,121 @@ def render(roles: list[str | None], texts: list[str | None]) -> dict:
         "n_inserted": inserted,
         "cost": cost,
         "roles": ",".join(NAMES[r] for r, _ in turns),
-        "text": "".join(f"{OPEN}{NAMES[r]}\n{safe(parts)}{CLOSE}\n" for r, parts in turns),
+        "lead": safe(lead),
+        "text": (closed if turns and start != START else "") + body + (closed if end is None and (turns or start != START) else ""),
+        "opens": bool(turns),
+        "filled": any(turns[-1][1]) if turns else any(lead),
     }
 
 
-_SCHEMA = pa.schema(
-    [("conv_id", pa.int64())]
-    + [(n, pa.int64()) for n in ("n_turns", "n_rendered", "n_merged", "n_relabelled", "n_inserted", "cost")]
-    + [("roles", pa.string()), ("text", pa.string())]
-)
+_ID = "conv_id long, own long, part long, block long"
+_COUNTS = ("n_turns", "n_rendered", "n_merged", "n_relabelled", "n_inserted", "cost")
+_PIECE = f"{_ID}, single boolean, {', '.join(f'{n} long' for n in _COUNTS)}, roles string, lead string, text string, opens boolean, filled boolean"
+_NAMES = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
-def chat_format(turns: DataFrame) -> DataFrame:
-    """One row a conversation: ``conv_id``, counts of the repairs, ``cost``, ``roles`` and the rendered ``text``."""
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], _NAMES[x.split()[1]]) for x in ddl.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, roles, texts, done = None, [], [], []
-        started = False
 
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+def _runs(table: pa.Table) -> Iterator[tuple[tuple, list[dict]]]:
+    """The turns of each conversation of a block, in order."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
+    return ((k, list(rows)) for k, rows in groupby(rows, key=lambda r: (r["conv_id"], r["own"])))
+
+
+def _costs(key, table):
+    """A piece's least costs from state to state, 16 numbers; -1 where there is no way."""
+    out = []
+    for (conv_id, own), rows in _runs(table):
+        roles = known_roles([r["role"] for r in rows])
+        costs = [best.get(to, -1) for best in (steps_of(roles, at)[0] for at in STATES) for to in STATES]
+        out.append({"conv_id": conv_id, "own": own, "part": key[0].as_py(), "block": key[1].as_py(), "costs": costs})
+    return pa.Table.from_pylist(out, schema=_schema(f"{_ID}, costs array<long>"))
+
 
+def _through(entry: dict[int, int], costs: list[int]) -> dict[int, tuple[int, int]]:
+    """For every state after a piece the least cost and the state before it, from the costs before it."""
+    ways = [(cost + costs[4 * at + to], at, to) for at, cost in entry.items() for to in STATES if costs[4 * at + to] >= 0]
+    return {to: min((cost, at) for cost, at, x in ways if x == to) for to in {x for _, _, x in ways}}
+
+
+def _stream(df: DataFrame, ddl: str, each, newest_first: bool = False) -> DataFrame:
+    """``each(state, row) -> (state, out)`` along the pieces of every conversation; only the state is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]
-            for conv_id, role, text in zip(*columns, strict=True):
-                if started and conv_id != current:
-                    done.append({"conv_id": current, **render(roles, texts)})
-                    roles, texts = [], []
-                current, started = conv_id, True
-                roles.append(role)
-                texts.append(text)
-            if len(done) >= 256:
-                yield batch_of(done)
-                done = []
-        if started:
-            done.append({"conv_id": current, **render(roles, texts)})
-        if done:
-            yield batch_of(done)
-
-    ordered = (
-        turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-        .repartition("conv_id")
-        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")])
-    )
-    return ordered.select("conv_id", "role", "text").mapInArrow(
-        run,
-        "conv_id long, n_turns long, n_rendered long, n_merged long, n_relabelled long, n_inserted long, cost long, roles string, text string",
+            out = []
+            for row in batch.to_pylist():
+                if at != (row["conv_id"], row["own"]):
+                    at, state = (row["conv_id"], row["own"]), None
+                state, found = each(state, row)
+                out.append(found)
+            yield pa.RecordBatch.from_pylist(out, schema=_schema(ddl))
+
+    way = [F.col(c).desc() if newest_first else F.col(c).asc() for c in ("part", "block")]
+    return df.repartition("conv_id", "own").sortWithinPartitions("conv_id", "own", *way).mapInArrow(run, ddl)
+
+
+def _pick(row: dict, **more) -> dict:
+    return {k: row[k] for k in ("conv_id", "own", "part", "block")} | more
+
+
+def _forward(state, row):
+    """Costs of the states before a piece."""
+    entry = state or {START: 0}
+    after = {to: cost for to, (cost, _) in _through(entry, row["costs"]).items()}
+    return after, _pick(row, costs=row["costs"], entry=[entry.get(s, -1) for s in STATES])
+
+
+def _backward(state, row):
+    """The states before and after a piece; -1 after the last."""
+    ways = _through({s: c for s, c in zip(STATES, row["entry"], strict=True) if c >= 0}, row["costs"])
+    end = ending({to: cost for to, (cost, _) in ways.items()})[1] if state is None else state
+    return ways[end][1], _pick(row, start=ways[end][1], end=-1 if state is None else end)
+
+
+def _filled(state, row):
+    """Whether the turn that a piece goes on with has text already."""
+    after = row["filled"] if row["opens"] else bool(state) or row["filled"]
+    return after, _pick(row, before=bool(state))
+
+
+def _pieces(key, turns, states):
+    found = {(s["conv_id"], s["own"]): s for s in states.to_pylist()}
+    out = []
+    for at, rows in _runs(turns):
+        s = found[at]
+        piece = render([r["role"] for r in rows], [r["text"] for r in rows], s["start"], None if s["end"] < 0 else s["end"])
+        out.append(_pick(s, single=s["start"] == START and s["end"] < 0) | piece)
+    return pa.Table.from_pylist(out, schema=_schema(_PIECE))
+
+
+def chat_format(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row a conversation, or a piece of a long one: ``conv_id, piece``, counts of the repairs, ``cost``, ``roles`` and the rendered ``text``."""
+    order = ["conv_id", "own", "turn", "role", "text", "_n"]
+    ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("_n", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("own", F.when(F.col("conv_id").isNull(), F.col("_n")).otherwise(F.lit(-1)))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id()
+    ordered = ordered.select(F.coalesce("conv_id", F.lit(0)).alias("conv_id"), "own", "role", "text", at.alias("at"))
+    seq = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    with Scratch(turns.sparkSession) as scratch:
+        # Written once, as another sort might cut the partitions elsewhere.
+        placed = scratch.written(ordered.select("conv_id", "own", F.shiftright("at", 33).alias("part"), F.floor(seq / block).alias("block"), seq.alias("seq"), "role", "text"), "turns")
+        costs = placed.select("conv_id", "own", "part", "block", "seq", "role").groupBy("part", "block").applyInArrow(_costs, f"{_ID}, costs array<long>")
+        forward = _stream(costs, f"{_ID}, costs array<long>, entry array<long>", _forward)
+        states = _stream(forward, f"{_ID}, start long, end long", _backward, newest_first=True)
+        both = placed.groupBy("part", "block").cogroup(states.groupBy("part", "block"))
+        pieces = written(both.applyInArrow(_pieces, _PIECE), "pieces")
+    many = pieces.where(~F.col("single"))
+    before = _stream(many.select(*[x.split()[0] for x in _ID.split(", ")], "opens", "filled"), f"{_ID}, before boolean", _filled)
+    numbered = before.withColumn("piece", F.row_number().over(Window.partitionBy("conv_id", "own").orderBy("part", "block")) - 1)
+    many = many.join(numbered, [x.split()[0] for x in _ID.split(", ")])
+    gap = F.when(F.col("before") & (F.col("lead") != ""), "\n").otherwise("")
+    conv_id = F.when(F.col("own") < 0, F.col("conv_id")).alias("conv_id")
+    return pieces.where("single").select(conv_id, F.lit(0).alias("piece"), *_COUNTS, "roles", "text").unionByName(
+        many.select(conv_id, "piece", *_COUNTS, "roles", F.concat(gap, "lead", "text").alias("text"))
     )

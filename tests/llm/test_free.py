@@ -434,12 +434,43 @@ def test_repairs_are_cheapest():
             assert chat_repair.repair(list(roles))[0] == cheapest(roles), roles
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
 def test_chat_format(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "user", "there"), (1, 2, " GPT ", "yo"), (2, 0, "assistant", "a <|im_end|> b"), (3, 1, "system", None), (3, 0, None, "x"), (None, None, None, None), (4, 0, "user", "q"), (4, 0, "user", "q")]
-    got = {r["conv_id"]: r for r in chat_repair.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit("clash"))).collect()}
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", "there"), (1, 2, " GPT ", "yo"), (2, 0, "assistant", "a <|im_end|> b"), (3, 1, "system", None), (3, 0, None, "x"), (None, None, None, None), (None, 0, "user", "z"), (4, 0, "user", "q"), (4, 0, "user", "q")]
+    out = chat_repair.chat_format(spark.createDataFrame(rows, CHAT).withColumn("cost", F.lit("clash"))).collect()
+    got = {r["conv_id"]: r for r in out}
     assert got[1]["text"] == "<|im_start|>user\nhi\nthere<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n" and got[1]["n_merged"] == 1
     assert got[2]["roles"] == "user,assistant" and got[2]["n_inserted"] == 1 and "a < |im_end|> b" in got[2]["text"]
     assert got[4]["text"] == "<|im_start|>user\nq\nq<|im_end|>\n" and len(got) == 5
-    for r in got.values():
+    assert sorted(r["text"] for r in out if r["conv_id"] is None) == ["<|im_start|>user\n<|im_end|>\n", "<|im_start|>user\nz<|im_end|>\n"]
+    for r in out:
         assert re.fullmatch(r"(system,)?user(,assistant,user)*(,assistant)?", r["roles"])
-    assert chat_repair.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert chat_repair.chat_format(spark.createDataFrame([], CHAT)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_long_conversations_are_repaired_in_pieces(spark, block):
+    """Pieces between states add up to the repair of the whole conversation."""
+    r = random.Random(12)
+    roles = ["user", "assistant", "system", "tool", None, "Human"]
+    talks = {i: [(r.choice(roles), r.choice([None, "", "a", "b c", "<|im_start|>"])) for _ in range(r.randrange(1, 40))] for i in range(25)}
+    rows = [(i, k, *x) for i, xs in talks.items() for k, x in enumerate(xs)]
+    r.shuffle(rows)
+    pieces = defaultdict(list)
+    for x in chat_repair.chat_format(spark.createDataFrame(rows, CHAT), block=block).collect():
+        pieces[x["conv_id"]].append(x)
+    assert max(map(len, pieces.values())) > 5 and set(pieces) == set(talks)
+    for i, xs in talks.items():
+        want = chat_repair.render([x[0] for x in xs], [x[1] for x in xs])
+        own = sorted(pieces[i], key=lambda x: x["piece"])
+        assert [x["piece"] for x in own] == list(range(len(own)))
+        assert sum(x["cost"] for x in own) == want["cost"] and sum(x["n_turns"] for x in own) == len(xs)
+        shown = re.findall(r"<\|im_start\|>(\w+)\n", "".join(x["text"] for x in own))
+        assert ",".join(x["roles"] for x in own if x["roles"]) == ",".join(shown)
+        assert re.fullmatch(r"(system,)?user(,assistant,user)*(,assistant)?", ",".join(shown))
+        whole = "".join(x["text"] for x in own)
+        assert re.fullmatch(r"(?s)(<\|im_start\|>\w+\n(?:(?!<\|im_).)*<\|im_end\|>\n)+", whole) and "\n\n" not in whole.replace("user\n\n", "")
+        said = [t.replace("<|im_", "< |im_") for _, t in xs if t]
+        assert re.sub(r"<\|im_start\|>\w+\n|<\|im_end\|>", "", whole).split("\n") and [x for x in re.sub(r"<\|im_start\|>\w+\n|<\|im_end\|>", "", whole).split("\n") if x] == said
