@@ -9,8 +9,11 @@ Decoding an LZW segment needs no loop over codes: a table entry is the output of
 byte, so every code is a reference to earlier output, and references are followed for all bytes at
 once by pointer doubling.
 
-Defined results for odd input: null or broken media give null columns and an ``error``; an
-image without frames has 0 frames; repeated rows give repeated results; other columns are carried along by name if asked for.
+Memory is bounded: a canvas or frame of more than ``MAX_PIXELS`` pixels, or an image of more than ``MAX_SAMPLES`` samples
+in all, is an error, a code stream is expanded no further than its frame, and images are taken by ``SLICE_BYTES``.
+
+Defined results for odd input: null media and media without a readable header give null columns and an ``error``; media that break off or
+lack their trailer keep the frames before the break, beside the ``error``; an image without frames has 0 frames; an empty table gives no rows; repeated rows give repeated results; other columns are carried along by name if asked for.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,10 @@ FRAME_DELAY = 10
 #: Levels a channel is divided into by the histograms.
 BINS = 8
 MAX_CODE = 4096
+MAX_PIXELS = 1 << 24
+MAX_SAMPLES = 1 << 28
+#: Bytes of media (or payload) that a worker takes at once, if more than one image.
+SLICE_BYTES = 1 << 22
 
 
 def _widths(n: int, first: int) -> np.ndarray:
@@ -87,8 +95,8 @@ def lzw_encode(samples: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) < width[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
-def _expand(codes: np.ndarray, first: int) -> np.ndarray:
-    """The output of the codes between two clear codes."""
+def _expand(codes: np.ndarray, first: int, limit: int) -> np.ndarray:
+    """The output of the codes between two clear codes, ``limit`` bytes of it or a code more."""
     n = len(codes)
     if not n:
         return np.empty(0, np.uint8)
@@ -104,12 +112,15 @@ def _expand(codes: np.ndarray, first: int) -> np.ndarray:
         up = up[up]
     length += 1
     end = np.cumsum(length)
+    if end[-1] > limit:
+        n = int(np.searchsorted(end, limit)) + 1
+        codes, literal, parent, up, length, end = codes[: n + 1], literal[:n], parent[:n], up[:n], length[:n], end[:n]
     start = end - length
     source = np.arange(int(end[-1]), dtype=np.int32) - np.repeat((start - start[parent]).astype(np.int32), length)
     values = np.zeros(len(source), np.uint8)
     # The byte more is the first one of the code after the parent, which its root says.
     root = codes[up]
-    values[end - 1] = np.where(literal, codes, root[np.minimum(parent + 1, n - 1)])
+    values[end - 1] = np.where(literal, codes[:n], root[np.minimum(parent + 1, n - 1)])
     source[end - 1] = end - 1
     # All other bytes refer to the parent's; their chains are no longer than the parents' and halve with every step.
     for _ in range(int(length.max() - 1).bit_length()):
@@ -117,7 +128,10 @@ def _expand(codes: np.ndarray, first: int) -> np.ndarray:
     return values[source]
 
 
-def lzw_decode(data: bytes, min_code_size: int) -> np.ndarray:
+def lzw_decode(data: bytes, min_code_size: int, limit: int = MAX_SAMPLES) -> np.ndarray:
+    """The samples of a code stream, no more than about ``limit``."""
+    if not 1 <= min_code_size <= 8:
+        raise ValueError(f"code size {min_code_size}")
     clear = 1 << min_code_size
     stop, first = clear + 1, clear + 2
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
@@ -138,8 +152,9 @@ def lzw_decode(data: bytes, min_code_size: int) -> np.ndarray:
                 break
             n *= 2  # an encoder may leave a full table as it is
         k = int(special[0]) if len(special) else whole
-        out.append(_expand(codes[:k], first))
-        if not len(special) or codes[k] == stop:
+        out.append(_expand(codes[:k], first, limit))
+        limit -= len(out[-1])
+        if not len(special) or codes[k] == stop or limit <= 0:
             break
         bit = int(ends[k])
     return np.concatenate(out) if out else np.empty(0, np.uint8)
@@ -183,9 +198,15 @@ def frames_of(data: bytes) -> Iterator[dict]:
     at, shared = 13, None
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"canvas of {width} x {height} pixels")
     canvas = np.zeros((height, width, 4), np.uint8)
-    disposal, delay, transparent, clock, index = 0, 0, -1, 0, 0
-    while data[at] != 0x3B:
+    disposal, delay, transparent, clock, index, left_over = 0, 0, -1, 0, 0, MAX_SAMPLES
+    while True:
+        if at >= len(data):
+            raise ValueError("no trailer")
+        if data[at] == 0x3B:
+            return
         if data[at] == 0x21:
             if data[at + 1] == 0xF9:
                 control, delay, transparent = struct.unpack_from("<BHB", data, at + 3)
@@ -196,13 +217,16 @@ def frames_of(data: bytes) -> Iterator[dict]:
             raise ValueError("unknown block")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
+        left_over -= w * h
+        if w * h > MAX_PIXELS or left_over < 0:
+            raise ValueError(f"frame of {w} x {h} pixels")
         palette = shared
         if flags & 0x80:
             palette, at = _palette(data, at, flags)
         if palette is None:
             raise ValueError("no palette")
         stream, end = _blocks(data, at + 1)
-        samples = lzw_decode(stream, data[at])[: w * h]
+        samples = lzw_decode(stream, data[at], w * h)[: w * h]
         at = end
         if len(samples) < w * h:
             raise ValueError("short image data")
@@ -238,13 +262,30 @@ def histogram(canvas: np.ndarray) -> list[int]:
 
 
 def decode_gif(data: bytes) -> dict:
-    """Width, height, frames with their histograms, and all frames' samples one after another."""
-    frames, samples = [], []
-    for f in frames_of(data):
-        samples.append(f.pop("samples").tobytes())
-        frames.append(f | {"histogram": histogram(f.pop("canvas"))})
+    """Width, height, frames with their histograms, all frames' samples one after another, and the error that ended them."""
+    frames, samples, error = [], [], None
+    try:
+        for f in frames_of(data):
+            samples.append(f.pop("samples").tobytes())
+            frames.append(f | {"histogram": histogram(f.pop("canvas"))})
+    except (ValueError, IndexError, struct.error) as e:
+        error = str(e) or type(e).__name__
+        if not frames and error != "no trailer":
+            return {"error": error}
     width, height = struct.unpack_from("<HH", data, 6)
-    return {"width": width, "height": height, "frames": frames, "samples": b"".join(samples), "error": None}
+    return {"width": width, "height": height, "frames": frames, "samples": b"".join(samples), "error": error}
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut by the bytes of its last column."""
+    sizes, start, total = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > SLICE_BYTES:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 _FRAME = T.StructType(
@@ -271,14 +312,9 @@ def media_columns(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = []
-                for data in part.column(part.num_columns - 1).to_pylist():
-                    try:
-                        rows.append(decode_gif(data) if data is not None else {"error": "no media"})
-                    except (ValueError, IndexError, struct.error) as e:
-                        rows.append({"error": str(e) or type(e).__name__})
+            for part in _slices(batch):
+                media = part.column(part.num_columns - 1).to_pylist()
+                rows = [decode_gif(x) if x is not None else {"error": "no media"} for x in media]
                 columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *NAMES])
 
@@ -306,8 +342,7 @@ def stored_as_gif(df: DataFrame, payload: str, keep: tuple[str, ...] = ()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in _slices(batch):
                 media = pa.array([encode_gif(x) for x in part.column(part.num_columns - 1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], media], [*part.schema.names[:-1], "media"])
 

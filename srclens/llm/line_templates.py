@@ -35,6 +35,8 @@ MIN_DOCS = 8
 MIN_CONSTANT = 0.7
 MASK = "<*>"
 LONG_TOKENS = 50
+#: Parts into which a template's lines are dealt.
+SALTS = 32
 #: Documents that share a short or a long whole line for it to recur, as the query and the pipeline have it.
 WHOLE_LINES = {"short_docs": MIN_DOCS, "long_docs": 2}
 #: Kinds of leaves: of the template tree, or of one whole line.
@@ -151,8 +153,10 @@ def repeated_lines(
         .where(F.col("n_docs") >= least_docs(min_docs, short_docs, long_docs))
         .drop("kind")
     )
+    # Written and dealt with a salt, so that the lines of a hot template meet it in many tasks.
+    recurring = written(recurring, "recurring").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = (
-        found.join(recurring, "template")
+        found.withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), F.lit(SALTS)).cast("int")).join(recurring, ["template", "salt"])
         .where((F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no")))
         .select("doc_id", "row", "line_no", "kind", "template")
     )

@@ -1,27 +1,31 @@
-"""Token counts that follow edits: a segment tree of pre-token counts for every document.
+"""Token counts that follow edits: a stored segment tree of pre-token counts for every document.
 
 A text is cut before spaces that follow a non-space character, where a byte-level vocabulary always
-begins a pre-token; each chunk is one or a few pre-tokens with its own token count. ``LEAF``
-chunks make a leaf, and every node above holds the sums of characters and tokens of ``FAN`` nodes below. A batch of edits finds its
-chunks by descending the tree, re-encodes only these chunks and one more on either side
-(the context in which a boundary can move), and updates the sums on the paths to the root. The count
-after the edits is the root's sum, equal to encoding the new text as a whole.
+begins a pre-token; each chunk is one or a few pre-tokens. About ``LEAF``
+chunks make a leaf, and every node above holds the sums of characters and tokens of ``FAN`` nodes below. :func:`with_trees` stores
+these sums as a column beside the text. :func:`apply_edits` reads them back: a batch of edits finds its
+leaves by descending the tree, encodes the chunks that it touches and one more on either side
+(the context in which a boundary can move), as they were and as they are, and updates the sums on the paths to the root. Nothing else of the text is encoded again, and
+the root's sum equals encoding the new text as a whole. A leaf that has grown beyond ``2 * LEAF`` chunks is split, which renews the sums above
+(numbers only).
 
 Defined results for odd input: a null text is empty and has 0 tokens; edits outside the text are cut to it;
-overlapping edits are merged in order; repeated rows give repeated results; other columns aren't read.
+overlapping edits are merged in order; null edits are none; repeated rows give repeated results; other columns are carried along by :func:`with_trees` and
+:func:`apply_edits`, whose new columns replace those of their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from srclens.llm.common import written
 
 LEAF = 64
 FAN = 16
@@ -77,27 +81,30 @@ def chunks_of(text: str) -> list[str]:
 
 
 class TokenTree:
-    """Chunks in leaves, and sums of characters and tokens level by level up to one root."""
-
-    def __init__(self, text: str, counter: Counter) -> None:
-        self.counter = counter
-        #: The leaf found last, its first character and its chunks' ends; None after a change.
-        self.near: tuple[int, int, list[int]] | None = None
-        chunks = chunks_of(text)
-        counts = list(map(counter.cache.get, chunks))
-        if None in counts:
-            counts = [counter.one(c) if n is None else n for c, n in zip(chunks, counts, strict=True)]
-        starts = range(0, len(chunks), LEAF)
-        self.leaves = [chunks[i : i + LEAF] for i in starts] or [[]]
-        self.tokens = [counts[i : i + LEAF] for i in starts] or [[]]
-        self.encoded = len(chunks)
-        if chunks:
-            at = np.array(starts)
-            lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-            sums = np.stack([np.add.reduceat(lengths, at), np.add.reduceat(np.array(counts, np.int64), at)], axis=1)
+    """A text and its sums of characters and tokens, level by level from the leaves up to one root."""
+
+    def __init__(self, text: str, counter: Counter, levels: list[list[int]] | None = None) -> None:
+        self.text, self.counter = text, counter
+        self.encoded = 0
+        if levels is None:
+            self._build(self._leaves(chunks_of(text)))
         else:
-            sums = np.zeros((1, 2), np.int64)
-        self.levels = [sums]
+            self.levels = [np.array(x, np.int64).reshape(-1, 2) for x in levels]
+
+    def _leaves(self, chunks: list[str]) -> np.ndarray:
+        """Characters and tokens of leaves of LEAF chunks."""
+        counts = list(map(self.counter.cache.get, chunks))
+        if None in counts:
+            counts = [self.counter.one(c) if n is None else n for c, n in zip(chunks, counts, strict=True)]
+        self.encoded += len(chunks)
+        if not chunks:
+            return np.zeros((1, 2), np.int64)
+        at = np.arange(0, len(chunks), LEAF)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        return np.stack([np.add.reduceat(lengths, at), np.add.reduceat(np.array(counts, np.int64), at)], axis=1)
+
+    def _build(self, leaves: np.ndarray) -> None:
+        self.levels = [leaves]
         while len(self.levels[-1]) > 1:
             below = self.levels[-1]
             self.levels.append(np.add.reduceat(below, np.arange(0, len(below), FAN), axis=0))
@@ -110,102 +117,104 @@ class TokenTree:
     def n_chars(self) -> int:
         return int(self.levels[-1][0, 0])
 
-    def text(self) -> str:
-        return "".join(c for leaf in self.leaves for c in leaf)
+    def stored(self) -> list[list[int]]:
+        return [x.ravel().tolist() for x in self.levels]
 
     def find(self, offset: int) -> tuple[int, int, int]:
-        """Leaf, chunk and the chunk's first character of the chunk that holds the character at ``offset``, or the last one."""
-        if self.near is None or not self.near[1] <= offset < self.near[2][-1]:
-            node, start = 0, 0
-            for level in reversed(self.levels[:-1]):
-                below = level[node * FAN : (node + 1) * FAN, 0]
-                ends = start + np.cumsum(below)
-                k = min(int(np.searchsorted(ends, offset, "right")), len(below) - 1)
-                start = int(ends[k] - below[k])
-                node = node * FAN + k
-            # Edits come in order, so the next one is often in the same leaf.
-            self.near = node, start, list(accumulate(map(len, self.leaves[node]), initial=start))
-        node, start, ends = self.near
-        k = min(bisect_right(ends, offset) - 1, len(ends) - 2)
-        return (node, k, ends[k]) if k >= 0 else (node, 0, start)
-
-    def _before(self, leaf: int, k: int, start: int) -> tuple[int, int, int]:
-        """The chunk before, or the same if it is the first."""
-        if k:
-            return leaf, k - 1, start - len(self.leaves[leaf][k - 1])
-        up = leaf - 1
-        while up >= 0 and not self.leaves[up]:
-            up -= 1
-        if up < 0:
-            return leaf, k, start
-        return up, len(self.leaves[up]) - 1, start - len(self.leaves[up][-1])
-
-    def _after(self, leaf: int, k: int) -> tuple[int, int]:
-        if k + 1 < len(self.leaves[leaf]):
-            return leaf, k + 1
-        up = leaf + 1
-        while up < len(self.leaves) and not self.leaves[up]:
-            up += 1
-        return (up, 0) if up < len(self.leaves) else (leaf, k)
+        """The leaf that holds the character at ``offset``, or the last one with any, and where it starts and ends."""
+        node, start = 0, 0
+        offset = min(offset, self.n_chars - 1)
+        for level in reversed(self.levels[:-1]):
+            below = level[node * FAN : (node + 1) * FAN, 0]
+            ends = start + np.cumsum(below)
+            k = min(int(np.searchsorted(ends, offset, "right")), len(below) - 1)
+            start = int(ends[k] - below[k])
+            node = node * FAN + k
+        return node, start, start + int(self.levels[0][node, 0])
+
+    def _chunk(self, offset: int) -> tuple[int, int]:
+        """Where the chunk of the character at ``offset`` starts and ends."""
+        _, start, end = self.find(offset)
+        at = start
+        for chunk in chunks_of(self.text[start:end]):
+            if at + len(chunk) > offset:
+                return at, at + len(chunk)
+            at += len(chunk)
+        return max(start, end - 1), end
 
     def apply(self, edits: list[tuple[int, int, str]]) -> int:
-        """Replace the character ranges ``[start, end)`` of the present text; returns the chunks encoded again.
-
-        Regions are rebuilt from the last to the first, so offsets of earlier ones hold.
-        """
+        """Replace the character ranges ``[start, end)`` of the present text; returns the chunks encoded again."""
         size = self.n_chars
-        regions: list[list] = []  # first chunk, last chunk and the edits between
+        regions: list[list] = []  # first and last character of the chunks to encode, and the edits between
         reach = 0
         for start, end, new in sorted(edits, key=lambda x: (x[0], x[1])):
             start = min(max(start, reach, 0), size)
             end = min(max(end, start), size)
             reach = end
-            first = self._before(*self.find(start))
-            leaf, k, _ = self.find(max(end - 1, start))
-            last = self._after(leaf, k)
-            if regions and first[:2] <= regions[-1][1]:
-                regions[-1][1] = max(last, regions[-1][1])
+            low, high = 0, size
+            if size:
+                low = self._chunk(start)[0]
+                low = self._chunk(low - 1)[0] if low else 0
+                high = self._chunk(max(end - 1, start))[1]
+                high = self._chunk(high)[1] if high < size else size
+            if regions and low < regions[-1][1]:
+                regions[-1][1] = max(high, regions[-1][1])
                 regions[-1][2].append((start, end, new))
             else:
-                regions.append([first, last, [(start, end, new)]])
-        again = 0
-        self.near = None
-        touched: set[int] = set()
-        for (leaf, k, offset), (last_leaf, last_k), inside in reversed(regions):
-            if leaf == last_leaf:
-                old = "".join(self.leaves[leaf][k : last_k + 1])
-            else:
-                middle = [c for x in range(leaf + 1, last_leaf) for c in self.leaves[x]]
-                old = "".join([*self.leaves[leaf][k:], *middle, *self.leaves[last_leaf][: last_k + 1]])
-            parts, at = [], 0
-            for start, end, new in inside:
-                parts += [old[at : start - offset], new]
-                at = end - offset
-            chunks = chunks_of("".join([*parts, old[at:]]))
-            counts = [self.counter.one(c) for c in chunks]
-            again += len(chunks)
-            if leaf == last_leaf:
-                self.leaves[leaf][k : last_k + 1] = chunks
-                self.tokens[leaf][k : last_k + 1] = counts
-            else:
-                self.leaves[last_leaf][: last_k + 1] = []
-                self.tokens[last_leaf][: last_k + 1] = []
-                for x in range(leaf + 1, last_leaf):
-                    self.leaves[x], self.tokens[x] = [], []
-                self.leaves[leaf][k:] = chunks
-                self.tokens[leaf][k:] = counts
-            touched.update(range(leaf, last_leaf + 1))
-        self._update(touched)
-        return again
-
-    def _update(self, touched: set[int]) -> None:
-        for x in touched:
-            self.levels[0][x] = sum(map(len, self.leaves[x])), sum(self.tokens[x])
-        nodes = touched
-        for below, level in zip(self.levels, self.levels[1:], strict=False):
-            nodes = {x // FAN for x in nodes}
-            for x in nodes:
-                level[x] = below[x * FAN : (x + 1) * FAN].sum(axis=0)
+                regions.append([low, high, [(start, end, new)]])
+        before = self.encoded
+        changes: dict[int, np.ndarray] = {}  # characters and tokens that leaves gain
+        grown: dict[int, int] = {}  # chunks put into leaves
+        parts, at = [], 0
+        for low, high, inside in regions:
+            first, leaf_start, leaf_end = self.find(low)
+            leaf = first
+            place = low
+            for chunk in chunks_of(self.text[low:high]):
+                while place >= leaf_end and leaf + 1 < len(self.levels[0]):
+                    leaf += 1
+                    leaf_start, leaf_end = leaf_end, leaf_end + int(self.levels[0][leaf, 0])
+                changes.setdefault(leaf, np.zeros(2, np.int64))
+                changes[leaf] -= (len(chunk), self.counter.one(chunk))
+                self.encoded += 1
+                place += len(chunk)
+            made, start = [], low
+            for a, b, new in inside:
+                made += [self.text[start:a], new]
+                start = b
+            made = "".join([*made, self.text[start:high]])
+            parts += [self.text[at:low], made]
+            at = high
+            chunks = chunks_of(made)
+            changes.setdefault(first, np.zeros(2, np.int64))
+            changes[first] += (len(made), sum(map(self.counter.one, chunks)))
+            self.encoded += len(chunks)
+            grown[first] = grown.get(first, 0) + len(chunks)
+        self.text = "".join([*parts, self.text[at:]])
+        for leaf, change in changes.items():
+            self.levels[0][leaf] += change
+        large = sorted(x for x, n in grown.items() if n > LEAF)
+        if large:
+            self._split(large)
+        else:
+            nodes = set(changes)
+            for below, level in zip(self.levels, self.levels[1:], strict=False):
+                nodes = {x // FAN for x in nodes}
+                for x in nodes:
+                    level[x] = below[x * FAN : (x + 1) * FAN].sum(axis=0)
+        return self.encoded - before
+
+    def _split(self, large: list[int]) -> None:
+        """Leaves of more than ``2 * LEAF`` chunks become several; the sums above are renewed."""
+        leaves = self.levels[0]
+        starts = np.concatenate([[0], np.cumsum(leaves[:, 0])])
+        out, at = [], 0
+        for x in large:
+            chunks = chunks_of(self.text[int(starts[x]) : int(starts[x + 1])])
+            if len(chunks) > 2 * LEAF:
+                out += [leaves[at:x], self._leaves(chunks)]
+                at = x + 1
+        self._build(np.concatenate([*out, leaves[at:]]))
 
 
 #: Cleaning edits of the registered query: symbol runs go, addresses and long numbers become short marks.
@@ -237,26 +246,64 @@ def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def edit_counts(docs: DataFrame, edits_of=cleaning_edits, tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, n_tokens_edited, n_chunks, n_edits, n_reencoded`` of every row.
+_TREE = "array<array<bigint>>"
+_ARROW_TREE = pa.list_(pa.list_(pa.int64()))
 
-    ``edits_of(text)`` gives the edits ``(start, end, new text)``.
-    """
+
+def _path(tokenizer: str | None) -> str:
     from srclens.llm.packing import default_ranks
 
-    path = tokenizer or default_ranks()
-    names = ["doc_id", "n_tokens", "n_tokens_edited", "n_chunks", "n_edits", "n_reencoded"]
+    return tokenizer or default_ranks()
+
+
+def _appended(df: DataFrame, new: dict[str, str], each, path: str) -> DataFrame:
+    """``df`` with the columns ``new`` of ``each(counter, batch)``, which replace columns of their names."""
+    kept = [f for f in df.schema.fields if f.name not in new]
+    schema = T.StructType([*kept, *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in new.items())).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                tree = TokenTree(text or "", counter)
-                before, edits = tree.n_tokens, edits_of(text or "")
-                again = tree.apply(edits)
-                rows.append((before, tree.n_tokens, tree.encoded, len(edits), again))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+            found = each(counter, batch)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *found], [*[f.name for f in kept], *new])
+
+    return df.mapInArrow(run, schema)
+
+
+def with_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``docs`` with ``tree`` (levels from the leaves up, characters and tokens in turn), ``n_tokens`` and ``n_chunks`` of ``text``."""
+
+    def each(counter: Counter, batch: pa.RecordBatch) -> list[pa.Array]:
+        trees = [TokenTree(x or "", counter) for x in batch.column("text").to_pylist()]
+        return [pa.array([t.stored() for t in trees], _ARROW_TREE), *[pa.array(x, pa.int64()) for x in ([t.n_tokens for t in trees], [t.encoded for t in trees])]]
+
+    return _appended(docs, {"tree": _TREE, "n_tokens": "bigint", "n_chunks": "bigint"}, each, _path(tokenizer))
+
+
+def apply_edits(stored: DataFrame, edits_of=None, tokenizer: str | None = None) -> DataFrame:
+    """``stored`` (``text``, ``tree``) after its edits: new ``text``, ``tree``, ``n_tokens``, and ``n_edits``, ``n_reencoded`` (chunks).
+
+    Edits are the column ``edits array<struct<start, end, new>>``, or what ``edits_of(text)`` gives.
+    """
+
+    def each(counter: Counter, batch: pa.RecordBatch) -> list[pa.Array]:
+        texts, trees = batch.column("text").to_pylist(), batch.column("tree").to_pylist()
+        given = None if edits_of else batch.column("edits").to_pylist()
+        rows = []
+        for i, (text, levels) in enumerate(zip(texts, trees, strict=True)):
+            tree = TokenTree(text or "", counter, levels)
+            edits = edits_of(text or "") if edits_of else [(e["start"], e["end"], e["new"] or "") for e in given[i] or []]
+            again = tree.apply(edits)
+            rows.append((text if text is None and not edits else tree.text, tree.stored(), tree.n_tokens, len(edits), again))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return [pa.array(columns[0], pa.string()), pa.array(columns[1], _ARROW_TREE), *[pa.array(x, pa.int64()) for x in columns[2:]]]
+
+    new = {"text": "string", "tree": _TREE, "n_tokens": "bigint", "n_edits": "bigint", "n_reencoded": "bigint"}
+    return _appended(stored, new, each, _path(tokenizer))
+
+
+def edit_counts(docs: DataFrame, edits_of=cleaning_edits, tokenizer: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, n_tokens_edited, n_chunks, n_edits, n_reencoded`` of every row: trees are stored, read back and edited."""
+    stored = written(with_trees(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer), "token-trees")
+    edited_ = apply_edits(stored.withColumn("n_before", F.col("n_tokens")), edits_of, tokenizer)
+    return edited_.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_chunks", "n_edits", "n_reencoded")

@@ -105,6 +105,50 @@ def test_media_columns(spark):
     assert [bytes(r["p"]) for r in payload.collect()] == [b" " * 192, b" " * 192, "é".encode() * 96, b"a" * 193 + b" " * 191]
 
 
+def test_hostile_media():
+    huge = b"GIF89a" + b"\xff" * 4 + bytes([0x81, 0, 0]) + COLORS + b";"
+    assert gif_media.decode_gif(huge) == {"error": "canvas of 65535 x 65535 pixels"}
+    wide = gif([frame([1, 1, 1, 1], 0, 0, 2, 2, 0, 1)]).replace(b"," + bytes([0, 0, 0, 0, 2, 0, 2, 0]), b"," + bytes([0, 0, 0, 0]) + b"\xff" * 4)
+    assert "65535" in gif_media.decode_gif(wide)["error"]
+    bomb = gif_media.lzw_encode(b"a" * 3_000_000)
+    assert 50_000 <= len(gif_media.lzw_decode(bomb, 8, 50_000)) < 60_000
+    two = gif([frame([1, 1, 1, 1], 0, 0, 2, 2, 0, 1), frame([2, 2, 2, 2], 0, 0, 2, 2, 0, 1)])
+    assert gif_media.decode_gif(two[:-1])["error"] == "no trailer" and len(gif_media.decode_gif(two[:-1])["frames"]) == 2
+    cut = gif_media.decode_gif(two[:-6])
+    assert len(cut["frames"]) == 1 and cut["error"]
+    for n in range(len(two)):
+        gif_media.decode_gif(two[:n])
+    r = random.Random(2)
+    for _ in range(300):
+        data = bytearray(two)
+        for _ in range(3):
+            data[r.randrange(len(data))] = r.randrange(256)
+        gif_media.decode_gif(bytes(data))  # never raises
+
+
+def test_media_query_against_python(spark, tmp_path):
+    import hashlib
+
+    from srclens.llm import queries
+
+    texts = [None, "", "plain", "é" * 500, "long words " * 9000, "plain", "".join(chr(32 + i % 90) for i in range(192))]
+    spark.createDataFrame(list(enumerate(texts)), DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in queries.op4_gif_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        media, x = gif_media.encode_gif(payload), got[i]
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert x["tail_crc32"] == zlib.crc32(payload[-16:]) and (x["media_bytes"], x["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        grey = np.bincount(np.frombuffer(payload, np.uint8) // 32, minlength=8)
+        assert x["feature"] == ",".join(map(str, [*grey] * 3)) or len(payload) > 192 * 256
+    assert got[2]["feature"] == got[5]["feature"]
+    empty = spark.createDataFrame([], "id long, media binary")
+    assert gif_media.media_columns(empty, keep=("id", "media")).count() == 0
+    kept = gif_media.media_columns(spark.createDataFrame([(1, gif([]))], "id long, media binary"), keep=("media",)).collect()
+    assert bytes(kept[0]["media"]) == gif([]) and kept[0]["frames"] == []
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:
@@ -231,29 +275,56 @@ def counter():
     return token_trees.Counter(packing.default_tokenizer())
 
 
-def test_counts_follow_edits(counter):
+def test_counts_follow_edits(counter, monkeypatch):
+    monkeypatch.setattr(token_trees, "LEAF", 4)
+    monkeypatch.setattr(token_trees, "FAN", 3)
     r = random.Random(3)
-    pieces = ["a", "b", " ", "  ", "\n", "\t", "12", "'s", ".", "é", " the", "x y", " ", "<|endoftext|>"]
+    pieces = ["a", "b", " ", "  ", "\n", "\t", "12", "'s", ".", "é", " the", "x y", " ", "<|endoftext|>"]
     full = lambda s: len(counter.tokenizer.encode(s, add_special_tokens=False).ids)
     for _ in range(250):
         text = "".join(r.choice(pieces) for _ in range(r.randrange(0, 500)))
         tree = token_trees.TokenTree(text, counter)
         assert tree.n_tokens == full(text) and tree.n_chars == len(text)
-        for _ in range(2):
-            text = tree.text()
+        for _ in range(3):
+            text = tree.text
             edits = []
             for _ in range(r.randrange(0, 6)):
                 at = r.randrange(0, len(text) + 1)
-                edits.append((at, at + r.randrange(0, 9), "".join(r.choice(pieces) for _ in range(r.randrange(0, 4)))))
+                edits.append((at, at + r.randrange(0, 9), "".join(r.choice(pieces) for _ in range(r.choice([0, 1, 4, 60])))))
             want = token_trees.edited(text, edits)
+            tree = token_trees.TokenTree(text, counter, tree.stored())
             tree.apply(edits)
-            assert tree.text() == want and tree.n_tokens == full(want) and tree.n_chars == len(want)
+            assert tree.text == want and tree.n_tokens == full(want) and tree.n_chars == len(want)
+            for below, level in zip(tree.levels, tree.levels[1:]):
+                assert (np.add.reduceat(below, np.arange(0, len(below), 3), axis=0) == level).all()
+
+
+def test_a_large_insertion_is_split(counter):
+    text = " ".join(f"word{i}" for i in range(1000))
+    tree = token_trees.TokenTree(text, counter)
+    tree.apply([(500, 500, " more" * 5000)])
+    sizes = [len(token_trees.chunks_of(x)) for x in np.split(np.array(list(tree.text)), np.cumsum(tree.levels[0][:, 0])[:-1]) for x in ["".join(x)]]
+    assert max(sizes) <= 2 * token_trees.LEAF and sum(sizes) == 6000
+    assert tree.apply([(9000, 9001, "x")]) <= 12
+
+
+def test_stored_trees_take_edits(spark, counter):
+    n = lambda s: len(counter.tokenizer.encode(s, add_special_tokens=False).ids)
+    texts = [None, "", "one two three", "a " * 3000, "same", "same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC).withColumn("tree", F.lit("clash")).withColumn("own", F.col("doc_id") * 2)
+    stored = token_trees.with_trees(docs)
+    edits = "CASE doc_id WHEN 2 THEN array(named_struct('start', 0, 'end', 3, 'new', 'eleven')) WHEN 3 THEN array(named_struct('start', 50, 'end', 999999, 'new', CAST(NULL AS STRING))) WHEN 1 THEN array(named_struct('start', 5, 'end', 9, 'new', 'x')) END"
+    got = {x["doc_id"]: x for x in token_trees.apply_edits(stored.withColumn("edits", F.expr(edits))).collect()}
+    want = {0: None, 1: "x", 2: "eleven two three", 3: "a " * 25, 4: "same", 5: "same"}
+    for i, t in want.items():
+        assert got[i]["text"] == t and got[i]["n_tokens"] == n(t or "") and got[i]["own"] == 2 * i and got[i]["tree"][-1][1] == n(t or "")
+    assert token_trees.apply_edits(stored.limit(0), token_trees.cleaning_edits).count() == 0
 
 
 def test_few_chunks_are_encoded_again(counter):
     text = " ".join(f"word{i}" for i in range(5000))
     tree = token_trees.TokenTree(text, counter)
-    assert tree.apply([(len(text) // 2, len(text) // 2 + 3, "x")]) <= 6
+    assert tree.apply([(len(text) // 2, len(text) // 2 + 3, "x")]) <= 12  # as they were and as they are
 
 
 def test_edit_counts(spark, counter):

@@ -69,6 +69,17 @@ def test_quality_equals_brute_force(spark):
         assert x["_failed"] == failed and x["_kept"] == (not failed and (score or 0) >= -0.1)
 
 
+def test_repeated_windows_in_long_texts(spark, monkeypatch):
+    """Few upper bits make different windows meet, as they do in texts of many million words."""
+    r = random.Random(17)
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(3, 400))) for _ in range(20)] + ["a b c " * 20_000]
+    docs = docs_of(spark, texts)
+    for bits in (26, 55, 6):
+        monkeypatch.setattr(quality_llr, "POSITION_BITS", bits)
+        got = {x["doc_id"]: tuple(x["_base"]) for x in quality_llr.base_features(docs).collect()}
+        assert all(got[i] == base(t) for i, t in enumerate(texts)), bits
+
+
 def test_quality_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     long_text = " ".join(f"w{i}" for i in range(60))
