@@ -156,7 +156,7 @@ def repeated_lines(
     # Written and dealt with a salt, so that the lines of a hot template meet it in many tasks.
     recurring = written(recurring, "recurring").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = (
-        found.withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), F.lit(SALTS)).cast("int")).join(recurring, ["template", "salt"])
+        found.withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), F.lit(SALTS)).cast("int")).join(recurring.hint("merge"), ["template", "salt"])
         .where((F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no")))
         .select("doc_id", "row", "line_no", "kind", "template")
     )
