@@ -9,11 +9,18 @@ from srclens.functions.conditions import ladder
 
 #: SQL type to (ORM type, script type). An unknown type is a varchar and string.
 SQL_TYPES = {
-    "tinyint(1)": ("boolean", "boolean"), "int": ("int", "number"), "integer": ("int", "number"), "tinyint": ("tinyint", "number"),
-    "smallint": ("smallint", "number"), "mediumint": ("mediumint", "number"), "bigint": ("bigint", "string"),
-    "float": ("float", "number"), "double": ("double", "number"), "decimal": ("decimal", "string"), "varchar": ("varchar", "string"),
-    "char": ("char", "string"), "text": ("text", "string"), "longtext": ("longtext", "string"), "date": ("date", "Date"),
-    "datetime": ("datetime", "Date"), "timestamp": ("timestamp", "Date"), "json": ("json", "Record<string, unknown>"), "enum": ("enum", "string"),
+    "tinyint(1)": ("boolean", "boolean"),
+    "tinyint": ("tinyint", "number"), "smallint": ("smallint", "number"), "mediumint": ("mediumint", "number"), "int": ("int", "number"),
+    "integer": ("int", "number"), "bigint": ("bigint", "string"), "serial": ("int", "number"), "bigserial": ("bigint", "string"),
+    "float": ("float", "number"), "double": ("double", "number"), "real": ("real", "number"), "decimal": ("decimal", "string"), "numeric": ("decimal", "string"),
+    "boolean": ("boolean", "boolean"), "bool": ("boolean", "boolean"), "bit": ("bit", "boolean"),
+    "char": ("char", "string"), "varchar": ("varchar", "string"), "tinytext": ("tinytext", "string"), "text": ("text", "string"),
+    "mediumtext": ("mediumtext", "string"), "longtext": ("longtext", "string"),
+    "binary": ("binary", "Buffer"), "varbinary": ("varbinary", "Buffer"), "tinyblob": ("tinyblob", "Buffer"), "blob": ("blob", "Buffer"),
+    "mediumblob": ("mediumblob", "Buffer"), "longblob": ("longblob", "Buffer"), "bytea": ("bytea", "Buffer"),
+    "date": ("date", "string"), "time": ("time", "string"), "datetime": ("datetime", "Date"), "timestamp": ("timestamp", "Date"), "year": ("year", "number"),
+    "json": ("json", "object"), "jsonb": ("jsonb", "object"),
+    "enum": ("enum", "string"), "set": ("set", "string"), "uuid": ("uuid", "string"),
 }
 
 
@@ -21,27 +28,30 @@ def sql_type(type_: Column) -> tuple[Column, Column]:
     """ORM and script type of a column type such as ``tinyint(1)`` or ``BIGINT(20)``."""
     t = F.lower(F.trim(type_))
     base = F.regexp_extract(t, r"^([a-z]+)", 1)
-    pick = lambda k: F.when(t == "tinyint(1)", SQL_TYPES["tinyint(1)"][k]).otherwise(
+    pick = lambda k: F.when((base == "tinyint") & F.contains(t, F.lit("(1)")), SQL_TYPES["tinyint(1)"][k]).otherwise(
         ladder([(base == n, v[k]) for n, v in SQL_TYPES.items() if "(" not in n], ("varchar", "string")[k])
     )
     return pick(0), pick(1)
 
 
-#: Script types of PHP types.
+#: Script types of PHP types; others keep their name.
 PHP_TYPES = {
     "int": "number", "integer": "number", "float": "number", "double": "number", "string": "string", "bool": "boolean", "boolean": "boolean",
-    "array": "any[]", "mixed": "any", "void": "void", "null": "null", "object": "object", "callable": "Function", "iterable": "Iterable<any>",
+    "array": "any[]", "object": "Record<string, any>", "mixed": "any", "void": "void", "null": "null",
 }
 
 
 def php_type(type_: Column) -> Column:
-    """Script type of a PHP type: nullable ``?T``, unions ``A|B`` and arrays ``T[]``; classes keep their name."""
-    one = lambda t: F.when(
-        F.endswith(t, F.lit("[]")), F.concat(ladder([(F.lower(F.rtrim(F.regexp_replace(t, r"\[\]$", ""))) == k, v) for k, v in PHP_TYPES.items()], F.regexp_replace(t, r"\[\]$", "")), F.lit("[]"))
-    ).otherwise(ladder([(F.lower(t) == k, v) for k, v in PHP_TYPES.items()], t))
+    """Script type of a PHP type: nullable ``?T``, unions ``A|B``, arrays ``T[]`` and ``array<T>``; classes keep their name."""
+
+    def one(t: Column) -> Column:
+        inner = F.regexp_replace(t, r"^(array<)+|>+(\[\])*$|(\[\])+$", "")
+        depth = F.regexp_count(t, F.lit(r"\[\]")) + F.regexp_count(t, F.lit("array<"))
+        return F.concat(ladder([(F.lower(inner) == k, v) for k, v in PHP_TYPES.items()], inner), F.repeat(F.lit("[]"), depth))
+
     t = F.trim(type_)
     parts = F.split(F.when(F.startswith(t, F.lit("?")), F.concat(F.substring(t, 2, 1000), F.lit("|null"))).otherwise(t), r"\|")
-    return F.array_join(F.array_distinct(F.transform(parts, lambda x: one(F.trim(x)))), " | ")
+    return F.array_join(F.transform(parts, lambda x: one(F.trim(x))), " | ")
 
 
 def sample_value(name: Column, type_: Column) -> Column:
@@ -86,3 +96,25 @@ def timeout_ms(priority: Column, uses_database: Column) -> Column:
 
 def retries(priority: Column) -> Column:
     return ladder([(priority == k, v) for k, v in RETRIES.items()], 3).cast("long")
+
+
+def resilience(priority: Column, is_hot: Column) -> Column:
+    """Retry, breaker and fallback settings of an endpoint: critical ones fail fast."""
+    critical = priority == "critical"
+    pick = lambda a, b: F.when(critical, a).otherwise(b).cast("long")
+    return F.struct(
+        (~critical).alias("retry_enabled"), pick(2, 3).alias("max_attempts"), pick(50, 100).alias("initial_delay_ms"), pick(3, 5).alias("failure_threshold"),
+        pick(15000, 30000).alias("breaker_timeout_ms"), (~critical).alias("fallback_enabled"), F.when(is_hot, "cache").otherwise("error").alias("fallback"),
+    )
+
+
+def service_name(path: Column) -> Column:
+    """The last part of a module's path in snake case and ``_service``."""
+    from srclens.functions.naming import snake
+
+    return F.concat(snake(F.element_at(F.split(path, "/"), -1)), F.lit("_service"))
+
+
+def entity_name(table: Column) -> Column:
+    """The capitalised parts of a table's name."""
+    return F.array_join(F.transform(F.split(table, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), "")

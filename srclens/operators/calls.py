@@ -23,15 +23,14 @@ def class_usages(files: DataFrame, classes: DataFrame, path: str = "path", conte
     Code is tokenised once into used names, which meet the definitions in an equi-join.
     """
     lines = files.select(path, F.posexplode(F.split(content, "\n", -1)).alias("_at", "_line"))
-    uses = None
-    for kind, pattern in USAGES:
+
+    def hits(kind: str, pattern: str) -> Column:
         names = F.regexp_extract_all("_line", F.lit(pattern), F.lit(1))
         members = F.regexp_extract_all("_line", F.lit(pattern), F.lit(2)) if kind == "static_call" else F.transform(names, lambda _: F.lit(None).cast("string"))
-        one = lines.where(F.col("_line").rlike(pattern)).select(
-            path, (F.col("_at") + 1).cast("long").alias("line"), F.lit(kind).alias("kind"),
-            F.inline(F.arrays_zip(names.alias("class_name"), members.alias("member"))),
-        )
-        uses = one if uses is None else uses.unionByName(one)
+        return F.transform(F.arrays_zip(names.alias("n"), members.alias("m")), lambda x: F.struct(F.lit(kind).alias("kind"), x["n"].alias("class_name"), x["m"].alias("member")))
+
+    found = F.inline(F.concat(*[hits(*u) for u in USAGES]))
+    uses = lines.select(path, (F.col("_at") + 1).cast("long").alias("line"), found)
     return uses.join(classes.select(F.col("name").alias("class_name")).distinct(), "class_name", "left_semi").select(
         path, "line", "kind", "class_name", "member"
     )

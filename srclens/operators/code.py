@@ -9,11 +9,21 @@ from srclens.functions.conditions import ladder
 from srclens.operators.lines import complexity
 from srclens.operators.sqltext import split_at_commas
 
-#: The decision patterns that count towards cyclomatic complexity.
+#: The decision patterns that count towards cyclomatic complexity, without case.
 DECISIONS = (
-    r"(?i)\bif\s*\(", r"(?i)\belseif\s*\(", r"(?i)\belse\s+if\s*\(", r"(?i)\bfor\s*\(", r"(?i)\bforeach\s*\(", r"(?i)\bwhile\s*\(",
-    r"(?i)\bcase\s+", r"(?i)\bcatch\s*\(", r"\?\s*[^:?>\s]", r"&&", r"\|\|", r"\?\?",
-)
+    r"(?i)\bif\s*\(",
+    r"(?i)\belseif\s*\(",
+    r"(?i)\belse\s+if\s*\(",
+    r"(?i)\bfor\s*\(",
+    r"(?i)\bforeach\s*\(",
+    r"(?i)\bwhile\s*\(",
+    r"(?i)\bcase\s+",
+    r"(?i)\bcatch\s*\(",
+    r"(?i)\b\?\s*",
+    r"(?i)\?\?",
+    r"(?i)\band\b|\bor\b",
+    r"(?i)&&|\|\|",
+)
 FUNCTION = r"(?:(static)\s+)?function\s+&?(\w+)\s*\(([^)]*)\)"
 #: Lines that a function may have; beyond, its end isn't searched.
 LONGEST_FUNCTION = 500
@@ -38,7 +48,12 @@ def functions(files: DataFrame, path: str = "path", content: str = "content") ->
         (F.regexp_extract("text", FUNCTION, 1) != "").alias("is_static"),
         split_at_commas(F.regexp_extract("text", FUNCTION, 3)).alias("params"),
     )
-    body = heads.join(lines, "path").where((F.col("line") >= F.col("line_start")) & (F.col("line") < F.col("line_start") + LONGEST_FUNCTION))
+    # A head meets the two buckets of lines that it may reach, not all lines of its file.
+    bucket = lambda line: F.floor(line / LONGEST_FUNCTION)
+    at = bucket(F.col("line_start"))
+    reach = heads.withColumn("_bucket", F.explode(F.array(at, at + 1)))
+    body = reach.join(lines.withColumn("_bucket", bucket(F.col("line"))), ["path", "_bucket"])
+    body = body.where((F.col("line") >= F.col("line_start")) & (F.col("line") < F.col("line_start") + LONGEST_FUNCTION))
     so_far = Window.partitionBy("path", "line_start").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     body = body.withColumn("depth", F.sum("braces").over(so_far)).withColumn("opened", F.max(F.contains("text", F.lit("{"))).over(so_far))
     keys = ["path", "line_start", "name", "is_static", "params"]
@@ -53,6 +68,24 @@ def functions(files: DataFrame, path: str = "path", content: str = "content") ->
     )
 
 
+def phpdoc(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, name, params map<string, string>, returns``: types of the comment block directly before a function; the last of a name wins."""
+    p = r"(?s)/\*\*((?:[^*]|\*[^/])*)\*/\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)"
+    zipped = F.arrays_zip(*[F.regexp_extract_all(content, F.lit(p), F.lit(i)).alias(n) for i, n in ((1, "doc"), (2, "name"))])
+    each = files.select(F.col(path).alias("path"), F.inline(zipped))
+    of = lambda k: F.regexp_extract_all("doc", F.lit(r"@param\s+(\S+)\s+\$(\w+)"), F.lit(k))
+    pairs = F.arrays_zip(of(2).alias("name"), of(1).alias("type"))
+    unique = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["name"] == x["name"]))
+    return each.select("path", "name", F.map_from_entries(unique).alias("params"), F.nullif(F.regexp_extract("doc", r"@return\s+(\S+)", 1), F.lit("")).alias("returns"))
+
+
+def definitions(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, kind, name``: classes, interfaces, traits and functions that start in the first column."""
+    kinds = (("class", r"(?m)^\s*(?:abstract\s+|final\s+)*class\s+(\w+)"), ("interface", r"(?m)^\s*interface\s+(\w+)"), ("trait", r"(?m)^\s*trait\s+(\w+)"), ("function", r"(?m)^function\s+&?(\w+)"))
+    each = lambda kind, p: F.transform(F.regexp_extract_all(content, F.lit(p), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    return files.select(F.col(path).alias("path"), F.inline(F.concat(*[each(*k) for k in kinds]))).distinct()
+
+
 def classes(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``path, name, extends, implements``."""
     p = r"class\s+(\w+)(?:\s+extends\s+(\w+))?(?:\s+implements\s+([\w\s,\\]+))?"
@@ -80,6 +113,22 @@ def session_reads(content: Column) -> Column:
     return F.array_sort(F.array_except(used, written))
 
 
+def cookies(content: Column) -> Column:
+    """Sorted distinct names of cookies that are read or set."""
+    read = F.regexp_extract_all(content, F.lit(r"\$_COOKIE\[['\"](\w+)['\"]\]"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(read, F.regexp_extract_all(content, F.lit(r"\bsetcookie\s*\(\s*['\"](\w+)['\"]"), F.lit(1)))))
+
+
+def body_fields(content: Column) -> Column:
+    """Sorted distinct fields of a decoded JSON body: as array keys, as properties, or of the decoded value itself."""
+    decoded = F.regexp_extract(content, r"\$(\w+)\s*=\s*json_decode\s*\(", 1)
+    key = F.when(decoded != "", F.regexp_extract_all(content, F.concat(F.lit(r"\$"), decoded, F.lit(r"\[['\"](\w+)['\"]\]")), F.lit(1)))
+    prop = F.when(decoded != "", F.regexp_extract_all(content, F.concat(F.lit(r"\$"), decoded, F.lit(r"->(\w+)\b")), F.lit(1)))
+    direct = F.regexp_extract_all(content, F.lit(r"json_decode\s*\([^;]*\)\s*(?:->|\[['\"])(\w+)"), F.lit(1))
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(F.coalesce(key, none), F.coalesce(prop, none), direct)))
+
+
 def return_keys(content: Column) -> Column:
     """Quoted keys of returned literal arrays, in order and distinct."""
     bodies = F.regexp_extract_all(content, F.lit(r"return\s*(?:\[|array\s*\()([^\];]*)"), F.lit(1))

@@ -111,23 +111,32 @@ def best_per_group(rows: DataFrame, key: Sequence[str], order: Sequence[Column])
 def contained_passages(texts: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str, anchor_words: int = 6) -> DataFrame:
     """``key, item`` of the passages that a text contains.
 
-    Every passage is found by its first words: the words' hash is an equi-join key,
-    looked up among all word windows of the texts, and only these pairs are searched.
-    Passages of fewer words than the anchor take a shorter anchor of their own length.
+    Every passage is looked up by an anchor: the hash of words from its inside (its first and last may be cut by what stands around it),
+    or of its first characters if it has no more than two words. Hashes of the texts' windows of the anchors' lengths go through
+    the join with the key alone; the texts are fetched for the hits, and searched.
     """
-    split = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), " ", -1)
     items = passages.select(F.col(item).alias("_item"), F.col(passage).alias("_passage")).where(F.length("_passage") > 0)
-    # The first and last anchor word may be cut by what stands around the passage, so the anchor is taken from inside.
     ws = F.split("_passage", " ", -1)
-    items = items.withColumn("_n", F.least(F.lit(anchor_words), F.size(ws) - 2)).withColumn("_ws", ws)
-    inner = items.where("_n > 0").withColumn("_anchor", F.array_join(F.slice("_ws", F.lit(2), F.col("_n")), " "))
-    short = items.where("_n <= 0")
-    lengths = inner.select("_n").distinct()
-    words = texts.select(key, F.col(text).alias("_text"), split(text).alias("_w"))
-    windows = words.join(F.broadcast(lengths.limit(anchor_words)), F.size("_w") >= F.col("_n")).select(
-        key, "_text", "_n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.col("_n")), " "))))).alias("_h")
-    )
-    hits = windows.join(inner.select("_item", "_passage", "_n", F.xxhash64("_anchor").alias("_h")), ["_n", "_h"])
-    hits = hits.where(F.contains("_text", F.col("_passage"))).select(key, F.col("_item").alias(item))
-    few = words.select(key, "_text").join(short.select("_item", "_passage"), F.contains("_text", F.col("_passage"))).select(key, F.col("_item").alias(item))
-    return hits.unionByName(few).distinct()
+    by_words = F.size(ws) > 2
+    n = F.when(by_words, F.least(F.lit(anchor_words), F.size(ws) - 2)).otherwise(F.least(F.lit(3), F.length("_passage")))
+    anchor = F.when(by_words, F.array_join(F.slice(ws, F.lit(2), n), " ")).otherwise(F.substring("_passage", F.lit(1), n))
+    items = items.select("_item", "_passage", by_words.alias("_words"), n.cast("int").alias("_n"), anchor.alias("_anchor"))
+    # A few kinds and lengths, whatever the number of passages.
+    kinds = [tuple(r) for r in items.select("_words", "_n").distinct().collect()]
+    words = F.split(F.coalesce(F.col(text), F.lit("")), " ", -1)
+
+    def windows(by_words: bool, n: int) -> Column:
+        body = F.col("_w") if by_words else F.col("_t")
+        size = F.size(body) if by_words else F.length(body)
+        piece = lambda i: F.array_join(F.slice(body, i, n), " ") if by_words else F.substring(body, i, F.lit(n))
+        found = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(by_words), F.lit(n), piece(i)))
+        return F.when(size >= n, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+
+    if not kinds:
+        return texts.select(key).crossJoin(passages.select(item).limit(0)).limit(0)
+    split = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"), words.alias("_w"))
+    hashes = split.select(key, F.explode_outer(F.concat(*[windows(*k) for k in sorted(kinds)])).alias("_h"))
+    anchors = items.select("_item", F.xxhash64("_words", "_n", "_anchor").alias("_h"))
+    hits = hashes.join(anchors, "_h").select(key, "_item").distinct()
+    found = texts.select(key, F.col(text).alias("_t")).join(hits, key).join(items.select("_item", "_passage"), "_item")
+    return found.where(F.contains("_t", F.col("_passage"))).select(key, F.col("_item").alias(item)).distinct()

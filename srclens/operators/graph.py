@@ -2,67 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srclens.sources.shared import Scratch, numbered, written
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 30) -> DataFrame:
-    """``node, cluster`` (the smallest node reached) over undirected edges.
 
-    Labels fall to the smallest neighbour's label round by round. A round is one join and one grouping;
-    the lineage is cut by checkpoint() and the driver sees one count.
-    """
-    if not edges.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        configured = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        edges.sparkSession.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="srclens-"))
-    one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("cluster"))
-    for _ in range(max_rounds):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy(F.col("src").alias("node")).agg(F.min("cluster").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")).checkpoint()
-        labels = new.select("node", "cluster")
-        if new.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-
-
-def migration_order(modules: DataFrame, dependencies: DataFrame, limit: int = 5000) -> DataFrame:
-    """``name, place``: modules in dependency order.
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    A step takes, of the modules whose dependencies are all done, the one of least (priority, name); if there is none a
-    cycle is broken by the least (risk is not low, complexity, name). Modules are a summary: more than ``limit`` are refused.
 
-    ``modules``: name, priority, risk, complexity. ``dependencies``: name, needs.
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``id, component`` (the smallest id) of every vertex of the edges ``a, b``, of any type that has an order.
+
+    Large-star and small-star steps alternate until nothing changes: every vertex
+    is linked to the smallest neighbour it knows of, so that a chain of n vertices takes about log n rounds.
+    Each step is one grouping with partial minima and one join, both on single vertices, so a hot vertex is
+    pre-aggregated or split by adaptive execution. The driver sees two numbers a round.
     """
-    rows = modules.select("name", "priority", "risk", "complexity").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} modules")
-    names = {r["name"] for r in rows}
-    known = modules.select("name").distinct()
-    needs: dict[str, set[str]] = {n: set() for n in names}
-    inner = dependencies.join(known, "name", "left_semi").join(known.withColumnRenamed("name", "needs"), "needs", "left_semi").distinct()
-    for r in inner.collect():
-        if r["name"] != r["needs"]:
-            needs[r["name"]].add(r["needs"])
-    by_name = {r["name"]: r for r in rows}
-    done: list[str] = []
-    left = set(names)
-    while left:
-        ready = [n for n in left if not needs[n] & left]
-        if ready:
-            pick = min(ready, key=lambda n: (by_name[n]["priority"], n))
+    with Scratch(edges.sparkSession) as scratch:
+        edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        edges = scratch.written(edges.distinct(), "edges")
+        state = _state(edges)
+        for _ in range(max_rounds):
+            if state[0] == 0:
+                break
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = scratch.written(large.where(F.col("a") != F.col("b")).distinct(), "large-star")
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges = scratch.written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+            scratch.drop(keep=1)
+            before, state = state, _state(edges)
+            if before == state:
+                break
         else:
-            pick = min(left, key=lambda n: (by_name[n]["risk"] != "low", by_name[n]["complexity"], n))
-        done.append(pick)
-        left.remove(pick)
-    return modules.sparkSession.createDataFrame(list(enumerate_from_one(done)), "name string, place long")
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+        found = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+        return written(found, "components")
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node, cluster`` (the smallest node reached) over undirected edges; a loop makes a cluster of its own."""
+    one = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    found = connected_components(one).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    alone = one.where("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("cluster")))
 
 
-def enumerate_from_one(names: list[str]) -> list[tuple[str, int]]:
-    return [(n, i + 1) for i, n in enumerate(names)]
+def migration_order(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """``name, place``: modules in dependency order.
+
+    A step takes, of the modules whose dependencies are all done, the one of least (priority, name); if there is none a
+    cycle is broken by the least (risk is not low, complexity, name). Rounds over tables do many steps at once: the
+    ready modules in their order, up to the first that unlocks a module that comes before the next one. The driver sees counts only.
+
+    ``modules``: name, priority, risk, complexity. ``dependencies``: name, needs (those on no module of the table don't count).
+    """
+    with Scratch(modules.sparkSession) as scratch:
+        left = scratch.written(modules.select("name", "priority", (F.col("risk") != "low").alias("risky"), "complexity"), "modules")
+        known = left.select("name")
+        needs = dependencies.where(F.col("name") != F.col("needs")).select("name", "needs").distinct()
+        needs = needs.join(known, "name", "left_semi").join(known.withColumnRenamed("name", "needs"), "needs", "left_semi")
+        needs = scratch.written(needs.select("name", "needs"), "needs")
+        done, n_done, total = None, 0, left.count()
+        while n_done < total:
+            ready = left.join(needs.select("name").distinct(), "name", "left_anti")
+            if ready.isEmpty():
+                taken = left.orderBy("risky", "complexity", "name").limit(1).select("name", F.lit(0).cast("long").alias("rank"))
+            else:
+                ranked = numbered(ready.select("name", "priority"), F.col("priority").asc(), F.col("name").asc())
+                # A module whose open needs are all ready is unlocked by the last of them; it may come before the next ready one.
+                waits = needs.join(ranked.select(F.col("name").alias("needs"), "rank"), "needs", "left")
+                unlocked = waits.groupBy("name").agg(F.max("rank").alias("by"), F.count_if(F.col("rank").isNull()).alias("n_open")).where("n_open = 0")
+                unlocked = unlocked.join(left.select("name", "priority"), "name")
+                following = ranked.select(F.col("rank").alias("_next"), F.struct("priority", "name").alias("_key"))
+                early = unlocked.join(following, F.col("_next") == F.col("by") + 1).where(F.struct("priority", "name") < F.col("_key"))
+                last = early.agg(F.min("by")).first()[0]
+                taken = ranked.where(F.col("rank") <= last if last is not None else F.lit(True)).select("name", "rank")
+            taken = scratch.written(taken.select("name", (F.col("rank") + n_done + 1).alias("place")), "taken")
+            done = taken if done is None else done.unionByName(taken)
+            n_done += taken.count()
+            left = scratch.written(left.join(taken, "name", "left_anti"), "modules")
+            gone = taken.select(F.col("name").alias("needs"))
+            needs = scratch.written(needs.join(gone, "needs", "left_anti").join(taken.select("name"), "name", "left_anti").select("name", "needs"), "needs")
+        if done is None:
+            return modules.select("name", F.lit(0).cast("long").alias("place")).limit(0)
+        return written(done, "migration-order")
 
 
 def leftover_cluster(files: DataFrame, clustered: DataFrame, file: str, table: str) -> DataFrame:
@@ -74,4 +103,5 @@ def renumbered(rows: DataFrame, custom: list[str], name: str, fallback: str) ->
     """``place``: by a custom list of names, else after 100 by ``fallback``."""
     at = F.array_position(F.array(*[F.lit(x) for x in custom]), F.col(name))
     key = F.when(at > 0, at).otherwise(100 + F.col(fallback))
-    return rows.withColumn("rank_key", key.cast("long")).withColumn("place", F.row_number().over(Window.orderBy("rank_key", name)).cast("long"))
+    keyed = rows.withColumn("rank_key", key.cast("long"))
+    return numbered(keyed, F.col("rank_key").asc(), F.col(name).asc(), name="place").withColumn("place", F.col("place") + 1)

@@ -13,6 +13,12 @@ from srclens.operators import code, lines, scan
 from srclens.operators.scan import Rule
 
 
+#: Parts of file names that raise and lower the entry score, and those of include files.
+ENTRY_NAMES = ("index", "main", "home", "login", "register")
+INCLUDE_NAMES = ("include", "inc", "lib", "func", "class", "config")
+INCLUDE_STEMS = ("inc", "include", "lib", "class", "func", "config", "init", "bootstrap")
+
+
 def findings(files: DataFrame, rules: Sequence[Rule] = rule_sets.ALL, path: str = "path", content: str = "content") -> DataFrame:
     """``path, rule_id, family, type, severity, line, snippet`` of all rules."""
     inside = [r for r in rules if not r.multiline]
@@ -37,6 +43,71 @@ def pagination(found: DataFrame, path: str = "path") -> DataFrame:
     return merged.join(sorts, path, "left").withColumn("has_sort", F.coalesce("has_sort", F.lit(False)))
 
 
+def transactions(found: DataFrame, path: str = "path") -> DataFrame:
+    """Transaction findings with ``lock_type`` (null for those that don't lock) and whether their file rolls back."""
+    kinds = (("for\\s+update", "row"), ("share", "share"), ("tables?", "table"), ("get_lock", "named"), ("flock", "file"), ("sem_acquire", "semaphore"))
+    lock = F.when(F.col("type") == "lock", ladder([(F.col("snippet").rlike(f"(?i){p}"), kind) for p, kind in kinds]))
+    return with_lock_and_rollback(found, path).withColumn("lock_type", lock)
+
+
+def events(found: DataFrame) -> DataFrame:
+    """Event findings with ``name`` (unknown if none is given) and ``is_producer``."""
+    own = found.where("family = 'event'")
+    name = F.when(F.col("snippet").rlike(r"^[\w.:/-]+$"), F.col("snippet")).otherwise("unknown")
+    return own.withColumn("name", name).withColumn("is_producer", F.col("type").isin(*rule_sets.PRODUCERS))
+
+
+def http_codes(found: DataFrame, path: str = "path") -> DataFrame:
+    """``path, codes``: the sorted distinct HTTP codes that a file answers with."""
+    own = found.where((F.col("type") == "http_code") & F.col("snippet").rlike(r"^\d{3}$"))
+    return own.groupBy(path).agg(F.array_sort(F.collect_set(F.col("snippet").cast("int"))).alias("codes"))
+
+
+def rate_limits(found: DataFrame) -> DataFrame:
+    """Rate limit findings with ``limit_value`` and ``window_seconds``, integers or null."""
+    number = F.regexp_extract("snippet", r"^(\d+)$", 1).try_cast("long")
+    own = found.where("family = 'rate_limit'")
+    return own.withColumn("limit_value", F.when(F.col("type") == "counter", number)).withColumn("window_seconds", F.when(F.col("type") == "window", number))
+
+
+def roles(found: DataFrame, path: str = "path") -> DataFrame:
+    """``path, roles map<string, array<string>>``: the roles that a file checks, and all permissions under ``default``."""
+    own = found.where("type in ('role', 'permission') and snippet rlike '^[A-Za-z][A-Za-z0-9_.]*$'")
+    of = lambda t: F.array_sort(F.collect_set(F.when(F.col("type") == t, F.col("snippet"))))
+    both = own.groupBy(path).agg(of("role").alias("r"), of("permission").alias("p"))
+    empty = F.array().cast("array<string>")
+    entries = F.concat(
+        F.transform(F.filter("r", lambda x: x != "default"), lambda x: F.struct(x.alias("key"), empty.alias("value"))),
+        F.when(F.size("p") > 0, F.array(F.struct(F.lit("default").alias("key"), F.col("p").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:array<string>>>")),
+    )
+    return both.select(path, F.map_from_entries(entries).alias("roles"))
+
+
+def log_levels(found: DataFrame) -> DataFrame:
+    """Logging findings with ``level`` and ``has_context`` (a variable in the call)."""
+    own = found.where("family = 'logging'")
+    level = F.coalesce(F.nullif(F.lower(F.regexp_extract("snippet", r"(?i)\b(emergency|alert|critical|error|warning|notice|info|debug)\b", 1)), F.lit("")), F.lit("info"))
+    return own.withColumn("level", F.when(F.col("type") == "error_log", "error").otherwise(level)).withColumn("has_context", F.contains("snippet", F.lit("$")))
+
+
+def config_values(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, line, kind, name, value``: configured names with their values without quotes."""
+    at = scan.text_lines(files, path, content)
+
+    def hits(kind: str, pattern: str) -> Column:
+        names, values = (F.regexp_extract_all("content", F.lit(pattern), F.lit(k)) for k in (1, 2))
+        plain = lambda v: F.regexp_replace(F.trim(v), r"^['\"]|['\"]$", "")
+        return F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.struct(F.lit(kind).alias("kind"), x["n"].alias("name"), plain(x["v"]).alias("value")))
+
+    return at.select(path, "line", F.inline(F.concat(*[hits(*c) for c in rule_sets.CONFIG_VALUES])))
+
+
+def with_advice(found: DataFrame) -> DataFrame:
+    """Security findings with ``description`` and ``recommendation`` of their type."""
+    pick = lambda k: ladder([(F.col("type") == t, v[k]) for t, v in rule_sets.ADVICE.items()])
+    return found.where("family = 'security'").withColumn("description", pick(0)).withColumn("recommendation", pick(1))
+
+
 def cache_ttl(content: Column, key: Column) -> Column:
     """The first number after a comma within 200 characters of a cache key, as an integer."""
     near = F.substring(content, F.instr(content, key), F.lit(200))
@@ -55,18 +126,28 @@ def file_metrics(files: DataFrame, path: str = "path", content: str = "content")
         F.count_if(~F.col("in_php") & ~opens & F.col("content").rlike("<[a-zA-Z/]")).alias("html_lines"),
     )
     text = F.col(content)
+    own = files.select(
+        path, lines.complexity(content, code.DECISIONS).alias("cyclomatic_complexity"), F.regexp_count(content, F.lit(r"\bfunction\s+\w+")).cast("long").alias("n_functions"),
+        *[F.contains(text, F.lit(f"$_{n}")).alias(f"_{n}") for n in ("GET", "POST", "REQUEST", "SESSION")], F.startswith(F.ltrim(text), F.lit("<?")).alias("_opens"),
+        F.contains(text, F.lit("header(")).alias("_header"), text.rlike("|".join(f"(?:{p})" for _, p in rule_sets.OUTPUT_POINTS)).alias("_output"),
+    )
+    joined = counts.join(own, path)
+    name = F.lower(F.substring_index(path, "/", -1))
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(name, w))
     score = lines.additive_score(
-        [(text.rlike(r"\$_(GET|POST|REQUEST)\b"), 2), (text.rlike(r"<html|<!DOCTYPE"), 2), (text.rlike(r"\bsession_start\s*\("), 1.5), (text.rlike(r"\bheader\s*\("), 1), (text.rlike(r"\becho\b"), 0.5),
-         (text.rlike(r"\b(include|require)(_once)?\b"), 0.5), (F.col(path).rlike(r"(index|main|login|admin)\.php$"), 1), (text.rlike(r"^\s*<\?php\s+(abstract\s+)?class\s"), -2), (text.rlike(r"json_encode\s*\("), 1.5), (F.col(path).rlike(r"(config|functions|helpers?|lib)\w*\.php$"), -2)]
+        [(F.col("_GET"), 2), (F.col("_POST"), 2), (F.col("_REQUEST"), 1.5), (F.col("html_lines") > 5, 1), (F.col("_SESSION"), 0.5), (F.col("_opens"), 0.5), (F.col("_header"), 1),
+         (~F.col("_output") & (F.col("n_functions") > 3), -2), (has(ENTRY_NAMES), 1.5), (has(INCLUDE_NAMES), -2)]
     )
-    own = files.select(path, lines.complexity(content, code.DECISIONS).alias("cyclomatic_complexity"), score.alias("entry_score"), F.regexp_count(content, F.lit(r"\bfunction\s+\w+")).cast("long").alias("n_functions"))
-    return counts.join(own, path).withColumn("is_mixed", (F.col("php_lines") > 10) & (F.col("html_lines") > 10)).withColumn("class", lines.entry_class(F.col("entry_score"), F.col("n_functions")))
+    joined = joined.withColumn("entry_score", score).drop(*[f"_{n}" for n in ("GET", "POST", "REQUEST", "SESSION", "opens", "header", "output")])
+    return joined.withColumn("is_mixed", (F.col("php_lines") > 10) & (F.col("html_lines") > 10)).withColumn("class", lines.entry_class(F.col("entry_score"), F.col("n_functions")))
 
 
 def is_include_file(path: Column, content: Column) -> Column:
     """Named like an include, or defines things without output or request handling."""
-    named = path.rlike(r"(?i)(config|function|include|header|footer|helper|common|lib)[^/]*$")
-    return named | (content.rlike(r"\b(function|class|define)\b") & ~content.rlike(r"\b(echo|print)\b|<html") & ~content.rlike(r"\$_(GET|POST|REQUEST)\b"))
+    stem = F.lower(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""))
+    named = F.exists(F.array(*[F.lit(w) for w in INCLUDE_STEMS]), lambda w: F.contains(stem, w))
+    output = content.rlike(r"(?i)\becho\b|\bprint\b|<html|<body|\?>.*<")
+    return named | (content.rlike(r"\bfunction\s+\w+|\bclass\s+\w+") & ~output & ~content.rlike(r"\$_(?:GET|POST|REQUEST)"))
 
 
 def api_info(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -77,11 +77,11 @@ def scan_texts(texts: DataFrame, rules: Sequence[Rule], key: str = "doc_id", tex
     The text between matches gives offset and line: the pieces around m matches are m + 1, so
     sums over the pieces before a match place it.
     """
+    # The texts are read once: the pieces of all rules stand in one array.
     content = F.coalesce(text, F.lit(""))
-    pieces = [texts.where(content.rlike(r.pattern)).select(key, F.inline(_pieces(r, content))) for r in rules]
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
+    fields = "rule_id:string,family:string,type:string,severity:string,ordinal:bigint,before:string,match:string,snippet:string"
+    none = F.array().cast(f"array<struct<{fields}>>")
+    out = texts.select(key, F.inline(F.concat(*[F.when(content.rlike(r.pattern), _pieces(r, content)).otherwise(none) for r in rules])))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     order = Window.partitionBy(key, "rule_id").orderBy("ordinal")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)

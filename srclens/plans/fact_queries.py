@@ -267,7 +267,17 @@ def dependency_roots(t: Tables) -> DataFrame:
     return correlate.roots(edges, "user_id", "target")
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT name, n_regionkey, n_regionkey + 1 AS priority, CASE WHEN security > 10 OR complexity > 300 THEN 'high' WHEN security > 5 OR complexity > 150 THEN 'medium' ELSE 'low' END AS risk, complexity FROM <MODULES>),
+f AS (SELECT n_regionkey, min(name) AS needs FROM m GROUP BY n_regionkey),
+d AS (SELECT name, needs FROM m JOIN f USING (n_regionkey) WHERE name <> needs UNION SELECT a.needs, b.needs FROM f a JOIN f b ON a.n_regionkey = (b.n_regionkey + 4) % 5 WHERE a.needs <> b.needs),
+n AS (SELECT m.name, priority, risk, complexity, list(needs) FILTER (WHERE needs IS NOT NULL) AS needs FROM m LEFT JOIN d ON d.name = m.name GROUP BY ALL),
+s AS (SELECT 0 AS place, CAST(NULL AS VARCHAR) AS name, CAST([] AS VARCHAR[]) AS done
+  UNION ALL SELECT place + 1, pick, list_append(done, pick) FROM (
+    SELECT s.place, s.done, arg_min(n.name, CASE WHEN len(list_filter(coalesce(n.needs, []), lambda v: NOT list_contains(s.done, v))) = 0 THEN {'a': 0, 'b': n.priority, 'c': 0, 'd': n.name}
+      ELSE {'a': 1, 'b': CASE WHEN n.risk <> 'low' THEN 1 ELSE 0 END, 'c': n.complexity, 'd': n.name} END) AS pick
+    FROM s JOIN n ON NOT list_contains(s.done, n.name) GROUP BY s.place, s.done) x)
+SELECT name, CAST(place AS BIGINT) AS place FROM s WHERE place > 0""".replace("<MODULES>", MODULES))
 def migration_order(t: Tables) -> DataFrame:
     m = modules(t)
     rows = m.select("name", (F.col("n_regionkey") + 1).alias("priority"), rollup.risk_bucket(F.col("security"), F.col("complexity")).alias("risk"), "complexity")
@@ -425,15 +435,14 @@ def known_tables(t: Tables) -> DataFrame:
 @query("SELECT event_type AS state, count(*) AS n FROM events GROUP BY event_type")
 def status_stream(t: Tables) -> DataFrame:
     stream = status.file_stream(t.spark, t.sf_dir, "events.parquet", t.events.schema)
-    import uuid
-
-    return status.run_once(status.status_counts(stream, "event_type"), f"status_{uuid.uuid4().hex}")
+    return status.run_once(status.status_counts(stream, "event_type"), ["state"])
 
 
 @query("""
 SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def windowed_events(t: Tables) -> DataFrame:
-    return status.windowed_counts(t.events, "ts", "event_type").select(F.col("window_start"), "event_type", "n")
+    stream = status.file_stream(t.spark, t.sf_dir, "events.parquet", t.events.schema)
+    return status.run_once(status.windowed_counts(stream, "ts", "event_type"), ["window_start", "event_type"])
 
 
 @query("""

@@ -119,9 +119,9 @@ _CONNECTIVES = (r" and ", r" or ", r" if ", r" the ", r" that ")
 
 @query("""
 SELECT doc_id, CAST(1 + len(regexp_extract_all(text, ' and ')) + len(regexp_extract_all(text, ' or ')) + len(regexp_extract_all(text, ' if '))
-  + len(regexp_extract_all(text, ' the ')) + len(regexp_extract_all(text, ' that ')) AS BIGINT) AS complexity FROM documents WHERE lang = 'en'""")
+  + len(regexp_extract_all(text, ' the ')) + len(regexp_extract_all(text, ' that ')) AS BIGINT) AS complexity FROM documents""")
 def complexity_score(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", lines.complexity("text", _CONNECTIVES).alias("complexity"))
+    return t.documents.select("doc_id", lines.complexity("text", _CONNECTIVES).alias("complexity"))
 
 
 @query("""
@@ -172,11 +172,11 @@ def call_points_text(t: Tables) -> DataFrame:
 @query("""
 SELECT d.doc_id, CAST(len(list_intersect(e, a)) AS BIGINT) AS n_matched, CAST(len(e) - len(list_intersect(e, a)) AS BIGINT) AS n_missing, CAST(len(a) - len(list_intersect(e, a)) AS BIGINT) AS n_extra,
   round(100.0 * len(list_intersect(e, a)) / greatest(len(e), 1), 4)::DOUBLE AS coverage
-FROM (SELECT doc_id, list_distinct(string_split(substring(text, 1, position(chr(10) IN text || chr(10)) - 1), ' ')) AS e, list_distinct(string_split(replace(text, chr(10), ' '), ' ')) AS a FROM documents WHERE lang = 'fr') d""")
+FROM (SELECT doc_id, list_distinct(string_split(substring(text, 1, position(chr(10) IN text || chr(10)) - 1), ' ')) AS e, list_distinct(string_split(replace(text, chr(10), ' '), ' ')) AS a FROM documents) d""")
 def first_line_coverage(t: Tables) -> DataFrame:
     first = F.split(F.substring_index("text", "\n", 1), " ")
     every = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    return t.documents.where("lang = 'fr'").select("doc_id", *coverage.array_coverage(first, every))
+    return t.documents.select("doc_id", *coverage.array_coverage(first, every))
 
 
 @query("""
@@ -189,7 +189,8 @@ def field_coverage(t: Tables) -> DataFrame:
     langs = t.documents.select("lang").distinct().agg(F.collect_set("lang").alias("langs"))
     words = t.benchmark.select(F.explode(F.split("text", " ")).alias("f")).withColumn("langs", langs.scalar())
     expected = words.select(F.explode("langs").alias("lang"), "f")
-    actual = t.documents.select("lang", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("f"))
+    # A document's words are made distinct before they are exploded.
+    actual = t.documents.select("lang", F.explode_outer(F.array_distinct(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "))).alias("f")).where("f is not null")
     return coverage.field_coverage(expected, actual, ["lang"], "f")
 
 

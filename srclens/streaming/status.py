@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srclens.sources.shared import shared_dir
+
 
 def status_counts(stream: DataFrame, status: str = "status") -> DataFrame:
     """Counts by the leading word of a status (``completed:12`` is completed), for batch or stream."""
@@ -23,8 +28,18 @@ def file_stream(spark: SparkSession, folder: str, glob: str, schema: str, max_fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(folder)
 
 
-def run_once(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Everything available now, driven to its end; the result as a table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_once(df: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFrame:
+    """Everything available now, driven to its end; the last result of each key as a table.
+
+    Every micro-batch is written to the shared folder by the executors; nothing is gathered in the driver.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def save(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/results/_batch_no={n}")
+
+    query = df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    found = df.sparkSession.read.schema(df.schema.add("_batch", "int")).parquet(f"{path}/results/*")
+    values = [c for c in df.columns if c not in keys]
+    return found.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in values]).select(*df.columns)
