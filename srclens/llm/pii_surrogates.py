@@ -530,7 +530,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` held in the struct ``doc``, with the new ``text`` and ``kinds``, the kinds of the entities in text order."""
     new = replacements(docs.select("doc_id", "text"), key)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("old"), *_row())
-    out = held.join(new, (F.col("row") == F.col("found_row")) & (F.col("check") == F.col("found_check")), "left")
+    out = held.join(new.hint("merge"), (F.col("row") == F.col("found_row")) & (F.col("check") == F.col("found_check")), "left")
     # The pattern of a document follows from its text, so that no name has to be stored.
     out = out.withColumn("names", F.when(F.col("new").isNotNull(), name_words(titled_names(F.col("old")))))
     pattern = F.when(F.size("names") > 0, pattern_with(F.col("names"))).otherwise(F.lit(ENTITY))
