@@ -165,7 +165,7 @@ PAGINATION = _rules(
         ("param", "low", r"\$_(?:GET|POST|REQUEST)\[['\"](limit)['\"]\]", 1),
         ("param", "low", r"\$_(?:GET|POST|REQUEST)\[['\"](offset|start)['\"]\]", 1),
         ("param", "low", r"\$_(?:GET|POST|REQUEST)\[['\"](per_page|page_size)['\"]\]", 1),
-        ("param", "low", r"\$(per_?page|page_?size)\b", 1),
+        ("param", "low", r"(?i)\$(per_?page|page_?size)\b", 1),
         ("sort", "low", r"(?i)\bORDER\s+BY\b"),
         ("sort", "low", r"\$_(?:GET|POST|REQUEST)\[['\"](?:sort|order|sort_by|order_by)['\"]\]"),
         ("sort", "low", r"(?i)\bu?[ak]?r?sort\s*\(\s*\$"),

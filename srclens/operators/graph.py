@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srclens.sources.shared import Scratch, numbered, written
 
 
+#: Rows that one task numbers at most; more are numbered over range partitions.
+FEW = 10_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -71,21 +75,30 @@ def migration_order(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
         done, n_done, total = None, 0, left.count()
         while n_done < total:
             ready = left.join(needs.select("name").distinct(), "name", "left_anti")
-            if ready.isEmpty():
+            n_ready = ready.count()
+            if not n_ready:
+                n_taken = 1
                 taken = left.orderBy("risky", "complexity", "name").limit(1).select("name", F.lit(0).cast("long").alias("rank"))
             else:
-                ranked = numbered(ready.select("name", "priority"), F.col("priority").asc(), F.col("name").asc())
+                order, ready = [F.col("priority").asc(), F.col("name").asc()], ready.select("name", "priority")
+                if n_ready <= FEW:
+                    ranked = ready.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+                else:
+                    ranked = numbered(ready, *order)
                 # A module whose open needs are all ready is unlocked by the last of them; it may come before the next ready one.
                 waits = needs.join(ranked.select(F.col("name").alias("needs"), "rank"), "needs", "left")
                 unlocked = waits.groupBy("name").agg(F.max("rank").alias("by"), F.count_if(F.col("rank").isNull()).alias("n_open")).where("n_open = 0")
                 unlocked = unlocked.join(left.select("name", "priority"), "name")
                 following = ranked.select(F.col("rank").alias("_next"), F.struct("priority", "name").alias("_key"))
                 early = unlocked.join(following, F.col("_next") == F.col("by") + 1).where(F.struct("priority", "name") < F.col("_key"))
-                last = early.agg(F.min("by")).first()[0]
-                taken = ranked.where(F.col("rank") <= last if last is not None else F.lit(True)).select("name", "rank")
+                last = early.agg(F.min("by")).first()[0] if n_ready > 1 else None
+                n_taken = n_ready if last is None else last + 1
+                taken = ranked.where(F.col("rank") < n_taken).select("name", "rank")
             taken = scratch.written(taken.select("name", (F.col("rank") + n_done + 1).alias("place")), "taken")
             done = taken if done is None else done.unionByName(taken)
-            n_done += taken.count()
+            n_done += n_taken
+            if n_done == total:
+                break
             left = scratch.written(left.join(taken, "name", "left_anti"), "modules")
             gone = taken.select(F.col("name").alias("needs"))
             needs = scratch.written(needs.join(gone, "needs", "left_anti").join(taken.select("name"), "name", "left_anti").select("name", "needs"), "needs")

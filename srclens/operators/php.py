@@ -24,10 +24,12 @@ def findings(files: DataFrame, rules: Sequence[Rule] = rule_sets.ALL, path: str
     inside = [r for r in rules if not r.multiline]
     across = [r for r in rules if r.multiline]
     cols = [path, "rule_id", "family", "type", "severity", "line", "snippet"]
-    out = scan.scan_lines(files, inside, path, content).select(*cols)
+    out = []
+    if inside:
+        out.append(scan.scan_lines(files, inside, path, content).select(*cols))
     if across:
-        out = out.unionByName(scan.scan_texts(files, across, path, content).select(path, "rule_id", "family", "type", "severity", F.col("line").cast("long").alias("line"), "snippet"))
-    return out
+        out.append(scan.scan_texts(files, across, path, content).select(path, "rule_id", "family", "type", "severity", F.col("line").cast("long").alias("line"), "snippet"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def with_lock_and_rollback(found: DataFrame, path: str = "path") -> DataFrame:

@@ -28,7 +28,7 @@ def json_with_fallback(spark: SparkSession, paths: Sequence[str], schema: str) -
 
 
 def file_list(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length`` of all files below ``root``; contents aren't read."""
+    """``path, length`` of all files below ``root`` that aren't empty; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
 
 

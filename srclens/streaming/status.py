@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srclens.sources.shared import shared_dir
 
@@ -19,7 +20,7 @@ def status_counts(stream: DataFrame, status: str = "status") -> DataFrame:
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts in tumbling windows of event time; rows later than ``late`` are dropped by the watermark."""
     return (
-        stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"))
+        stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), key, "n")
     )
 
@@ -40,6 +41,7 @@ def run_once(df: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFr
 
     query = df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = df.sparkSession.read.schema(df.schema.add("_batch", "int")).parquet(f"{path}/results/*")
+    schema = T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])
+    found = df.sparkSession.read.schema(schema).parquet(f"{path}/results/*")
     values = [c for c in df.columns if c not in keys]
     return found.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in values]).select(*df.columns)

@@ -84,6 +84,57 @@ def test_components(spark):
     assert rows(graph.components(edges, "x", "y")) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("f", "a")]
 
 
+def test_a_long_chain_is_one_component(spark):
+    chain = spark.range(10_000).selectExpr("id AS x", "id + 1 AS y")
+    assert rows(graph.components(chain, "x", "y").groupBy("cluster").count()) == [(0, 10_001)]
+
+
+def test_migration_order_equals_steps(spark):
+    import random
+
+    r = random.Random(4)
+    for n in (1, 6, 14):
+        names = [f"m{i}" for i in range(n)]
+        m = [(x, r.randrange(3), r.choice(["low", "high"]), r.randrange(4)) for x in names]
+        d = [(r.choice(names), r.choice([*names, "unknown"])) for _ in range(2 * n)]
+        needs = {x: {b for a, b in d if a == x and b != x and b in names} for x in names}
+        by, done = {x[0]: x for x in m}, []
+        while len(done) < n:
+            left = [x for x in names if x not in done]
+            ready = [x for x in left if needs[x] <= set(done)]
+            done.append(min(ready, key=lambda x: (by[x][1], x)) if ready else min(left, key=lambda x: (by[x][2] != "low", by[x][3], x)))
+        got = graph.migration_order(spark.createDataFrame(m, "name string, priority int, risk string, complexity int"), spark.createDataFrame(d, "name string, needs string"))
+        assert [x["name"] for x in got.orderBy("place").collect()] == done
+    none = spark.createDataFrame([], "name string, priority int, risk string, complexity int")
+    assert graph.migration_order(none, spark.createDataFrame([], "name string, needs string")).count() == 0
+
+
+def test_every_rule_has_a_sample():
+    import re
+
+    from srclens.functions import rule_sets
+    from srclens.plans import code_texts
+
+    text = chr(10).join(code_texts.SAMPLES)
+    for rule in rule_sets.ALL:
+        assert re.search(rule.pattern, text), rule
+    sizes = {"security": 32, "external_api": 8, "transaction": 13, "event": 18, "error": 10, "pagination": 12, "cache": 20, "rate_limit": 10, "resilience": 16, "logging": 9, "include": 8}
+    for family, n in sizes.items():
+        assert sum(r.family == family for r in rule_sets.ALL) == n, family
+
+
+def test_discovery(spark, tmp_path):
+    from srclens.sources import discovery
+
+    (tmp_path / "b.json").write_text('{"a": 3}')
+    (tmp_path / "x.sql").write_text("SELECT 1")
+    paths = [str(tmp_path / "a.json"), str(tmp_path / "b.json")]
+    assert discovery.first_existing(spark, paths) == paths[1] and discovery.first_existing(spark, paths[:1]) is None
+    assert discovery.json_with_fallback(spark, paths, "a long").first()["a"] == 3 and discovery.json_with_fallback(spark, paths[:1], "a long").count() == 0
+    found = discovery.discovered(discovery.file_list(spark, str(tmp_path))).collect()
+    assert [(r["kind"], r["is_used"]) for r in found] == [("sql", True)]
+
+
 def test_route_conditions_and_conflicts(spark):
     kinds = ["c", "c", "r", "r", "c", "x", "r"]  # x is a rule without a target
     data = spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "f int, n int, k string")
