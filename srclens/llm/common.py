@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srclens.sources.shared import Scratch, numbered, shared_dir, written
+
+__all__ = ["WHITE", "Scratch", "clean_text", "leading_words", "n_words", "numbered", "shared_dir", "table", "where_last", "words", "written"]
+
 #: White space that separates words: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\f\r"
 
@@ -51,81 +52,9 @@ def leading_words(text: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), found["end"].cast("int"))
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """``df`` written with the place of each row in the order, from 0, and read back.
-
-    The rows are sorted over range partitions and numbered inside them; only the sizes of partitions are summed up in one place.
-    """
-    mask = (1 << 33) - 1
-    placed = written(
-        df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(mask))),
-        "numbered",
-    )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
-    offsets = sizes.select("_part", before.alias("_before"))  # one row a partition
-    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def n_words(text: str | Column = "text") -> Column:
     return F.size(words(text)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where a local session has none (tests) a temporary one is set; on a cluster
-    that would be a folder of one machine, so there its absence is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-llm-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back.
-
-    This cuts the lineage: what follows is recomputed from the files when an
-    executor is lost, and a table that several branches read is computed once.
-    """
-    return Scratch(df.sparkSession).written(df, name)
-
-
-class Scratch:
-    """Tables in the shared folder that are needed until the end of a ``with`` block.
-
-    What the block returns must not read them: its results are tables of their own.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.paths: list[str] = []
-
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, keep: int = 0) -> None:
-        """Deletes the tables but the last ``keep``."""
-        gone = self.paths[: len(self.paths) - keep]
-        self.paths = self.paths[len(gone) :]
-        for path in gone:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *error) -> None:
-        self.drop()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

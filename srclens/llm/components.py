@@ -1,45 +1,5 @@
 """Connected components of an edge table by alternating star contraction."""
 
-from __future__ import annotations
+from srclens.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from srclens.llm.common import Scratch, written
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``id, component`` (the smallest id) of every vertex of the edges ``a, b``, of any type that has an order.
-
-    Large-star and small-star steps alternate until nothing changes: every vertex
-    is linked to the smallest neighbour it knows of. Each step is one grouping with
-    partial minima and one join, both on single vertices, so a hot vertex is
-    pre-aggregated or split by adaptive execution. The driver sees two numbers a round.
-    """
-    with Scratch(edges.sparkSession) as scratch:
-        edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        edges = scratch.written(edges.distinct(), "edges")
-        state = _state(edges)
-        for _ in range(max_rounds):
-            if state[0] == 0:
-                break
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-            large = scratch.written(large.where(F.col("a") != F.col("b")).distinct(), "large-star")
-            least = large.groupBy("a").agg(F.min("b").alias("m"))
-            small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-            edges = scratch.written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-            scratch.drop(keep=1)
-            before, state = state, _state(edges)
-            if before == state:
-                break
-        else:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-        roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-        found = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
-        return written(found, "components")
+__all__ = ["connected_components"]
