@@ -47,3 +47,11 @@ def under_path(path: Column, root: str) -> Column:
 def clipped(text: Column, n: int, mark: str = "...") -> Column:
     """The first ``n`` characters, with a mark only if something is cut."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
+
+
+def domain_of_path(path: str | Column, keywords: Mapping[str, str], otherwise: str, reach: int = 3) -> Column:
+    """The value of the first keyword in a path's last ``reach`` parts, read from the right without extension, ``_`` and ``-``."""
+    parts = F.slice(F.reverse(F.split(F.lower(col(path)), "/")), 1, reach)
+    clean = lambda p: F.regexp_replace(F.regexp_replace(p, r"\.php$", ""), "[_-]", "")
+    found = F.filter(F.transform(parts, lambda p: ladder([(F.contains(clean(p), F.lit(k)), v) for k, v in keywords.items()])), lambda v: v.isNotNull())
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(otherwise))

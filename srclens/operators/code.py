@@ -95,6 +95,14 @@ def classes(files: DataFrame, path: str = "path", content: str = "content") -> D
     )
 
 
+def singletons(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, class_name``: classes asked for by ``getInstance``, and those of the file that keep a static ``$instance``."""
+    asked = F.regexp_extract_all(content, F.lit(r"([A-Za-z_]\w*)::getInstance\s*\("), F.lit(1))
+    own = F.when(F.col(content).rlike(r"\bstatic\s+\$_?instance\b"), F.regexp_extract_all(content, F.lit(r"\bclass\s+(\w+)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    named = F.filter(F.array_distinct(F.concat(asked, own)), lambda n: ~n.isin("self", "parent", "static"))
+    return files.select(F.col(path).alias("path"), F.explode(named).alias("class_name"))
+
+
 def superglobals(content: Column) -> Column:
     """The superglobals that a text mentions, in a fixed order."""
     names = ("$_GET", "$_POST", "$_REQUEST", "$_SESSION", "$_COOKIE", "$_FILES", "$_SERVER", "$_ENV", "$GLOBALS")

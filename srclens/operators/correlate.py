@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srclens.functions.conditions import ladder
+from srclens.sources.shared import written
 
 
 def file_tables(accesses: DataFrame, file: str, table: str) -> DataFrame:
@@ -36,6 +37,7 @@ def co_occurrence(pairs: DataFrame, least_common: int = 2) -> DataFrame:
 
 def coupling(pairs: DataFrame, least_common: int = 2) -> DataFrame:
     """Co-occurrence with both tables' file counts, the ratio to the smaller and its strength."""
+    pairs = written(pairs.select("file", "table"), "pairs")  # they are read four times
     counts = pairs.groupBy("table").agg(F.count("*").alias("n"))
     out = co_occurrence(pairs, least_common)
     out = out.join(counts.select(F.col("table").alias("t1"), F.col("n").alias("n1")), "t1")

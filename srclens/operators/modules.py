@@ -102,6 +102,11 @@ def interactions(endpoint_rows: DataFrame) -> DataFrame:
     return endpoint_rows.select("message", F.explode(cases).alias("case"))
 
 
+def interaction_summary(cases: DataFrame) -> DataFrame:
+    """``case, n``: interactions by case."""
+    return cases.groupBy("case").agg(F.count("*").alias("n"))
+
+
 def key_decisions(summary: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """``decision`` of each ``(SQL condition, decision)`` that holds on a one-row summary."""
     found = F.filter(F.array(*[F.when(F.expr(c), F.lit(d)) for c, d in rules]), lambda x: x.isNotNull())

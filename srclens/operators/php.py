@@ -201,6 +201,13 @@ def parameters(functions: DataFrame) -> DataFrame:
     )
 
 
+def with_doc_types(parameters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Parameters with ``type``: the hint, else the type in the comment block of their function (:func:`code.phpdoc`)."""
+    known = docs.select(F.col("path").alias("_p"), F.col("name").alias("_n"), F.explode("params").alias("_param", "_type")).dropDuplicates(["_p", "_n", "_param"])
+    out = parameters.join(known, (F.col("path") == F.col("_p")) & (F.col("name") == F.col("_n")) & (F.col("param") == F.col("_param")), "left")
+    return out.withColumn("type", F.coalesce("type_hint", "_type")).drop("_p", "_n", "_param", "_type")
+
+
 def returns(functions: DataFrame) -> DataFrame:
     """``path, name, types, nullable, keys``: distinct inferred types of the returned values in order of the code."""
     values = F.regexp_extract_all("body", F.lit(r"\breturn\s+([^;]+);"), F.lit(1))

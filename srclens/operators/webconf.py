@@ -35,6 +35,17 @@ def rewrite_rules(files: DataFrame, base: str = "", path: str = "path", content:
     return found.withColumn("priority", (F.row_number().over(Window.partitionBy(path).orderBy("line")) - 1).cast("long"))
 
 
+def rewrite_summary(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, n_rules, n_conditions, flags, is_front_controller``: counts of a file and whether a rule sends everything to one index script."""
+    rule = r"(?m)^\s*RewriteRule\s+(\S+)\s+(\S+)(?:\s+\[([^\]]*)\])?"
+    flags = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(rule), F.lit(3)), lambda f: F.split(f, r"\s*,\s*")))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(flags, lambda f: F.substring_index(f, "=", 1)), lambda f: f != "")))
+    return files.select(
+        path, F.regexp_count(content, F.lit(rule)).cast("long").alias("n_rules"), F.regexp_count(content, F.lit(r"(?m)^\s*RewriteCond\s")).cast("long").alias("n_conditions"),
+        names.alias("flags"), F.col(content).rlike(r"(?m)^\s*RewriteRule\s+\^?(?:\(?\.[*+]\)?\$?|\^?)\s+/?index\.php").alias("is_front_controller"),
+    )
+
+
 def nginx_locations(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``path, pattern, template, target``: the target is the fastcgi script if there is one, else the last of try_files."""
     p = r"location\s+(?:[~^=*]+\s+)?(\S+)\s*\{([^}]*)\}"

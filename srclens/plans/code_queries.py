@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srclens.functions import derive, naming, rule_sets
+from srclens.functions import conditions, derive, naming, rule_sets
 from srclens.operators import calls, code, ddl, modules, php, scan, sqltext, synthesis, webconf
 from srclens.operators.scan import Rule
 from srclens.plans import code_texts as texts
 from srclens.plans.fact_queries import MODULES
 from srclens.plans.fact_queries import modules as module_rows
 from srclens.plans.registry import QUERIES, Tables, query
-from srclens.sources import discovery
+from srclens.sources import discovery, files
 
 P, D, R, N = texts.PHP.key_sql, texts.DDL.key_sql, texts.REWRITES.key_sql, texts.NGINX.key_sql
 
@@ -80,8 +80,8 @@ def code_definitions(t: Tables) -> DataFrame:
 WITH u AS (SELECT {P} AS path, CAST(20 AS BIGINT) AS line, 'instantiation' AS kind, (p_partkey + 1) % 100 AS k, CAST(NULL AS VARCHAR) AS member FROM part UNION ALL SELECT {P}, 22, 'static_call', p_partkey % 50, 'find' FROM part)
 SELECT path, line, kind, 'Part' || k AS class_name, member FROM u WHERE k IN (SELECT p_partkey FROM part)""")
 def code_class_usages(t: Tables) -> DataFrame:
-    files = texts.PHP.frame(t)
-    return calls.class_usages(files, code.classes(files))
+    own = texts.PHP.frame(t)
+    return calls.class_usages(own, code.classes(own))
 
 
 @query(f"""
@@ -550,3 +550,56 @@ SELECT p_partkey, 'Part' || p_partkey AS entity_name, 'part_' || p_partkey AS sn
 def name_forms(t: Tables) -> DataFrame:
     table = texts.line_column("part_«p_partkey»")
     return t.part.select("p_partkey", derive.entity_name(table).alias("entity_name"), naming.snake(table).alias("snake"), naming.kebab(table).alias("kebab"), naming.camel(table).alias("camel"))
+
+
+@query(f"""
+SELECT {P} AS path, CASE WHEN f = 1 THEN 'load_' || p_partkey ELSE 'find' END AS name, param, type FROM part, (VALUES (1, 'id', 'int'), (1, 'opts', 'array'), (2, 'id', '?int'), (2, 'row', NULL)) v(f, param, type)""")
+def code_parameter_types(t: Tables) -> DataFrame:
+    files = texts.PHP.frame(t)
+    return php.with_doc_types(php.parameters(code.functions(files)), code.phpdoc(files)).select("path", "name", "param", "type")
+
+
+_SINGLE = texts.Corpus("part", "/s/c«p_partkey».php", ["class Keeper«p_size % 4» {", "  private static $«CASE WHEN p_size % 2 = 0 THEN 'instance' ELSE 'other' END»;", "}", "$x = Cache«p_size % 3»::getInstance(); self::getInstance();"])
+
+
+@query("""
+SELECT '/s/c' || p_partkey || '.php' AS path, 'Cache' || p_size % 3 AS class_name FROM part UNION ALL SELECT '/s/c' || p_partkey || '.php', 'Keeper' || p_size % 4 FROM part WHERE p_size % 2 = 0""")
+def code_singletons(t: Tables) -> DataFrame:
+    return code.singletons(_SINGLE.frame(t))
+
+
+_FRONT = texts.Corpus("customer", "/w/«c_custkey»/.htaccess", ["RewriteCond %{REQUEST_FILENAME} !-f", "RewriteRule «CASE WHEN c_nationkey % 2 = 0 THEN '^(.*)$' ELSE '^a/(.*)$' END» index.php?q=$1 [QSA,L]", "RewriteRule ^old$ new.php [R=301]"])
+
+
+@query("""
+SELECT '/w/' || c_custkey || '/.htaccess' AS path, CAST(2 AS BIGINT) AS n_rules, CAST(1 AS BIGINT) AS n_conditions, 'L,QSA,R' AS flags, c_nationkey % 2 = 0 AS is_front_controller FROM customer""")
+def rewrite_summary(t: Tables) -> DataFrame:
+    return webconf.rewrite_summary(_FRONT.frame(t)).select("path", "n_rules", "n_conditions", joined("flags"), "is_front_controller")
+
+
+_WORDS = {"user": "users", "auth": "auth", "pay": "payments", "cart": "cart"}
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'cart' WHEN 1 THEN 'users' WHEN 2 THEN 'payments' WHEN 3 THEN 'core' ELSE 'users' END AS domain FROM customer""")
+def domain_of_path(t: Tables) -> DataFrame:
+    forms = ["/user/lib/a/my_cart.php", "/x/User-Auth.php", "/auth/b/pa_y/z.php", "/user/a/b/c.php", "/a/users/b.php"]
+    path = F.coalesce(*[F.when(F.col("c_custkey") % 5 == i, F.lit(f)) for i, f in enumerate(forms)])
+    return t.customer.select("c_custkey", conditions.domain_of_path(path, _WORDS, "core").alias("domain"))
+
+
+@query("""
+WITH p AS (SELECT row_number() OVER (ORDER BY event_type) AS place, event_type AS phase FROM (SELECT DISTINCT event_type FROM events)),
+l AS (SELECT event_type AS phase, arg_max(CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'failed' END, event_id) AS status FROM events GROUP BY 1)
+SELECT phase FROM p WHERE phase <> 'click' AND phase NOT IN (SELECT phase FROM l WHERE status = 'completed')""")
+def phases_to_run(t: Tables) -> DataFrame:
+    names = t.events.select(F.col("event_type").alias("phase")).distinct()
+    log = t.events.select(F.col("event_type").alias("phase"), F.when(F.col("user_id") % 2 == 0, "completed").otherwise("failed").alias("status"), F.col("event_id").alias("at"))
+    return files.phases_to_run(names.withColumn("place", F.lit(1)), log, ["click"]).select("phase")
+
+
+@query("""
+SELECT 'success' AS "case", count(*) AS n FROM customer UNION ALL SELECT 'not_found', count(*) FILTER (WHERE c_custkey % 3 = 0) FROM customer""")
+def interaction_summary(t: Tables) -> DataFrame:
+    rows = t.customer.select(texts.line_column("m.«c_custkey»").alias("message"), F.when(F.col("c_custkey") % 3 == 0, "getAll").otherwise("save").alias("method"))
+    return modules.interaction_summary(modules.interactions(rows))

@@ -77,3 +77,16 @@ def markdown(df: DataFrame, limit: int = 100) -> str:
 def pending(jobs: DataFrame, outputs: DataFrame, key: str, size: str = "size", least: int = 100) -> DataFrame:
     """Jobs without an output of more than ``least`` bytes: an incremental run skips the others."""
     return jobs.join(outputs.where(F.col(size) > least).select(key).distinct(), key, "left_anti")
+
+
+def phases_to_run(phases: DataFrame, log: DataFrame, skip: Sequence[str] = (), resume_from: str | None = None) -> DataFrame:
+    """``phases`` (``place, phase``) that a run has to do: not those skipped, done by their last ``log`` row (``phase, status, at``), or before ``resume_from``.
+
+    The phase to resume from runs again, whatever the log says.
+    """
+    last = log.groupBy("phase").agg(F.max_by("status", "at").alias("status")).where("status = 'completed'")
+    if resume_from is not None:
+        last = last.where(F.col("phase") != resume_from)
+        start = phases.where(F.col("phase") == resume_from).select(F.min("place").alias("_start"))
+        phases = phases.where(F.col("place") >= F.coalesce(start.scalar(), F.lit(0)))
+    return phases.where(~F.col("phase").isin(*skip)).join(last, "phase", "left_anti")
