@@ -76,24 +76,27 @@ def migration_order(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
         while n_done < total:
             ready = left.join(needs.select("name").distinct(), "name", "left_anti")
             n_ready = ready.count()
+            # Without a ready module cycles are broken one after another, until that makes a module ready.
+            by = ["priority", "name"] if n_ready else ["risky", "complexity", "name"]
             if not n_ready:
-                n_taken = 1
-                taken = left.orderBy("risky", "complexity", "name").limit(1).select("name", F.lit(0).cast("long").alias("rank"))
+                ready, n_ready = left, total - n_done
+            order = [F.col(c).asc() for c in by]
+            if n_ready <= FEW:
+                ranked = ready.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
             else:
-                order, ready = [F.col("priority").asc(), F.col("name").asc()], ready.select("name", "priority")
-                if n_ready <= FEW:
-                    ranked = ready.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-                else:
-                    ranked = numbered(ready, *order)
-                # A module whose open needs are all ready is unlocked by the last of them; it may come before the next ready one.
-                waits = needs.join(ranked.select(F.col("name").alias("needs"), "rank"), "needs", "left")
-                unlocked = waits.groupBy("name").agg(F.max("rank").alias("by"), F.count_if(F.col("rank").isNull()).alias("n_open")).where("n_open = 0")
-                unlocked = unlocked.join(left.select("name", "priority"), "name")
+                ranked = numbered(ready, *order)
+            # A module whose open needs are all ranked is unlocked by the last of them.
+            waits = needs.join(ranked.select(F.col("name").alias("needs"), "rank"), "needs", "left")
+            unlocked = waits.groupBy("name").agg(F.max("rank").alias("by"), F.count_if(F.col("rank").isNull()).alias("n_open")).where("n_open = 0")
+            if by[0] == "priority":  # it counts if it comes before the next ready one
                 following = ranked.select(F.col("rank").alias("_next"), F.struct("priority", "name").alias("_key"))
-                early = unlocked.join(following, F.col("_next") == F.col("by") + 1).where(F.struct("priority", "name") < F.col("_key"))
-                last = early.agg(F.min("by")).first()[0] if n_ready > 1 else None
-                n_taken = n_ready if last is None else last + 1
-                taken = ranked.where(F.col("rank") < n_taken).select("name", "rank")
+                early = unlocked.join(left.select("name", "priority"), "name").join(following, F.col("_next") == F.col("by") + 1)
+                early = early.where(F.struct("priority", "name") < F.col("_key"))
+            else:  # it counts if it isn't broken out before
+                early = unlocked.join(ranked.select("name", "rank"), "name").where(F.col("rank") > F.col("by"))
+            last = early.agg(F.min("by")).first()[0] if n_ready > 1 else None
+            n_taken = n_ready if last is None else last + 1
+            taken = ranked.where(F.col("rank") < n_taken).select("name", "rank")
             taken = scratch.written(taken.select("name", (F.col("rank") + n_done + 1).alias("place")), "taken")
             done = taken if done is None else done.unionByName(taken)
             n_done += n_taken
