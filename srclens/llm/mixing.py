@@ -34,15 +34,15 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 #: Words of a block, until the corpus has MAX_BLOCKS of them.
-BLOCK_WORDS = 1 << 13
-MAX_BLOCKS = 1 << 19
+BLOCK_WORDS = 1 << 15
+MAX_BLOCKS = 1 << 17
 #: Words of an output shard, or BLOCKS_A_SHARD blocks if these are more.
 SHARD_WORDS = 1 << 23
-BLOCKS_A_SHARD = 16
+BLOCKS_A_SHARD = 4
 #: Sources whose quotas stand in one array.
 GROUP = 1024
-#: Rows of a table that is broadcast (numbers and a source name): 100 MB at most.
-MAX_BROADCAST_ROWS = 1 << 20
+#: Rows of a table that is broadcast, of some 200 bytes each (numbers, draws and a source name).
+MAX_BROADCAST_ROWS = 1 << 18
 SEED = 20240229
 
 
