@@ -17,7 +17,9 @@ overlapping edits are merged in order; null edits are none; repeated rows give r
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -86,19 +88,25 @@ class TokenTree:
     def __init__(self, text: str, counter: Counter, levels: list[list[int]] | None = None) -> None:
         self.text, self.counter = text, counter
         self.encoded = 0
+        #: The leaf found last and where its chunks start and end, as edits come in order; None after a change.
+        self.near: tuple[int, list[int]] | None = None
         if levels is None:
             self._build(self._leaves(chunks_of(text)))
         else:
             self.levels = [np.array(x, np.int64).reshape(-1, 2) for x in levels]
 
-    def _leaves(self, chunks: list[str]) -> np.ndarray:
-        """Characters and tokens of leaves of LEAF chunks."""
+    def _counts(self, chunks: list[str]) -> list[int]:
         counts = list(map(self.counter.cache.get, chunks))
         if None in counts:
             counts = [self.counter.one(c) if n is None else n for c, n in zip(chunks, counts, strict=True)]
         self.encoded += len(chunks)
+        return counts
+
+    def _leaves(self, chunks: list[str]) -> np.ndarray:
+        """Characters and tokens of leaves of LEAF chunks."""
         if not chunks:
             return np.zeros((1, 2), np.int64)
+        counts = self._counts(chunks)
         at = np.arange(0, len(chunks), LEAF)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         return np.stack([np.add.reduceat(lengths, at), np.add.reduceat(np.array(counts, np.int64), at)], axis=1)
@@ -132,15 +140,43 @@ class TokenTree:
             node = node * FAN + k
         return node, start, start + int(self.levels[0][node, 0])
 
+    def _leaf(self, offset: int) -> tuple[int, list[int]]:
+        """The leaf of the character at ``offset`` and the bounds of its chunks."""
+        if self.near is None or not self.near[1][0] <= offset < self.near[1][-1]:
+            leaf, start, end = self.find(offset)
+            self.near = leaf, list(accumulate(map(len, chunks_of(self.text[start:end])), initial=start))
+        return self.near
+
     def _chunk(self, offset: int) -> tuple[int, int]:
         """Where the chunk of the character at ``offset`` starts and ends."""
-        _, start, end = self.find(offset)
-        at = start
-        for chunk in chunks_of(self.text[start:end]):
-            if at + len(chunk) > offset:
-                return at, at + len(chunk)
-            at += len(chunk)
-        return max(start, end - 1), end
+        bounds = self._leaf(offset)[1]
+        k = min(bisect_right(bounds, offset) - 1, len(bounds) - 2)
+        return bounds[k], bounds[k + 1]
+
+    def _taken(self, low: int, high: int, changes: dict[int, list[int]]) -> int:
+        """Takes the characters and tokens between two chunk bounds from their leaves; returns the first leaf.
+
+        A leaf that goes as a whole takes its stored sums along; only parts of leaves are encoded.
+        """
+        if low >= high:
+            return self._leaf(low)[0] if self.text else 0
+        leaf, bounds = self._leaf(low)
+        first, start, end = leaf, bounds[0], bounds[-1]
+        while True:
+            upto = min(high, end)
+            if low == start and upto == end:
+                tokens = int(self.levels[0][leaf, 1])
+            else:
+                tokens = sum(self._counts(chunks_of(self.text[low:upto])))
+            change = changes.setdefault(leaf, [0, 0])
+            change[0] -= upto - low
+            change[1] -= tokens
+            if upto == high:
+                return first
+            low = start = end
+            while start == end:  # leaves without characters are passed over
+                leaf += 1
+                end += int(self.levels[0][leaf, 0])
 
     def apply(self, edits: list[tuple[int, int, str]]) -> int:
         """Replace the character ranges ``[start, end)`` of the present text; returns the chunks encoded again."""
@@ -153,9 +189,10 @@ class TokenTree:
             reach = end
             low, high = 0, size
             if size:
-                low = self._chunk(start)[0]
+                last = size - 1
+                low = self._chunk(min(start, last))[0]
                 low = self._chunk(low - 1)[0] if low else 0
-                high = self._chunk(max(end - 1, start))[1]
+                high = self._chunk(min(max(end - 1, start), last))[1]
                 high = self._chunk(high)[1] if high < size else size
             if regions and low < regions[-1][1]:
                 regions[-1][1] = max(high, regions[-1][1])
@@ -163,21 +200,11 @@ class TokenTree:
             else:
                 regions.append([low, high, [(start, end, new)]])
         before = self.encoded
-        changes: dict[int, np.ndarray] = {}  # characters and tokens that leaves gain
+        changes: dict[int, list[int]] = {}  # characters and tokens that leaves gain
         grown: dict[int, int] = {}  # chunks put into leaves
         parts, at = [], 0
         for low, high, inside in regions:
-            first, leaf_start, leaf_end = self.find(low)
-            leaf = first
-            place = low
-            for chunk in chunks_of(self.text[low:high]):
-                while place >= leaf_end and leaf + 1 < len(self.levels[0]):
-                    leaf += 1
-                    leaf_start, leaf_end = leaf_end, leaf_end + int(self.levels[0][leaf, 0])
-                changes.setdefault(leaf, np.zeros(2, np.int64))
-                changes[leaf] -= (len(chunk), self.counter.one(chunk))
-                self.encoded += 1
-                place += len(chunk)
+            first = self._taken(low, high, changes)
             made, start = [], low
             for a, b, new in inside:
                 made += [self.text[start:a], new]
@@ -186,11 +213,12 @@ class TokenTree:
             parts += [self.text[at:low], made]
             at = high
             chunks = chunks_of(made)
-            changes.setdefault(first, np.zeros(2, np.int64))
-            changes[first] += (len(made), sum(map(self.counter.one, chunks)))
-            self.encoded += len(chunks)
+            change = changes.setdefault(first, [0, 0])
+            change[0] += len(made)
+            change[1] += sum(self._counts(chunks))
             grown[first] = grown.get(first, 0) + len(chunks)
         self.text = "".join([*parts, self.text[at:]])
+        self.near = None
         for leaf, change in changes.items():
             self.levels[0][leaf] += change
         large = sorted(x for x, n in grown.items() if n > LEAF)
@@ -214,7 +242,9 @@ class TokenTree:
             if len(chunks) > 2 * LEAF:
                 out += [leaves[at:x], self._leaves(chunks)]
                 at = x + 1
-        self._build(np.concatenate([*out, leaves[at:]]))
+        leaves = np.concatenate([*out, leaves[at:]])
+        filled = leaves[leaves[:, 0] > 0]
+        self._build(filled if len(filled) else leaves[:1])
 
 
 #: Cleaning edits of the registered query: symbol runs go, addresses and long numbers become short marks.
