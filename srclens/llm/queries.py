@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srclens.llm import (
+    alignment,
     chat_repair,
     gif_media,
     html_cut,
@@ -18,6 +19,8 @@ from srclens.llm import (
     pii_surrogates,
     quality_llr,
     token_trees,
+    whitening,
+    word_languages,
 )
 from srclens.llm.common import n_words, table
 
@@ -101,6 +104,23 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the documents that aren't held out; every document is labelled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = word_languages.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    found = word_languages.languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_llr": op2_quality_llr,
@@ -112,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_html_cut": op9_html_cut,
     "op10_chat_repair": op10_chat_repair,
+    "op11_pair_bitmaps": op11_pair_bitmaps,
+    "op12_word_languages": op12_word_languages,
+    "op13_spectrum_slicing": op13_spectrum_slicing,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
