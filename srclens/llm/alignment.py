@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -32,10 +33,11 @@ from srclens.llm.packing import default_ranks, rank_encoding
 #: Documents of a block at most, and links after which a block ends.
 SLOTS = 4096
 BLOCK_LINKS = 1 << 21
-#: Chunks whose alignment a Python worker keeps, and the longest that is kept.
+#: Chunks whose alignment a Python worker keeps (twice as many at most), and the longest that is kept.
 CACHED_CHUNKS = 250_000
 LONGEST_CHUNK = 48
 _CUT = re.compile(r"(?<=\S)(?= )")
+_SPACED = re.compile(r"^ |\s ")
 _BITMAP = SLOTS // 8
 
 
@@ -52,7 +54,9 @@ class Aligner:
         import sentencepiece
 
         encoding = rank_encoding(ranks)
-        self.encode_a, self.bytes_a = encoding.encode_ordinary, encoding.decode_single_token_bytes
+        self.encode_a = encoding.encode_ordinary
+        known = dict(zip(encoding._mergeable_ranks.values(), encoding._mergeable_ranks, strict=True))
+        self.size_a = [len(known.get(i, b"")) for i in range(max(known) + 1)]
         model = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.encode_b = model.encode
         self.n_b = model.get_piece_size()
@@ -60,29 +64,51 @@ class Aligner:
         if any(re.search("[^▁]▁", x) for x in names):
             raise ValueError(f"pieces of {pieces} go on after a space")
         self.bytes_b = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.cache: dict[str, tuple[int, int, str, bytes] | None] = {}
-
-    def chunk(self, chunk: str) -> tuple[int, int, str, bytes] | None:
-        """The alignment of a chunk that begins with a space; None if its tokens have other bytes."""
-        a, b = self.encode_a(chunk), self.encode_b(chunk[1:])
-        parts_a, parts_b = list(map(self.bytes_a, a)), [self.bytes_b[x] for x in b]
-        found = None
-        if b"".join(parts_a) == b"".join(parts_b) == chunk.encode():
-            ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-            at_a, at_b = {x: i for i, x in enumerate(ends_a)}, {x: i for i, x in enumerate(ends_b)}
-            groups, codes, i, j = [], [], 0, 0
-            for end in ends_a:
-                k = at_b.get(end)
-                if k is not None:
-                    h = at_a[end]
-                    groups.append(f"{','.join(map(str, a[i : h + 1]))}|{','.join(map(str, b[j : k + 1]))}")
-                    codes.append(a[h] * self.n_b + b[k])
+        self.size_b = list(map(len, self.bytes_b))
+        self.shown = list(map(str, range(max(len(self.size_a), self.n_b))))
+        self.cache: dict[str, tuple[int, int, str, bytes] | tuple] = {}
+        self.older: dict[str, tuple[int, int, str, bytes] | tuple] = {}
+
+    def chunk(self, chunk: str) -> tuple[int, int, str, bytes] | tuple:
+        """The alignment of a space and ``chunk``; empty if B's tokens have other bytes. A's always have the text's."""
+        a, b = self.encode_a(" " + chunk), self.encode_b(chunk)
+        found: tuple = ()
+        if b"".join([self.bytes_b[x] for x in b]) == (" " + chunk).encode():
+            shown, size_a, size_b = self.shown, self.size_a, self.size_b
+            groups, codes, i, j = [], array("q"), 0, 0
+            at_b, k = size_b[b[0]], 0
+            at_a = 0
+            for h, x in enumerate(a):
+                at_a += size_a[x]
+                while at_b < at_a:
+                    k += 1
+                    at_b += size_b[b[k]]
+                if at_b == at_a:
+                    y = b[k]
+                    if i == h and j == k:
+                        groups.append(f"{shown[x]}|{shown[y]}")
+                    else:
+                        groups.append(f"{','.join([shown[z] for z in a[i : h + 1]])}|{','.join([shown[z] for z in b[j : k + 1]])}")
+                    codes.append(x * self.n_b + y)
                     i, j = h + 1, k + 1
-            found = len(a), len(b), ";".join(groups), np.array(codes, "<i8").tobytes()
+            found = len(a), len(b), ";".join(groups), codes.tobytes()
         if len(chunk) <= LONGEST_CHUNK:
-            if len(self.cache) >= CACHED_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = found
+            self._keep(chunk, found)
+        return found
+
+    def _keep(self, chunk: str, found: tuple) -> None:
+        if len(self.cache) >= CACHED_CHUNKS:
+            self.cache, self.older = {}, self.cache
+        self.cache[chunk] = found
+
+    def _missed(self, chunk: str) -> tuple:
+        """What isn't at hand: seen in the same text, kept before the cache was renewed, or new."""
+        found = self.cache.get(chunk)
+        if found is None:
+            found = self.older.get(chunk)
+            if found is None:
+                return self.chunk(chunk)
+            self._keep(chunk, found)
         return found
 
     def __call__(self, text: str | None) -> tuple[int, int, str, np.ndarray]:
@@ -90,10 +116,14 @@ class Aligner:
         none = 0, 0, "", np.zeros(0, np.int64)
         if not text:
             return none
-        text = " " + text
-        cache = self.cache
-        found = [cache[c] if c in cache else self.chunk(c) for c in _CUT.split(text)]
+        # Chunks without their leading space; where no space follows white space each one is a chunk's.
+        plain = not _SPACED.search(text)
+        chunks = text.split(" ") if plain else [c[1:] for c in _CUT.split(" " + text)]
+        get = self.cache.get
+        found = [get(c) for c in chunks]
         if None in found:
+            found = [self._missed(c) if x is None else x for c, x in zip(chunks, found, strict=True)]
+        if () in found:
             return none
         a, b, groups, codes = zip(*found, strict=True)
         return sum(a), sum(b), hashlib.sha256(";".join(groups).encode()).hexdigest(), np.frombuffer(b"".join(codes), "<i8")
