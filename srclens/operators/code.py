@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srclens.functions.conditions import ladder
+from srclens.operators import lexer
 from srclens.operators.lines import complexity
 from srclens.operators.sqltext import split_at_commas
+from srclens.sources.shared import written
 
 #: The decision patterns that count towards cyclomatic complexity, without case.
 DECISIONS = (
@@ -24,43 +26,63 @@ DECISIONS = (
     r"(?i)\band\b|\bor\b",
     r"(?i)&&|\|\|",
 )
-FUNCTION = r"(?:(static)\s+)?function\s+&?(\w+)\s*\(([^)]*)\)"
-#: Lines that a function may have; beyond, its end isn't searched.
-LONGEST_FUNCTION = 500
+#: What may stand before ``function``.
+MODIFIERS = ("public", "protected", "private", "static", "abstract", "final")
 
 
-def code_lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    return files.select(F.col(path).alias("path"), F.posexplode(F.split(content, "\n", -1)).alias("_at", "text")).select("path", (F.col("_at") + 1).cast("long").alias("line"), "text")
+def token_table(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Code tokens of files with their depth (:mod:`lexer`), written once for what reads them more than once."""
+    return written(lexer.with_depth(lexer.code_tokens(lexer.tokens(files, path, content))), "tokens")
 
 
-def functions(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``path, name, params, is_static, line_start, line_end, line_count, cyclomatic_complexity, calls_db``.
+def function_ranges(tokens: DataFrame) -> DataFrame:
+    """``path, name, is_static, starts, line_start, opens, closes, body_opens, ends, line_end``: functions by the places of
+    their keyword, parentheses and braces; the last three are null without a body, the name is null if there is none.
 
-    A function ends where the running count of braces since its start returns to 0 after having opened; else on the next line.
+    On the level of its parentheses a function's brackets go ``( ) { }``; without a body ``;`` comes third, and a nameless one may have ``use ( )`` in between.
     """
-    lines = code_lines(files, path, content)
-    depth = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
-    lines = lines.withColumn("braces", depth)
-    heads = lines.where(F.col("text").rlike(FUNCTION)).select(
-        "path",
-        F.col("line").alias("line_start"),
-        F.regexp_extract("text", FUNCTION, 2).alias("name"),
-        (F.regexp_extract("text", FUNCTION, 1) != "").alias("is_static"),
-        split_at_commas(F.regexp_extract("text", FUNCTION, 3)).alias("params"),
+    by = Window.partitionBy("path").orderBy("pos")
+    back = lambda k: F.lag(F.struct("token", "kind", "pos", "line"), k).over(by).alias(f"_b{k}")
+    rows = tokens.select("*", *[back(k) for k in range(1, 7)])
+    word = lambda c: F.lower(F.col(f"{c}.token")) == "function"
+    # Tokens from the keyword to the parenthesis: function [&] [name].
+    after = F.when(word("_b1"), 1).when(word("_b2") & ((F.col("_b1.kind") == "name") | (F.col("_b1.token") == "&")), 2).when(word("_b3") & (F.col("_b2.token") == "&") & (F.col("_b1.kind") == "name"), 3)
+    named = F.col("_b1.kind").eqNullSafe("name") & (after > 1)
+    head = F.get(F.array("_b1", "_b2", "_b3"), after - 1)
+    earlier = F.transform(F.slice(F.array(*[f"_b{k}" for k in range(1, 7)]), after + 1, 3), lambda x: x["token"])
+    modifier = F.transform(earlier, lambda t: F.coalesce(F.lower(t).isin(*MODIFIERS), F.lit(False)))
+    is_static = F.exists(F.sequence(F.lit(1), F.lit(3)), lambda i: (F.lower(F.get(earlier, i - 1)) == "static") & F.forall(F.slice(modifier, F.lit(1), i), lambda x: x))
+    is_head = (F.col("token") == "(") & (F.col("kind") == "mark") & after.isNotNull()
+    found = F.when(is_head, F.struct(F.when(named, F.col("_b1.token")).alias("name"), F.coalesce(is_static, F.lit(False)).alias("is_static"), head["pos"].alias("starts"), head["line"].alias("line_start")))
+    level = F.when(F.col("token").isin(*lexer.CLOSING), F.col("depth") - 1).otherwise(F.col("depth"))
+    marks = rows.where((F.col("kind") == "mark") & F.col("token").isin(*lexer.OPENING, *lexer.CLOSING, ";")).select("path", "pos", "line", "token", level.alias("level"), found.alias("_f"))
+    on = Window.partitionBy("path", "level").orderBy("pos")
+    marks = marks.select("*", *[F.lead(F.struct("token", "pos", "line"), k).over(on).alias(f"_a{k}") for k in range(1, 6)]).where(F.col("_f").isNotNull())
+    brace = F.when(F.col("_a2.token") == "{", F.struct(F.col("_a2").alias("open"), F.col("_a3").alias("close"))).when(
+        F.col("_f.name").isNull() & (F.col("_a2.token") == "(") & (F.col("_a4.token") == "{"), F.struct(F.col("_a4").alias("open"), F.col("_a5").alias("close"))
     )
-    # A head meets the two buckets of lines that it may reach, not all lines of its file.
-    bucket = lambda line: F.floor(line / LONGEST_FUNCTION)
-    at = bucket(F.col("line_start"))
-    reach = heads.withColumn("_bucket", F.explode(F.array(at, at + 1)))
-    body = reach.join(lines.withColumn("_bucket", bucket(F.col("line"))), ["path", "_bucket"])
-    body = body.where((F.col("line") >= F.col("line_start")) & (F.col("line") < F.col("line_start") + LONGEST_FUNCTION))
-    so_far = Window.partitionBy("path", "line_start").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("depth", F.sum("braces").over(so_far)).withColumn("opened", F.max(F.contains("text", F.lit("{"))).over(so_far))
-    keys = ["path", "line_start", "name", "is_static", "params"]
-    ends = body.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("opened") & (F.col("depth") <= 0), F.col("line"))), F.col("line_start") + 1).alias("line_end"))
-    parts = body.select("path", "line_start", "line", "text").join(ends, ["path", "line_start"]).where(F.col("line") <= F.col("line_end"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    out = parts.groupBy(*keys, "line_end").agg(text.alias("body"))
+    marks = marks.withColumn("_body", brace)
+    return marks.select(
+        "path", "_f.*", F.col("pos").alias("opens"), F.col("_a1.pos").alias("closes"), F.col("_body.open.pos").alias("body_opens"), F.col("_body.close.pos").alias("ends"), F.col("_body.close.line").alias("line_end")
+    )
+
+
+def functions(files: DataFrame, path: str = "path", content: str = "content", tokens: DataFrame | None = None) -> DataFrame:
+    """``path, name, params, is_static, line_start, line_end, line_count, cyclomatic_complexity, calls_db, body``.
+
+    Bodies end at the brace that matches their first one, however far away; braces in strings, comments, heredocs and page text don't count. A function
+    without a body, or whose brace never closes, ends on the next line by convention, and its text is that of its head. ``body`` is the text from ``function`` to the closing brace.
+    """
+    found = function_ranges(token_table(files, path, content) if tokens is None else tokens).where("name is not null")
+    per_file = found.groupBy("path").agg(F.collect_list(F.struct("name", "is_static", "starts", "line_start", "opens", "closes", "ends", "line_end")).alias("_all"))
+    texts = files.select(F.col(path).alias("path"), F.col(content).alias("_text"))
+    each = per_file.join(texts, "path").select("path", "_text", F.inline("_all"))
+    cut = lambda a, b: F.substring("_text", F.col(a).cast("int") + 1, (b - F.col(a)).cast("int"))
+    params = F.substring("_text", F.col("opens").cast("int") + 2, (F.coalesce("closes", F.col("opens") + 1) - F.col("opens") - 1).cast("int"))
+    out = each.select(
+        "path", "name", split_at_commas(params).alias("params"), "is_static", "line_start", F.coalesce("line_end", F.col("line_start") + 1).alias("line_end"),
+        cut("starts", F.coalesce("ends", "closes", "opens") + 1).alias("body"),
+    )
     return out.select(
         "path", "name", "params", "is_static", "line_start", "line_end", (F.col("line_end") - F.col("line_start") + 1).alias("line_count"),
         complexity("body", DECISIONS).alias("cyclomatic_complexity"),
@@ -137,12 +159,6 @@ def body_fields(content: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(key, none), F.coalesce(prop, none), direct)))
 
 
-def return_keys(content: Column) -> Column:
-    """Quoted keys of returned literal arrays, in order and distinct."""
-    bodies = F.regexp_extract_all(content, F.lit(r"return\s*(?:\[|array\s*\()([^\];]*)"), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(r"['\"](\w+)['\"]\s*=>"), F.lit(1)))))
-
-
 def value_type(value: Column, key: Column) -> Column:
     """A value's type: cast, function, literal, then the key's name, a variable is mixed, else null."""
     v, k = F.trim(value), F.lower(key)

@@ -208,11 +208,22 @@ def with_doc_types(parameters: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("type", F.coalesce("type_hint", "_type")).drop("_p", "_n", "_param", "_type")
 
 
-def returns(functions: DataFrame) -> DataFrame:
-    """``path, name, types, nullable, keys``: distinct inferred types of the returned values in order of the code."""
+def returns(functions: DataFrame, fields: DataFrame) -> DataFrame:
+    """``path, name, types, nullable, keys``: distinct inferred types of the returned values in order of the code, and the keys of returned arrays on their first level.
+
+    ``fields`` is :func:`shapes.return_fields` of the same files.
+    """
     values = F.regexp_extract_all("body", F.lit(r"\breturn\s+([^;]+);"), F.lit(1))
     types = F.filter(F.array_distinct(F.transform(values, lambda v: F.coalesce(code.value_type(v, F.lit("")), F.lit("mixed")))), lambda x: x.isNotNull())
-    return functions.select("path", "name", F.filter(types, lambda x: x != "null").alias("types"), F.array_contains(types, "null").alias("nullable"), code.return_keys(F.col("body")).alias("keys"))
+    typed = functions.select("path", "name", "line_start", F.filter(types, lambda x: x != "null").alias("types"), F.array_contains(types, "null").alias("nullable"))
+    out = typed.join(_first_keys(fields), ["path", "name", "line_start"], "left")
+    return out.select("path", "name", "types", "nullable", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+
+
+def _first_keys(fields: DataFrame) -> DataFrame:
+    first = fields.groupBy("path", "name", "line_start", F.get("keys", F.lit(0)).alias("key")).agg(F.min("pos").alias("pos"))
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"])
+    return first.groupBy("path", "name", "line_start").agg(keys.alias("keys"))
 
 
 def type_coverage(functions: DataFrame) -> DataFrame:
@@ -227,9 +238,12 @@ def include_edges(files: DataFrame, path: str = "path", content: str = "content"
     return found.select(F.substring_index(path, "/", -1).alias("src"), F.substring_index("snippet", "/", -1).alias("dst")).distinct()
 
 
-def main_function(functions: DataFrame) -> DataFrame:
-    """One function a file: most return keys, then a telling name, then the largest with database calls, then the largest."""
-    named = F.col("name").rlike("^(get|fetch|load|list|index|main)")
-    order = Window.partitionBy("path").orderBy(F.desc(F.size(code.return_keys(F.col("body")))), named.desc(), F.col("calls_db").desc(), F.desc("line_count"), "line_start")
-    return functions.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def main_function(functions: DataFrame, fields: DataFrame) -> DataFrame:
+    """One function a file, with ``keys``: most return keys, then a telling name, then the largest with database calls, then the largest.
 
+    ``fields`` is :func:`shapes.return_fields` of the same files.
+    """
+    named = F.col("name").rlike("^(get|fetch|load|list|index|main)")
+    keyed = functions.join(_first_keys(fields), ["path", "name", "line_start"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    order = Window.partitionBy("path").orderBy(F.desc(F.size("keys")), named.desc(), F.col("calls_db").desc(), F.desc("line_count"), "line_start")
+    return keyed.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

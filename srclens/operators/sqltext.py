@@ -43,12 +43,12 @@ def columns(query: Column) -> Column:
 
 
 def split_at_commas(text: Column) -> Column:
-    """Parts of a text at commas outside parentheses, trimmed, empty ones dropped."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Parts of a text at commas outside brackets and quotes, trimmed, empty ones dropped."""
+    pieces = F.regexp_extract_all(text, F.lit(r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"()\[\]{},]++|."""), F.lit(0))
     state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, c: Column) -> Column:
-        depth = s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        depth = s["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
         cut = (c == ",") & (s["depth"] == 0)
         return F.struct(
             depth.alias("depth"),
@@ -56,7 +56,7 @@ def split_at_commas(text: Column) -> Column:
             F.when(cut, F.concat(s["parts"], F.array(s["part"]))).otherwise(s["parts"]).alias("parts"),
         )
 
-    folded = F.aggregate(chars, state, step, lambda s: F.concat(s["parts"], F.array(s["part"])))
+    folded = F.aggregate(pieces, state, step, lambda s: F.concat(s["parts"], F.array(s["part"])))
     return F.filter(F.transform(folded, lambda x: F.trim(x)), lambda x: x != "")
 
 

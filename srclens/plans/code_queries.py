@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srclens.functions import conditions, derive, naming, rule_sets
-from srclens.operators import calls, code, ddl, modules, php, scan, sqltext, synthesis, webconf
+from srclens.operators import calls, code, ddl, flow, lexer, modules, php, scan, shapes, sqltext, synthesis, webconf
 from srclens.operators.scan import Rule
 from srclens.plans import code_texts as texts
 from srclens.plans.fact_queries import MODULES
@@ -16,6 +16,7 @@ from srclens.plans.fact_queries import modules as module_rows
 from srclens.plans.registry import QUERIES, Tables, query
 from srclens.sources import discovery, files
 
+S, L = texts.SHAPES.key_sql, texts.LONG
 P, D, R, N = texts.PHP.key_sql, texts.DDL.key_sql, texts.REWRITES.key_sql, texts.NGINX.key_sql
 
 
@@ -33,6 +34,86 @@ def code_functions(t: Tables) -> DataFrame:
     return code.functions(texts.PHP.frame(t)).drop("body", "params")
 
 
+# Code whose shape follows the key. Line n of the text stands at n up to the long function, then the long function's lines further down.
+
+
+@query(f"""
+WITH p AS (SELECT {S} AS path, p_partkey AS k, p_size AS z, {L} AS n FROM part),
+f AS (SELECT path, 'head_' || k AS name, false AS is_static, 2 AS line_start, 2 AS line_end FROM p UNION ALL SELECT path, 'long_' || k, false, 3, 4 + n FROM p
+ UNION ALL SELECT path, 'make', true, 8 + n, 8 + n FROM p UNION ALL SELECT path, CASE WHEN z % 3 = 0 THEN 'outer' ELSE 'plain' END, false, 9 + n, 9 + n FROM p UNION ALL SELECT path, 'walk', false, 10 + n, 10 + n FROM p)
+SELECT path, name, is_static, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, CAST(line_end - line_start + 1 AS BIGINT) AS line_count FROM f""")
+def shape_functions(t: Tables) -> DataFrame:
+    return code.functions(texts.SHAPES.frame(t)).select("path", "name", "is_static", "line_start", "line_end", "line_count")
+
+
+@query(f"""
+WITH p AS (SELECT {S} AS path, p_partkey AS k, p_size AS z, {L} AS n FROM part)
+SELECT path, CAST(11 + n AS BIGINT) AS n_strings, CAST(2 AS BIGINT) AS n_comments, CAST(3 AS BIGINT) AS n_heredoc, CAST(2 AS BIGINT) AS n_page, CAST(0 AS BIGINT) AS last_depth FROM p""")
+def shape_tokens(t: Tables) -> DataFrame:
+    """Strings, comments, heredoc lines and page text of each file, and the brackets that are open at its end."""
+    found = lexer.tokens(texts.SHAPES.frame(t))
+    kinds = found.groupBy("path").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("string", "n_strings"), ("comment", "n_comments"), ("heredoc", "n_heredoc"), ("page", "n_page"))])
+    deep = lexer.with_depth(lexer.code_tokens(found))
+    move = F.when(F.col("token").isin(*lexer.OPENING), 1).when(F.col("token").isin(*lexer.CLOSING), -1).otherwise(0)
+    ends = deep.groupBy("path").agg(F.max_by(F.col("depth") + F.when(F.col("kind") == "mark", move).otherwise(0), "pos").alias("last_depth"))
+    return kinds.join(ends, "path")
+
+
+@query(f"""
+WITH p AS (SELECT {S} AS path, p_partkey AS k, p_size AS z, {L} AS n FROM part),
+f AS (SELECT path, 'head_' || k AS name, unnest([{{'k': 'id', 't': 'int'}}, {{'k': 'sub', 't': 'array'}}, {{'k': 'sub.n', 't': 'int'}}, {{'k': 'sub.l' || z % 2, 't': 'array'}}, {{'k': 'sub.l' || z % 2 || '.deep', 't': 'string'}}]) AS x FROM p
+ UNION ALL SELECT path, 'make', unnest(list_filter([CASE WHEN z % 2 = 0 THEN {{'k': 'a', 't': 'int'}} END, {{'k': 'b.c', 't': 'int'}}], lambda y: y IS NOT NULL)) FROM p
+ UNION ALL SELECT path, CASE WHEN z % 3 = 0 THEN 'outer' ELSE 'plain' END, {{'k': repeat('[].', z % 4) || 'k', 't': 'float'}} FROM p)
+SELECT path, name, x.k AS key, x.t AS type FROM f""")
+def shape_return_fields(t: Tables) -> DataFrame:
+    found = shapes.return_fields(code.token_table(texts.SHAPES.frame(t)))
+    return found.select("path", "name", F.array_join("keys", ".").alias("key"), "type")
+
+
+_CALLS = f"""p AS (SELECT {S} AS path, p_partkey AS k, p_size AS z, 10 + {L} AS l FROM part),
+c AS (SELECT path, l AS line, 'make' AS name, NULL AS loop, NULL AS loop_line FROM p UNION ALL SELECT path, l, 'more', 'while', l FROM p UNION ALL SELECT path, l, 'load_' || z % 3, 'while', l FROM p
+ UNION ALL SELECT path, l, unnest(list_transform(range(z % 4), lambda x: 'save')), 'foreach', l FROM p UNION ALL SELECT path, l, unnest(list_transform(range(z % 5), lambda x: 'log_it')), NULL, NULL FROM p
+ UNION ALL SELECT path, l, 'head_' || k, NULL, NULL FROM p UNION ALL SELECT path, l + 1, 'walk', 'for', l + 1 FROM p UNION ALL SELECT path, l - 2, 'count', NULL, NULL FROM p UNION ALL SELECT path, l - 2, 'make', NULL, NULL FROM p)"""
+
+
+@query(f"WITH {_CALLS} SELECT path, CAST(line AS BIGINT) AS line, name, loop, CAST(loop_line AS BIGINT) AS loop_line FROM c")
+def shape_loop_calls(t: Tables) -> DataFrame:
+    return flow.loop_calls(code.token_table(texts.SHAPES.frame(t))).select("path", "line", "name", "loop", "loop_line")
+
+
+@query(f"""
+WITH {_CALLS}, f AS (SELECT name, path, count(*) AS n, count(loop) AS n_loop FROM c GROUP BY name, path),
+g AS (SELECT name, sum(n) AS n_calls, sum(n_loop) AS n_loop, min(path) FILTER (WHERE n_loop > 0) AS loop_path, min(path) FILTER (WHERE n >= 3) AS run_path FROM f GROUP BY name)
+SELECT g.name, CASE WHEN g.n_loop > 0 THEN 'loop_calls' ELSE 'sequential_calls' END AS pattern, coalesce(CASE WHEN g.n_loop > 0 THEN loop_path END, run_path) AS path,
+ CAST(CASE WHEN g.n_loop > 0 THEN n_calls ELSE f.n END AS BIGINT) AS n_calls, 'bulk' || CASE WHEN g.name LIKE 'load%' THEN 'Load' || substr(g.name, 5) WHEN g.name = 'log_it' THEN 'Log_It' ELSE upper(substr(g.name, 1, 1)) || substr(g.name, 2) END AS bulk_name,
+ CASE WHEN g.n_loop > 0 AND n_calls >= 10 THEN 'high' ELSE 'medium' END AS savings
+FROM g LEFT JOIN f ON f.name = g.name AND f.path = run_path WHERE g.n_loop > 0 OR run_path IS NOT NULL""")
+def shape_batches(t: Tables) -> DataFrame:
+    return flow.batch_opportunities(flow.loop_calls(code.token_table(texts.SHAPES.frame(t))))
+
+
+@query(f"""
+WITH p AS (SELECT {S} AS path, p_partkey AS k FROM part)
+SELECT path || '#' AS caller, path || '#walk' AS callee FROM p UNION ALL SELECT path || '#walk', path || '#head_' || k FROM p UNION ALL SELECT path || '#K' || k || '.make', path || '#K' || k || '.make' FROM p
+UNION ALL SELECT p.path || '#walk', q.path || '#K' || q.k || '.make' FROM p JOIN p q ON q.k = p.k % 50""")
+def shape_call_graph(t: Tables) -> DataFrame:
+    return flow.call_graph(code.token_table(texts.SHAPES.frame(t)))
+
+
+_REACH = "(SELECT p_partkey AS a, p_partkey // 2 AS b FROM part UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, (p_partkey * 7) % 1000 FROM part WHERE p_size % 7 = 1)"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM {_REACH}), r AS (SELECT p_partkey AS id FROM part WHERE p_size = 7 UNION SELECT e.a FROM e JOIN r ON e.b = r.id)
+SELECT id FROM r""")
+def reaching_writes(t: Tables) -> DataFrame:
+    """Which of the parts, linked like calls, lead to one of size 7."""
+    p = t.part.select(F.col("p_partkey").alias("caller"), "p_size")
+    edges = p.select("caller", F.floor(F.col("caller") / 2).alias("callee")).unionByName(p.where("p_size % 5 <> 0").select("caller", (F.col("caller") + 1).alias("callee")))
+    edges = edges.unionByName(p.where("p_size % 7 = 1").select("caller", (F.col("caller") * 7 % 1000).alias("callee")))
+    return flow.reaching(edges, t.part.where("p_size = 7").select(F.col("p_partkey").alias("id")))
+
+
 @query(f"""
 WITH p AS (SELECT * FROM (VALUES (1, 1, 'id', NULL, false, false, NULL), (1, 2, 'opts', 'array', false, true, '[]'), (2, 1, 'id', '?int', false, false, NULL), (2, 2, 'row', NULL, true, false, NULL)) v(f, position, param, type_hint, by_reference, is_optional, "default"))
 SELECT {P} AS path, CASE WHEN f = 1 THEN 'load_' || p_partkey ELSE 'find' END AS name, CAST(position AS BIGINT) AS position, param, type_hint, by_reference, is_optional, "default" FROM part, p""")
@@ -43,7 +124,10 @@ def code_parameters(t: Tables) -> DataFrame:
 @query(f"""
 SELECT {P} AS path, 'load_' || p_partkey AS name, 'array' AS types, true AS nullable, 'id,brand' AS keys FROM part UNION ALL SELECT {P}, 'find', 'bool', false, '' FROM part""")
 def code_returns(t: Tables) -> DataFrame:
-    return php.returns(code.functions(texts.PHP.frame(t))).select("path", "name", joined("types"), "nullable", joined("keys"))
+    files = texts.PHP.frame(t)
+    tokens = code.token_table(files)
+    found = php.returns(code.functions(files, tokens=tokens), shapes.return_fields(tokens))
+    return found.select("path", "name", joined("types"), "nullable", joined("keys"))
 
 
 @query("SELECT round(100.0 * 2 / 6, 2)::DOUBLE AS type_coverage")
@@ -54,8 +138,9 @@ def code_type_coverage(t: Tables) -> DataFrame:
 @query(f"""
 SELECT {P} AS path, 'load_' || p_partkey AS name, 'id,brand' AS keys FROM part""")
 def code_main_function(t: Tables) -> DataFrame:
-    found = php.main_function(code.functions(texts.PHP.frame(t)))
-    return found.select("path", "name", F.array_join(code.return_keys(F.col("body")), ",").alias("keys"))
+    files = texts.PHP.frame(t)
+    tokens = code.token_table(files)
+    return php.main_function(code.functions(files, tokens=tokens), shapes.return_fields(tokens)).select("path", "name", joined("keys"))
 
 
 @query(f"""

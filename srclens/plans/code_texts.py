@@ -83,6 +83,26 @@ PHP = Corpus(
         "header('Content-Type: application/json');",
     ],
 )
+#: Lines of the long function in SHAPES.
+LONG = "CASE WHEN p_partkey % 40 = 0 THEN 620 ELSE p_size % 9 END"
+#: Code whose shape follows the key: nesting, length, braces in strings, comments, heredocs and page text, loops of every form.
+SHAPES = Corpus(
+    "part",
+    "/v/p«p_partkey».php",
+    [
+        "<p>{ «p_brand» }</p><?php # function none() {",
+        "function head_«p_partkey»($a, $b = [1, 2]) { $s = \"}«repeat('}', p_size % 3)»\"; /* } */ return ['id' => 1, 'sub' => ['n' => «p_size», 'l«p_size % 2»' => array('deep' => 'x')]]; }",
+        "function long_«p_partkey»() {«repeat(chr(10) || ' $x = \"{\";', " + LONG + ")»",
+        "}",
+        "$h = <<<TXT",
+        "function no() { «repeat('{', p_size % 4)»",
+        "TXT;",
+        "class K«p_partkey» { public static function make(?int $id): array { $r = ['a' => 1]; «CASE WHEN p_size % 2 = 0 THEN '' ELSE '$r = [];' END» $r['b']['c'] = count($id); $this->make(2); return $r; } }",
+        "function «CASE WHEN p_size % 3 = 0 THEN 'outer' ELSE 'plain' END»() { return «repeat('[', p_size % 4)»['k' => (float)$v]«repeat(']', p_size % 4)»; }",
+        "function walk() { K«p_partkey % 50»::make(1); foreach ($rows as $row) { while (more()) { load_«p_size % 3»(); } «repeat('save(); ', p_size % 4)»} «repeat('log_it(); ', p_size % 5)»head_«p_partkey»(); }",
+        "for ($i = 0; $i < 3; $i++): walk(); endfor; ?><b>'</b>",
+    ],
+)
 DDL = Corpus(
     "supplier",
     "/db/t«s_suppkey».sql",

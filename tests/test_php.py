@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from srclens.functions import rule_sets
-from srclens.operators import code, modules, php, webconf
+from srclens.operators import code, modules, php, shapes, webconf
 
 FILE = """<?php
 require_once 'lib/db.php';
@@ -47,11 +47,12 @@ def test_contracts(spark):
     fns = code.functions(f)
     params = [tuple(r)[2:] for r in php.parameters(fns).orderBy("position").collect()]
     assert params == [(1, "id", None, False, False, None), (2, "opts", "array", False, True, "[]")]
-    r = php.returns(fns).first()
+    fields = shapes.return_fields(code.token_table(f))
+    r = php.returns(fns, fields).first()
     assert r["types"] == ["array"] and r["nullable"] and r["keys"] == ["id", "name"]
     assert php.type_coverage(fns).first()[0] == 33.33
     assert tuple(php.include_edges(f).first()) == ("index.php", "db.php")
-    assert php.main_function(fns).first()["name"] == "getItems"
+    assert php.main_function(fns, fields).first()["name"] == "getItems"
     m = php.file_metrics(f).first()
     assert m["total_lines"] == 17 and m["html_lines"] == 1 and m["n_functions"] == 1 and m["class"] == "entry"
 
