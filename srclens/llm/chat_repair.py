@@ -6,10 +6,11 @@ programming over the automaton's states finds the cheapest repair: a turn is kep
 or merged into the turn before, and empty turns are inserted where roles are missing. The repaired
 sequence is rendered with role markers. Ties go to the first of keep, merge, relabel, insert.
 
-Turns are sorted over range partitions, so that a conversation may span many, and dealt in order to
-blocks of ``BLOCK`` turns. Each block's part of a conversation, a piece, is reduced to its table of least costs from state to
+A conversation of up to ``BLOCK`` turns, nearly every one, is repaired where its turns meet. The turns of longer ones
+are sorted over range partitions, so that a conversation may span many, and dealt in order to
+blocks. Each block's part of a conversation, a piece, is reduced to its table of least costs from state to
 state. Costs are carried along the pieces forward, one piece after another, and the chosen states back; then all pieces are
-rendered in parallel between their states. A conversation of one block, nearly every one, is one row; a longer one
+rendered in parallel between their states, and put together again where that makes at most ``WHOLE_BYTES``. Only a conversation above both bounds
 is a row a piece, whose texts in order of ``piece`` are the whole and whose counts and costs add up.
 
 Defined results for odd input: roles are compared trimmed in lower case, ``ALIASES`` are their
@@ -43,6 +44,10 @@ MERGE, MERGE_OTHER, RELABEL, LABEL_UNKNOWN, INSERT = 10, 25, 20, 5, 14
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns of a block, all of which a task holds at once.
 BLOCK = 128
+#: Bytes of rendered text up to which the pieces of a conversation become one row.
+WHOLE_BYTES = 1 << 24
+#: Numbers of long conversations up to which their ids are broadcast.
+FEW_IDS = 100_000
 STATES = (SYSTEM, USER, ASSISTANT, START)
 
 
@@ -157,7 +162,7 @@ def render(roles: list[str | None], texts: list[str | None], start: int = START,
 
 _ID = "conv_id long, own long, part long, block long"
 _COUNTS = ("n_turns", "n_rendered", "n_merged", "n_relabelled", "n_inserted", "cost")
-_PIECE = f"{_ID}, single boolean, {', '.join(f'{n} long' for n in _COUNTS)}, roles string, lead string, text string, opens boolean, filled boolean"
+_PIECE = f"{_ID}, {', '.join(f'{n} long' for n in _COUNTS)}, roles string, lead string, text string, opens boolean, filled boolean"
 _NAMES = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -235,34 +240,82 @@ def _pieces(key, turns, states):
     for at, rows in _runs(turns):
         s = found[at]
         piece = render([r["role"] for r in rows], [r["text"] for r in rows], s["start"], None if s["end"] < 0 else s["end"])
-        out.append(_pick(s, single=s["start"] == START and s["end"] < 0) | piece)
+        out.append(_pick(s) | piece)
     return pa.Table.from_pylist(out, schema=_schema(_PIECE))
 
 
-def chat_format(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row a conversation, or a piece of a long one: ``conv_id, piece``, counts of the repairs, ``cost``, ``roles`` and the rendered ``text``."""
+_OUT = f"conv_id long, piece int, {', '.join(f'{n} long' for n in _COUNTS)}, roles string, text string"
+
+
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rendered conversations, whose turns come one after another."""
+    schema = pa.schema([(x.split()[0], pa.int32() if x.split()[1] == "int" else _NAMES[x.split()[1]]) for x in _OUT.split(", ")])
+    at, turns, out = None, [], []
+
+    def done() -> None:
+        if turns:
+            found = render([r["role"] for r in turns], [r["text"] for r in turns])
+            out.append({"conv_id": turns[0]["conv_id"], "piece": 0} | {n: found[n] for n in (*_COUNTS, "roles", "text")})
+            turns.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if at != (row["conv_id"], row["own"]):
+                done()
+                at = row["conv_id"], row["own"]
+            turns.append(row)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out.clear()
+    done()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
+def chat_format(turns: DataFrame, block: int = BLOCK, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """A row a conversation, or a piece of a very long one: ``conv_id, piece``, counts of the repairs, ``cost``, ``roles`` and the rendered ``text``."""
     order = ["conv_id", "own", "turn", "role", "text", "_n"]
-    ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("_n", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("own", F.when(F.col("conv_id").isNull(), F.col("_n")).otherwise(F.lit(-1)))
     by = [F.col(c).asc_nulls_first() for c in order]
+    named = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("_n", F.monotonically_increasing_id())
+    named = named.withColumn("own", F.when(F.col("conv_id").isNull(), F.col("_n")).otherwise(F.lit(-1)))
+    counts = turns.select(F.col("conv_id").cast("long").alias("conv_id")).where("conv_id is not null").groupBy("conv_id").count()
+    long = written(counts.where(F.col("count") > block).select("conv_id"), "long-conversations")
+    n_long = long.count()
+    if n_long:
+        ids = F.broadcast(long) if n_long <= FEW_IDS else long
+        short = named.join(ids, "conv_id", "left_anti")
+    else:
+        short = named
+    short = short.repartition("conv_id", "own").sortWithinPartitions(*by).select("conv_id", "own", "role", "text").mapInArrow(_wholes, _OUT)
+    if not n_long:
+        return short
+    return short.unionByName(_in_pieces(named.join(ids, "conv_id", "left_semi").select(*order), by, block, whole_bytes))
+
+
+def _in_pieces(ordered: DataFrame, by: list, block: int, whole_bytes: int) -> DataFrame:
+    """The rows of long conversations, by blocks."""
     ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by)
     at = F.monotonically_increasing_id()
-    ordered = ordered.select(F.coalesce("conv_id", F.lit(0)).alias("conv_id"), "own", "role", "text", at.alias("at"))
+    ordered = ordered.select("conv_id", "own", "role", "text", at.alias("at"))
     seq = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    with Scratch(turns.sparkSession) as scratch:
+    key = [x.split()[0] for x in _ID.split(", ")]
+    with Scratch(ordered.sparkSession) as scratch:
         # Written once, as another sort might cut the partitions elsewhere.
         placed = scratch.written(ordered.select("conv_id", "own", F.shiftright("at", 33).alias("part"), F.floor(seq / block).alias("block"), seq.alias("seq"), "role", "text"), "turns")
         costs = placed.select("conv_id", "own", "part", "block", "seq", "role").groupBy("part", "block").applyInArrow(_costs, f"{_ID}, costs array<long>")
         forward = _stream(costs, f"{_ID}, costs array<long>, entry array<long>", _forward)
         states = _stream(forward, f"{_ID}, start long, end long", _backward, newest_first=True)
         both = placed.groupBy("part", "block").cogroup(states.groupBy("part", "block"))
-        pieces = written(both.applyInArrow(_pieces, _PIECE), "pieces")
-    many = pieces.where(~F.col("single"))
-    before = _stream(many.select(*[x.split()[0] for x in _ID.split(", ")], "opens", "filled"), f"{_ID}, before boolean", _filled)
-    numbered = before.withColumn("piece", F.row_number().over(Window.partitionBy("conv_id", "own").orderBy("part", "block")) - 1)
-    many = many.join(numbered, [x.split()[0] for x in _ID.split(", ")])
-    gap = F.when(F.col("before") & (F.col("lead") != ""), "\n").otherwise("")
-    conv_id = F.when(F.col("own") < 0, F.col("conv_id")).alias("conv_id")
-    return pieces.where("single").select(conv_id, F.lit(0).alias("piece"), *_COUNTS, "roles", "text").unionByName(
-        many.select(conv_id, "piece", *_COUNTS, "roles", F.concat(gap, "lead", "text").alias("text"))
-    )
+        pieces = scratch.written(both.applyInArrow(_pieces, _PIECE), "pieces")
+        before = _stream(pieces.select(*key, "opens", "filled"), f"{_ID}, before boolean", _filled)
+        numbered = before.withColumn("piece", F.row_number().over(Window.partitionBy("conv_id", "own").orderBy("part", "block")) - 1)
+        gap = F.when(F.col("before") & (F.col("lead") != ""), "\n").otherwise("")
+        found = pieces.join(numbered, key).withColumn("text", F.concat(gap, "lead", "text"))
+        found = written(found.select("conv_id", "piece", *_COUNTS, "roles", "text"), "conversation-pieces")
+    sizes = found.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("_bytes"))
+    small = sizes.where(F.col("_bytes") <= whole_bytes).select("conv_id")
+    parts = F.sort_array(F.collect_list(F.struct("piece", "roles", "text")))
+    joined = found.join(small, "conv_id", "left_semi").groupBy("conv_id").agg(F.lit(0).alias("piece"), *[F.sum(n).alias(n) for n in _COUNTS], parts.alias("_p"))
+    joined = joined.withColumn("roles", F.array_join(F.filter(F.transform("_p", lambda x: x["roles"]), lambda r: r != ""), ",")).withColumn("text", F.array_join(F.transform("_p", lambda x: x["text"]), ""))
+    apart = found.join(small, "conv_id", "left_anti")
+    return joined.drop("_p").unionByName(apart)

@@ -521,6 +521,22 @@ def test_chat_format(spark):
     assert chat_repair.chat_format(spark.createDataFrame([], CHAT)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_every_conversation_is_one_row(spark, partitions):
+    """Whatever partitions its turns lie in, a conversation below the bounds is repaired as a whole; so is a longer one, whose pieces are put together."""
+    r = random.Random(4)
+    talks = {i: [(r.choice(["user", "assistant", "tool"]), f"t{k}") for k in range(r.randint(1, 8))] for i in range(1000)}
+    talks[1000] = [("user" if k % 3 else "assistant", f"t{k}") for k in range(700)]
+    rows = [(i, k, *x) for i, xs in talks.items() for k, x in enumerate(xs)]
+    r.shuffle(rows)
+    out = chat_repair.chat_format(spark.createDataFrame(rows, CHAT).repartition(partitions)).collect()
+    assert len(out) == len({x["conv_id"] for x in out}) == 1001
+    for x in out:
+        want = chat_repair.render([y[0] for y in talks[x["conv_id"]]], [y[1] for y in talks[x["conv_id"]]])
+        assert x["piece"] == 0 and x["cost"] == want["cost"] and x["text"].endswith("<|im_end|>\n")
+        assert x["conv_id"] == 1000 or (x["text"], x["roles"]) == (want["text"], want["roles"])
+
+
 @pytest.mark.parametrize("block", [1, 3])
 def test_long_conversations_are_repaired_in_pieces(spark, block):
     """Pieces between states add up to the repair of the whole conversation."""
@@ -530,7 +546,7 @@ def test_long_conversations_are_repaired_in_pieces(spark, block):
     rows = [(i, k, *x) for i, xs in talks.items() for k, x in enumerate(xs)]
     r.shuffle(rows)
     pieces = defaultdict(list)
-    for x in chat_repair.chat_format(spark.createDataFrame(rows, CHAT), block=block).collect():
+    for x in chat_repair.chat_format(spark.createDataFrame(rows, CHAT), block=block, whole_bytes=0).collect():
         pieces[x["conv_id"]].append(x)
     assert max(map(len, pieces.values())) > 5 and set(pieces) == set(talks)
     for i, xs in talks.items():
