@@ -3,12 +3,13 @@
 A page becomes blocks of text in page order. A linear classifier over the text alone (length, links, end mark,
 depth, neighbours) gives every block a cost of being called boilerplate or content, which become
 capacities to the two terminals. Elements whose tag or name tells what they hold are nodes as well, bound to the terminal
-of their kind and tied to every block whose innermost telling ancestor they are. Neighbouring blocks are joined by smoothness edges, stronger the
+of their kind and tied to every block whose innermost telling ancestor they are: firmly, or less than confident text where only a part of a name tells, or where
+the element holds most of the page's prose and next to none is elsewhere. Neighbouring blocks are joined by smoothness edges, stronger the
 closer they are in the document tree, and so are consecutive blocks of one parent. The minimum cut
 labels all blocks at once: the text alone says little of a short block, its element and its neighbours settle it.
 
-The classifier is fitted on the pages at hand: blocks inside telling elements are its examples, with the element left out of
-the features. At most about ``FIT_PAGES`` pages and ``FIT_BLOCKS`` blocks take part, by hash of the page_id. A corpus without
+The classifier is fitted on the pages at hand: blocks in ``article`` or ``main`` are its examples of content, those outside, in tags like ``nav`` or on several of a host's pages those of boilerplate;
+names of elements aren't looked at. At most about ``FIT_PAGES`` pages and ``FIT_BLOCKS`` blocks take part, by hash of the page_id. A corpus without
 examples of both kinds uses ``DEFAULT_WEIGHTS``.
 
 Scripts, styles, comments and other elements without text of their own never become
@@ -60,35 +61,53 @@ TAG_HINT = {
     "article": 4.0, "main": 2.5, "nav": -6.0, "header": -5.0, "footer": -6.0, "aside": -5.0, "form": -5.0,
     "button": -5.0, "menu": -5.0, "dialog": -5.0, "fieldset": -4.0, "object": -6.0,
 }
-#: Words of class, id and role names.
+#: Words of class, id and role names, in the tables' languages.
 BAD_WORDS = frozenset(
     "ad ads adbox adsbygoogle adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments cookie cookies "
     "consent discussion disqus disclaimer dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification pagination pager popup promo promoted promotion recommended related replies reply respond share sharing "
-    "sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget contentinfo complementary search".split()
+    "sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget contentinfo complementary search "
+    "kommentar kommentare werbung anzeige anzeigen seitenleiste fusszeile kopfzeile hinweis commentaire commentaires publicite pub annonce annonces pied entete "
+    "comentario comentarios publicidad anuncio anuncios pie cabecera aviso".split()
 )
-GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
+GOOD_WORDS = frozenset("article articlebody body content entry main post story text artikel inhalt beitrag contenu texte contenido articulo texto".split())
+#: Words that only say where or what kind of box something is; those of FRAMES hold whatever their other words name.
+PLACES = frozenset(
+    "site page main global top bottom left right primary secondary first last list lists box area bar block item items link links section col column row inner outer "
+    "wrap wrapper container holder panel group region thread form fixed sticky mobile desktop".split()
+)
+FRAMES = frozenset("wrap wrapper container layout outer inner page holder".split())
+#: First words of names that tell a state, not what an element is.
+STATES = frozenset("has is no not with without js show hide".split())
 BAD_HINT, GOOD_HINT = -6.0, 3.0
+#: What a name says only with one of its parts.
+WEAK_HINT = -1.0
 
-#: The classifier's cost difference is cut to this, below the tie to a telling element.
+#: The classifier's cost difference is cut to this, below the tie to an element that tells for certain.
 CLIP = 2.5
-#: Smoothness between a block and its telling element: more than the text and its neighbours can say together.
-TIE = 6.0
+#: Smoothness between a block and its telling element, for each kind of hint: more than the text and its neighbours can say, or less than confident text alone.
+TIE, WEAK_TIE = 6.0, 0.5
+#: A block of so many words, at most this share of them in links, is prose.
+PROSE_WORDS, PROSE_LINKS = 10, 0.3
+#: An element that tells of boilerplate but holds most of a page's prose, with less than this share of it elsewhere, is bound by WEAK_TIE as well.
+ELSEWHERE = 0.2
 #: Smoothness of neighbours with the same parent; FADE of it is left after every step of tree distance.
 NEAR = 1.0
 #: Smoothness of consecutive blocks of one parent that have others between them.
-FADE = 0.25
+FADE = 0.1
 SIBLING = 0.5
 SCALE = 1000
 
 #: Bounds of the sample that the classifier is fitted on.
 FIT_PAGES = 1000
 FIT_BLOCKS = 20_000
+#: Sampled pages of one host on which boilerplate stands.
+REPEATED = 3
 #: What tags a text stands in isn't among them: sites differ in that, and telling tags have nodes of their own.
 FEATURES = ("one", "log_words", "link_density", "end_mark", "depth", "log_words_near", "link_density_near", "log_siblings")
 #: Used where the pages show no examples of both kinds; fitted weights are held to it with the strength HOLD.
 HOLD = 0.02
-DEFAULT_WEIGHTS = (-1.4, 0.55, -3.0, 0.6, 0.0, 0.1, -0.5, 0.0)
+DEFAULT_WEIGHTS = (-1.6, 0.8, -3.0, 0.8, 0.0, 0.1, -0.5, 0.0)
 
 
 @dataclass
@@ -117,17 +136,36 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
+def name_hint(name: str) -> tuple[bool, float]:
+    """Whether one class, id or role is a content word, and what it says of boilerplate: for certain, with a part of it, or nothing."""
+    words = _WORD.findall(re.sub("([a-z])([A-Z])", r"\1-\2", name).lower())
+    if not words or words[0] in STATES:
+        return False, 0.0
+    bad = [w in BAD_WORDS for w in words]
+    good = any(w in GOOD_WORDS for w in words)
+    if not any(bad):
+        return good, 0.0
+    if good and words[-1] in FRAMES:  # a frame around both
+        return False, 0.0
+    rest = [w for w in words if w not in PLACES or w in BAD_WORDS]
+    if good and set(rest) & BAD_WORDS <= {"header", "byline"}:  # the header of a post holds its title
+        return True, 0.0
+    return False, BAD_HINT if rest[-1] in BAD_WORDS and (good or all(w in BAD_WORDS for w in rest)) else WEAK_HINT
+
+
 def hint_of(tag: str, attributes: str, inside_article: bool) -> float:
     if tag in ("html", "body"):
         return 0.0
     if attributes:
-        found = {w for m in _HINT.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        if found & BAD_WORDS and not (tag in ("article", "main")):
-            # The header of an article or post holds its title.
-            if found & BAD_WORDS <= {"header", "byline"} and (inside_article or found & GOOD_WORDS):
+        found = [name_hint(x) for m in _HINT.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
+        worst, good = min((h for _, h in found), default=0.0), any(g for g, _ in found)
+        if worst < 0 and tag not in ("article", "main"):
+            names = {w for m in _HINT.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+            if names & BAD_WORDS <= {"header", "byline"} and (inside_article or good):
                 return 0.0
-            return BAD_HINT
-        if found & GOOD_WORDS and tag not in TAG_HINT:
+            if worst == BAD_HINT or not good:
+                return worst
+        if good and tag not in TAG_HINT:
             return GOOD_HINT
     if tag == "header" and inside_article:  # an article's own header holds its title
         return 0.0
@@ -438,6 +476,33 @@ def min_cut(unary: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
     return [x in level if label[x] is None else bool(label[x]) for x in range(len(unary))]
 
 
+def _is_prose(b: Block) -> bool:
+    return b.linked <= PROSE_LINKS * len(b.text) and b.text.count(" ") + 1 >= PROSE_WORDS
+
+
+def doubtful_elements(page: Page) -> set[int]:
+    """Elements that tell of boilerplate but hold more than half of the page's prose, with next to none elsewhere: frames around a page rather than a part of it.
+
+    Any text elsewhere in an element that tells of content leaves no doubt.
+    """
+    n = len(page.elements)
+    inside, plain, told = [0] * n, [0] * n, [0] * n
+    for b in page.blocks:
+        if _is_prose(b):
+            inside[b.element] += len(b.text)
+            plain[b.element] += len(b.text) * (b.hint >= 0)
+        told[b.element] += b.hint > 0
+    for k in range(n - 1, 0, -1):  # children come after their parents
+        up = page.elements[k].parent
+        for sums in (inside, plain, told):
+            sums[up] += sums[k]
+    tellers = {b.teller for b in page.blocks if b.hint < 0}
+    return {
+        k for k in tellers
+        if 2 * inside[k] > inside[0] and plain[0] - plain[k] < ELSEWHERE * inside[k] and told[0] == told[k]
+    }
+
+
 def label_blocks(page: Page, weights: Sequence[float] = DEFAULT_WEIGHTS) -> tuple[list[bool], list[bool]]:
     """Whether each block is content, by the cut and by its own text alone."""
     n = len(page.blocks)
@@ -445,6 +510,7 @@ def label_blocks(page: Page, weights: Sequence[float] = DEFAULT_WEIGHTS) -> tupl
         return [], []
     scores = np.clip(features(page) @ np.array(weights), -CLIP, CLIP)
     unary = [int(x) for x in np.round(SCALE * scores)]
+    doubtful = doubtful_elements(page)
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
     tellers: dict[int, int] = {}
@@ -461,43 +527,71 @@ def label_blocks(page: Page, weights: Sequence[float] = DEFAULT_WEIGHTS) -> tupl
             if k == len(unary):
                 unary.append(0)
             # The element is bound to its terminal by more than all of its ties, so that many blocks don't outvote it.
-            edges[i, k] = round(SCALE * TIE)
-            unary[k] += round(SCALE * math.copysign(TIE + 1, b.hint))
+            tie = WEAK_TIE if b.hint == WEAK_HINT or b.teller in doubtful else TIE
+            edges[i, k] = round(SCALE * tie)
+            unary[k] += round(SCALE * math.copysign(tie + 1, b.hint))
     return min_cut(unary, edges)[:n], [x > 0 for x in unary[:n]]
 
 
-def extract(page: str | None, weights: Sequence[float] = DEFAULT_WEIGHTS) -> tuple[str, int, int, int]:
-    """The main text, the number of blocks, of content blocks and of blocks whose label isn't their text's own."""
+def extract(page: str | None, weights: Sequence[float] = DEFAULT_WEIGHTS) -> tuple[str, int, int, int, int]:
+    """The main text, the number of blocks, of content blocks, of blocks whose label isn't their text's own, and of those whose label isn't their element's."""
     parsed = parse(page or "")
     content, alone = label_blocks(parsed, weights)
     kept = [b.text for b, on in zip(parsed.blocks, content, strict=True) if on]
-    return " ".join(kept), len(parsed.blocks), len(kept), sum(x != y for x, y in zip(content, alone, strict=True))
+    overruled = sum(bool(b.teller) and on != (b.hint > 0) for b, on in zip(parsed.blocks, content, strict=True))
+    return " ".join(kept), len(parsed.blocks), len(kept), sum(x != y for x, y in zip(content, alone, strict=True)), overruled
+
+
+def tag_label(page: Page) -> list[float | None]:
+    """What the innermost telling tag around each block says, whatever names elements have: 1 article or main, 0 boilerplate.
+
+    Without a telling tag it is 0 on a page that has an article or main element with text, else None.
+    """
+    of: list[float | None] = [None] * len(page.elements)
+    for k, e in enumerate(page.elements):
+        hint = TAG_HINT.get(e.tag, 0.0)
+        of[k] = float(hint > 0) if hint else of[e.parent] if e.parent >= 0 else None
+    found = [of[b.element] for b in page.blocks]
+    return [0.0 if x is None else x for x in found] if 1.0 in found else found
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, fit_blocks: int = FIT_BLOCKS) -> tuple[float, ...]:
-    """The classifier's weights from a bounded sample of ``page_id, html``: about ``fit_pages`` pages, at most ``fit_blocks`` blocks."""
+    """The classifier's weights from a bounded sample of ``page_id, html`` and, if there is one, ``url``: about ``fit_pages`` pages, at most ``fit_blocks`` blocks.
+
+    A block is an example of boilerplate if its text stands on ``REPEATED`` sampled pages of its host, in a tag like ``nav``, or outside of a page's ``article`` and
+    ``main``, one of content inside of these. Names of elements have no part in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list[float]] = []
-            for html in batch.column("html").to_pylist():
+            texts: list[str] = []
+            labels: list[float | None] = []
+            hosts: list[str] = []
+            for html, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
                 page = parse(html or "")
-                rows += [[float(b.hint > 0), *x] for b, x in zip(page.blocks, features(page).tolist(), strict=True) if b.teller]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
+                rows += features(page).tolist()
+                texts += [b.text for b in page.blocks]
+                labels += tag_label(page)
+                hosts += [host or ""] * len(page.blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(labels, pa.float64()), pa.array(rows, pa.list_(pa.float64()))], ["host", "text", "label", "x"])
 
     share = max(1, math.ceil(pages.count() / fit_pages))
-    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).select("html")
-    found = some.mapInArrow(run, "x array<double>").orderBy(F.xxhash64("x"), "x").limit(fit_blocks).collect()
-    if not found:
+    host = F.regexp_extract("url", r"^(?:\w+:)?//([^/?#]+)", 1) if "url" in pages.columns else F.lit("")
+    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).select("html", host.alias("host"))
+    found = some.mapInArrow(run, "host string, text string, label double, x array<double>").withColumn("h", F.xxhash64("text")).drop("text")
+    repeated = found.groupBy("host", "h").count().where(F.col("count") >= REPEATED).select("host", "h", F.lit(0.0).alias("_again"))
+    found = found.join(repeated, ["host", "h"], "left").select(F.coalesce("_again", "label").alias("label"), "x").where("label is not null")
+    rows = found.orderBy(F.xxhash64("x", "label"), "x").limit(fit_blocks).collect()
+    if not rows:
         return DEFAULT_WEIGHTS
-    table = np.array([r["x"] for r in found])
-    return fitted_weights(table[:, 1:], table[:, 0] > 0) or DEFAULT_WEIGHTS
+    return fitted_weights(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]) > 0) or DEFAULT_WEIGHTS
 
 
 def main_text(pages: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
-    """``page_id, url, text, n_chars, n_blocks, n_content, n_changed`` for every row of ``page_id, url, html``.
+    """``page_id, url, text, n_chars, n_blocks, n_content, n_changed, n_overruled`` for every row of ``page_id, url, html``.
 
-    ``n_changed``: blocks that the cut labels otherwise than their own text does. Without ``weights`` they are fitted.
+    ``n_changed`` are blocks that the cut labels otherwise than their own text does, ``n_overruled`` those that it labels otherwise than their telling element. Without ``weights`` they are fitted.
     """
     used = tuple(weights or fit(pages))
 
@@ -508,11 +602,11 @@ def main_text(pages: DataFrame, weights: Sequence[float] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()),
-                    *[pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3)],
+                    *[pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3, 4)],
                 ],
-                ["page_id", "url", "text", "n_chars", "n_blocks", "n_content", "n_changed"],
+                ["page_id", "url", "text", "n_chars", "n_blocks", "n_content", "n_changed", "n_overruled"],
             )
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long, n_blocks long, n_content long, n_changed long"
+        run, "page_id long, url string, text string, n_chars long, n_blocks long, n_content long, n_changed long, n_overruled long"
     )

@@ -435,6 +435,40 @@ def test_many_built_pages(spark):
     assert sum(x["n_changed"] for x in got.values()) > 0  # the cut decides, not each block alone
 
 
+PROSE = (
+    "The council met on Tuesday to talk about the new bridge, which has been late for more than two years now and costs more than anyone said.",
+    "Nobody could say when it would open. The mayor told reporters that she was as tired of the question as everyone else in the town.",
+)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content-sidebar-wrap"><nav><a href=a>Home</a></nav>{}</div>', '<div id="page" class="site has-header"><nav><a href=a>Home</a></nav>{}</div>', '<div class="post comment-status-open">{}</div><footer>foot</footer>',
+        '<form id="aspnetForm"><div><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div><div>{}</div><div>Copyright</div></form>', '<main><section class="search-history">{}</section></main>',
+        "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>{}", '<article>{}</article><div class="kommentare">{}{}{}</div>', '<div>{}</div><div class="comments">{}{}{}{}</div>', '<div class="post">{}<div class="post-comments">{}{}</div></div>',
+    ],
+)
+def test_names_do_not_lose_articles(page):
+    """Frames around a page, names that tell with a part only and pages without names keep their prose; comments go, however long."""
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    assert html_cut.extract("<body>" + page.replace("{}", body) + "</body>")[0] == " ".join(PROSE)
+
+
+def test_the_cut_overrules_telling_elements_in_doubt(spark):
+    """Around whole pages of the table a form or a search section changes nothing, though all of their text stands in it."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    overruled = 0
+    for (html,) in rows:
+        want = html_cut.extract(html)[0]
+        for frame in ("form", "section"):
+            found = html_cut.extract(html.replace("<body>", f'<body><{frame} class="search-history">').replace("</body>", f"</{frame}></body>"))
+            assert found[0] == want
+        bare = html.replace("<article>", '<form class="x"><div>').replace("</article>", "</div></form>")
+        overruled += html_cut.extract(bare)[4]
+    assert overruled > 0
+
+
 def test_cut_decides_labels_of_the_tables_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = html_cut.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect()
