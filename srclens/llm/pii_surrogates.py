@@ -16,6 +16,8 @@ entity that occurs. What collides draws again under another key; names grow by a
 always room. Other formats may be so full that ``MAX_ATTEMPTS`` draws collide with entities of the corpus; these
 keep the first draw, which is distinct from all others by construction (redraws never take a first draw's value).
 
+The key is the caller's secret and has no default: surrogates are permutations, so whoever has it and this code can compute the originals back.
+
 All of it is DataFrame expressions. The entities found are written to the shared folder while they are matched and deleted before the
 result is returned; what stays until the session's end are replacements by row hash. Defined results for odd input: a null text stays null with 0
 entities; repeated rows give repeated results; entities are replaced from left to right where patterns overlap; other columns are carried
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 
 from srclens.llm.common import Scratch, written
 
-KEY = "surrogate-key-1"
 MAX_ATTEMPTS = 12
 ROUNDS = 6
 
@@ -423,7 +424,7 @@ def poured(kind: Column, part: Column, surrogate: Column) -> Column:
 _IDS = ["kind", "canon", "role"]
 
 
-def surrogate_table(entities: DataFrame, key: str = KEY, keeper: Scratch | None = None) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: str, keeper: Scratch | None = None) -> DataFrame:
     """``kind, canon, role, surrogate`` of the different ``kind, canon, role`` rows, without collisions; ``keeper`` deletes it in the end."""
     keeper = keeper or Scratch(entities.sparkSession)
     with Scratch(entities.sparkSession) as scratch:
@@ -502,7 +503,7 @@ def with_roles(parts: DataFrame) -> DataFrame:
     return parts.where(~unknown).withColumn("role", role).unionByName(open_.drop("usual"))
 
 
-def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replacements(docs: DataFrame, key: str) -> DataFrame:
     """``found_row, found_check, new array<struct<pos, text, kind>>``: what stands for each entity of a row. No original is kept."""
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.written(found_entities(docs), "found-entities")
@@ -526,7 +527,7 @@ def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
         return written(by_row, "replacements")
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` held in the struct ``doc``, with the new ``text`` and ``kinds``, the kinds of the entities in text order."""
     new = replacements(docs.select("doc_id", "text"), key)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("old"), *_row())
@@ -545,7 +546,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     )
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, plus ``n_entities``."""
     old = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_entities")]
     return with_surrogates(docs, key).select(*old, "text", F.size("kinds").cast("long").alias("n_entities"))

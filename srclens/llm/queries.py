@@ -24,10 +24,13 @@ from srclens.llm import (
 )
 from srclens.llm.common import n_words, table
 
+#: The key of the registered query, which protects nothing: its tables are invented.
+TEST_KEY = "key-of-the-invented-tables"
+
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` with surrogates, and the kinds of the entities in order; no original is returned."""
-    out = pii_surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii_surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
     return out.select("doc.doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join("kinds", ",").alias("kinds"))
 
 

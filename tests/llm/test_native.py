@@ -107,7 +107,7 @@ def test_surrogates(spark):
     text = "Mail Bob.X@mail.org or bob.x@mail.org, call +1 (564) 555-4526 or +1 564 555 4526. Mr. John Smith and Mrs. Anna Smith-Jones met Herr MÜLLER."
     more = 'token = "6df57b16f87eabefefcab67b433efd90636bb6bd" card 4111 1111 1111 1111 and 4111111111111111 at 217.94.102.185, DE89 3704 0044 0532 0130 00'
     docs = docs_of(spark, [text, more, None, "", "господин Иван Петров", "plain text 12 of 2020-01-02", text]).withColumn("n_entities", F.lit("clash"))
-    got = {r["doc_id"]: r for r in pii_surrogates.replace_pii(docs).collect()}
+    got = {r["doc_id"]: r for r in pii_surrogates.replace_pii(docs, "k1").collect()}
     a, b = got[0]["text"], got[1]["text"]
     for private in ("Bob.X", "mail.org, ", "555-4526", "564 555", "John", "Smith", "Anna", "Jones", "LLER", "6df57b16", "4111 1111", "41111111", "217.94", "3704"):
         assert private not in a + b
@@ -141,7 +141,7 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
 def test_names_grow_until_they_are_distinct(spark, monkeypatch):
     monkeypatch.setitem(pii_surrogates.SCRIPTS, "latin", ("", ["ba", "be"]))
     parts = spark.createDataFrame([("name", f"n{chr(97 + i)}", "family") for i in range(26)] + [("name", "bababa", "family")], "kind string, canon string, role string")
-    found = [r["surrogate"] for r in pii_surrogates.surrogate_table(parts).collect()]
+    found = [r["surrogate"] for r in pii_surrogates.surrogate_table(parts, "k1").collect()]
     assert len(set(found)) == 27 and "bababa" not in found and all(re.fullmatch("(ba|be)+", x) for x in found)
 
 
@@ -169,7 +169,7 @@ def test_formats_are_permuted_one_to_one(spark):
     table = spark.createDataFrame([(k, c, "") for k, c in rows], "kind string, canon string, role string").repartition(4)
     first = table.select("kind", "canon", pii_surrogates.draw(F.col("kind"), F.col("canon"), F.col("role"), 0, "key").alias("s")).collect()
     assert len({(x["kind"], x["s"]) for x in first}) == len(rows)  # a permutation without any table
-    got = {(x["kind"], x["canon"]): x["surrogate"] for x in pii_surrogates.surrogate_table(table).collect()}
+    got = {(x["kind"], x["canon"]): x["surrogate"] for x in pii_surrogates.surrogate_table(table, "k1").collect()}
     assert set(got) == rows and len({(k[0], s) for k, s in got.items()}) == len(rows)
     crowded = 0
     for (kind, canon), s in got.items():
@@ -209,7 +209,7 @@ def test_coreference(spark):
         "Dr. John Smith wrote.", "Mrs. Alex Stone and Dr. Alex Stone.", "Mr. Alex Stone.", "Dr. Pat Reed met Pat.", "Smith without a title stays.",
         "Call +1 (564) 555-4526, (564) 555-4526, 1 564 555 4526 no, or +49 30 1234567.", "السيد محمد علي", "王小明先生说王小明好。", "SSN 123-45-6789 and 10.1.2.3.",
     ]
-    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(docs_of(spark, texts), "k1").collect()}
     m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Dr\. (\w+) (\w+) left, and (\w+) (\w+) slept\. Later (\w+) and JOHN woke; Smithers and Johnny did not\.", got[0])
     assert m and m[1] == m[3] == m[5] and m[2] == m[4] == m[6] == m[7] and m[1].endswith("rus") and "John Smith" not in got[0]
     assert got[1] == f"Dr. {m[1]} {m[2]} wrote."  # the corpus knows the gender
@@ -226,10 +226,10 @@ def test_coreference(spark):
 
 
 def test_surrogates_of_odd_tables(spark):
-    assert pii_surrogates.replace_pii(docs_of(spark, [])).count() == 0
+    assert pii_surrogates.replace_pii(docs_of(spark, []), "k1").count() == 0
     long = "word " * 200_000 + "bob@mail.org " + "x" * 300_000
     same = spark.createDataFrame([(1, "a@b.com"), (1, "a@b.com"), (1, "c@b.com"), (None, "a@b.com"), (None, None), (2, long)], "doc_id long, text string")
-    got = pii_surrogates.replace_pii(same).collect()
+    got = pii_surrogates.replace_pii(same, "k1").collect()
     assert len(got) == 6 and len({r["text"] for r in got}) == 4
     big = next(r["text"] for r in got if r["doc_id"] == 2)
     assert len(big) == len(long) and "bob@mail.org" not in big
@@ -240,7 +240,7 @@ def test_surrogates_of_odd_tables(spark):
 def test_no_original_stays_on_disk(spark):
     folder = Path(shared_dir(spark).removeprefix("file:"))
     before = set(folder.iterdir()) if folder.exists() else set()
-    out = pii_surrogates.replace_pii(docs_of(spark, ["Mr. John Smith, bob@mail.org", "x"])).collect()
+    out = pii_surrogates.replace_pii(docs_of(spark, ["Mr. John Smith, bob@mail.org", "x"]), "k1").collect()
     new = set(folder.iterdir()) - before
     kept = [str(r) for d in new if d.name.startswith("replacements") for r in spark.read.parquet(str(d)).collect()]
     assert len(out) == 2 and kept and not any(x in y for x in ("John", "Smith", "bob@mail") for y in kept)
