@@ -59,6 +59,7 @@ class Aligner:
         self.size_a = [len(known.get(i, b"")) for i in range(max(known) + 1)]
         model = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.encode_b = model.encode
+        self.last_space = self.encode_b("a ")[len(self.encode_b("a")) :]
         self.n_b = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(self.n_b)]
         if any(re.search("[^▁]▁", x) for x in names):
@@ -71,7 +72,7 @@ class Aligner:
 
     def chunk(self, chunk: str) -> tuple[int, int, str, bytes] | tuple:
         """The alignment of a space and ``chunk``; empty if B's tokens have other bytes. A's always have the text's."""
-        a, b = self.encode_a(" " + chunk), self.encode_b(chunk)
+        a, b = self.encode_a(" " + chunk), self.encode_b(chunk) if chunk else self.last_space
         found: tuple = ()
         if b"".join([self.bytes_b[x] for x in b]) == (" " + chunk).encode():
             shown, size_a, size_b = self.shown, self.size_a, self.size_b
@@ -185,7 +186,7 @@ def _postings(block: int, codes: list[np.ndarray]) -> pa.RecordBatch:
     keys, times = np.unique(np.concatenate(codes) * SLOTS + slots, return_counts=True)
     pairs, slots = keys // SLOTS, keys % SLOTS
     starts = np.flatnonzero(np.diff(pairs, prepend=-1))
-    ends = np.append(starts[1:], len(pairs))
+    ends = np.append(starts, len(pairs))[1:]
     planes = [packed(slots[i:j], times[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
     links = np.add.reduceat(times, starts) if len(starts) else starts
     given = {"block": np.full(len(starts), block), "pair": pairs[starts], "pair_docs": ends - starts, "pair_links": links, "planes": planes}

@@ -31,6 +31,8 @@ from srclens.llm.common import Scratch
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
+#: Eigenvalues within this share of the largest are close.
+CLOSE = 1e-3
 #: Rows of one block of numpy work.
 ROWS = 4096
 
@@ -67,7 +69,7 @@ def ldl_inertia(a: np.ndarray) -> tuple[int, int, int]:
             pivot = a[k, k]
             counts[0 if pivot > 0 else 1] += 1
             column = a[k + 1 :, k]
-            a[k + 1 :, k + 1 :] -= np.outer(column / pivot, column)
+            a[k + 1 :, k + 1 :] -= np.outer(column, column) / pivot
             k += 1
         else:  # the pivot of order two around the largest entry, one eigenvalue of either sign
             i, j = min(i, j), max(i, j)
@@ -76,7 +78,8 @@ def ldl_inertia(a: np.ndarray) -> tuple[int, int, int]:
             counts[0] += 1
             counts[1] += 1
             columns = a[k + 2 :, k : k + 2]
-            a[k + 2 :, k + 2 :] -= columns @ np.linalg.solve(a[k : k + 2, k : k + 2], columns.T)
+            change = columns @ np.linalg.solve(a[k : k + 2, k : k + 2], columns.T)
+            a[k + 2 :, k + 2 :] -= (change + change.T) / 2  # stays symmetric to the last digit
             k += 2
     return counts[0], counts[1], counts[2]
 
@@ -162,7 +165,8 @@ class Slices:
             if high <= zero:
                 break
             if first == last:
-                found = self.certified(k, low, high)
+                # Of close eigenvalues the vectors found before are kept out, so that all are orthogonal.
+                found = self.certified(k, low, high, [y for e, y in out if e - high < CLOSE * self.top])
             else:  # one point of several eigenvalues
                 vectors: list[np.ndarray] = []
                 for i in range(first, last + 1):
@@ -172,10 +176,10 @@ class Slices:
             k = last + 1
         return sorted(out[:most], key=lambda x: -x[0])
 
-    def certified(self, k: int, low: float, high: float) -> list[tuple[float, np.ndarray]]:
+    def certified(self, k: int, low: float, high: float, found: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
         """Eigenpair number k: its slice is halved until the iteration ends inside and counts confirm the number."""
         for _ in range(64):
-            value, y = self.pair(low, high, [], k)
+            value, y = self.pair(low, high, found, k)
             error = float(np.linalg.norm(self.v @ y - value * y))
             margin = max(4 * error, 4 * self.n * self.unit)
             if low - margin <= value <= high + margin and self.above(value + margin) < k <= self.above(value - margin):

@@ -118,6 +118,6 @@ def test_run_leaves_no_stage_behind(spark):
 def test_every_query_covers_its_table(spark):
     for name, query in queries.QUERIES.items():
         out = query(spark, SF)
-        key = {"op9_html_cut": ("page_id", "pages"), "op10_chat_repair": ("conv_id", "conversations")}.get(name, ("doc_id", "documents"))
+        key = {"op9_html_cut": ("page_id", "pages"), "op10_chat_repair": ("conv_id", "conversations"), "op13_spectrum_slicing": ("vec_id", "embeddings")}.get(name, ("doc_id", "documents"))
         ids = spark.read.parquet(f"{SF}/{key[1]}.parquet").select(key[0]).distinct().count()
         assert out.select(key[0]).distinct().count() == ids, name
