@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srclens.sources.shared import Scratch, numbered, written
 
 
 #: Rows that one task numbers at most; more are numbered over range partitions.
 FEW = 10_000
+#: Dependencies that one task puts in order at most.
+FEW_NEEDS = 200_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -64,8 +70,61 @@ def migration_order(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
     cycle is broken by the least (risk is not low, complexity, name). Rounds over tables do many steps at once: the
     ready modules in their order, up to the first that unlocks a module that comes before the next one. The driver sees counts only.
 
-    ``modules``: name, priority, risk, complexity. ``dependencies``: name, needs (those on no module of the table don't count).
+    Up to ``FEW`` modules with ``FEW_NEEDS`` dependencies are taken from two heaps in one task, since chains have a round for every module.
+
+    ``modules``: name, priority, risk, complexity; a name stands once. ``dependencies``: name, needs (those on no module of the table don't count).
     """
+    if few(modules, FEW) and few(dependencies, FEW_NEEDS):
+        return _order_of_few(modules, dependencies)
+    return _order_by_rounds(modules, dependencies)
+
+
+def few(rows: DataFrame, most: int) -> bool:
+    return rows.limit(most + 1).count() <= most
+
+
+def _order_of_few(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
+    kind = modules.schema["name"].dataType
+    one = F.lit(0).alias("_one")
+    rows = modules.select(one, "name", F.lit(None).cast(kind).alias("needs"), F.struct("priority", "name").alias("_key"), F.struct((F.col("risk") != "low").alias("risky"), "complexity", "name").alias("_break"))
+    # Ranks stand for both keys, so that values of any type are compared as Spark compares them.
+    rows = rows.withColumn("ready_key", F.row_number().over(Window.partitionBy("_one").orderBy("_key"))).withColumn("break_key", F.row_number().over(Window.partitionBy("_one").orderBy("_break"))).drop("_key", "_break")
+    rows = rows.unionByName(dependencies.select(one, "name", "needs").where("needs is not null"), allowMissingColumns=True)
+
+    def run(table: pa.Table) -> pa.Table:
+        every = table.to_pylist()
+        nodes = {r["name"]: (r["ready_key"], r["break_key"]) for r in every if r["ready_key"] is not None}
+        needs: dict = {x: set() for x in nodes}
+        followers: dict = {x: [] for x in nodes}
+        for r in every:
+            if r["ready_key"] is None and r["name"] in nodes and r["needs"] in nodes and r["name"] != r["needs"] and r["needs"] not in needs[r["name"]]:
+                needs[r["name"]].add(r["needs"])
+                followers[r["needs"]].append(r["name"])
+        by_ready, by_break = {k[0]: x for x, k in nodes.items()}, {k[1]: x for x, k in nodes.items()}
+        ready = [k[0] for x, k in nodes.items() if not needs[x]]
+        breaks = sorted(by_break)
+        heapq.heapify(ready)
+        done: dict = {}
+        at = 0
+        while len(done) < len(nodes):
+            if ready:
+                name = by_ready[heapq.heappop(ready)]
+            else:
+                while by_break[breaks[at]] in done:
+                    at += 1
+                name = by_break[breaks[at]]
+            done[name] = len(done) + 1
+            for x in followers[name]:
+                needs[x].discard(name)
+                if not needs[x] and x not in done:
+                    heapq.heappush(ready, nodes[x][0])
+        return pa.table([pa.array(list(done), table.schema.field("name").type), pa.array(list(done.values()), pa.int64())], names=["name", "place"])
+
+    schema = T.StructType([T.StructField("name", kind), T.StructField("place", T.LongType())])
+    return rows.groupBy("_one").applyInArrow(run, schema)
+
+
+def _order_by_rounds(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
     with Scratch(modules.sparkSession) as scratch:
         left = scratch.written(modules.select("name", "priority", (F.col("risk") != "low").alias("risky"), "complexity"), "modules")
         known = left.select("name")
@@ -110,6 +169,27 @@ def migration_order(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
         return written(done, "migration-order")
 
 
+def followed(pointers: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, at, place``: what is passed on the way along ``pointers`` (``keys, at, to``; null ends it) from each key's start, ``place`` counting from 0.
+
+    Pointers are doubled until none is left, then every second, fourth, ... stop is filled in from the longest down: a way of n steps takes log n rounds of joins, and no key is
+    in one task. Ways that run into a circle are refused.
+    """
+    with Scratch(pointers.sparkSession) as scratch:
+        jumps = [scratch.written(pointers.select(*keys, "at", "to").where("to is not null"), "pointers")]
+        while not jumps[-1].isEmpty():
+            if len(jumps) > 62:
+                raise ValueError("pointers run in a circle")
+            last = jumps[-1]
+            onward = last.select(*keys, F.col("at").alias("to"), F.col("to").alias("_to"))
+            jumps.append(scratch.written(last.join(onward, [*keys, "to"]).select(*keys, "at", F.col("_to").alias("to")), "pointers"))
+        way = scratch.written(starts.select(*keys, "at", F.lit(0).cast("long").alias("place")), "way")
+        for k in range(len(jumps) - 2, -1, -1):
+            more = way.join(jumps[k], [*keys, "at"]).select(*keys, F.col("to").alias("at"), (F.col("place") + (1 << k)).alias("place"))
+            way = scratch.written(way.unionByName(more), "way")
+        return written(way, "way")
+
+
 def leftover_cluster(files: DataFrame, clustered: DataFrame, file: str, table: str) -> DataFrame:
     """Files without a cluster go to their alphabetically first table."""
     return files.join(clustered.select(file).distinct(), file, "left_anti").groupBy(file).agg(F.min(table).alias("cluster"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srclens.operators.graph import followed
+from srclens.sources.shared import written
+
 #: Boundary kinds of code lines: name, pattern.
 CODE_BOUNDARIES = (
     ("FUNCTION", r"^\s*((public|private|protected|static|abstract|final)\s+)*function\s+\w+"),
@@ -111,6 +114,49 @@ def fixed_segments(
     )
 
 
+def boundary_chunks_by_pointers(marks: DataFrame, n_lines: DataFrame, strong: Sequence[str], most: int = 400, least: int = 50, key: str = "doc_id") -> DataFrame:
+    """:func:`boundary_chunks` for texts too long to be folded in a row: every boundary knows the next one that would end a chunk begun at it, and these pointers are followed."""
+    lines = marks.groupBy(key, "line").agg(F.bool_or(F.col("kind").isin(*strong)).alias("strong"))
+    begins = lines.select(key, F.col("line").alias("at")).where("at > 1").unionByName(n_lines.select(key, F.lit(1).cast("long").alias("at")))
+    # A start looks from two places on: for strong boundaries and for any.
+    asks = begins.select(key, "at", F.explode(F.array(F.struct((F.col("at") + least + 1).alias("line"), F.lit(True).alias("only")), F.struct((F.col("at") + most + 1).alias("line"), F.lit(False).alias("only")))).alias("_q"))
+    asks = asks.select(key, F.col("_q.line").alias("line"), F.col("_q.only").alias("only"), "at", F.lit(None).cast("boolean").alias("strong"), F.lit(0).alias("_order"))
+    both = lines.select(key, "line", F.lit(None).cast("boolean").alias("only"), F.lit(None).cast("long").alias("at"), "strong", F.lit(1).alias("_order")).unionByName(asks)
+    ahead = Window.partitionBy(key).orderBy("line", "_order").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = lambda c: F.first(F.when(c, F.col("line")), ignorenulls=True).over(ahead)
+    found = both.withColumn("_to", F.when(F.col("only"), after(F.col("strong"))).otherwise(after(F.col("strong").isNotNull()))).where("at is not null")
+    pointers = found.groupBy(key, "at").agg(F.min("_to").alias("to"))
+    return _cut(followed(pointers, n_lines.where("n >= 1").select(key, F.lit(1).cast("long").alias("at")), [key]), n_lines, key, 1)
+
+
+def _cut(way: DataFrame, n_lines: DataFrame, key: str, first: int) -> DataFrame:
+    """Segments between the stops of a way, lines counting from ``first``; the last one goes on to the end."""
+    following = F.lead("at").over(Window.partitionBy(key).orderBy("place"))
+    out = way.withColumn("_next", following).join(n_lines.select(key, "n"), key)
+    return out.select(key, (F.col("place") + 1).alias("job"), (F.col("at") + 1 - first).alias("start_line"), F.coalesce(F.col("_next") - first, F.col("n")).cast("long").alias("end_line"))
+
+
+def fixed_segments_by_pointers(
+    texts: DataFrame, target: int = 400, least: int = 50, reach: int = 30, scores: Sequence[tuple[str, int]] = BREAK_SCORES, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """:func:`fixed_segments` for texts too long to be folded in a row: lines that may be broken at offer themselves to the targets within reach, every line
+    takes the best offer as its pointer, and the pointers are followed from the first line."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    split = texts.select(key, lines.alias("_lines"))
+    n_lines = split.select(key, F.size("_lines").cast("long").alias("n"))
+    each = split.select(key, F.size("_lines").alias("n"), F.posexplode("_lines").alias("line", "_text")).select(key, "n", F.col("line").cast("long").alias("line"), break_score(F.col("_text"), scores).alias("score"))
+    each = written(each, "scored-lines")
+    far = F.least(F.lit(reach), F.col("score") - 1)
+    offers = each.where("score > 0").select(key, "line", "score", F.explode(F.sequence(F.col("line") - far, F.col("line") + far)).alias("goal"))
+    start = F.col("goal") - target
+    offers = offers.where((start >= 0) & (F.col("line") >= start + least))
+    best = offers.groupBy(key, start.alias("at")).agg(F.max(F.struct((F.col("score") - F.abs(F.col("line") - F.col("goal"))).alias("s"), (-F.col("line")).alias("l"))).alias("_best"))
+    open_ = each.where(F.col("n") - F.col("line") > target).select(key, F.col("line").alias("at"))
+    pointers = open_.join(best, [key, "at"], "left").select(key, "at", F.coalesce(-F.col("_best.l"), F.col("at") + target).alias("to"))
+    return _cut(followed(pointers, n_lines.where("n > 0").select(key, F.lit(0).cast("long").alias("at")), [key]), n_lines, key, 0)
+
+
 def neighbours(segments: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The value of the segment before and after."""
     w = Window.partitionBy(key).orderBy(order)

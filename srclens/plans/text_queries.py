@@ -215,15 +215,48 @@ def boundaries(t: Tables) -> DataFrame:
     return _marks(t)
 
 
-@query()
+_CHUNKS = f"""
+WITH RECURSIVE k AS (SELECT * FROM {_KINDS}), m AS (SELECT doc_id, line, bool_or(kind IN ('SHORT', 'NUMBER')) AS strong FROM k GROUP BY doc_id, line),
+c AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, line AS st FROM m WHERE line > 1 UNION SELECT doc_id, 1 FROM c),
+p AS (SELECT b.doc_id, b.st, min(m.line) AS nx FROM b LEFT JOIN m ON m.doc_id = b.doc_id AND ((m.line - b.st > 3 AND m.strong) OR m.line - b.st > 8) GROUP BY b.doc_id, b.st),
+r AS (SELECT doc_id, CAST(1 AS BIGINT) AS job, st, nx FROM p WHERE st = 1 UNION ALL SELECT p.doc_id, r.job + 1, p.st, p.nx FROM r JOIN p ON p.doc_id = r.doc_id AND p.st = r.nx)
+SELECT doc_id, job, CAST(st AS BIGINT) AS start_line, CAST(coalesce(nx - 1, n) AS BIGINT) AS end_line FROM r JOIN c USING (doc_id)"""
+
+
+def _n_lines(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n"))
+
+
+@query(_CHUNKS)
 def boundary_chunks(t: Tables) -> DataFrame:
-    n = t.documents.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n"))
-    return segment.boundary_chunks(_marks(t), n, ["SHORT", "NUMBER"], most=8, least=3)
+    return segment.boundary_chunks(_marks(t), _n_lines(t), ["SHORT", "NUMBER"], most=8, least=3)
+
 
+@query(_CHUNKS)
+def boundary_chunks_by_pointers(t: Tables) -> DataFrame:
+    return segment.boundary_chunks_by_pointers(_marks(t), _n_lines(t), ["SHORT", "NUMBER"], most=8, least=3)
 
-@query()
+
+_SEGMENTS = """
+WITH RECURSIVE t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), u AS (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[1:len(x) - 1] ELSE x END AS x FROM t),
+l AS (SELECT doc_id, len(x) AS n, unnest(x) AS y, unnest(range(len(x))) AS i FROM u),
+s AS (SELECT doc_id, n, i, CASE WHEN length(y) <= 20 THEN 50 WHEN length(y) <= 60 THEN 20 ELSE 0 END AS score FROM l),
+o AS (SELECT a.doc_id, a.i AS st, arg_max(b.i, (b.score - abs(b.i - a.i - 8)) * 1000000 - b.i) AS best FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.i >= a.i + 5 AND b.i <= a.i + 11 AND b.score > 0 AND b.score - abs(b.i - a.i - 8) > 0 GROUP BY a.doc_id, a.i),
+p AS (SELECT s.doc_id, s.i AS st, s.n, CASE WHEN s.n - s.i <= 8 THEN s.n ELSE coalesce(o.best, s.i + 8) END AS en FROM s LEFT JOIN o ON o.doc_id = s.doc_id AND o.st = s.i),
+r AS (SELECT doc_id, CAST(1 AS BIGINT) AS job, st, en, n FROM p WHERE st = 0 UNION ALL SELECT p.doc_id, r.job + 1, p.st, p.en, p.n FROM r JOIN p ON p.doc_id = r.doc_id AND p.st = r.en WHERE r.en < r.n)
+SELECT doc_id, job, CAST(st + 1 AS BIGINT) AS start_line, CAST(en AS BIGINT) AS end_line FROM r"""
+_SIZES = {"target": 8, "least": 2, "reach": 3, "scores": ((r"^.{0,20}$", 50), (r"^.{0,60}$", 20))}
+
+
+@query(_SEGMENTS)
 def fixed_segments(t: Tables) -> DataFrame:
-    return segment.fixed_segments(t.documents, target=8, least=2, reach=3, scores=((r"^.{0,20}$", 50), (r"^.{0,60}$", 20)))
+    return segment.fixed_segments(t.documents, **_SIZES)
+
+
+@query(_SEGMENTS)
+def fixed_segments_by_pointers(t: Tables) -> DataFrame:
+    return segment.fixed_segments_by_pointers(t.documents, **_SIZES)
 
 
 @query("""

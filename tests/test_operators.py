@@ -103,12 +103,53 @@ def test_migration_order_equals_steps(spark):
             left = [x for x in names if x not in done]
             ready = [x for x in left if needs[x] <= set(done)]
             done.append(min(ready, key=lambda x: (by[x][1], x)) if ready else min(left, key=lambda x: (by[x][2] != "low", by[x][3], x)))
-        got = graph.migration_order(spark.createDataFrame(m, "name string, priority int, risk string, complexity int"), spark.createDataFrame(d, "name string, needs string"))
-        assert [x["name"] for x in got.orderBy("place").collect()] == done
+        for order in (graph.migration_order, graph._order_by_rounds):
+            got = order(spark.createDataFrame(m, "name string, priority int, risk string, complexity int"), spark.createDataFrame(d, "name string, needs string"))
+            assert [x["name"] for x in got.orderBy("place").collect()] == done
     none = spark.createDataFrame([], "name string, priority int, risk string, complexity int")
     assert graph.migration_order(none, spark.createDataFrame([], "name string, needs string")).count() == 0
 
 
+def test_migration_order_of_a_long_chain(spark):
+    names = spark.range(5000).selectExpr("lpad(string(id), 5, '0') name", "int(id) priority", "'low' risk", "1 complexity")
+    chain = spark.range(4999).selectExpr("lpad(string(id), 5, '0') name", "lpad(string(id + 1), 5, '0') needs")
+    got = graph.migration_order(names, chain).orderBy("place").collect()
+    assert [int(x["name"]) for x in got] == list(range(4999, -1, -1)) and [x["place"] for x in got] == list(range(1, 5001))
+
+
+def test_followed_pointers(spark):
+    import random
+
+    r = random.Random(2)
+    to = {(k, i): r.choice([None, *range(i + 1, min(i + 9, 200))]) if i < 199 else None for k in range(5) for i in range(200)}
+    rows_ = [(k, i, x) for (k, i), x in to.items()]
+    starts = [(k, r.randrange(20)) for k in range(4)]
+    got = {(x["k"], x["place"]): x["at"] for x in graph.followed(spark.createDataFrame(rows_, "k int, at int, to int"), spark.createDataFrame(starts, "k int, at int"), ["k"]).collect()}
+    want = {}
+    for k, at in starts:
+        place = 0
+        while at is not None:
+            want[k, place] = at
+            at, place = to.get((k, at)), place + 1
+    assert got == want
+
+
+def test_segments_by_pointers_equal_the_folds(spark):
+    import random
+
+    r = random.Random(8)
+    lines = ["function f() {", "}", "", "// note", "$x = 1;", "$yy = 22;", "if (a) {"]
+    texts = [(i, chr(10).join(r.choice(lines) for _ in range(r.choice([0, 1, 5, 30, 120, 400])))) for i in range(30)] + [(30, None), (31, chr(10)), (32, "a" + chr(10))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for target, least, reach in ((8, 2, 3), (20, 5, 10), (4, 1, 6)):
+        assert rows(segment.fixed_segments(docs, target, least, reach)) == rows(segment.fixed_segments_by_pointers(docs, target, least, reach))
+    marks = [(i, k, r.choice("AB")) for i in range(20) for k in sorted(r.sample(range(1, 200), r.choice([0, 3, 60])))]
+    n = spark.createDataFrame([(i, r.choice([0, 1, 50, 200])) for i in range(21)], "doc_id long, n long")
+    marks = spark.createDataFrame(marks, "doc_id long, line long, kind string").join(n, "doc_id").where("line <= n").drop("n")
+    for most, least in ((8, 3), (40, 10), (5, 0)):
+        assert rows(segment.boundary_chunks(marks, n, ["A"], most, least)) == rows(segment.boundary_chunks_by_pointers(marks, n, ["A"], most, least))
+
+
 def test_every_rule_has_a_sample():
     import re
 
