@@ -31,11 +31,12 @@ def merged_clusters(clusters: DataFrame, keywords: Mapping[str, str]) -> DataFra
 
 
 def endpoints(contracts: DataFrame) -> DataFrame:
-    """``class_name, method, message, request_type, response_type`` of methods with ``hint, doc, inferred`` types."""
+    """``message, request_type, response_type`` beside the other columns of methods, which have ``service, class_name, method`` and ``hint, doc, inferred`` types."""
     result = F.coalesce("hint", "doc", "inferred", F.lit("any"))
     wrapped = F.when(result.rlike(r"\[\]$|^array"), F.lit("{ items, total }")).when(F.lower(result).isin("void", "null"), F.lit("{ success }")).otherwise(F.concat(F.lit("{ data: "), derive.php_type(result), F.lit(" }")))
     request = F.concat(naming.pascal(naming.snake(F.col("method"))), F.lit("Request"))
-    return contracts.select("class_name", "method", naming.message_pattern(F.col("service"), F.col("class_name"), F.col("method")).alias("message"), request.alias("request_type"), wrapped.alias("response_type"))
+    kept = [c for c in contracts.columns if c not in ("service", "hint", "doc", "inferred", "message", "request_type", "response_type")]
+    return contracts.select(*kept, naming.message_pattern(F.col("service"), F.col("class_name"), F.col("method")).alias("message"), request.alias("request_type"), wrapped.alias("response_type"))
 
 
 def with_frequency(contracts: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -77,8 +78,8 @@ def migration_checklist(tables: DataFrame, calls: DataFrame) -> DataFrame:
 
 def workspace(modules: DataFrame, first_port: int = 3001, limit: int = 15) -> DataFrame:
     """``module, project, port``: one service a module in order of place."""
-    n = F.row_number().over(Window.orderBy("place", "name"))
-    return modules.orderBy("place", "name").limit(limit).select(F.col("name").alias("module"), naming.kebab(F.col("name")).alias("project"), (first_port - 1 + n).cast("long").alias("port"))
+    n = F.row_number().over(Window.orderBy("place", "name"))  # of ``limit`` rows
+    return modules.orderBy("place", "name").limit(limit).select("place", "name").select(F.col("name").alias("module"), naming.kebab(F.col("name")).alias("project"), (first_port - 1 + n).cast("long").alias("port"))
 
 
 def replacements(uses: DataFrame, service: Column | str = "service") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srclens.sources.shared import numbered
+
 
 def url_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
@@ -47,8 +49,7 @@ def union_by_priority(sources: Sequence[DataFrame], order: Sequence[str]) -> Dat
     """UNION ALL of the sources; each numbers its routes from 0, ties go to the earlier source."""
     out = None
     for rank, df in enumerate(sources):
-        priority = F.row_number().over(Window.orderBy(*order)) - 1
-        one = df.withColumn("source_rank", F.lit(rank).cast("long")).withColumn("priority", priority.cast("long"))
+        one = numbered(df, *[F.col(c).asc() for c in order], name="priority").withColumn("source_rank", F.lit(rank).cast("long"))
         out = one if out is None else out.unionByName(one)
     return out
 

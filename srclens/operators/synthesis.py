@@ -83,7 +83,7 @@ def chunk_totals(manifests: DataFrame) -> DataFrame:
 
 
 def synthesis_summary(modules: DataFrame) -> DataFrame:
-    """One row of totals over ``name, is_microservice, risk, n_routes, n_tables, n_security``; high-risk modules are counted and the first ten named."""
+    """One row of totals over ``name, is_microservice, risk, n_routes, n_tables, n_security``; high-risk modules are counted."""
     high = F.col("risk") == "high"
     return modules.agg(
         F.count("*").alias("total_modules"), F.count_if("is_microservice").alias("total_microservices"), F.count_if(~F.col("is_microservice")).alias("total_gateway_modules"),
@@ -115,16 +115,18 @@ def ownership_recommendations(owned: DataFrame) -> DataFrame:
 
 
 def contract_summary(contracts: DataFrame) -> DataFrame:
-    """One row of counts over ``visibility, is_static, n_callers, effects array<struct<type, table>>, errors array<string>`` of called methods."""
+    """One row of counts over ``visibility, is_static, n_callers, effects array<struct<type, table>>`` of called methods; tables are counted once each."""
     called = contracts.where(F.col("n_callers") > 0)
     has = lambda kind: F.count_if(F.exists("effects", lambda e: e["type"] == kind))
-    tables = lambda kind: F.size(F.array_distinct(F.flatten(F.collect_set(F.transform(F.filter("effects", lambda e: (e["type"] == kind) & e["table"].isNotNull()), lambda e: e["table"])))))
-    return called.agg(
+    totals = called.agg(
         F.count("*").alias("total_contracts"), F.count_if(F.col("visibility") == "public").alias("public_methods"), F.count_if("is_static").alias("static_methods"),
         has("database_read").alias("with_db_reads"), has("database_write").alias("with_db_writes"), has("session").alias("with_session"),
         F.coalesce(F.sum("n_callers"), F.lit(0)).cast("long").alias("total_callers"),
-        tables("database_read").cast("long").alias("n_tables_read"), tables("database_write").cast("long").alias("n_tables_written"),
     )
+    tables = called.select(F.inline("effects")).select("type", "table").distinct().where("table is not null")
+    n = tables.agg(F.count_if(F.col("type") == "database_read").alias("n_tables_read"), F.count_if(F.col("type") == "database_write").alias("n_tables_written"))
+    one = F.lit(1).alias("_one")
+    return totals.select("*", one).join(n.select("*", one), "_one").drop("_one")
 
 
 def segment_flags(text: Column) -> tuple[Column, Column]:

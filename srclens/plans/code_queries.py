@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srclens.functions import conditions, derive, naming, rule_sets
-from srclens.operators import calls, code, ddl, flow, lexer, modules, php, scan, shapes, sqltext, synthesis, webconf
+from srclens.operators import calls, code, ddl, flow, lexer, modules, php, routes, scan, shapes, sqltext, synthesis, webconf
 from srclens.operators.scan import Rule
 from srclens.plans import code_texts as texts
 from srclens.plans.fact_queries import MODULES
@@ -622,11 +622,7 @@ def endpoint_types(t: Tables) -> DataFrame:
         "c_custkey", F.lit("Shop").alias("service"), F.lit("CartService").alias("class_name"), texts.line_column("get_«c_nationkey»").alias("method"),
         F.when(k == 0, "array").alias("hint"), F.when(k == 1, "void").alias("doc"), F.when(k == 2, "?int").alias("inferred"),
     )
-    found = modules.endpoints(rows.drop("c_custkey"))
-    keyed = rows.select("c_custkey", "method", "hint", "doc", "inferred").distinct()
-    by_kind = found.distinct().withColumn("_r", F.col("response_type"))
-    want = F.when(k == 0, "{ items, total }").when(k == 1, "{ success }").when(k == 2, "{ data: number | null }").otherwise("{ data: any }")
-    return keyed.withColumn("_w", want).join(by_kind, ["method"]).where(F.col("_w") == F.col("_r")).select("c_custkey", "message", "request_type", "response_type")
+    return modules.endpoints(rows).select("c_custkey", "message", "request_type", "response_type")
 
 
 @query("""
@@ -688,3 +684,78 @@ SELECT 'success' AS "case", count(*) AS n FROM customer UNION ALL SELECT 'not_fo
 def interaction_summary(t: Tables) -> DataFrame:
     rows = t.customer.select(texts.line_column("m.«c_custkey»").alias("message"), F.when(F.col("c_custkey") % 3 == 0, "getAll").otherwise("save").alias("method"))
     return modules.interaction_summary(modules.interactions(rows))
+
+
+# Operators on rows that other queries don't reach ------------------------------------------------------------------------------------
+
+
+@query("""
+WITH u AS (SELECT 0 AS source_rank, c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT 1, s_suppkey, s_name FROM supplier)
+SELECT source_rank::BIGINT AS source_rank, k, name, row_number() OVER (PARTITION BY source_rank ORDER BY name, k) - 1 AS priority FROM u""")
+def routes_by_priority(t: Tables) -> DataFrame:
+    sources = [t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))]
+    return routes.union_by_priority(sources, ["name", "k"]).select("source_rank", "k", "name", "priority")
+
+
+@query("""
+WITH f AS (SELECT p_brand AS c, p_size AS n, count(*) AS total_calls, count(*) >= 3 AS is_hot FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL)
+SELECT p_partkey, CAST(coalesce(total_calls, 0) AS BIGINT) AS total_calls, coalesce(is_hot, false) AS is_hot FROM part LEFT JOIN f ON (CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END) IS NOT DISTINCT FROM c AND p_size = n""")
+def contract_frequency(t: Tables) -> DataFrame:
+    f = t.part.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("class_name"), F.col("p_size").alias("name")).agg(F.count("*").alias("total_calls")).withColumn("is_hot", F.col("total_calls") >= 3)
+    contracts = t.part.select("p_partkey", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("class_name"), F.col("p_size").alias("method"))
+    return modules.with_frequency(contracts, f).select("p_partkey", "total_calls", "is_hot")
+
+
+@query("""
+SELECT o_custkey AS k, count(*) AS total_calls FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) GROUP BY o_custkey""")
+def cacheable_read_calls(t: Tables) -> DataFrame:
+    effects = t.orders.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderpriority") == "1-URGENT", "database_write").when(F.col("o_orderpriority") == "2-HIGH", "file_write").otherwise("database_read").alias("effect"))
+    return modules.cacheable_reads(t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("total_calls")), effects, "k")
+
+
+@query("""
+WITH f AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT 'u' || user_id || '_calls_total' AS metric, 'counter' AS kind FROM (SELECT * FROM f ORDER BY n DESC, 'u' || user_id LIMIT 20) UNION ALL SELECT 'u' || user_id || '_seconds', 'histogram' FROM (SELECT * FROM f WHERE n >= 5 ORDER BY n DESC, 'u' || user_id LIMIT 10)
+UNION ALL SELECT * FROM (VALUES ('requests_total', 'counter'), ('errors_total', 'counter'), ('request_seconds', 'histogram'), ('in_flight', 'gauge'))""")
+def metric_rows(t: Tables) -> DataFrame:
+    f = t.events.groupBy("user_id").agg(F.count("*").alias("total_calls")).select(F.concat(F.lit("u"), "user_id").alias("k"), "total_calls", (F.col("total_calls") >= 5).alias("is_hot"))
+    return modules.metric_definitions(f, "k")
+
+
+@query("""
+SELECT name AS module, lower(replace(replace(name, ' ', '-'), '_', '-')) AS project, CAST(3000 + row_number() OVER (ORDER BY place, name) AS BIGINT) AS port FROM (SELECT n_name AS name, n_regionkey AS place FROM nation ORDER BY n_regionkey, n_name LIMIT 15)""")
+def workspace_rows(t: Tables) -> DataFrame:
+    return modules.workspace(t.nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("place")))
+
+
+@query(f"""
+WITH u AS (SELECT {P} AS path, 20 AS line, (p_partkey + 1) % 100 AS k, 'Part' || (p_partkey + 1) % 100 AS old, '$shopCartClient' AS new FROM part UNION ALL SELECT {P}, 22, p_partkey % 50, 'Part' || p_partkey % 50 || '::find(', '$shopCartClient->find(' FROM part)
+SELECT path, CAST(line AS BIGINT) AS line, old, new FROM u WHERE k IN (SELECT p_partkey FROM part)""")
+def code_replacements(t: Tables) -> DataFrame:
+    own = texts.PHP.frame(t)
+    return modules.replacements(calls.class_usages(own, code.classes(own)).withColumn("service", F.lit("shop_cart")))
+
+
+@query("""
+SELECT DISTINCT CASE WHEN contains(lower(p_type), 'brass') THEN 'metal' WHEN contains(lower(p_type), 'steel') THEN 'metal' WHEN contains(lower(p_type), 'small') THEN 'little' ELSE p_type END AS cluster, p_brand AS file FROM part""")
+def clusters_merged(t: Tables) -> DataFrame:
+    return modules.merged_clusters(t.part.select(F.col("p_type").alias("cluster"), F.col("p_brand").alias("file")), {"brass": "metal", "steel": "metal", "small": "little"})
+
+
+@query(f"""
+WITH p AS (SELECT {P} AS path, p_size FROM part) SELECT path, 'SELECT id, size FROM part_' || p_size % 3 || ' WHERE id = 1' AS literal FROM p""")
+def code_sql_literals(t: Tables) -> DataFrame:
+    return texts.PHP.frame(t).select("path", F.explode(sqltext.sql_literals(F.col("content"))).alias("literal"))
+
+
+@query("""
+SELECT o_orderkey, 'shop.' || lower(replace(split_part(o_orderpriority, '-', 2), ' ', '_')) || '_cart.get_' || (o_orderkey % 9) || '_rows' AS message, 'get-' || (o_orderkey % 9) || '-rows' AS plain FROM orders""")
+def message_names(t: Tables) -> DataFrame:
+    word = F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)))
+    made = t.orders.select("o_orderkey", F.concat(F.initcap(F.when(word == "", "").otherwise(word)), F.lit("CartService")).alias("c"), F.concat(F.lit("get_"), F.col("o_orderkey") % 9, F.lit("_rows")).alias("m"))
+    return made.select("o_orderkey", naming.message_pattern(F.lit("Shop"), F.col("c"), F.col("m")).alias("message"), naming.kebab_plain(F.col("m")).alias("plain"))
+
+
+@query("SELECT unnest(CASE WHEN count(*) > 100 THEN ['many', 'some'] WHEN count(*) > 0 THEN ['some'] ELSE [] END) AS decision FROM orders WHERE o_orderpriority = '1-URGENT'")
+def decision_rows(t: Tables) -> DataFrame:
+    return modules.key_decisions(t.orders.where("o_orderpriority = '1-URGENT'").agg(F.count("*").alias("n")), [("n > 100", "many"), ("n > 0", "some"), ("n = 0", "none")])
