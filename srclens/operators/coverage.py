@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srclens.functions import naming
+from srclens.sources.shared import written
+
 
 def array_coverage(expected: Column, actual: Column) -> list[Column]:
     """Matched, missing and extra counts and the coverage in percent of two arrays as sets."""
@@ -43,6 +46,45 @@ def sync(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, "k", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
+#: Prefixes that a normalised name loses.
+NAME_PREFIXES = ("tbl_", "tb_", "t_")
+#: Edits that names of the last tier may differ by.
+MOST_EDITS = 1
+
+
+def normal_name(name: Column) -> Column:
+    """A name in lower case and snake form, without a prefix of NAME_PREFIXES and in the singular: ``ies`` is y, an ``s`` after another letter than s goes."""
+    low = naming.snake(name)
+    for p in NAME_PREFIXES:
+        low = F.when(F.startswith(low, F.lit(p)) & (F.length(low) > len(p)), F.substring(low, F.lit(len(p) + 1), F.length(low))).otherwise(low)
+    return F.when(low.rlike("..ies$"), F.concat(F.substring(low, F.lit(1), F.length(low) - 3), F.lit("y"))).when(low.rlike("[^s]s$"), F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
+
+
+def deletions(name: Column) -> Column:
+    """The name and what is left of it without any one character: two names within one edit share one of these."""
+    return F.array_distinct(F.concat(F.array(name), F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))))
+
+
+def matched_names(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """``key, other, tier`` for every distinct name of ``left``: its partner in ``right`` and how it was found: 1 equal, 2 equal when normalised, 3 within one
+    edit when normalised; null and 0 without one.
+
+    In a tier the partner is the nearest, of ties the first by code point. Tiers are equi-joins: normalised names meet in the texts that deleting a character leaves.
+    """
+    a = written(left.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_n", normal_name(F.col(key))), "names")
+    b = written(right.select(F.col(other)).where(F.col(other).isNotNull()).distinct().withColumn("_m", normal_name(F.col(other))), "names")
+    pick = lambda df, tier: df.groupBy(key).agg(F.min(F.struct("_d", F.col(other))).alias("_p")).select(key, F.col(f"_p.{other}").alias(other), F.lit(tier).cast("long").alias("tier"))
+    equal = written(pick(a.join(b, F.col(key) == F.col(other)).withColumn("_d", F.lit(0)), 1), "names-1")
+    rest = a.join(equal, key, "left_anti")
+    normal = written(pick(rest.join(b, F.col("_n") == F.col("_m")).withColumn("_d", F.levenshtein(F.col(key), F.col(other))), 2), "names-2")
+    rest = written(rest.join(normal, key, "left_anti"), "names-rest")
+    spread = lambda df, c: df.withColumn("_x", F.explode(deletions(F.col(c))))
+    near = spread(rest, "_n").join(spread(b, "_m"), "_x").withColumn("_d", F.levenshtein(F.col("_n"), F.col("_m"))).where(F.col("_d") <= MOST_EDITS)
+    near = written(pick(near, 3), "names-3")
+    none = rest.join(near, key, "left_anti").select(key, F.lit(None).cast(b.schema[other].dataType).alias(other), F.lit(0).cast("long").alias("tier"))
+    return equal.unionByName(normal).unionByName(near).unionByName(none)
+
+
 def issues(checks: Sequence[tuple[str, Column]]) -> Column:
     """Names of the checks whose condition fails, in order."""
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]), lambda x: x.isNotNull())

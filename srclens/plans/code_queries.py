@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srclens.functions import conditions, derive, naming, rule_sets
-from srclens.operators import calls, code, ddl, flow, lexer, modules, php, routes, scan, shapes, sqltext, synthesis, webconf
+from srclens.operators import calls, code, coverage, ddl, flow, lexer, modules, php, routes, scan, shapes, sqltext, synthesis, webconf
 from srclens.operators.scan import Rule
 from srclens.plans import code_texts as texts
 from srclens.plans.fact_queries import MODULES
@@ -759,3 +759,15 @@ def message_names(t: Tables) -> DataFrame:
 @query("SELECT unnest(CASE WHEN count(*) > 100 THEN ['many', 'some'] WHEN count(*) > 0 THEN ['some'] ELSE [] END) AS decision FROM orders WHERE o_orderpriority = '1-URGENT'")
 def decision_rows(t: Tables) -> DataFrame:
     return modules.key_decisions(t.orders.where("o_orderpriority = '1-URGENT'").agg(F.count("*").alias("n")), [("n > 100", "many"), ("n > 0", "some"), ("n = 0", "none")])
+
+
+_LEFT = "CASE p_partkey % 6 WHEN 0 THEN 'item_' || p_partkey WHEN 1 THEN 'tbl_Item' || p_partkey || 's' WHEN 2 THEN 'category_' || p_partkey WHEN 3 THEN 'itm_' || p_partkey || 'a' WHEN 4 THEN 'T_ORDER_' || p_partkey ELSE 'lonely' || p_partkey || 'xyz' END"
+_RIGHT = "CASE p_partkey % 6 WHEN 0 THEN 'item_' || p_partkey WHEN 1 THEN 'item' || p_partkey WHEN 2 THEN 'categories_' || p_partkey WHEN 3 THEN 'item_' || p_partkey || 'a' WHEN 4 THEN 'order_' || p_partkey ELSE 'zz' || p_partkey END"
+
+
+@query(f"""
+WITH a AS (SELECT p_partkey, {_LEFT} AS name, {_RIGHT} AS twin FROM part)
+SELECT name, CASE WHEN p_partkey % 6 IN (0, 1, 3, 4) THEN twin END AS partner, CAST(CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 0 END AS BIGINT) AS tier FROM a""")
+def matched_names(t: Tables) -> DataFrame:
+    """Names of one table and of another, spelt in other ways; those that differ by more have no partner."""
+    return coverage.matched_names(t.part.select(F.expr(_LEFT).alias("name")), t.part.select(F.expr(_RIGHT).alias("partner")), "name", "partner")

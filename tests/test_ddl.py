@@ -48,3 +48,34 @@ def test_include_files(spark):
     df = spark.createDataFrame([(str(i), p, c) for i, (p, c) in enumerate(cases)], "i string, path string, content string")
     got = {int(r["i"]): r["v"] for r in df.select("i", php.is_include_file(F.col("path"), F.col("content")).alias("v")).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_matched_names_against_all_pairs(spark):
+    import random
+
+    from srclens.operators import coverage
+
+    r = random.Random(9)
+    name = lambda: r.choice(["", "tbl_", "t_", "T_"]) + "".join(r.choice("aby") for _ in range(r.randint(1, 4))) + r.choice(["", "s", "ies", "_id", "X"])
+    left, right = [name() for _ in range(120)] + [None, ""], [name() for _ in range(60)] + [None]
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    normal = {x["n"]: x["m"] for x in frame(left + right, "n").where("n is not null").distinct().select("n", coverage.normal_name(F.col("n")).alias("m")).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, above[j] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for a in {x for x in left if x is not None}:
+        others = {x for x in right if x is not None}
+        tiers = (
+            [(0, b) for b in others if a == b], [(distance(a, b), b) for b in others if normal[a] == normal[b]],
+            [(d, b) for b in others if (d := distance(normal[a], normal[b])) <= 1],
+        )
+        want[a] = next(((min(t)[1], k) for k, t in enumerate(tiers, 1) if t), (None, 0))
+    got = {x["a"]: (x["b"], x["tier"]) for x in coverage.matched_names(frame(left, "a"), frame(right, "b"), "a", "b").collect()}
+    assert got == want and {t for _, t in got.values()} == {0, 1, 2, 3}
