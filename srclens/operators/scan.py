@@ -2,7 +2,8 @@
 
 Rules are independent, so a span may be found by several. The rule set is data
 (:class:`Rule` rows, known when the plan is built); each becomes one constant regular expression,
-compiled once a task, and texts that a rule can't match are skipped by ``rlike`` first.
+compiled once a task. A text is first searched for what every match of a rule must hold (:func:`literals.required`), which takes no
+regular expression, and only then for the rule.
 """
 
 from __future__ import annotations
@@ -13,6 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srclens.functions import literals
+
+
+#: Rules up to which each is an expression of its own.
+UNROLLED = 16
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -38,10 +45,22 @@ def _labels(rule: Rule) -> list[Column]:
     return [F.lit(getattr(rule, n)).alias(n) for n in ("rule_id", "family", "type", "severity")]
 
 
+def may_match(rule: Rule, content: Column, low: Column) -> Column:
+    """Whether a rule matches a text, given the text in lower case: the regular expression is run on texts that hold what it needs."""
+    hit = content.rlike(rule.pattern)
+    needs = [F.contains(low, F.lit(x)) for x in literals.required(rule.pattern)]
+    if not needs:
+        return hit
+    guard = needs[0]
+    for x in needs[1:]:
+        guard = guard | x
+    return guard & hit
+
+
 def _line_hits(rule: Rule) -> Column:
     found = F.regexp_extract_all("content", F.lit(rule.pattern), F.lit(rule.group))
     return F.when(
-        F.col("content").rlike(rule.pattern),
+        may_match(rule, F.col("content"), F.col("_low")),
         F.transform(found, lambda m, i: F.struct(*_labels(rule), (i + 1).cast("long").alias("in_line"), F.substring(m, 1, rule.snippet_len).alias("snippet"))),
     )
 
@@ -49,13 +68,25 @@ def _line_hits(rule: Rule) -> Column:
 def scan_lines(texts: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Findings of rules that match inside a line: ``key, rule_id, family, type, severity, line, in_line, snippet``.
 
-    Lines are exploded once for all rules and nothing is shuffled.
+    Lines are exploded once for all rules and nothing is shuffled. More than ``UNROLLED`` rules stand in the plan as one constant list with what they need, from which
+    every line takes the few that may match; fewer are expressions of their own.
     """
+    lines = text_lines(texts, key, text).withColumn("_low", F.lower("content"))
+    if len(rules) > UNROLLED:
+        return _scan_listed(lines, rules, key)
     empty = F.array().cast("array<struct<rule_id:string,family:string,type:string,severity:string,in_line:bigint,snippet:string>>")
     hits = F.concat(*[F.coalesce(_line_hits(r), empty) for r in rules])
-    return text_lines(texts, key, text).select(key, "line", F.explode(hits).alias("hit")).select(
-        key, "hit.rule_id", "hit.family", "hit.type", "hit.severity", "line", "hit.in_line", "hit.snippet"
-    )
+    return lines.select(key, "line", F.explode(hits).alias("hit")).select(key, "hit.rule_id", "hit.family", "hit.type", "hit.severity", "line", "hit.in_line", "hit.snippet")
+
+
+def _scan_listed(lines: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
+    labels = ("rule_id", "family", "type", "severity")
+    known = F.array(*[F.struct(F.array(*[F.lit(x) for x in literals.required(r.pattern)]).cast("array<string>").alias("needs"), F.lit(i).alias("rule")) for i, r in enumerate(rules)])
+    own = F.transform(F.filter(known, lambda r: (F.size(r["needs"]) == 0) | F.exists(r["needs"], lambda x: F.contains(F.col("_low"), x))), lambda r: r["rule"])
+    facts = F.array(*[F.struct(*_labels(r), F.lit(r.pattern).alias("pattern"), F.lit(r.group).alias("group"), F.lit(r.snippet_len).alias("snippet_len")) for r in rules])
+    each = lines.select(key, "line", "content", F.explode(own).alias("_rule")).withColumn("_r", F.get(facts, F.col("_rule")))
+    each = each.select(key, "line", *[F.col(f"_r.{x}").alias(x) for x in labels], "_r.snippet_len", F.posexplode(F.regexp_extract_all("content", F.col("_r.pattern"), F.col("_r.group"))).alias("_i", "_m"))
+    return each.select(key, *labels, "line", (F.col("_i") + 1).cast("long").alias("in_line"), F.substring("_m", F.lit(1), F.col("snippet_len")).alias("snippet"))
 
 
 def _pieces(rule: Rule, content: Column) -> Column:
@@ -81,7 +112,7 @@ def scan_texts(texts: DataFrame, rules: Sequence[Rule], key: str = "doc_id", tex
     content = F.coalesce(text, F.lit(""))
     fields = "rule_id:string,family:string,type:string,severity:string,ordinal:bigint,before:string,match:string,snippet:string"
     none = F.array().cast(f"array<struct<{fields}>>")
-    out = texts.select(key, F.inline(F.concat(*[F.when(content.rlike(r.pattern), _pieces(r, content)).otherwise(none) for r in rules])))
+    out = texts.select(key, F.inline(F.concat(*[F.when(may_match(r, content, F.lower(content)), _pieces(r, content)).otherwise(none) for r in rules])))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     order = Window.partitionBy(key, "rule_id").orderBy("ordinal")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)

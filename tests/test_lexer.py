@@ -210,3 +210,24 @@ def test_reaching_against_search(spark, n, m, seed):
 def test_reaching_along_a_chain(spark):
     edges = spark.range(10_000).selectExpr("id caller", "id + 1 callee")
     assert flow.reaching(edges, spark.createDataFrame([(10_000,)], "id long")).count() == 10_001
+
+
+def test_required_literals_and_listed_rules(spark, monkeypatch):
+    """What a rule needs stands in every match, and rules as a list find what each of them finds as an expression."""
+    from srclens.functions import literals, rule_sets
+    from srclens.operators import scan
+    from srclens.plans import code_texts
+
+    assert literals.required(r"(?i)\bfoo(?:bar|baz)\s*\(x+") == ("foo",) or literals.required(r"(?i)\bfoo(?:bar|baz)\s*\(x+") == ("ba",)
+    assert literals.required(r"(?:abc|de)f?") == ("abc", "de") and literals.required(r"a|bc") == () and literals.required(r"(?:xy)*") == () and literals.required("éa") == ()
+    lines = code_texts.SAMPLES
+    for rule in rule_sets.ALL:
+        needs = literals.required(rule.pattern)
+        for line in lines:
+            if needs and re.search(rule.pattern, line):
+                assert any(x in line.lower() for x in needs), (rule.pattern, line)
+    inside = [r for r in rule_sets.ALL if not r.multiline]
+    files = spark.createDataFrame([(str(i), "\n".join(lines[i : i + 9]).swapcase() if i % 5 == 0 else "\n".join(lines[i : i + 9])) for i in range(0, len(lines), 3)] + [("n", None)], FILE)
+    listed = sorted(map(tuple, scan.scan_lines(files, inside, "path", "content").collect()))
+    monkeypatch.setattr(scan, "UNROLLED", 10_000)
+    assert listed == sorted(map(tuple, scan.scan_lines(files, inside, "path", "content").collect())) and len(listed) > 300
