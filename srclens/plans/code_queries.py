@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srclens.functions import conditions, derive, naming, rule_sets
-from srclens.operators import calls, code, coverage, ddl, flow, lexer, modules, php, routes, scan, shapes, sqltext, synthesis, webconf
+from srclens.operators import calls, code, coverage, ddl, flow, lexer, modules, php, routes, scan, shapes, sqlscopes, sqltext, synthesis, webconf
 from srclens.operators.scan import Rule
 from srclens.plans import code_texts as texts
 from srclens.plans.fact_queries import MODULES
@@ -771,3 +771,20 @@ SELECT name, CASE WHEN p_partkey % 6 IN (0, 1, 3, 4) THEN twin END AS partner, C
 def matched_names(t: Tables) -> DataFrame:
     """Names of one table and of another, spelt in other ways; those that differ by more have no partner."""
     return coverage.matched_names(t.part.select(F.expr(_LEFT).alias("name")), t.part.select(F.expr(_RIGHT).alias("partner")), "name", "partner")
+
+
+_SQL = texts.Corpus(
+    "customer", "q«c_custkey»",
+    [
+        "SELECT u.id_«c_custkey % 3», o.total AS t -- x.y", "FROM users_«c_nationkey» u JOIN shop.orders AS o ON o.uid = u.id",
+        "WHERE o.k IN (SELECT x FROM s«c_custkey % 2» WHERE u.z = 'a.b')«CASE WHEN c_custkey % 4 = 0 THEN ' UNION SELECT k, v FROM m' WHEN c_custkey % 4 = 1 THEN ' AND total2 > 1' ELSE '' END»",
+    ],
+)
+
+
+@query(f"""
+WITH c AS (SELECT {_SQL.key_sql} AS path, c_custkey AS k, 'users_' || c_nationkey AS u FROM customer)
+SELECT path, CAST(1 AS BIGINT) AS line, u AS "table", 'id_' || k % 3 AS "column" FROM c UNION ALL SELECT path, 1, 'orders', 'total' FROM c UNION ALL SELECT path, 2, 'orders', 'uid' FROM c UNION ALL SELECT path, 2, u, 'id' FROM c
+UNION ALL SELECT path, 3, 'orders', 'k' FROM c UNION ALL SELECT path, 3, 's' || k % 2, 'x' FROM c UNION ALL SELECT path, 3, u, 'z' FROM c UNION ALL SELECT path, 3, 'm', unnest(['k', 'v']) FROM c WHERE k % 4 = 0 UNION ALL SELECT path, 3, NULL, 'total2' FROM c WHERE k % 4 = 1""")
+def sql_resolved_columns(t: Tables) -> DataFrame:
+    return sqlscopes.resolved_columns(_SQL.frame(t), "path", "content").select("path", "line", "table", "column")
