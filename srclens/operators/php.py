@@ -189,12 +189,23 @@ def request_contract(files: DataFrame, path: str = "path", content: str = "conte
 
 
 def uploads(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``path, field, checks_type, checks_size, storage`` of every distinct upload field."""
+    """``path, field, checks_type, checks_size, storage, max_size, types`` of every distinct upload field.
+
+    ``max_size`` is the number, or the product of numbers, that the field's size is compared with, the first of several; ``types`` are the quoted types that its
+    type is compared with or looked up in, sorted.
+    """
     fields = F.array_distinct(F.regexp_extract_all(content, F.lit(r"\$_FILES\[['\"](\w+)['\"]\]"), F.lit(1)))
     each = files.select(path, F.col(content).alias("_c"), F.explode(fields).alias("field"))
-    of = lambda key: F.regexp_like("_c", F.concat(F.lit(r"\$_FILES\[['\"]"), F.col("field"), F.lit(rf"['\"]\]\[['\"]{key}['\"]\]")))
+    at = lambda key, more="": F.concat(F.lit(r"\$_FILES\[['\"]"), F.col("field"), F.lit(rf"['\"]\]\[['\"]{key}['\"]\]{more}"))
+    of = lambda key: F.regexp_like("_c", at(key))
+    first = lambda pattern: F.call_function("regexp_extract", F.col("_c"), pattern, F.lit(1))
     storage = F.nullif(F.regexp_extract("_c", r"move_uploaded_file\s*\([^,]+,\s*['\"]?([^'\";)]+)", 1), F.lit(""))
-    return each.select(path, "field", of("type").alias("checks_type"), of("size").alias("checks_size"), storage.alias("storage"))
+    factors = F.regexp_extract_all(first(at("size", r"\s*(?:>=?|<=?)\s*(\d+(?:\s*\*\s*\d+)*)")), F.lit(r"\d+"), F.lit(0))
+    size = F.when(F.size(factors) > 0, F.aggregate(factors, F.lit(1).cast("long"), lambda a, x: a * x.cast("long")))
+    listed = first(F.concat(F.lit(r"in_array\s*\(\s*"), at("type", r"\s*,\s*(?:\[|array\s*\()([^\])]*)")))
+    compared = F.regexp_extract_all("_c", at("type", r"\s*[!=]=+\s*['\"]([\w./+-]+)['\"]"), F.lit(1))
+    types = F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(listed, F.lit(r"['\"]([\w./+-]+)['\"]"), F.lit(1)), compared)))
+    return each.select(path, "field", of("type").alias("checks_type"), of("size").alias("checks_size"), storage.alias("storage"), size.alias("max_size"), types.alias("types"))
 
 
 def parameters(functions: DataFrame) -> DataFrame:

@@ -201,9 +201,25 @@ def code_request_facts(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT {P} AS path, 'doc' || p_size % 2 AS field, false AS checks_type, true AS checks_size, 'up/' AS storage FROM part""")
+SELECT {P} AS path, 'doc' || p_size % 2 AS field, false AS checks_type, true AS checks_size, 'up/' AS storage, CAST(5 AS BIGINT) AS max_size, '' AS types FROM part""")
 def code_uploads(t: Tables) -> DataFrame:
-    return php.uploads(texts.PHP.frame(t))
+    return php.uploads(texts.PHP.frame(t)).withColumn("types", joined("types"))
+
+
+_UPLOADS = texts.Corpus(
+    "part", "/u/p«p_partkey».php",
+    [
+        "if ($_FILES['f']['size'] > «p_size» * 1024«CASE WHEN p_partkey % 2 = 0 THEN ' * 1024' ELSE '' END») die();",
+        "«CASE p_partkey % 3 WHEN 0 THEN 'if (!in_array($_FILES[\"f\"][\"type\"], [\"image/png\", \"image/gif\"])) die();' WHEN 1 THEN '$ok = $_FILES[\"f\"][\"type\"] === \"text/csv\";' ELSE '' END»",
+    ],
+)
+
+
+@query(f"""
+SELECT {_UPLOADS.key_sql} AS path, 'f' AS field, p_partkey % 3 < 2 AS checks_type, true AS checks_size, CAST(NULL AS VARCHAR) AS storage, CAST(p_size * 1024 * CASE WHEN p_partkey % 2 = 0 THEN 1024 ELSE 1 END AS BIGINT) AS max_size,
+  CASE p_partkey % 3 WHEN 0 THEN 'image/gif,image/png' WHEN 1 THEN 'text/csv' ELSE '' END AS types FROM part""")
+def upload_limits(t: Tables) -> DataFrame:
+    return php.uploads(_UPLOADS.frame(t)).withColumn("types", joined("types"))
 
 
 @query(f"""

@@ -41,7 +41,10 @@ def test_contracts(spark):
     f = files(spark)
     got = {r["param"]: (r["type"], r["required"], r["default"]) for r in php.request_contract(f).collect()}
     assert got["page"] == ("int", True, ("int", "1")) and got["mode"][1] is False and got["id"][0] == "int"
-    assert tuple(php.uploads(f).first()) == ("src/index.php", "doc", False, True, "up/")
+    assert tuple(php.uploads(f).first()) == ("src/index.php", "doc", False, True, "up/", 5, [])
+    more = """$_FILES['a']['name']; if ($_FILES["a"]['size'] >= 2 * 1024 * 1024) {} if (!in_array($_FILES['a']['type'], ['image/png', "image/jpeg"]) || $_FILES['a']['type'] != 'image/gif') {} $_FILES['b']['tmp_name'];"""
+    got = {r["field"]: (r["checks_type"], r["checks_size"], r["max_size"], r["types"]) for r in php.uploads(spark.createDataFrame([("x", more)], "path string, content string")).collect()}
+    assert got == {"a": (True, True, 2 * 1024 * 1024, ["image/gif", "image/jpeg", "image/png"]), "b": (False, False, None, [])}
     assert php.api_info(f).first()["methods"] == ["GET", "POST"]
     assert f.select(php.cache_ttl(F.col("content"), F.lit("items:all"))).first()[0] == 60
     fns = code.functions(f)
