@@ -112,3 +112,39 @@ def risk_bucket(security: Column, complexity: Column) -> Column:
 
 def effort_bucket(lines: Column) -> Column:
     return ladder([(lines > 1000, "large"), (lines > 300, "medium")], "small")
+
+
+#: What makes a project harder: name, SQL condition on its totals.
+COMPLEXITY_FACTORS = (
+    ("mixed_pages", "n_mixed > 0.5 * n_files"), ("heavy_database", "n_database > 50"), ("global_state", "n_globals > 20"), ("no_front_controller", "not has_front_controller"),
+    ("security_review", "n_security > 10"), ("static_calls", "n_static > 20"), ("singletons", "n_singletons > 5"), ("external_apis", "n_external > 10"),
+)
+
+
+def project_complexity(files: DataFrame, counts: DataFrame, factors: Sequence[tuple[str, str]] = COMPLEXITY_FACTORS) -> DataFrame:
+    """One row: totals of ``files`` (``total_lines, is_mixed, cyclomatic_complexity, n_globals``), the columns of the one-row ``counts``, ``mean_complexity``, ``weeks``, ``factors`` and ``level``.
+
+    ``counts`` has ``n_database, n_security, n_static, n_singletons, n_external, has_front_controller``, as the factors ask. Three factors or more are high, one or two medium. Without files all totals are 0.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    totals = files.agg(
+        F.count("*").alias("n_files"), total("total_lines").alias("n_lines"), F.count_if("is_mixed").alias("n_mixed"), total("cyclomatic_complexity").alias("n_complexity"), total("n_globals").alias("n_globals")
+    )
+    one = F.lit(1).alias("_one")
+    out = totals.select("*", one).join(counts.select("*", one), "_one").drop("_one")
+    found = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in factors]))
+    out = out.withColumn("mean_complexity", F.bround(F.col("n_complexity") / F.greatest("n_files", F.lit(1)), 2)).withColumn("weeks", F.greatest(F.lit(1), F.floor(F.col("n_lines") / 2000)).cast("long"))
+    return out.withColumn("factors", found).withColumn("level", F.when(F.size("factors") >= 3, "high").when(F.size("factors") >= 1, "medium").otherwise("low"))
+
+
+def job_summary(segments: DataFrame, path: str = "path") -> DataFrame:
+    """One row over ``path, start_line, end_line, has_sql, has_html`` of segments: files, jobs, lines, the longest job, jobs with SQL and with markup, files of more than one job."""
+    lines = F.col("end_line") - F.col("start_line") + 1
+    by_file = segments.groupBy(path).agg(
+        F.count("*").alias("n"), F.sum(lines).alias("lines"), F.max(lines).alias("longest"), F.count_if("has_sql").alias("sql"), F.count_if("has_html").alias("html")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return by_file.agg(
+        F.count("*").alias("n_files"), total("n").alias("n_jobs"), total("lines").alias("n_lines"), F.coalesce(F.max("longest"), F.lit(0)).cast("long").alias("longest_job"),
+        total("sql").alias("n_with_sql"), total("html").alias("n_with_html"), F.count_if(F.col("n") > 1).alias("n_split_files"),
+    )

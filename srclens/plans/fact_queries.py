@@ -451,3 +451,30 @@ def top_callers(t: Tables) -> DataFrame:
     # The best 20 are taken first, so the ranking sees 20 rows.
     top = t.events.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(20)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).cast("long"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey, count(*) AS total_lines, bool_or(o_orderstatus = 'P') AS is_mixed, sum(o_orderkey % 7) AS cyclomatic_complexity, count(DISTINCT o_orderpriority) AS n_globals FROM orders GROUP BY o_custkey),
+a AS (SELECT count(*) AS n_files, CAST(sum(total_lines) AS BIGINT) AS n_lines, count(*) FILTER (WHERE is_mixed) AS n_mixed, CAST(sum(cyclomatic_complexity) AS BIGINT) AS n_complexity, CAST(sum(n_globals) AS BIGINT) AS n_globals FROM f),
+c AS (SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS n_database, count(*) FILTER (WHERE p_size = 1) AS n_security, count(*) FILTER (WHERE p_size = 2) AS n_static, count(*) FILTER (WHERE p_size = 3) AS n_singletons, count(*) FILTER (WHERE p_size > 60) AS n_external, bool_or(p_size = 7) AS has_front_controller FROM part),
+j AS (SELECT *, round_even(n_complexity / greatest(n_files, 1), 2)::DOUBLE AS mean_complexity, CAST(greatest(1, n_lines // 2000) AS BIGINT) AS weeks,
+  list_filter([CASE WHEN n_mixed > 0.5 * n_files THEN 'mixed_pages' END, CASE WHEN n_database > 50 THEN 'heavy_database' END, CASE WHEN n_globals > 20 THEN 'global_state' END, CASE WHEN NOT has_front_controller THEN 'no_front_controller' END, CASE WHEN n_security > 10 THEN 'security_review' END,
+    CASE WHEN n_static > 20 THEN 'static_calls' END, CASE WHEN n_singletons > 5 THEN 'singletons' END, CASE WHEN n_external > 10 THEN 'external_apis' END], lambda x: x IS NOT NULL) AS fs FROM a, c)
+SELECT * EXCLUDE (fs), array_to_string(fs, ',') AS factors, CASE WHEN len(fs) >= 3 THEN 'high' WHEN len(fs) >= 1 THEN 'medium' ELSE 'low' END AS level FROM j""")
+def project_assessment(t: Tables) -> DataFrame:
+    files = t.orders.groupBy("o_custkey").agg(
+        F.count("*").alias("total_lines"), F.bool_or(F.col("o_orderstatus") == "P").alias("is_mixed"), F.sum(F.col("o_orderkey") % 7).alias("cyclomatic_complexity"), F.count_distinct("o_orderpriority").alias("n_globals")
+    )
+    size = lambda c: F.count_if(F.expr(f"p_size {c}"))
+    own = t.part.agg(size("= 1").alias("n_security"), size("= 2").alias("n_static"), size("= 3").alias("n_singletons"), size("> 60").alias("n_external"), F.bool_or(F.col("p_size") == 7).alias("has_front_controller"), F.lit(1).alias("_k"))
+    db = t.lineitem.agg(F.count_if(F.col("l_returnflag") == "R").alias("n_database"), F.lit(1).alias("_k"))
+    return rollup.project_complexity(files, own.join(db, "_k").drop("_k")).withColumn("factors", F.array_join("factors", ","))
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS path, o_orderkey % 50 + 1 AS start_line, o_orderkey % 50 + 1 + o_orderkey % 9 AS end_line, o_orderstatus = 'F' AS has_sql, o_orderstatus = 'P' AS has_html FROM orders),
+f AS (SELECT path, count(*) AS n, sum(end_line - start_line + 1) AS lines, max(end_line - start_line + 1) AS longest, count(*) FILTER (WHERE has_sql) AS sql, count(*) FILTER (WHERE has_html) AS html FROM s GROUP BY path)
+SELECT count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_jobs, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(max(longest) AS BIGINT) AS longest_job, CAST(sum(sql) AS BIGINT) AS n_with_sql, CAST(sum(html) AS BIGINT) AS n_with_html, count(*) FILTER (WHERE n > 1) AS n_split_files FROM f""")
+def job_totals(t: Tables) -> DataFrame:
+    start = F.col("o_orderkey") % 50 + 1
+    return rollup.job_summary(t.orders.select(F.col("o_custkey").alias("path"), start.alias("start_line"), (start + F.col("o_orderkey") % 9).alias("end_line"), (F.col("o_orderstatus") == "F").alias("has_sql"), (F.col("o_orderstatus") == "P").alias("has_html")))
