@@ -244,6 +244,37 @@ def _first_keys(fields: DataFrame) -> DataFrame:
     return first.groupBy("path", "name", "line_start").agg(keys.alias("keys"))
 
 
+#: What a body does when it fails: kind, pattern, whether every place counts or only that there is one.
+FAILURES = (
+    ("exit", r"(?i)\b(?:die|exit)\b", True), ("throw", r"(?i)\bthrow\b", True), ("trigger", r"(?i)\btrigger_error\s*\(", True),
+    ("return_false", r"(?i)\breturn\s+false\s*;", False), ("return_null", r"(?i)\breturn\s+null\s*;", False),
+)
+#: What a body changes beside its result, told once for each kind.
+EFFECTS = (
+    ("session", r"\$_SESSION\s*\[[^\]]*\]\s*(?:\[[^\]]*\]\s*)*(?:[-+.*/]|\?\?)?=[^=>]"), ("global", r"(?i)\bglobal\s+\$\w+|\$GLOBALS\s*\[[^\]]*\]\s*=[^=>]"), ("cookie", r"(?i)\bset(?:raw)?cookie\s*\("),
+    ("file_write", r"(?i)\b(?:file_put_contents|fwrite|fputs|fputcsv)\s*\("), ("file_delete", r"(?i)\b(?:unlink|rmdir)\s*\("), ("file_move", r"(?i)\b(?:rename|copy|move_uploaded_file)\s*\("), ("folder", r"(?i)\bmkdir\s*\("),
+)
+
+
+def without_strings(text: Column) -> Column:
+    """Code with its strings and comments blanked."""
+    return F.regexp_replace(text, r"(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|/\*.*?\*/|(?://|#(?!\[))[^\n]*", " ")
+
+
+def failures(functions: DataFrame) -> DataFrame:
+    """``path, name, line_start, kind, n`` of FAILURES in functions' bodies; strings and comments don't count."""
+    bare = functions.select("path", "name", "line_start", without_strings(F.col("body")).alias("_b"))
+    n = lambda p, every: F.regexp_count("_b", F.lit(p)).cast("long") if every else F.col("_b").rlike(p).cast("long")
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), n(p, every).alias("n")) for k, p, every in FAILURES])
+    return bare.select("path", "name", "line_start", F.inline(found)).where("n > 0")
+
+
+def effects(functions: DataFrame) -> DataFrame:
+    """``path, name, line_start, kind`` of EFFECTS, one row for each kind that a body has."""
+    bare = functions.select("path", "name", "line_start", without_strings(F.col("body")).alias("_b"))
+    return bare.select("path", "name", "line_start", F.explode(F.array_compact(F.array(*[F.when(F.col("_b").rlike(p), F.lit(k)) for k, p in EFFECTS]))).alias("kind"))
+
+
 def type_coverage(functions: DataFrame) -> DataFrame:
     """100 typed / total, where a function has its parameters and its return to type."""
     typed = F.size(F.filter("params", lambda p: p.rlike(r"^\s*\??[\w\\|]+\s+[&.]*\$")))

@@ -804,3 +804,26 @@ SELECT path, CAST(1 AS BIGINT) AS line, u AS "table", 'id_' || k % 3 AS "column"
 UNION ALL SELECT path, 3, 'orders', 'k' FROM c UNION ALL SELECT path, 3, 's' || k % 2, 'x' FROM c UNION ALL SELECT path, 3, u, 'z' FROM c UNION ALL SELECT path, 3, 'm', unnest(['k', 'v']) FROM c WHERE k % 4 = 0 UNION ALL SELECT path, 3, NULL, 'total2' FROM c WHERE k % 4 = 1""")
 def sql_resolved_columns(t: Tables) -> DataFrame:
     return sqlscopes.resolved_columns(_SQL.frame(t), "path", "content").select("path", "line", "table", "column")
+
+
+_BODIES = texts.Corpus(
+    "part", "/b/p«p_partkey».php",
+    [
+        "<?php function f«p_partkey»($x) {«repeat(' if ($x) { throw new E(); }', p_size % 4)» // die();",
+        "  «CASE p_partkey % 3 WHEN 0 THEN '$_SESSION[\"a\"] = 1; $_SESSION[\"b\"] = 2; return false; return false;' WHEN 1 THEN 'global $g; unlink($x); echo \"mkdir(1)\"; return null;' ELSE 'if ($_SESSION[\"a\"] == 1) { exit; } die(2);' END»",
+        "}",
+    ],
+)
+
+
+@query(f"""
+WITH p AS (SELECT {_BODIES.key_sql} AS path, p_partkey % 3 AS k, p_size % 4 AS z FROM part)
+SELECT path, 'throw' AS kind, CAST(z AS BIGINT) AS n FROM p WHERE z > 0 UNION ALL SELECT path, CASE k WHEN 0 THEN 'return_false' WHEN 1 THEN 'return_null' ELSE 'exit' END, CASE WHEN k = 2 THEN 2 ELSE 1 END FROM p""")
+def body_failures(t: Tables) -> DataFrame:
+    return php.failures(code.functions(_BODIES.frame(t))).select("path", "kind", "n")
+
+
+@query(f"""
+WITH p AS (SELECT {_BODIES.key_sql} AS path, p_partkey % 3 AS k FROM part) SELECT path, unnest(CASE k WHEN 0 THEN ['session'] ELSE ['global', 'file_delete'] END) AS kind FROM p WHERE k < 2""")
+def body_effects(t: Tables) -> DataFrame:
+    return php.effects(code.functions(_BODIES.frame(t))).select("path", "kind")
