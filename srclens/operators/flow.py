@@ -45,10 +45,11 @@ def loops(tokens: DataFrame) -> DataFrame:
     level = F.when((F.col("kind") == "mark") & F.col("token").isin(*lexer.CLOSING), F.col("depth") - 1).otherwise(F.col("depth"))
     events = rows.where(head | finish | mark).select("path", "pos", "line", low.alias("token"), level.alias("level"), head.alias("head"), finish.alias("finish"))
     on = Window.partitionBy("path", "level").orderBy("pos")
-    after = on.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards: a frame from a row to the end would be read again for each row.
+    after = Window.partitionBy("path", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     place = F.struct("token", "pos", "line")
     found = events.select(
-        "*", *[F.lead(place, k).over(on).alias(f"a{k}") for k in (1, 2, 3, 4)], F.first(F.when(F.col("token") == ";", place), ignorenulls=True).over(after).alias("semicolon"),
+        "*", *[F.lead(place, k).over(on).alias(f"a{k}") for k in (1, 2, 3, 4)], F.last(F.when(F.col("token") == ";", place), ignorenulls=True).over(after).alias("semicolon"),
     )
     # Loops that a word ends are brackets of their own kind: those of one depth open and end in turn.
     worded = F.col("head") & (F.col("a3.token") == ":")
@@ -122,18 +123,20 @@ def call_graph(tokens: DataFrame) -> DataFrame:
     bodies = written(bodies.select("path", "body_opens", "ends", F.lower("name").alias("name"), F.col("c.class_name").alias("class_name"), F.concat("path", F.lit("#"), inner, "name").alias("id")), "bodies")
     by = Window.partitionBy("path").orderBy("pos")
     this = tokens.withColumn("_b", F.lag("token", 2).over(by)).where("_b = '$this'").select("path", "pos", F.lit(True).alias("on_this"))
-    sites = call_sites(tokens).where("kind <> 'new'").join(this, ["path", "pos"], "left")
+    sites = call_sites(tokens).where("kind <> 'new'").join(this.hint("merge"), ["path", "pos"], "left")
     sites = innermost(sites, bodies.select("path", "body_opens", "ends", "id", "class_name"), ["path"], "pos", "body_opens", "ends", "f")
     own = F.col("on_this").isNotNull() | F.lower("owner").isin("self", "static", "parent")
     scope = F.when(F.col("kind") == "function", "").when(F.coalesce(own, F.lit(False)), F.col("f.class_name")).when(F.col("kind") == "static", F.col("owner"))
     sites = sites.select("path", F.coalesce("f.id", F.concat("path", F.lit("#"))).alias("caller"), F.lower("name").alias("name"), scope.alias("scope"))
     sites = written(sites.distinct(), "call-sites")
     defined = bodies.select("name", F.coalesce("class_name", F.lit("")).alias("scope"), F.col("path").alias("at"), F.col("id").alias("callee"))
-    scoped = sites.where("scope is not null").join(defined, ["name", "scope"])
-    near = F.max((F.col("path") == F.col("at")).cast("int")).over(Window.partitionBy("caller", "name", "scope"))
-    scoped = scoped.withColumn("_near", near).where((F.col("_near") == 0) | (F.col("path") == F.col("at")))
+    # Names of the own file first, so that one that every file defines and calls makes no pairs of files.
+    scoped, keys = sites.where("scope is not null"), ["path", "name", "scope"]
+    own_names = defined.withColumnRenamed("at", "path")
+    near = scoped.join(own_names.hint("merge"), keys).select("caller", "callee")
+    far = scoped.join(own_names.select(*keys).distinct().hint("merge"), keys, "left_anti").join(defined.hint("merge"), ["name", "scope"])
     loose = sites.where("scope is null").join(defined.where("scope <> ''").drop("scope"), "name")
-    return scoped.select("caller", "callee").unionByName(loose.select("caller", "callee")).distinct()
+    return near.unionByName(far.select("caller", "callee")).unionByName(loose.select("caller", "callee")).distinct()
 
 
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
