@@ -51,12 +51,11 @@ WITH p AS (SELECT {S} AS path, p_partkey AS k, p_size AS z, {L} AS n FROM part)
 SELECT path, CAST(11 + n AS BIGINT) AS n_strings, CAST(2 AS BIGINT) AS n_comments, CAST(3 AS BIGINT) AS n_heredoc, CAST(2 AS BIGINT) AS n_page, CAST(0 AS BIGINT) AS last_depth FROM p""")
 def shape_tokens(t: Tables) -> DataFrame:
     """Strings, comments, heredoc lines and page text of each file, and the brackets that are open at its end."""
-    found = lexer.tokens(texts.SHAPES.frame(t))
-    kinds = found.groupBy("path").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("string", "n_strings"), ("comment", "n_comments"), ("heredoc", "n_heredoc"), ("page", "n_page"))])
-    deep = lexer.with_depth(lexer.code_tokens(found))
+    found = lexer.with_depth(lexer.tokens(texts.SHAPES.frame(t)))  # only marks of code move the depth
     move = F.when(F.col("token").isin(*lexer.OPENING), 1).when(F.col("token").isin(*lexer.CLOSING), -1).otherwise(0)
-    ends = deep.groupBy("path").agg(F.max_by(F.col("depth") + F.when(F.col("kind") == "mark", move).otherwise(0), "pos").alias("last_depth"))
-    return kinds.join(ends, "path")
+    at = F.when(~F.col("kind").isin("space", "comment", "page", "heredoc"), F.col("pos"))
+    counts = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("string", "n_strings"), ("comment", "n_comments"), ("heredoc", "n_heredoc"), ("page", "n_page"))]
+    return found.groupBy("path").agg(*counts, F.max_by(F.col("depth") + F.when(F.col("kind") == "mark", move).otherwise(0), at).alias("last_depth")).where("last_depth is not null")
 
 
 @query(f"""
