@@ -71,17 +71,18 @@ def matched_names(left: DataFrame, right: DataFrame, key: str, other: str) -> Da
 
     In a tier the partner is the nearest, of ties the first by code point. Tiers are equi-joins: normalised names meet in the texts that deleting a character leaves.
     """
+    # Hints: a list of names is a small file, but its deletions are many times its size, and what is broadcast passes through the driver.
     a = written(left.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_n", normal_name(F.col(key))), "names")
     b = written(right.select(F.col(other)).where(F.col(other).isNotNull()).distinct().withColumn("_m", normal_name(F.col(other))), "names")
     pick = lambda df, tier: df.groupBy(key).agg(F.min(F.struct("_d", F.col(other))).alias("_p")).select(key, F.col(f"_p.{other}").alias(other), F.lit(tier).cast("long").alias("tier"))
-    equal = written(pick(a.join(b, F.col(key) == F.col(other)).withColumn("_d", F.lit(0)), 1), "names-1")
-    rest = a.join(equal, key, "left_anti")
-    normal = written(pick(rest.join(b, F.col("_n") == F.col("_m")).withColumn("_d", F.levenshtein(F.col(key), F.col(other))), 2), "names-2")
-    rest = written(rest.join(normal, key, "left_anti"), "names-rest")
+    equal = written(pick(a.join(b.hint("merge"), F.col(key) == F.col(other)).withColumn("_d", F.lit(0)), 1), "names-1")
+    rest = a.join(equal.hint("merge"), key, "left_anti")
+    normal = written(pick(rest.join(b.hint("merge"), F.col("_n") == F.col("_m")).withColumn("_d", F.levenshtein(F.col(key), F.col(other))), 2), "names-2")
+    rest = written(rest.join(normal.hint("merge"), key, "left_anti"), "names-rest")
     spread = lambda df, c: df.withColumn("_x", F.explode(deletions(F.col(c))))
-    near = spread(rest, "_n").join(spread(b, "_m"), "_x").withColumn("_d", F.levenshtein(F.col("_n"), F.col("_m"))).where(F.col("_d") <= MOST_EDITS)
+    near = spread(rest, "_n").join(spread(b, "_m").hint("merge"), "_x").withColumn("_d", F.levenshtein(F.col("_n"), F.col("_m"))).where(F.col("_d") <= MOST_EDITS)
     near = written(pick(near, 3), "names-3")
-    none = rest.join(near, key, "left_anti").select(key, F.lit(None).cast(b.schema[other].dataType).alias(other), F.lit(0).cast("long").alias("tier"))
+    none = rest.join(near.hint("merge"), key, "left_anti").select(key, F.lit(None).cast(b.schema[other].dataType).alias(other), F.lit(0).cast("long").alias("tier"))
     return equal.unionByName(normal).unionByName(near).unionByName(none)
 
 
