@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio of trusted target to raw corpus.
 
 Two multinomials over ``n_buckets`` hashed words and word pairs are counted: one
-over a bounded sample of documents that labels mark as good and not toxic (the
+over all documents that labels mark as good and not toxic and that aren't held out (the
 trusted target), one over every document (the raw corpus). A document scores the
 mean over its n-grams of ``log p_target - log p_raw``. Weights are fixed-point
 integers, so a score doesn't depend on the order of summation and the threshold
@@ -26,14 +26,12 @@ from srclens.llm.common import clean_text, where_last, words, written
 
 #: Size of the hashed n-gram space, which bounds the weight table that every task gets.
 N_BUCKETS = 1 << 16
-#: The trusted target is at most so many labelled documents, the first by hash of doc_id.
-MAX_TRUSTED = 20_000
+#: Up to so many labelled doc_ids are broadcast; more meet the documents in a sort-merge join.
+BROADCAST_IDS = 1 << 18
 #: Least mean weight per n-gram, in nats, where labels don't show one.
 THRESHOLD = -0.4
 #: One in so many labelled documents, by hash of doc_id, stays out of the target and fits the threshold.
 HOLD_OUT = 4
-#: The threshold is fitted on at most so many documents of either label, the first by hash of doc_id.
-MAX_FITTED = 4_000
 #: Scores are counted in so many bins per nat for that.
 BINS = 1_000
 #: Nats to fixed point.
@@ -116,27 +114,26 @@ def ngram_buckets(n_buckets: int = N_BUCKETS) -> Column:
     return F.concat(ones, twos)
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``max_trusted`` doc_ids labelled good and not toxic, the first by hash."""
+def joinable(ids: DataFrame) -> DataFrame:
+    """``ids`` with the hint that their number asks for."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return F.broadcast(ids) if few else ids.hint("merge")
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids labelled good and not toxic."""
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull())
-    return (
-        good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-        .withColumnRenamed("doc_id", "trusted_id")
-    )
+    return good.select(F.col("doc_id").alias("trusted_id")).distinct()
 
 
-def bucket_weights(
-    docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED
-) -> DataFrame:
+def bucket_weights(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
     """One row ``weights array<int>``: fixed-point log ratio of each bucket.
 
-    Counts cover every document. Only ``n_buckets`` sums per task are shuffled.
-    The broadcast side has at most ``max_trusted`` ids.
+    Counts cover every document and every trusted one. Only ``n_buckets`` sums per task are shuffled, and texts where trusted ids are too many to be broadcast.
     """
-    ids = F.broadcast(trusted_ids(labels, max_trusted))
+    told = docs.select("doc_id", "text").join(joinable(trusted_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left")
     grams = (
-        word_hashes(docs.select("doc_id", "text"))
-        .join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+        word_hashes(told)
         .select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode_outer(ngram_buckets(n_buckets)).alias("b"))
         .where(F.col("b").isNotNull())  # an outer explode computes its array once
         .groupBy("b")
@@ -165,15 +162,14 @@ def held_out() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HOLD_OUT)) == 0
 
 
-def fitting_ids(labels: DataFrame, max_fitted: int = MAX_FITTED) -> DataFrame:
-    """``fit_id, good``: held-out trusted doc_ids and those labelled bad, at most ``max_fitted`` of each."""
+def fitting_ids(labels: DataFrame) -> DataFrame:
+    """``fit_id, good``: all held-out trusted doc_ids and all labelled bad."""
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("lo"), F.max("quality").alias("hi"), F.max("toxic").alias("toxic")
     )
     good = one.where((F.col("lo") == 1) & (F.col("toxic") == 0) & held_out())
     bad = one.where(F.col("hi") == 0)
-    first = lambda x: x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fitted).select(F.col("doc_id").alias("fit_id"))
-    return first(good).withColumn("good", F.lit(1)).union(first(bad).withColumn("good", F.lit(0)))
+    return good.select(F.col("doc_id").alias("fit_id"), F.lit(1).alias("good")).union(bad.select("doc_id", F.lit(0)))
 
 
 def best_cut(bins: list[tuple[int, int, int]]) -> float | None:
@@ -195,13 +191,10 @@ def best_cut(bins: list[tuple[int, int, int]]) -> float | None:
     return cut
 
 
-def fitted_threshold(
-    docs: DataFrame, labels: DataFrame, weights: DataFrame, n_buckets: int = N_BUCKETS, max_fitted: int = MAX_FITTED
-) -> float:
+def fitted_threshold(docs: DataFrame, labels: DataFrame, weights: DataFrame, n_buckets: int = N_BUCKETS) -> float:
     """The threshold between both labels; only counts of bins come to the driver, some 10,000 at most."""
-    ids = F.broadcast(fitting_ids(labels, max_fitted))
-    sample = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("fit_id"))
-    judged = where_last(scored(sample, weights, n_buckets), ~F.col("_failed") & F.col("_llr").isNotNull())
+    labelled = docs.select("doc_id", "text").join(joinable(fitting_ids(labels)), F.col("doc_id") == F.col("fit_id"))
+    judged = where_last(scored(labelled, weights, n_buckets), ~F.col("_failed") & F.col("_llr").isNotNull())
     bins = judged.groupBy(F.floor(F.col("_llr") * BINS).alias("bin")).agg(F.sum("good"), F.sum(1 - F.col("good")))
     cut = best_cut([tuple(x) for x in bins.collect()])
     return THRESHOLD if cut is None else cut
@@ -221,19 +214,16 @@ def scored(docs: DataFrame, weights: DataFrame, n_buckets: int = N_BUCKETS) -> D
     return out.drop("_grams", "_w", "_w64").withColumn("_failed", failed)
 
 
-def score_documents(
-    docs: DataFrame, labels: DataFrame, threshold: float | None = None, n_buckets: int = N_BUCKETS,
-    max_trusted: int = MAX_TRUSTED,
-) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float | None = None, n_buckets: int = N_BUCKETS) -> DataFrame:
     """``docs`` with the struct ``_base`` and ``_llr`` (nats per n-gram), ``_kept``.
 
     Without a ``threshold`` it is fitted on held-out labels; with one, all trusted documents are counted.
     """
     if threshold is None:
-        weights = written(bucket_weights(docs, labels.where(~held_out()), n_buckets, max_trusted), "bucket-weights")
+        weights = written(bucket_weights(docs, labels.where(~held_out()), n_buckets), "bucket-weights")
         threshold = fitted_threshold(docs, labels, weights, n_buckets)
     else:
-        weights = bucket_weights(docs, labels, n_buckets, max_trusted)
+        weights = bucket_weights(docs, labels, n_buckets)
     return scored(docs, weights, n_buckets).withColumn(
         "_kept", ~F.col("_failed") & (F.coalesce("_llr", F.lit(0.0)) >= threshold)
     )
