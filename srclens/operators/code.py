@@ -32,7 +32,11 @@ MODIFIERS = ("public", "protected", "private", "static", "abstract", "final")
 
 def token_table(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Code tokens of files with their depth (:mod:`lexer`), written once for what reads them more than once."""
-    return written(lexer.with_depth(lexer.code_tokens(lexer.tokens(files, path, content))), "tokens")
+    return written(_deep_tokens(files, path, content), "tokens")
+
+
+def _deep_tokens(files: DataFrame, path: str, content: str) -> DataFrame:
+    return lexer.with_depth(lexer.code_tokens(lexer.tokens(files, path, content)))
 
 
 def function_ranges(tokens: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def functions(files: DataFrame, path: str = "path", content: str = "content", to
     Bodies end at the brace that matches their first one, however far away; braces in strings, comments, heredocs and page text don't count. A function
     without a body, or whose brace never closes, ends on the next line by convention, and its text is that of its head. ``body`` is the text from ``function`` to the closing brace.
     """
-    found = function_ranges(token_table(files, path, content) if tokens is None else tokens).where("name is not null")
+    found = function_ranges(_deep_tokens(files, path, content) if tokens is None else tokens).where("name is not null")
     per_file = found.groupBy("path").agg(F.collect_list(F.struct("name", "is_static", "starts", "line_start", "opens", "closes", "ends", "line_end")).alias("_all"))
     texts = files.select(F.col(path).alias("path"), F.col(content).alias("_text"))
     # A text's size isn't seen in the plan, so neither side may be taken for a small one.

@@ -103,3 +103,16 @@ def test_names_and_their_deletions_are_not_broadcast(spark):
     got = {tuple(r) for r in coverage.matched_names(left, right, "l", "r").collect()}
     assert got == {("item_1", "item_1", 1), ("tbl_Items", "item", 2), ("itm_a", "item_a", 3), ("zzz", None, 0)}
     assert not seen.broadcasts()
+
+
+def test_tokens_that_are_read_once_are_not_written(files, monkeypatch):
+    """Nor do they leave the partitions of their paths: what follows them shuffles no token again."""
+    whole = {tuple(r) for r in code.functions(files, tokens=code.token_table(files)).select("path", "name", "line_end", "body").collect()}
+
+    def refused(*_):
+        raise AssertionError("tokens written")
+
+    monkeypatch.setattr(code, "written", refused)
+    assert {tuple(r) for r in code.functions(files).select("path", "name", "line_end", "body").collect()} == whole
+    windows = plan(code.function_ranges(code._deep_tokens(files, "path", "content"))).split("== Physical Plan ==")[1].split("Generate")[0]
+    assert windows.count("Window [") == 3 - 1 and windows.count("Exchange") == 1
