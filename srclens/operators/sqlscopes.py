@@ -25,14 +25,14 @@ AFTER_TABLES = ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "SET", "ON", "USIN
 
 
 def tokens(queries: DataFrame, key: str = "id", sql: str = "sql") -> DataFrame:
-    """``key, n, offset, line, token, word``: tokens but white space and comments; ``word`` is a keyword in upper case, else null."""
-    size = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<at:int,line:int>>").alias("out"))
-    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    step = lambda a, t: F.struct((a["at"] + F.length(t)).alias("at"), (a["line"] + breaks(t)).alias("line"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), a["line"].alias("line")))).alias("out"))
-    found = queries.select(F.col(key).alias(key), F.regexp_extract_all(F.coalesce(F.col(sql), F.lit("")), F.lit(_TOKEN), F.lit(0)).alias("_t"))
-    found = found.select(key, F.posexplode(F.arrays_zip(F.col("_t").alias("t"), F.aggregate("_t", size, step)["out"].alias("p"))).alias("n", "_x"))
-    t, up = F.col("_x.t"), F.upper("_x.t")
-    out = found.select(key, F.col("n").cast("long").alias("n"), F.col("_x.p.at").cast("long").alias("offset"), F.col("_x.p.line").cast("long").alias("line"), t.alias("token"), F.when(up.isin(*WORDS), up).alias("word"))
+    """``key, n, offset, line, token, word``: tokens but white space and comments; ``word`` is a keyword in upper case, else null. Keys must differ."""
+    breaks = F.length("_t") - F.length(F.replace("_t", F.lit("\n"), F.lit("")))
+    found = queries.select(F.col(key).alias(key), F.posexplode_outer(F.regexp_extract_all(F.coalesce(F.col(sql), F.lit("")), F.lit(_TOKEN), F.lit(0))).alias("n", "_t"))
+    # Outer, as else a filter on the size would read each text twice. Sums over rows: an array of places that grows by a token would be copied for every token.
+    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sums = found.select(key, "n", "_t", F.sum(F.length("_t")).over(before).alias("_at"), F.sum(breaks).over(before).alias("_breaks"))
+    up = F.upper("_t")
+    out = sums.select(key, F.col("n").cast("long").alias("n"), F.coalesce("_at", F.lit(0)).cast("long").alias("offset"), (F.coalesce("_breaks", F.lit(0)) + 1).cast("long").alias("line"), F.col("_t").alias("token"), F.when(up.isin(*WORDS), up).alias("word"))
     return out.where(~F.col("token").rlike(r"^(?s:\s+|--.*|/\*.*)$"))
 
 

@@ -21,3 +21,13 @@ def test_columns_are_resolved(spark):
         assert CASES[r["id"]][0][r["offset"] :].lstrip('`"').lower().startswith((r["column"], "u", "o", "s", "t", "c", "d", "q", "p", "r", "w", "x", "n"))
         found.setdefault(r["id"], []).append((r["table"], r["column"], r["role"]))
     assert {i: found.get(i, []) for i in range(len(CASES))} == {i: [(*x, "read")[:3] for x in want] for i, (_, want) in enumerate(CASES)}
+
+
+def test_tokens_are_placed_without_an_array_that_grows(spark):
+    text = "SELECT a,\n  'x\ny' -- c\nFROM t"
+    df = sqlscopes.tokens(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, sql string"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString().replace("Aggregate", "")
+    got = [(r["token"], r["offset"], r["line"]) for r in df.orderBy("n").collect()]
+    assert got == [("SELECT", 0, 1), ("a", 7, 1), (",", 8, 1), ("'x\ny'", 12, 2), ("FROM", 23, 4), ("t", 28, 4)]
+    many = sqlscopes.tokens(spark.createDataFrame([(1, "SELECT a" + ", a" * 20_000)], "id long, sql string"))
+    assert many.selectExpr("max(`offset`)").first()[0] == len("SELECT a") + 3 * 20_000 - 1
