@@ -170,22 +170,30 @@ def api_info(files: DataFrame, path: str = "path", content: str = "content") ->
     return files.select(path, methods.alias("methods"), kind.alias("content_type"), headers.alias("headers"))
 
 
+#: A read of a parameter, what may stand directly before it, and its default, which is only looked at, as it may hold the next read.
+_READ = r"\$_(?:GET|POST|REQUEST)\[['\"](\w+)['\"]\]"
+_BEFORE = r"(?=[($ief])(?:(\((?:int|float|bool|array)\)|(?:intval|floatval|is_array)\s*\(|(?:isset|empty)\s*\()\s*+)?"
+_DEFAULT = r"(?:(?=\s*\?\?\s*([^;,)]+))|)"
+
+
 def request_contract(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``path, param, type, required, default`` of every parameter that a file reads.
 
-    The patterns are made of the parameter's name, a column. A direct use
-    makes it required; isset, empty or a default alone don't.
+    A text is searched by constant patterns, once for all of its parameters. A direct use
+    makes one required; isset, empty or a default alone don't.
     """
-    each = files.select(path, F.col(content).alias("_c"), F.explode(code.request_params(F.col(content))).alias("param"))
-    q = lambda before, after: F.concat(F.lit(before + r"\$_(?:GET|POST|REQUEST)\[['\"]"), F.col("param"), F.lit(r"['\"]\]" + after))
-    has = lambda before, after="": F.regexp_like("_c", q(before, after))
-    default = F.nullif(F.call_function("regexp_extract", F.col("_c"), q("", r"\s*\?\?\s*([^;,)]+)"), F.lit(1)), F.lit(""))
+    found = (("before", _BEFORE + _READ, 1), ("param", _READ, 1), ("default", _READ + _DEFAULT, 2))  # the same reads each time
+    reads = files.select(path, F.arrays_zip(*[F.regexp_extract_all(F.col(content), F.lit(p), F.lit(i)).alias(n) for n, p, i in found]).alias("_reads"))
+    each = reads.select(path, "_reads", F.explode(F.array_sort(F.array_distinct(F.col("_reads.param")))).alias("param"))
+    own = each.select(path, "param", F.filter("_reads", lambda x: x["param"] == F.col("param")).alias("_own"))
+    words = F.array_distinct(F.transform("_own.before", lambda x: F.regexp_extract(x, r"\w+", 0)))
+    facts = own.select(path, "param", words.alias("_b"), F.get(F.filter("_own.default", lambda x: x != ""), F.lit(0)).alias("_d"))
+    has = lambda *names: F.arrays_overlap("_b", F.array(*[F.lit(n) for n in names]))
     type_ = ladder(
-        [(has(r"(?:\(int\)|intval\s*\()\s*"), "int"), (has(r"(?:\(float\)|floatval\s*\()\s*"), "float"), (has(r"\(bool\)\s*"), "bool"), (has(r"(?:\(array\)|is_array\s*\()\s*"), "array"),
+        [(has("int", "intval"), "int"), (has("float", "floatval"), "float"), (has("bool"), "bool"), (has("array", "is_array"), "array"),
          (F.col("param").rlike(r"(^|_)(id|page|limit|offset|count)$"), "int"), (F.col("param").rlike("email|name|title|search|query"), "string")], "string",
     )
-    guarded = has(r"(?:isset|empty)\s*\(\s*")
-    return each.select(path, "param", type_.alias("type"), (~guarded).alias("required"), code.literal(default).alias("default"))
+    return facts.select(path, "param", type_.alias("type"), (~has("isset", "empty")).alias("required"), code.literal(F.col("_d")).alias("default"))
 
 
 def uploads(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

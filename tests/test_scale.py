@@ -2,7 +2,7 @@
 
 import pytest
 
-from srclens.operators import code, coverage, flow, lexer, shapes
+from srclens.operators import code, coverage, flow, lexer, php, shapes
 from srclens.plans import code_queries, code_texts, registry
 
 FILE = "<?php\nfunction walk($a) { $r = ['k' => 1, 'l' => [2]]; for ($i = 0; $i < 3; $i++) f($i); return $r; }\nwalk(1);"
@@ -116,3 +116,12 @@ def test_tokens_that_are_read_once_are_not_written(files, monkeypatch):
     assert {tuple(r) for r in code.functions(files).select("path", "name", "line_end", "body").collect()} == whole
     windows = plan(code.function_ranges(code._deep_tokens(files, "path", "content"))).split("== Physical Plan ==")[1].split("Generate")[0]
     assert windows.count("Window [") == 3 - 1 and windows.count("Exchange") == 1
+
+
+def test_patterns_of_a_contract_are_constant(spark):
+    """Those made of a parameter's name were compiled for every row, many times each."""
+    text = "<?php $a = intval( $_GET['n'] ?? $_POST['m'] ?? 7); isset($_GET['k']); $b = $_GET['k'] ?? 'x'; (bool)$_REQUEST['n'];"
+    found = php.request_contract(spark.createDataFrame([("a", text), ("b", None), ("a", "empty ($_GET['z'])")], "path string, content string"))
+    assert "concat(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.path, r.param, r.type, r.required, tuple(r.default)) for r in found.collect()}
+    assert got == {("a", "n", "int", True, ("raw", "$_POST['m'] ?? 7")), ("a", "m", "string", True, ("int", "7")), ("a", "k", "string", False, ("string", "x")), ("a", "z", "string", False, ("raw", None))}
