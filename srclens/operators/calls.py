@@ -7,30 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How a symbol's use is found in code: kind and pattern with the symbol's name in group 1, member in group 2.
+#: How a symbol's use is found in a line: kind, what every such line holds, and the pattern with the symbol's name in group 1, member in group 2.
 USAGES = (
-    ("instantiation", r"new\s+([A-Za-z_]\w*)\s*\("),
-    ("static_call", r"([A-Za-z_]\w*)::([A-Za-z_]\w*)\s*\("),
-    ("extends", r"extends\s+([A-Za-z_]\w*)"),
-    ("implements", r"implements\s+([A-Za-z_]\w*)"),
-    ("type_hint", r"[(,]\s*\??([A-Za-z_]\w*)\s+&?\$"),
+    ("instantiation", "new", r"new\s+([A-Za-z_]\w*)\s*\("),
+    ("static_call", "::", r"([A-Za-z_]\w*+)::([A-Za-z_]\w*)\s*\("),
+    ("extends", "extends", r"extends\s+([A-Za-z_]\w*)"),
+    ("implements", "implements", r"implements\s+([A-Za-z_]\w*)"),
+    ("type_hint", "$", r"[(,]\s*+\??([A-Za-z_]\w*)\s+&?\$"),
 )
 
 
 def class_usages(files: DataFrame, classes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``path, line, kind, class_name, member``: uses of the classes ``name``.
 
-    Code is tokenised once into used names, which meet the definitions in an equi-join.
+    Code is tokenised once into used names, a line by the patterns that it holds something for; they meet the definitions in an equi-join.
     """
     lines = files.select(path, F.posexplode(F.split(content, "\n", -1)).alias("_at", "_line"))
+    none = F.array().cast("array<struct<kind:string,class_name:string,member:string>>")
 
-    def hits(kind: str, pattern: str) -> Column:
+    def hits(kind: str, needs: str, pattern: str) -> Column:
         names = F.regexp_extract_all("_line", F.lit(pattern), F.lit(1))
         members = F.regexp_extract_all("_line", F.lit(pattern), F.lit(2)) if kind == "static_call" else F.transform(names, lambda _: F.lit(None).cast("string"))
-        return F.transform(F.arrays_zip(names.alias("n"), members.alias("m")), lambda x: F.struct(F.lit(kind).alias("kind"), x["n"].alias("class_name"), x["m"].alias("member")))
+        found = F.transform(F.arrays_zip(names.alias("n"), members.alias("m")), lambda x: F.struct(F.lit(kind).alias("kind"), x["n"].alias("class_name"), x["m"].alias("member")))
+        return F.when(F.contains("_line", F.lit(needs)), found).otherwise(none)
 
+    any_use = F.lit(False)
+    for _, needs, _ in USAGES:
+        any_use = any_use | F.contains("_line", F.lit(needs))
     found = F.inline(F.concat(*[hits(*u) for u in USAGES]))
-    uses = lines.select(path, (F.col("_at") + 1).cast("long").alias("line"), found)
+    uses = lines.where(any_use).select(path, (F.col("_at") + 1).cast("long").alias("line"), found)
     return uses.join(classes.select(F.col("name").alias("class_name")).distinct(), "class_name", "left_semi").select(
         path, "line", "kind", "class_name", "member"
     )

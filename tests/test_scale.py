@@ -1,8 +1,9 @@
 """What grows: tasks, pairs and what passes through the driver, seen in plans and in the counts of their operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from srclens.operators import code, coverage, flow, lexer, php, shapes
+from srclens.operators import calls, code, coverage, flow, lexer, php, shapes, webconf
 from srclens.plans import code_queries, code_texts, registry
 
 FILE = "<?php\nfunction walk($a) { $r = ['k' => 1, 'l' => [2]]; for ($i = 0; $i < 3; $i++) f($i); return $r; }\nwalk(1);"
@@ -125,3 +126,29 @@ def test_patterns_of_a_contract_are_constant(spark):
     assert "concat(" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.path, r.param, r.type, r.required, tuple(r.default)) for r in found.collect()}
     assert got == {("a", "n", "int", True, ("raw", "$_POST['m'] ?? 7")), ("a", "m", "string", True, ("int", "7")), ("a", "k", "string", False, ("string", "x")), ("a", "z", "string", False, ("raw", None))}
+
+
+def test_a_line_is_searched_for_the_uses_that_it_may_hold(spark, files):
+    found = calls.class_usages(files, code.classes(files))
+    below = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Contains(_line#" in below and f", {needs})" in below for _, needs, _ in calls.USAGES)
+    text = "class A {}\nnew  A(1); B::f(A $a); class C extends A implements A\nf(A\n$x) A::g (2) new\nA()"
+    one = spark.createDataFrame([("p", text), ("n", None)], "path string, content string")
+    got = sorted((r.line, r.kind, r.member or "") for r in calls.class_usages(one, code.classes(one)).collect() if r.class_name == "A")
+    assert got == [(2, "extends", ""), (2, "implements", ""), (2, "instantiation", ""), (2, "type_hint", ""), (4, "static_call", "g")]
+
+
+def test_a_text_is_made_once_whatever_reads_it(spark):
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    read = code_texts.PHP.frame(t).where("content like '%a%' and length(content) > 3 and content rlike 'b'")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+
+
+def test_routes_are_read_once_for_their_order(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(webconf, "numbered", lambda df, *_, name: seen.append(plan(df)) or df.withColumn(name, F.lit(0)))
+    text = "<?php echo 1; if ($_GET['a']) { $_POST['b']; }"
+    files = spark.createDataFrame([("/w/public/a.php", text), ("/w/public/b.php", "<?php Function f() {}"), ("/w/public/c.php", "<?php $function = 'function'; // class"), ("/w/public/d.php", None)], "path string, content string")
+    got = {(r.route, len(r.methods)) for r in webconf.file_routes(files, "/public").collect()}
+    assert got == {("/a", 2), ("/c", 1)}
+    assert "regexp_replace" not in seen[0] and "RLIKE" not in seen[0]
