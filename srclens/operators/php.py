@@ -152,11 +152,14 @@ def is_include_file(path: Column, content: Column) -> Column:
     stem = F.lower(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""))
     named = F.exists(F.array(*[F.lit(w) for w in INCLUDE_STEMS]), lambda w: F.contains(stem, w))
     code_only = F.regexp_replace(content, r"(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|/\*.*?\*/|(?://|#)[^\n]*", " ")
-    page = F.regexp_replace(code_only, r"(?s)<\?.*?(?:\?>|\z)", "")
-    used = F.transform(F.regexp_extract_all(code_only, F.lit(r"\$?\w+"), F.lit(0)), F.lower)
-    uses = lambda *names: F.arrays_overlap(used, F.array(*[F.lit(n) for n in names]))
-    silent = ~uses("echo", "print", "printf", "vprintf", "readfile") & ~F.contains(code_only, F.lit("<?=")) & (F.trim(page) == "")
-    return named | (uses("function", "class", "interface", "trait") & silent & ~uses("$_get", "$_post", "$_request"))
+    word = lambda *names: rf"(?i)(?<![\w$])(?:{'|'.join(names)})(?!\w)"
+
+    def declares(c: Column) -> Column:
+        page = F.regexp_replace(c, r"(?s)<\?.*?(?:\?>|\z)", "")
+        silent = ~c.rlike(word("echo", "print", "printf", "vprintf", "readfile")) & ~F.contains(c, F.lit("<?=")) & (F.trim(page) == "")
+        return c.rlike(word("function", "class", "interface", "trait")) & ~c.rlike(r"(?i)\$_(?:get|post|request)(?!\w)") & silent
+
+    return named | F.get(F.transform(F.array(code_only), declares), F.lit(0))  # a lambda's variable is found once
 
 
 def api_info(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from srclens.functions.conditions import ladder
 from srclens.operators import code, routes
 from srclens.operators.scan import text_lines
-from srclens.sources.shared import numbered
+from srclens.sources.shared import numbered, written
 
 
 def rewrite_rules(files: DataFrame, base: str = "", path: str = "path", content: str = "content") -> DataFrame:
@@ -89,4 +89,5 @@ def file_routes(files: DataFrame, root: str, path: str = "path", content: str =
     route = ladder([(route == "", F.lit("/")), (~F.startswith(route, F.lit("/")), F.concat(F.lit("/"), route))], route)
     methods = F.when(F.col(content).rlike(r"\$_POST\b"), F.array(F.lit("GET"), F.lit("POST"))).otherwise(F.array(F.lit("GET")))
     out = own.select(path, route.alias("route"), methods.alias("methods"), code.superglobals(F.col(content)).alias("superglobals")).distinct()
-    return numbered(out, F.col("route").asc(), F.col(path).asc(), name="priority").withColumn("priority", 1000 + F.col("priority"))
+    # Written, as the order's ranges are drawn from a first reading.
+    return numbered(written(out, "routes"), F.col("route").asc(), F.col(path).asc(), name="priority").withColumn("priority", 1000 + F.col("priority"))

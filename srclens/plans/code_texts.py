@@ -35,8 +35,8 @@ class Corpus:
         self.table, self.path, self.lines = table, path, lines
 
     def frame(self, t: Tables) -> DataFrame:
-        rows = spread(getattr(t, self.table).withColumn("path", line_column(self.path)), "path")
-        return rows.select("path", F.concat_ws("\n", *[line_column(x) for x in self.lines]).alias("content"))
+        rows = getattr(t, self.table).withColumn("path", line_column(self.path))
+        return spread(rows, "path", "path", F.concat_ws("\n", *[line_column(x) for x in self.lines]).alias("content"))
 
     @property
     def key_sql(self) -> str:
@@ -171,7 +171,7 @@ def sampled(t: Tables) -> DataFrame:
     """Files of ``N_LINES`` sample lines each, all samples in turn."""
     lines = F.array(*[F.lit(x) for x in SAMPLES])
     pick = [F.get(lines, F.expr(f"CAST((p_partkey * {N_LINES} + {j}) % {len(SAMPLES)} AS INT)")) for j in range(N_LINES)]
-    return spread(t.part.withColumn("path", line_column("/s/«p_partkey».php")), "path").select("path", F.concat_ws("\n", *pick).alias("content"))
+    return spread(t.part.withColumn("path", line_column("/s/«p_partkey».php")), "path", "path", F.concat_ws("\n", *pick).alias("content"))
 
 
 _LIST = "[" + ", ".join(map(_quoted, SAMPLES)) + "]"

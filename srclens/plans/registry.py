@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a partition that :func:`spread` makes.
@@ -36,11 +36,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by ``key`` over partitions of about ``SPREAD_ROWS``, as many as there are rows for.
+def spread(rows: DataFrame, key: str, *columns: str | Column) -> DataFrame:
+    """``columns`` of rows that are dealt out by ``key`` over partitions of about ``SPREAD_ROWS``, as many as there are rows for.
 
     A row of a few bytes becomes a text of a kilobyte and hundreds of tokens, so that a small file's one partition would be hours of one task.
-    The number of rows is read off the file's footer. Filters on what is made of the rows stay above, as below the text would be made in the file's one task.
+    The number of rows is read off the file's footer. Filters stay above the columns, as below the text would be made in the file's one task, and again for each time that they read it.
     """
     dealt = rows.repartition(max(1, -(-rows.count() // SPREAD_ROWS)), key)
-    return dealt.withColumn("_row", F.monotonically_increasing_id()).where("_row >= 0").drop("_row")
+    return dealt.select(*columns, F.monotonically_increasing_id().alias("_row")).where("_row >= 0").drop("_row")
