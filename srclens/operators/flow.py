@@ -22,6 +22,11 @@ LOOPS = ("for", "foreach", "while", "do")
 
 def call_sites(tokens: DataFrame) -> DataFrame:
     """``path, pos, line, name, kind, owner``: calls by name. Kinds: function, method (``->``), static (``::``, ``owner`` is what stands before), new."""
+    return _sites(tokens).drop("on_this")
+
+
+def _sites(tokens: DataFrame) -> DataFrame:
+    """Call sites with ``on_this``, whether two tokens before them stands ``$this``."""
     by = Window.partitionBy("path").orderBy("pos")
     t = F.struct("token", "kind")
     rows = tokens.select("path", "pos", "line", "token", "kind", *[F.lag(t, k).over(by).alias(f"b{k}") for k in (1, 2)], F.lead(t, 1).over(by).alias("a1"))
@@ -30,7 +35,7 @@ def call_sites(tokens: DataFrame) -> DataFrame:
     called = (F.col("kind") == "name") & (F.col("a1.token") == "(") & (F.col("a1.kind") == "mark")
     defined = F.coalesce(before == "function", F.lit(False)) | (F.coalesce(before == "&", F.lit(False)) & F.coalesce(F.lower("b2.token") == "function", F.lit(False)))
     known = ~F.lower("token").isin(*NO_CALLS) | F.coalesce(before.isin("->", "?->", "::"), F.lit(False))
-    return rows.where(called & ~defined & known).select("path", "pos", "line", F.col("token").alias("name"), kind.alias("kind"), F.when(kind == "static", F.col("b2.token")).alias("owner"))
+    return rows.where(called & ~defined & known).select("path", "pos", "line", F.col("token").alias("name"), kind.alias("kind"), F.when(kind == "static", F.col("b2.token")).alias("owner"), F.col("b2.token").eqNullSafe("$this").alias("on_this"))
 
 
 def loops(tokens: DataFrame) -> DataFrame:
@@ -121,11 +126,9 @@ def call_graph(tokens: DataFrame) -> DataFrame:
     bodies = innermost(bodies, classes, ["path"], "starts", "opens", "ends", "c")
     inner = F.coalesce(F.concat("c.class_name", F.lit(".")), F.lit(""))
     bodies = written(bodies.select("path", "body_opens", "ends", F.lower("name").alias("name"), F.col("c.class_name").alias("class_name"), F.concat("path", F.lit("#"), inner, "name").alias("id")), "bodies")
-    by = Window.partitionBy("path").orderBy("pos")
-    this = tokens.withColumn("_b", F.lag("token", 2).over(by)).where("_b = '$this'").select("path", "pos", F.lit(True).alias("on_this"))
-    sites = call_sites(tokens).where("kind <> 'new'").join(this.hint("merge"), ["path", "pos"], "left")
+    sites = _sites(tokens).where("kind <> 'new'")
     sites = innermost(sites, bodies.select("path", "body_opens", "ends", "id", "class_name"), ["path"], "pos", "body_opens", "ends", "f")
-    own = F.col("on_this").isNotNull() | F.lower("owner").isin("self", "static", "parent")
+    own = F.col("on_this") | F.lower("owner").isin("self", "static", "parent")
     scope = F.when(F.col("kind") == "function", "").when(F.coalesce(own, F.lit(False)), F.col("f.class_name")).when(F.col("kind") == "static", F.col("owner"))
     sites = sites.select("path", F.coalesce("f.id", F.concat("path", F.lit("#"))).alias("caller"), F.lower("name").alias("name"), scope.alias("scope"))
     sites = written(sites.distinct(), "call-sites")

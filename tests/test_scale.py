@@ -152,3 +152,17 @@ def test_routes_are_read_once_for_their_order(spark, monkeypatch):
     got = {(r.route, len(r.methods)) for r in webconf.file_routes(files, "/public").collect()}
     assert got == {("/a", 2), ("/c", 1)}
     assert "regexp_replace" not in seen[0] and "RLIKE" not in seen[0]
+
+
+def test_lines_that_end_as_they_begin_are_left_out_of_the_folds(spark):
+    lines = spark.createDataFrame([(' $x = "{";',), ("a /* b",), ("TXT",)], "l string")
+    assert [r[0] is None for r in lines.select(lexer.line_map(F.col("l"))["ends"]).collect()] == [True, False, True]
+    assert "maps" not in lexer.chunked(lines.selectExpr("l as path", "l as content")).columns
+
+
+def test_calls_on_this_need_no_join(spark):
+    text = "<?php class A { function f() { $this->g(); $that->g(); A::f(); } function g() {} } class B { function g() {} }"
+    tokens = code.token_table(spark.createDataFrame([("p", text)], "path string, content string"))
+    assert [r.on_this for r in flow._sites(tokens).orderBy("pos").collect()] == [True, False, False]
+    got = {tuple(r) for r in flow.call_graph(tokens).collect()}
+    assert got == {("p#A.f", "p#A.g"), ("p#A.f", "p#B.g"), ("p#A.f", "p#A.f")}
