@@ -166,3 +166,19 @@ def test_calls_on_this_need_no_join(spark):
     assert [r.on_this for r in flow._sites(tokens).orderBy("pos").collect()] == [True, False, False]
     got = {tuple(r) for r in flow.call_graph(tokens).collect()}
     assert got == {("p#A.f", "p#A.g"), ("p#A.f", "p#B.g"), ("p#A.f", "p#A.f")}
+
+
+def test_ranges_of_functions_are_found_once(spark, monkeypatch):
+    """And what is near a token goes on as the few texts that its row needs, not as a struct for each place."""
+    found, ranges = [], code.ranges_of
+    monkeypatch.setattr(code, "ranges_of", lambda rows: found.append(1) or ranges(rows))
+    monkeypatch.setattr(code, "token_table", None)
+    assert code_queries.code_main_function(registry.Tables(spark, "/root/testdata/sf0.001")).count() == 200
+    assert len(found) == 1
+    monkeypatch.undo()
+    texts = {"a": "<?php function f() { $a['x'][2][] = 1 + 2; $a['x']->y = 3; $b = ['k' => g(1, 2, 3)]; return $a; }", "b": "<?php $x = 1"}
+    tokens = code.token_table(spark.createDataFrame(list(texts.items()), "path string, content string"))
+    placed = shapes._placed(tokens)
+    got = {(r.what, r.text, None if r.keys is None else tuple(r.keys), r.value) for r in placed.collect() if r.what != "literal"}
+    assert got == {("set", "$a", ("x", "2", "[]"), "1+2"), ("set", "$b", (), "['k'=>g(1"), ("key", "k", None, "g(1,2,"), ("return", "$a", None, None), ("set", "$x", (), "1")}
+    assert max(len(str(f.dataType)) for f in placed.schema) < 60
