@@ -13,7 +13,12 @@ from srclens.sources.shared import written
 
 def file_tables(accesses: DataFrame, file: str, table: str) -> DataFrame:
     """Distinct ``file, table`` with the table in lower case."""
-    return accesses.select(F.col(file).alias("file"), F.lower(F.col(table).cast("string")).alias("table")).distinct()
+    return every_access(accesses, file, table).distinct()
+
+
+def every_access(accesses: DataFrame, file: str, table: str) -> DataFrame:
+    """:func:`file_tables` a row an access, for what repeated rows don't change."""
+    return accesses.select(F.col(file).alias("file"), F.lower(F.col(table).cast("string")).alias("table"))
 
 
 def known_tables(mentions: DataFrame, catalogue: DataFrame, table: str = "table") -> DataFrame:

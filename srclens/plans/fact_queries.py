@@ -29,9 +29,13 @@ def findings(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts", "user_id", kind.alias("type"), severity.alias("severity"))
 
 
-def brand_pairs(t: Tables) -> DataFrame:
+def brand_accesses(t: Tables) -> DataFrame:
     joined = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return correlate.file_tables(joined.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")), "o_custkey", "p_brand")
+    return joined.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+
+
+def brand_pairs(t: Tables) -> DataFrame:
+    return correlate.file_tables(brand_accesses(t), "o_custkey", "p_brand")
 
 
 def supply_pairs(t: Tables) -> DataFrame:
@@ -421,7 +425,7 @@ c AS (SELECT DISTINCT o_custkey AS file FROM orders WHERE o_orderpriority = '1-U
 SELECT file, min(tab) AS cluster FROM u ANTI JOIN c USING (file) GROUP BY file""")
 def leftover_cluster(t: Tables) -> DataFrame:
     urgent = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("file"))
-    return graph.leftover_cluster(brand_pairs(t), urgent, "file", "table")
+    return graph.leftover_cluster(correlate.every_access(brand_accesses(t), "o_custkey", "p_brand"), urgent, "file", "table")
 
 
 @query("""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srclens.operators import calls, code, coverage, flow, lexer, php, shapes, webconf
-from srclens.plans import code_queries, code_texts, registry
+from srclens.plans import code_queries, code_texts, fact_queries, registry
 
 FILE = "<?php\nfunction walk($a) { $r = ['k' => 1, 'l' => [2]]; for ($i = 0; $i < 3; $i++) f($i); return $r; }\nwalk(1);"
 
@@ -182,3 +182,13 @@ def test_ranges_of_functions_are_found_once(spark, monkeypatch):
     got = {(r.what, r.text, None if r.keys is None else tuple(r.keys), r.value) for r in placed.collect() if r.what != "literal"}
     assert got == {("set", "$a", ("x", "2", "[]"), "1+2"), ("set", "$b", (), "['k'=>g(1"), ("key", "k", None, "g(1,2,"), ("return", "$a", None, None), ("set", "$x", (), "1")}
     assert max(len(str(f.dataType)) for f in placed.schema) < 60
+
+
+def test_a_files_first_table_is_found_without_its_distinct_tables(spark):
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    found = fact_queries.leftover_cluster(t)
+    keys = [x.split("]")[0] for x in found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[1:]]
+    assert not any("p_brand" in x or "table" in x for x in keys)
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").selectExpr("o_custkey as file")
+    want = fact_queries.brand_pairs(t).join(urgent, "file", "left_anti").groupBy("file").agg(F.min("table"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
