@@ -1,6 +1,10 @@
 """What grows: tasks, pairs and what passes through the driver, seen in plans and in the counts of their operators."""
 
+import random
+import re
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from srclens.operators import calls, code, coverage, flow, lexer, php, shapes, webconf
@@ -192,3 +196,61 @@ def test_a_files_first_table_is_found_without_its_distinct_tables(spark):
     urgent = t.orders.where("o_orderpriority = '1-URGENT'").selectExpr("o_custkey as file")
     want = fact_queries.brand_pairs(t).join(urgent, "file", "left_anti").groupBy("file").agg(F.min("table"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_neighbours_are_those_of_the_token_table(spark, monkeypatch):
+    """In a file's row and, for long files, over dealt chunks; the tokens are those of ``tokens`` on texts made of what begins and ends things."""
+    rnd = random.Random(7)
+    parts = ["<?php ", "?>", "'", '"', "\\", "/*", "*/", "//", "#", "#[", "\n", "\n", "<<<TXT\n", "TXT", "$a", "$", "function", "f_1", " ", "\t", "(", ")", "{", "}", "=>", "->", "?->", "1.5", "é", "=", "&", "\0", "\0a", "€"]
+    texts = [(str(i), "".join(rnd.choice(parts) for _ in range(rnd.choice((0, 9, 60))))) for i in range(300)] + [("null", None)]
+    some = spark.createDataFrame(texts, "path string, content string")
+    by = Window.partitionBy("path").orderBy("pos")
+    near = [f("t", n).over(by).alias(f"{x}{n}") for x, f in (("b", F.lag), ("a", F.lead)) for n in (1, 2, 3)]
+    after = F.when(F.lead("t").over(by) != "m(", F.collect_list("t").over(by.rowsBetween(1, 5))).alias("after")
+    coded = lexer.code_tokens(lexer.tokens(some)).select("path", (F.row_number().over(by) - 1).alias("k"), "line", "pos", lexer.coded().alias("t"))
+    want = sorted(map(str, coded.select("*", *near, after).collect()))
+    for chunk, least in ((256, 16), (2, 2)):
+        monkeypatch.setattr(lexer, "NEAR", least)
+        found = lexer.around(some, 5, lambda t, a1: F.when(a1 != "(", 5), chunk=chunk)
+        names = ["t", "b1", "b2", "b3", "a1", "a2", "a3"]
+        got = found.select("path", "k", "line", "pos", *[lexer.recoded(F.col(c)).alias(c) for c in names], F.transform("after", lexer.recoded).alias("after"))
+        assert sorted(map(str, got.collect())) == want
+
+
+def dealt(spark, monkeypatch, *more):
+    """Files whose partitions are known to be by path."""
+    monkeypatch.setattr(registry, "SPREAD_ROWS", 50)
+    texts = [*((f"/p{i}.php", FILE) for i in range(200)), *((f"/q{i}.php", x) for i, x in enumerate(more))]
+    return registry.spread(spark.createDataFrame(texts, "path string, content string"), "path", "path", "content")
+
+
+def largest_method(spark, df):
+    """Bytes of the largest method of the plan's code: from 8,000 on Java doesn't compile one, and it runs many times slower."""
+    text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan())
+    return max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
+def test_functions_shuffle_and_sort_no_token_that_they_do_not_need(spark, monkeypatch):
+    """Neither are tokens shuffled again, nor does a window see what isn't a bracket, a semicolon or the word function."""
+    files = dealt(spark, monkeypatch)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = code.functions(files)
+        assert plan(found).split("== Physical Plan ==")[1].count("hashpartitioning") == 2  # those of the files, read twice
+        assert largest_method(spark, found) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    ranges = code.slim(files).collect()
+    assert {r.t for r in ranges} == {"(", ")", "[", "]", "{", "}", ";", "function"}
+    want = {tuple(r) for r in code.function_ranges(code.token_table(files)).collect()}
+    assert {tuple(r) for r in code.ranges_of(code.slim_marks(code.slim(files))).collect()} == want
+
+
+def test_heads_of_functions_are_those_read_back_from_the_parenthesis(spark):
+    rnd = random.Random(3)
+    parts = ["function", "Function", "&", "f", "static", "public", "final", "(", "(", ")", "{", "}", ";", "use", "$a", "'s'", "function f(", ") {", "static function"]
+    texts = [(str(i), "<?php " + " ".join(rnd.choice(parts) for _ in range(40))) for i in range(300)]
+    some = spark.createDataFrame(texts, "path string, content string")
+    want = sorted(map(str, code.function_ranges(code._deep_tokens(some, "path", "content")).collect()))
+    assert len(want) > 300
+    assert sorted(map(str, code.ranges_of(code.slim_marks(code.slim(some))).collect())) == want
