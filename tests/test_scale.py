@@ -254,3 +254,26 @@ def test_heads_of_functions_are_those_read_back_from_the_parenthesis(spark):
     want = sorted(map(str, code.function_ranges(code._deep_tokens(some, "path", "content")).collect()))
     assert len(want) > 300
     assert sorted(map(str, code.ranges_of(code.slim_marks(code.slim(some))).collect())) == want
+
+
+def test_returned_fields_are_found_in_the_partitions_of_the_files(spark, monkeypatch):
+    """One pass, whose tokens aren't shuffled and whose code is compiled, gives what the token table gives."""
+    seen = []
+
+    def kept(df, name):
+        seen.append((name, plan(df).split("== Physical Plan ==")[1].count("hashpartitioning"), 0 if seen else largest_method(spark, df)))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(shapes, "written", kept)
+    files = dealt(spark, monkeypatch, "<?php function f() { $a['x'][2][] = 'b\nc'; return ['k' => \"d\ne\", \"f\n'\" => 2] + $a; }")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranges, found = shapes.ranges_and_fields(files)
+        got = sorted(map(str, ranges.collect())), sorted(map(str, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    name, exchanges, largest = seen[0]
+    assert name == "placed-tokens" and largest < 8000
+    assert exchanges == 1  # that of the files
+    tokens = code.token_table(files)
+    assert got == (sorted(map(str, code.function_ranges(tokens).collect())), sorted(map(str, shapes.return_fields(tokens).collect())))
