@@ -30,12 +30,17 @@ def _sites(tokens: DataFrame) -> DataFrame:
     by = Window.partitionBy("path").orderBy("pos")
     t = F.struct("token", "kind")
     rows = tokens.select("path", "pos", "line", "token", "kind", *[F.lag(t, k).over(by).alias(f"b{k}") for k in (1, 2)], F.lead(t, 1).over(by).alias("a1"))
-    before = F.lower("b1.token")
+    site = _site(F.col("token"), (F.col("kind") == "name") & (F.col("a1.token") == "(") & (F.col("a1.kind") == "mark"), F.col("b1.token"), F.col("b2.token"))
+    return rows.select("path", "pos", "line", site.alias("_site")).where("_site is not null").select("path", "pos", "line", "_site.*")
+
+
+def _site(token: Column, called: Column, b1: Column, b2: Column) -> Column:
+    """``struct<name, kind, owner, on_this>`` of a call by name, null if a name before a parenthesis is none."""
+    before, no = F.lower(b1), F.lit(False)
     kind = F.when(before.isin("->", "?->"), "method").when(before == "::", "static").when(before == "new", "new").otherwise("function")
-    called = (F.col("kind") == "name") & (F.col("a1.token") == "(") & (F.col("a1.kind") == "mark")
-    defined = F.coalesce(before == "function", F.lit(False)) | (F.coalesce(before == "&", F.lit(False)) & F.coalesce(F.lower("b2.token") == "function", F.lit(False)))
-    known = ~F.lower("token").isin(*NO_CALLS) | F.coalesce(before.isin("->", "?->", "::"), F.lit(False))
-    return rows.where(called & ~defined & known).select("path", "pos", "line", F.col("token").alias("name"), kind.alias("kind"), F.when(kind == "static", F.col("b2.token")).alias("owner"), F.col("b2.token").eqNullSafe("$this").alias("on_this"))
+    defined = F.coalesce(before == "function", no) | (F.coalesce(before == "&", no) & F.coalesce(F.lower(b2) == "function", no))
+    known = ~F.lower(token).isin(*NO_CALLS) | F.coalesce(before.isin("->", "?->", "::"), no)
+    return F.when(called & ~defined & known, F.struct(token.alias("name"), kind.alias("kind"), F.when(before == "::", b2).alias("owner"), b2.eqNullSafe("$this").alias("on_this")))
 
 
 def loops(tokens: DataFrame) -> DataFrame:
@@ -56,6 +61,12 @@ def loops(tokens: DataFrame) -> DataFrame:
     found = events.select(
         "*", *[F.lead(place, k).over(on).alias(f"a{k}") for k in (1, 2, 3, 4)], F.last(F.when(F.col("token") == ";", place), ignorenulls=True).over(after).alias("semicolon"),
     )
+    return _ended(found)
+
+
+def _ended(found: DataFrame) -> DataFrame:
+    """:func:`loops` of heads and ends with the next places of their level, ``a1`` to ``a4``, and the next semicolon."""
+    place = F.struct("token", "pos", "line")
     # Loops that a word ends are brackets of their own kind: those of one depth open and end in turn.
     worded = F.col("head") & (F.col("a3.token") == ":")
     word = F.when(F.col("finish"), F.substring("token", 4, 20)).otherwise(F.col("token"))
@@ -76,10 +87,32 @@ def loop_calls(tokens: DataFrame) -> DataFrame:
 
     What a loop's head calls counts as inside: it runs again and again, but for the list of ``foreach``, which this doesn't tell apart.
     """
-    found = innermost(call_sites(tokens), loops(tokens), ["path"], "pos", "opens", "ends", "l")
+    return _looped(call_sites(tokens), loops(tokens))
+
+
+def _looped(sites: DataFrame, around: DataFrame) -> DataFrame:
+    found = innermost(sites, around, ["path"], "pos", "opens", "ends", "l")
     return found.select("path", "pos", "line", "name", "kind", "owner", F.col("l.loop").alias("loop"), F.col("l.line").alias("loop_line"))
 
 
+def file_loop_calls(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """:func:`loop_calls` of files, in one pass over tokens that are neither written nor shuffled: calls and loops are."""
+    t, low, named = F.col("t"), F.lower("t"), F.col("t").rlike(lexer.NAMED)
+    ending = low.isin("endfor", "endforeach", "endwhile")
+    rows = code.slim(files, (t == ":") | (named & ((F.col("a1") == "(") | low.isin(*LOOPS) | ending)), [F.col(c) for c in ("b1", "b2", "a1")], path, content)
+    head = named & low.isin(*LOOPS) & F.col("a1").isin("(", "{") & ~F.coalesce(F.col("b1").isin("->", "?->", "::"), F.lit(False))
+    level = F.when(t.isin(*lexer.CLOSING), F.col("depth") - 1).otherwise(F.col("depth"))
+    site = _site(t, named & (F.col("a1") == "("), F.col("b1"), lexer.shown(F.col("b2")))
+    rows = rows.select("path", "pos", "line", low.alias("token"), level.alias("level"), head.alias("head"), (named & ending).alias("finish"), t.isin(*lexer.OPENING, *lexer.CLOSING, ";", ":").alias("_mark"), site.alias("_site"))
+    rows = rows.withColumn("_event", F.col("head") | F.col("finish") | F.col("_mark"))
+    on = Window.partitionBy("path", "_event", "level").orderBy("pos")
+    after = Window.partitionBy("path", "_event", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct("token", "pos", "line")
+    found = rows.select("*", *[F.lead(place, k).over(on).alias(f"a{k}") for k in (1, 2, 3, 4)]).withColumn("semicolon", F.last(F.when(F.col("token") == ";", place), ignorenulls=True).over(after))
+    found = written(found.where("head or finish or _site is not null").drop("_mark", "_event"), "calls-and-loops")
+    return _looped(found.where("_site is not null").select("path", "pos", "line", "_site.*").drop("on_this"), _ended(found.where("head or finish").drop("_site")))
+
+
 def title(name: Column) -> Column:
     """Each run of letters with a capital first and small letters after."""
     return F.array_join(F.transform(F.regexp_extract_all(name, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
@@ -121,12 +154,33 @@ def call_graph(tokens: DataFrame) -> DataFrame:
     ``self::``, ``static::`` and ``$this->`` lead to the class around the call, ``C::`` to the classes of the name; other methods to every class that has one of their name.
     A plain call leads to its own file's function if there is one, else to all functions of the name. Names that nothing defines have no edge.
     """
-    bodies = code.function_ranges(tokens).where("ends is not null and name is not null")
-    classes = class_ranges(tokens)
+    return _graph(code.function_ranges(tokens), class_ranges(tokens), _sites(tokens))
+
+
+def file_call_graph(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """:func:`call_graph` of files, in one pass over tokens that are neither written nor shuffled: calls and the ranges of functions and classes are."""
+    t, low, named, no = F.col("t"), F.lower("t"), F.col("t").rlike(lexer.NAMED), F.lit(False)
+    kinds = low.isin("class", "interface", "trait")
+    rows = code.slim(files, named & ((F.col("a1") == "(") | kinds), [F.col(c) for c in ("b1", "b2", "a1")], path, content)
+    head = named & kinds & F.col("a1").rlike(lexer.NAMED) & ~F.coalesce(F.col("b1").isin("::", "->", "?->"), no) & ~F.coalesce(F.lower("b1") == "new", no)
+    site = _site(t, named & (F.col("a1") == "("), F.col("b1"), lexer.shown(F.col("b2")))
+    rows = rows.select("path", "pos", "line", t.alias("token"), "depth", "_f", t.isin(*lexer.OPENING, *lexer.CLOSING, ";").alias("_mark"), F.when(head, F.col("a1")).alias("class_name"), site.alias("_site"))
+    rows = code.ranges_of(rows)
+    level = F.when(F.col("token") == "}", F.col("depth") - 1).otherwise(F.col("depth"))
+    rows = rows.withColumn("_level", level).withColumn("_event", F.col("class_name").isNotNull() | F.col("token").isin("{", "}"))
+    on = Window.partitionBy("path", "_event", "_level").orderBy("pos")
+    rows = rows.select("*", F.lead("pos", 1).over(on).alias("opens"), F.lead("pos", 2).over(on).alias("ends")).where("_site is not null or _range is not null or class_name is not null")
+    found = written(rows.select("path", "pos", "line", "_site", "_range", "class_name", "opens", "ends"), "calls-and-scopes")
+    sites = found.where("_site is not null").select("path", "pos", "line", "_site.*")
+    return _graph(found.where("_range is not null").select("path", "_range.*"), found.where("class_name is not null").select("path", "class_name", "opens", "ends"), sites)
+
+
+def _graph(ranges: DataFrame, classes: DataFrame, sites: DataFrame) -> DataFrame:
+    bodies = ranges.where("ends is not null and name is not null")
     bodies = innermost(bodies, classes, ["path"], "starts", "opens", "ends", "c")
     inner = F.coalesce(F.concat("c.class_name", F.lit(".")), F.lit(""))
     bodies = written(bodies.select("path", "body_opens", "ends", F.lower("name").alias("name"), F.col("c.class_name").alias("class_name"), F.concat("path", F.lit("#"), inner, "name").alias("id")), "bodies")
-    sites = _sites(tokens).where("kind <> 'new'")
+    sites = sites.where("kind <> 'new'")
     sites = innermost(sites, bodies.select("path", "body_opens", "ends", "id", "class_name"), ["path"], "pos", "body_opens", "ends", "f")
     own = F.col("on_this") | F.lower("owner").isin("self", "static", "parent")
     scope = F.when(F.col("kind") == "function", "").when(F.coalesce(own, F.lit(False)), F.col("f.class_name")).when(F.col("kind") == "static", F.col("owner"))

@@ -77,7 +77,7 @@ c AS (SELECT path, l AS line, 'make' AS name, NULL AS loop, NULL AS loop_line FR
 
 @query(f"WITH {_CALLS} SELECT path, CAST(line AS BIGINT) AS line, name, loop, CAST(loop_line AS BIGINT) AS loop_line FROM c")
 def shape_loop_calls(t: Tables) -> DataFrame:
-    return flow.loop_calls(code.token_table(texts.SHAPES.frame(t))).select("path", "line", "name", "loop", "loop_line")
+    return flow.file_loop_calls(texts.SHAPES.frame(t)).select("path", "line", "name", "loop", "loop_line")
 
 
 @query(f"""
@@ -88,7 +88,7 @@ SELECT g.name, CASE WHEN g.n_loop > 0 THEN 'loop_calls' ELSE 'sequential_calls'
  CASE WHEN g.n_loop > 0 AND n_calls >= 10 THEN 'high' ELSE 'medium' END AS savings
 FROM g LEFT JOIN f ON f.name = g.name AND f.path = run_path WHERE g.n_loop > 0 OR run_path IS NOT NULL""")
 def shape_batches(t: Tables) -> DataFrame:
-    return flow.batch_opportunities(flow.loop_calls(code.token_table(texts.SHAPES.frame(t))))
+    return flow.batch_opportunities(flow.file_loop_calls(texts.SHAPES.frame(t)))
 
 
 @query(f"""
@@ -96,7 +96,7 @@ WITH p AS (SELECT {S} AS path, p_partkey AS k FROM part)
 SELECT path || '#' AS caller, path || '#walk' AS callee FROM p UNION ALL SELECT path || '#walk', path || '#head_' || k FROM p UNION ALL SELECT path || '#K' || k || '.make', path || '#K' || k || '.make' FROM p
 UNION ALL SELECT p.path || '#walk', q.path || '#K' || q.k || '.make' FROM p JOIN p q ON q.k = p.k % 50""")
 def shape_call_graph(t: Tables) -> DataFrame:
-    return flow.call_graph(code.token_table(texts.SHAPES.frame(t)))
+    return flow.file_call_graph(texts.SHAPES.frame(t))
 
 
 _REACH = "(SELECT p_partkey AS a, p_partkey // 2 AS b FROM part UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, (p_partkey * 7) % 1000 FROM part WHERE p_size % 7 = 1)"

@@ -277,3 +277,26 @@ def test_returned_fields_are_found_in_the_partitions_of_the_files(spark, monkeyp
     assert exchanges == 1  # that of the files
     tokens = code.token_table(files)
     assert got == (sorted(map(str, code.function_ranges(tokens).collect())), sorted(map(str, shapes.return_fields(tokens).collect())))
+
+
+@pytest.mark.parametrize("name", ["loop_calls", "call_graph"])
+def test_calls_are_found_in_the_partitions_of_the_files(spark, monkeypatch, name):
+    """One pass, whose tokens are neither written nor shuffled, gives what the token table gives, on texts made of what it looks at too."""
+    seen = []
+
+    def kept(df, name):
+        seen.append((name, plan(df).split("== Physical Plan ==")[1].count("hashpartitioning"), 0 if seen else largest_method(spark, df)))
+        return df.localCheckpoint()
+
+    rnd = random.Random(11)
+    parts = ["for", "foreach", "while", "do", "endfor", "endWhile", "(", ")", "{", "}", ":", ";", "f", "g(", "function f(", "class A", "class", "new", "$this", "->", "::", "?->", "B", "self::g(", "&", "function", "'x\ny'", "[", "]", "interface"]
+    texts = ["<?php " + " ".join(rnd.choice(parts) for _ in range(60)) for _ in range(100)]
+    files = dealt(spark, monkeypatch, *texts)
+    monkeypatch.setattr(flow, "written", kept)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted(map(str, getattr(flow, f"file_{name}")(files).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert seen[0][0].startswith("calls-and-") and seen[0][1] == 1 and seen[0][2] < 8000
+    assert got == sorted(map(str, getattr(flow, name)(code.token_table(files)).collect()))
