@@ -225,7 +225,7 @@ def dealt(spark, monkeypatch, *more):
 
 
 def largest_method(spark, df):
-    """Bytes of the largest method of the plan's code: from 8,000 on Java doesn't compile one, and it runs many times slower."""
+    """Bytes of the largest method of the plan's code: from 8,000 on Java doesn't compile one, and it runs slower."""
     text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan())
     return max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text))
 
